@@ -3,23 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ledgerline.llm import exact_dedup, simhash
+from ledgerline.llm import bpe, exact_dedup, fingerprints, simhash, tokencount
 from ledgerline.llm.common import documents
+from ledgerline.llm.units import tokenizer_path
+
+WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(documents(spark, sf_dir))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path(WORD_BPE))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.with_hex(simhash.near_duplicates(documents(spark, sf_dir)))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(documents(spark, sf_dir), tokenizer_path(PIECES))
+
+
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES = {
