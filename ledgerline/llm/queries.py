@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, exact_dedup, fingerprints, simhash, tokencount
+from ledgerline.llm import bpe, exact_dedup, fingerprints, idfiles, packing, simhash, tokencount, warc
 from ledgerline.llm.common import documents
 from ledgerline.llm.units import tokenizer_path
 
 WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 
 
@@ -20,6 +21,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op4_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = idfiles.write_ids(documents(spark, sf_dir), tokenizer_path(WORD_BPE), end_id=2)
+    return idfiles.read_ids(spark, files)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path(WORD_BPE))
 
@@ -28,6 +34,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.with_hex(simhash.near_duplicates(documents(spark, sf_dir)))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(spark, warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path(BYTE_BPE), end_id=0)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(documents(spark, sf_dir), tokenizer_path(PIECES))
 
@@ -35,8 +49,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_id_files": op4_id_files,
     "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
+    "op8_warc": op8_warc,
+    "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -45,4 +62,14 @@ ORACLES = {
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op8_warc": r"""
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        h AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (1 + (((strpos('0123456789abcdef', substr(hex, (i * 5) // 4 + 1, 1)) - 1) * 16
+                          + greatest(strpos('0123456789abcdef', substr(hex || '0', (i * 5) // 4 + 2, 1)) - 1, 0)) >> (3 - (i * 5) % 4)) & 31)::BIGINT, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM h""",
 }
