@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, exact_dedup, fingerprints, idfiles, packing, simhash, tokencount, warc
+from ledgerline.llm import bpe, exact_dedup, fingerprints, idfiles, langid, packing, simhash, tokencount, warc
 from ledgerline.llm.common import documents
 from ledgerline.llm.units import tokenizer_path
 
@@ -34,6 +34,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.with_hex(simhash.near_duplicates(documents(spark, sf_dir)))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.train_and_identify(documents(spark, sf_dir))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op4_id_files": op4_id_files,
     "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
+    "op7_language_id": op7_language_id,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
@@ -66,9 +71,9 @@ ORACLES = {
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
         h AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first FROM p)
         SELECT page_id, payload_bytes,
-               array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-                   (1 + (((strpos('0123456789abcdef', substr(hex, (i * 5) // 4 + 1, 1)) - 1) * 16
-                          + greatest(strpos('0123456789abcdef', substr(hex || '0', (i * 5) // 4 + 2, 1)) - 1, 0)) >> (3 - (i * 5) % 4)) & 31)::BIGINT, 1)), '') AS payload_digest,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (1 + ((((strpos('0123456789abcdef', substr(hex, (i * 5) // 4 + 1, 1)) - 1) * 16
+                          + greatest(strpos('0123456789abcdef', substr(hex || '0', (i * 5) // 4 + 2, 1)) - 1, 0)) >> (3 - (i * 5) % 4)) & 31))::BIGINT, 1)), '') AS payload_digest,
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM h""",
