@@ -191,8 +191,8 @@ class Reader:
             i = j
 
 
-def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
-    """Writes one file a range of ids; returns for each file, in order: uri, docs, ids, base (ids before it)."""
+def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None, kind: str = "words", id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
+    """Writes one file a range of ids (kind: how texts are cut for the encoder); returns for each file, in order: uri, docs, ids, base (ids before it)."""
     spark = docs.sparkSession
     ship(spark)
     folder = folder or shared_dir(spark, "token-ids")
@@ -205,7 +205,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None
             if made is None and batch.num_rows:
                 made = new_file(uri)
                 writer = Writer(made.__enter__())
-            encoder = library_encoder(path, "words")
+            encoder = library_encoder(path, kind)
             texts = batch.column(1)
             for a, b in chunks([len(t.as_buffer()) for t in texts]):
                 ids, counts = encoder.encode([t.as_buffer().to_pybytes() for t in texts[a:b]])

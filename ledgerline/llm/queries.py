@@ -26,7 +26,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = idfiles.write_ids(documents(spark, sf_dir), tokenizer_path(WORD_BPE), end_id=2)
+    files = idfiles.write_ids(documents(spark, sf_dir), tokenizer_path(WORD_BPE), end_id=2, kind="folded")
     return idfiles.read_ids(spark, files)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -25,6 +26,11 @@ def words(text: bytes) -> list[bytes]:
     return text.split()
 
 
+def folded(text: bytes) -> list[bytes]:
+    """The same for a tokenizer that ignores case: fewer distinct units. A text that may hold a special token keeps its case."""
+    return text.split() if b"<|" in text else text.lower().split()
+
+
 def spaced(text: bytes) -> list[bytes]:
     """Each run without ASCII white space together with the white space before it.
 
@@ -104,7 +110,7 @@ _encoders: dict[tuple, UnitEncoder] = {}
 
 
 def library_encoder(path: str, kind: str) -> UnitEncoder:
-    """A worker's encoder for a tokenizer file of the tokenizers library; kind: words or spaced."""
+    """A worker's encoder for a tokenizer file of the tokenizers library; kind: words, folded or spaced."""
     key = ("library", path, kind)
     if key not in _encoders:
         from tokenizers import Tokenizer
@@ -116,9 +122,9 @@ def library_encoder(path: str, kind: str) -> UnitEncoder:
         def many(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             found = [e.ids for e in tok.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
             counts = np.fromiter(map(len, found), np.int64, len(found))
-            return np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum())), counts
+            return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
 
-        _encoders[key] = UnitEncoder({"words": words, "spaced": spaced}[kind], many)
+        _encoders[key] = UnitEncoder({"words": words, "folded": folded, "spaced": spaced}[kind], many, most_units=1_000_000)
     return _encoders[key]
 
 
