@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from ledgerline.plans import cohort, parsing, ranking, summaries, survival, texts
+from ledgerline.plans.register import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "cohort", "parsing", "ranking", "summaries", "survival", "texts"]
