@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE = Path(__file__).resolve().parent.parent
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once per application, so that their workers can import it."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    target = os.path.join(tempfile.mkdtemp(prefix="ledgerline-"), f"{PACKAGE.name}.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(PACKAGE.rglob("*.py")):
-            z.write(f, f.relative_to(PACKAGE.parent).as_posix())
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
+from ledgerline.shipping import ship
 
+__all__ = ["by_chunk", "chunks", "documents", "shared_dir", "shared_root", "ship", "utf8", "written"]
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; set here only where it is unset."""
