@@ -183,7 +183,8 @@ def tiered_cost(prompt: Column, output: Column, thinking: Column, cached: Column
 
 def curve_counts(curves: DataFrame, curve: str, tolerance: float = 0.05) -> DataFrame:
     """(n, distinct, near_average): curves that differ from the mean curve by at most the tolerance everywhere."""
-    points = curves.select(F.monotonically_increasing_id().alias("__i"), F.posexplode(curve).alias("k", "s"))
+    numbered = curves.select(F.monotonically_increasing_id().alias("__i"), curve)
+    points = numbered.select("__i", F.posexplode(curve).alias("k", "s"))
     mean = points.groupBy("k").agg(F.avg("s").alias("m"))
     near = points.join(F.broadcast(mean), "k").groupBy("__i").agg((F.max(F.abs(F.col("s") - F.col("m"))) <= tolerance).alias("near")).agg(F.count(F.lit(1)).alias("n"), F.count_if("near").alias("near_average"))
     return near.crossJoin(curves.agg(F.count_distinct(curve).alias("distinct")))
