@@ -17,32 +17,22 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerline.llm.common import by_chunk, utf8
-from ledgerline.llm.units import UnitEncoder, words
+from ledgerline.llm.units import FAR, SPLITS, UnitEncoder, byte_alphabet, normalised, words
 
-FAR = re.compile("[^\x00-\u024f]")
 END = ""  # the end of a word, glued to its last symbol
 BREAK = ""  # in no token
 
 
-def byte_alphabet() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
-
-
 class BacktrackingBpe:
     """The merges of a byte-level BPE file of the tokenizers library."""
 
@@ -165,8 +155,7 @@ def _spans(pieces: list[str], most: int = 1 << 16) -> Iterator[tuple[int, int]]:
 class WordBpe:
     """The normaliser and splitter of the word-end vocabulary around BacktrackingBpe; units are white-space runs."""
 
-    #: Fixed value: the splitting pattern of the vocabulary file.
-    PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    PATTERN = SPLITS["folded"][1]
 
     def __init__(self, path: str):
         self.bpe = BacktrackingBpe(path)
@@ -181,20 +170,15 @@ class WordBpe:
         self.raw = {ord(c): b for b, c in enumerate(byte_alphabet())}
         self.blob = np.frombuffer(b"".join(blob), np.uint8)
 
-    @staticmethod
-    def normalise(text: str) -> str:
-        """NFC, then lower case character by character (a final sigma is like any other)."""
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-
     def split(self, text: str) -> list[str]:
         """Pieces as latin-1 of their UTF-8. Outside the Latin blocks the classes of characters depend on the
         Unicode version, so there the library's own normaliser and splitter are asked."""
         if text.isascii():
-            return self.PATTERN.findall(text.lower())
+            return SPLITS["folded"][0].findall(text.lower())
         if FAR.search(text):
             found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             return [p.translate(self.raw) for p, _ in found]
-        return [p.encode().decode("latin-1") for p in self.PATTERN.findall(self.normalise(text))]
+        return [p.encode().decode("latin-1") for p in self.PATTERN.findall(normalised(text))]
 
     def many(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each unit: distinct pieces are encoded once a call."""

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -106,26 +108,90 @@ class UnitEncoder:
         return ids, np.diff(upto)
 
 
-_encoders: dict[tuple, UnitEncoder] = {}
+def byte_alphabet() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
-def library_encoder(path: str, kind: str) -> UnitEncoder:
-    """A worker's encoder for a tokenizer file of the tokenizers library; kind: words, folded or spaced."""
-    key = ("library", path, kind)
-    if key not in _encoders:
+BYTE_LEVEL = dict(enumerate(byte_alphabet()))
+#: Outside the Latin blocks the classes of characters depend on the Unicode version.
+FAR = re.compile("[^\x00-\u024f]")
+#: The splitting patterns of the two vocabulary files, for ASCII texts and for others.
+SPLITS = {
+    "spaced": (
+        re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\f\vA-Za-z0-9]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+"),
+        regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
+    ),
+    "folded": (
+        re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\f\va-z0-9]+"),
+        regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"),
+    ),
+}
+
+
+class LibraryUnits:
+    """Units through the tokenizers library: split into pieces here, each distinct piece given to the library's
+    model once. Units that hold special tokens or characters outside the Latin blocks go through it whole."""
+
+    def __init__(self, path: str, kind: str, most_pieces: int = 500_000):
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        self.model, self.fold, self.most_pieces = self.tok.model, kind != "spaced", most_pieces
+        self.ascii, self.latin = (p.findall for p in SPLITS["spaced" if kind == "spaced" else "folded"])
+        self.pieces: dict[str, list[int]] = {}
+
+    def __call__(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        pieces, ask, level = self.pieces, self.model.tokenize, BYTE_LEVEL
+        if len(pieces) > self.most_pieces:
+            pieces.clear()
+        whole, found = [], []
+        for unit in units:
+            text = unit.decode()
+            if "<|" in text:
+                whole.append((len(found), text))
+                found.append(())
+                continue
+            if text.isascii():
+                parts = self.ascii(text.lower() if self.fold else text)
+            elif FAR.search(text):
+                whole.append((len(found), text))
+                found.append(())
+                continue
+            else:
+                parts = self.latin(normalised(text) if self.fold else text)
+            ids: list[int] = []
+            for part in parts:
+                known = pieces.get(part)
+                if known is None:
+                    known = pieces[part] = [t.id for t in ask((part if part.isascii() else part.encode().decode("latin-1")).translate(level))]
+                ids += known
+            found.append(ids)
+        if whole:
+            for (i, _), e in zip(whole, self.tok.encode_batch_fast([t for _, t in whole], add_special_tokens=False)):
+                found[i] = e.ids
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
+
+
+def normalised(text: str) -> str:
+    """NFC, then lower case character by character (a final sigma is like any other)."""
+    return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
 
-        def many(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            found = [e.ids for e in tok.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
 
-        _encoders[key] = UnitEncoder({"words": words, "folded": folded, "spaced": spaced}[kind], many, most_units=1_000_000)
-    return _encoders[key]
+_encoders: dict[tuple, UnitEncoder] = {}
+
+
+def library_encoder(path: str, kind: str) -> UnitEncoder:
+    """A worker's encoder for a tokenizer file of the tokenizers library; kind: words, folded or spaced."""
+    if (path, kind) not in _encoders:
+        split = {"words": words, "folded": folded, "spaced": spaced}[kind]
+        _encoders[path, kind] = UnitEncoder(split, LibraryUnits(path, kind), most_units=800_000)
+    return _encoders[path, kind]
 
 
 def tokenizer_path(name: str) -> str:

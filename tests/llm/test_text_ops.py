@@ -117,3 +117,16 @@ def test_trie_scores_a_shared_prefix_once():
     b = trie.insert("▁inter")
     assert len(trie.next) == nodes and trie.insert("▁international", 2) == a
     assert trie.count == {a: 3, b: 1}
+
+
+@pytest.mark.parametrize("path,kind", [(WORD, "folded"), (BYTE, "spaced")])
+def test_every_latin_character_is_split_as_the_library_splits_it(path, kind):
+    tok, enc = Tokenizer.from_file(path), units.LibraryUnits(path, kind)
+    chars = [chr(i) for i in range(1, 0x260) if chr(i) not in " \t\n\r\f\v"]
+    texts = [t for c in chars for t in (c, f"x{c}y", f"x{c}", f"{c}9", f".{c}!", f"'{c}", f"{c}́")]
+    if kind == "spaced":
+        texts += [f" {t}" for t in texts] + [f"\n  {t}" for t in texts]
+        texts = [t for t in texts if not units.WIDE_SPACE.search(t.encode())]
+    ids, counts = enc([t.encode() for t in texts])
+    for t, n, e in zip(texts, counts, np.cumsum(counts)):
+        assert ids[e - n : e].tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
