@@ -156,8 +156,11 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """At most `most` (span of text, language) of the rows that are not held out."""
     body = utf8(text_col)
     start = F.greatest(F.pmod(F.xxhash64(F.col(id_col)), F.greatest(F.length(body) - SPAN, F.lit(1))), F.lit(0)).cast("int")
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(
-        F.col(lang_col).cast("string").alias("lang"), F.substring(body, start + 1, F.lit(SPAN)).alias("span"), F.xxhash64(F.lit(11), F.col(id_col)).alias("h"), F.col(id_col).alias("i")
+    open_ = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
+    draw = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 30))
+    share = min(1.0, 1.1 * most / max(1, open_.count()))  # so that all tasks together hand on about `most` rows, not each
+    rows = open_.where(draw < int(share * (1 << 30))).select(
+        F.col(lang_col).cast("string").alias("lang"), F.substring(body, start + 1, F.lit(SPAN)).alias("span"), draw.alias("h"), F.col(id_col).alias("i")
     )
     return [(bytes(r.span), r.lang) for r in rows.orderBy("h", "i").limit(most).select("span", "lang").collect()]
 
