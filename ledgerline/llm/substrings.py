@@ -58,17 +58,41 @@ def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return acc
 
 
-def segments(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, first window, windows, weight) of a document's segments. Weight 2: the segment may repeat itself."""
-    n = len(h) - window + 1
-    if n <= 0:
-        return (np.empty(0, np.int64),) * 4
+def least_runs(g: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least of each `width` neighbouring hashes, the leftmost of equals.
+
+    The place goes into the low bits of the hash, so that plain minima of shifted arrays find it. Which of two
+    hashes with equal high bits is less then follows from their places, hence from the window's content alike."""
+    if len(g) >= 1 << 24:
+        return np.lib.stride_tricks.sliding_window_view(g, width).argmin(1) + np.arange(len(g) - width + 1)
+    low = np.uint64((1 << 24) - 1)
+    now = (g & ~low) | np.arange(len(g), dtype=np.uint64)
+    size = 1
+    while size * 2 <= width:
+        now = np.minimum(now[:-size], now[size:])
+        size *= 2
+    if size < width:
+        now = np.minimum(now[: len(now) - (width - size)], now[width - size :])
+    return (now & low).astype(np.int64)
+
+
+def segments(h: np.ndarray, lengths: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(document, minimizer, first window, windows, weight) of the segments of documents whose word hashes stand
+    one after another. Weight 2: the segment may repeat itself."""
+    offsets = np.cumsum(lengths) - lengths
+    counts = np.maximum(lengths - window + 1, 0)
+    total = int(counts.sum())
+    if not total:
+        return (np.empty(0, np.int64),) * 5
+    doc = np.repeat(np.arange(len(lengths)), counts)
+    first = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+    place = first + offsets[doc]
     g = run_hashes(h, gram)
-    at = np.lib.stride_tricks.sliding_window_view(g, window - gram + 1).argmin(1) + np.arange(n)
+    at = least_runs(g, window - gram + 1)[place]
     least = g[at]
-    new = np.concatenate([[True], least[1:] != least[:-1]])
+    new = np.concatenate([[True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
     starts = np.flatnonzero(new)
-    sizes = np.diff(np.concatenate([starts, [n]]))
+    sizes = np.diff(np.concatenate([starts, [total]]))
     moved = np.add.reduceat(np.concatenate([[0], at[1:] != at[:-1]]) * ~new, starts)
     weight = 1 + (moved > 0)
     if sizes.max() > LONGEST:
@@ -77,7 +101,7 @@ def segments(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.
         begin, end = np.repeat(starts, pieces) + k * LONGEST, np.repeat(starts + sizes, pieces)
         weight = np.repeat(weight, pieces)
         starts, sizes = begin, np.minimum(LONGEST, end - begin)
-    return least[starts].view(np.int64), starts, sizes, weight
+    return doc[starts], least[starts].view(np.int64), first[starts], sizes, weight
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
@@ -89,13 +113,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> Dat
 
 def _occurrences(keyed: DataFrame, window: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for i, t in enumerate(batch.column(2)):
-            m, a, c, w = segments(word_hashes(t.as_buffer().to_pybytes().split()), window)
-            if len(m):
-                parts.append((m, np.full(len(m), i), a, c, w))
-        if parts:
-            m, i, a, c, w = (np.concatenate(x) for x in zip(*parts))
+        parts = [word_hashes(t.as_buffer().to_pybytes().split()) for t in batch.column(2)]
+        i, m, a, c, w = segments(np.concatenate(parts), np.array([len(p) for p in parts]), window)
+        if len(m):
             i = pa.array(i)
             yield pa.RecordBatch.from_arrays([pa.array(m), batch.column(0).take(i), batch.column(1).take(i), pa.array(a.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(w.astype(np.int32))], ["m", "key", "mark", "a", "c", "w"])
 
@@ -120,11 +140,11 @@ def _cut(joined: DataFrame, window: int, contents: bool) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             size = 0
-            for key, mark, text, segs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            edges, fields = batch.column(3).offsets.to_pylist(), [batch.column(3).values.field(f).to_pylist() for f in ("a", "c", "m", "hot")]
+            for i, (key, mark, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))):
                 words, own = text.as_buffer().to_pybytes().split(), None
-                for s in sorted(segs.as_py(), key=lambda s: s["a"]):
-                    a, c, m = s["a"], s["c"], s["m"]
-                    if s["hot"]:
+                for a, c, m, hot in sorted(zip(*(f[edges[i] : edges[i + 1]] for f in fields))):
+                    if hot:
                         own = run_hashes(word_hashes(words), window).view(np.int64) if own is None else own
                         items = [(int(own[i]), i, 1) for i in range(a, a + c)]
                     else:
