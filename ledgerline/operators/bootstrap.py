@@ -17,9 +17,13 @@ from ledgerline.operators.metrics import auroc, ratio
 
 
 def replicated(df: DataFrame, cluster: Sequence[str], replicates: int, salt: str = "boot", weight: str = "w") -> DataFrame:
-    """Adds rep and weight; rows drawn 0 times are dropped (they weigh nothing)."""
-    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))))
-    return reps.withColumn(weight, poisson_weight(uniform(salt, F.col("rep"), *cluster))).where(F.col(weight) > 0)
+    """Adds rep and weight; rows drawn 0 times are dropped (they weigh nothing).
+
+    A weight is hashed once per cluster and replicate and joined to the cluster's rows."""
+    drawn = df.select(*cluster).distinct().withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))))
+    once = F.get(F.transform(F.array(uniform(salt, F.col("rep"), *cluster)), poisson_weight), F.lit(0))
+    drawn = drawn.withColumn(weight, once)
+    return df.join(drawn, list(cluster)).where(F.col(weight) > 0)
 
 
 def interval(per_rep: DataFrame, value: str, keys: Sequence[str] = (), level: float = 0.95) -> DataFrame:
@@ -38,6 +42,6 @@ def cluster_auroc(df: DataFrame, cluster: str, question: str, label: Column, sco
 
 def stratified_accuracy_difference(df: DataFrame, unit: str, truth: str, a: str, b: str, replicates: int) -> DataFrame:
     """(rep, difference of balanced accuracies b - a) on the same draws; each unit is weighted within its class."""
-    reps = replicated(df.select(unit, truth, a, b), [unit], replicates)
-    per = reps.groupBy("rep", truth).agg(F.sum("w").alias("n"), F.sum(F.when(F.col(a) == F.col(truth), F.col("w")).otherwise(0)).alias("ha"), F.sum(F.when(F.col(b) == F.col(truth), F.col("w")).otherwise(0)).alias("hb"))
+    cells = df.groupBy(unit, truth).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(a) == F.col(truth)).alias("ha"), F.count_if(F.col(b) == F.col(truth)).alias("hb"))
+    per = replicated(cells, [unit], replicates).groupBy("rep", truth).agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("n", "ha", "hb")])
     return per.groupBy("rep").agg((F.avg(ratio(F.col("hb"), F.col("n"))) - F.avg(ratio(F.col("ha"), F.col("n")))).alias("difference"))
