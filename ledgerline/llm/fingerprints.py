@@ -99,8 +99,8 @@ def unpacked(s: str) -> np.ndarray:
 
 def id_ranges(docs: DataFrame, id_col: str, n: int) -> list[int]:
     """First ids of at most n ranges of about equal size; each is an id of the table."""
-    at = [i / n for i in range(1, n)]
-    row = docs.agg(F.min(id_col).alias("a"), F.percentile_approx(id_col, F.array(*map(F.lit, at)), 100 * n).alias("b")).first()
+    at = ",".join(f"{i / n!r}D" for i in range(1, n))
+    row = docs.agg(F.min(id_col).alias("a"), F.expr(f"percentile_approx(`{id_col}`, array({at}), {20 * n})").alias("b")).first()
     return sorted({row["a"], *row["b"]}) if row["a"] is not None else []
 
 
@@ -108,8 +108,9 @@ def range_number(col: str, edges: list[int], wide: int = 64) -> Column:
     """The number of edges that are at most the id, in two steps: blocks of edges, then edges of one block."""
     blocks = [edges[i : i + wide] for i in range(0, len(edges), wide)]
     below = lambda arr: F.size(F.filter(arr, lambda e: e <= F.col(col)))
-    heads = F.array(*[F.lit(b[0]).cast("long") for b in blocks])
-    inner = F.array(*[F.array(*[F.lit(e).cast("long") for e in b]) for b in blocks])
+    listed = lambda ids: f"array({','.join(f'CAST({i} AS BIGINT)' for i in ids)})"  # noqa: E731  as text: one call, whatever the number of ranges
+    heads = F.expr(listed([b[0] for b in blocks]))
+    inner = F.expr(f"array({','.join(map(listed, blocks))})")
     block = F.greatest(below(heads), F.lit(1))
     return F.when(F.col(col).isNull(), F.lit(1)).otherwise((block - 1) * wide + below(F.element_at(inner, block))).cast("int")
 
@@ -125,7 +126,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     nulls = rows.where("doc_id IS NULL").limit(1).count() > 0
     number = range_number("doc_id", edges)
     # A range's first rows also stand at the end of the range before it; the very first at the end of the last.
-    starts = (F.col("doc_id").isNull() if nulls else F.lit(False)) | (F.col("doc_id") == F.element_at(F.array(*[F.lit(e).cast("long") for e in edges]), number))
+    edge = F.expr(f"array({','.join(f'CAST({e} AS BIGINT)' for e in edges)})")
+    starts = F.col("doc_id") == F.element_at(edge, number)
     if nulls:
         starts = F.col("doc_id").isNull() | (starts & (number > 1))
     before = F.when(number == 1, F.lit(len(edges))).otherwise(number - 1)
