@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerline.llm.common import by_chunk, utf8
-from ledgerline.llm.units import FAR, SPLITS, UnitEncoder, byte_alphabet, normalised, words
+from ledgerline.llm.units import FAR, SPLITS, UnitEncoder, byte_alphabet, checked, normalised
+from ledgerline.llm.words import pieces_of
 
 END = ""  # the end of a word, glued to its last symbol
 BREAK = ""  # in no token
@@ -37,7 +38,8 @@ class BacktrackingBpe:
     """The merges of a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         model = spec["model"]
         suffix = model.get("end_of_word_suffix") or ""
         self.suffix = suffix
@@ -158,8 +160,8 @@ class WordBpe:
     PATTERN = SPLITS["folded"][1]
 
     def __init__(self, path: str):
+        checked(path, "folded")
         self.bpe = BacktrackingBpe(path)
-        self.pieces: dict[str, tuple[int, ...]] = {}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.bpe.special, key=len, reverse=True))) + ")")
         names = [""] * (int(max(self.bpe.ids.max(), *self.bpe.special.values())) + 1)
         for t, i in [*zip(self.bpe.names, self.bpe.ids.tolist()), *self.bpe.special.items()]:
@@ -182,30 +184,32 @@ class WordBpe:
 
     def many(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each unit: distinct pieces are encoded once a call."""
-        split: list[list[str | int]] = []
-        new: dict[str, None] = {}
-        find, pieces = self.split, self.pieces
-        if len(pieces) > 300_000:
-            pieces.clear()
+        split: list[tuple | list] = []
+        new: dict[str, int] = {}
         for u in units:
             text = u.decode()
-            if "<|" in text:
-                parts = [self.bpe.special[p] if p in self.bpe.special else find(p) for p in self.cut.split(text) if p]
+            if u.isalpha():
+                own = (text.lower(),)
+            elif "<|" in text:
+                parts = [self.bpe.special[p] if p in self.bpe.special else self.split(p) for p in self.cut.split(text) if p]
                 own = [x for p in parts for x in ([p] if isinstance(p, int) else p)]
             else:
-                own = find(text)
+                own = self.split(text)
             split.append(own)
             for p in own:
-                if p not in pieces and not isinstance(p, int):
-                    new[p] = None
-        order = list(new)
-        coded = self.bpe.encode_pieces([p + END for p in order])
-        ids = self.bpe.ids.tolist()
-        for p, tokens in zip(order, coded):
-            pieces[p] = tuple([ids[t] for t in tokens])
-        found = [[i for p in own for i in ((p,) if isinstance(p, int) else pieces[p])] for own in split]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum())), counts
+                if not isinstance(p, int):
+                    new.setdefault(p, len(new))
+        coded = self.bpe.encode_pieces([p + END for p in new])
+        ids = self.bpe.ids
+        counts = np.empty(len(split), np.int64)
+        flat: list[int] = []
+        for i, own in enumerate(split):
+            before = len(flat)
+            for p in own:  # special tokens as numbers below zero
+                flat += [-1 - p] if isinstance(p, int) else coded[new[p]]
+            counts[i] = len(flat) - before
+        numbers = np.array(flat, np.int64)
+        return np.where(numbers < 0, -1 - numbers, ids[np.maximum(numbers, 0)]).astype(np.uint32), counts
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Token strings joined by a space, gathered by offset."""
@@ -224,7 +228,7 @@ def word_bpe(path: str) -> tuple[WordBpe, UnitEncoder]:
     """A worker's encoder for the file, built once."""
     if path not in _word:
         bpe = WordBpe(path)
-        _word[path] = (bpe, UnitEncoder(words, bpe.many))
+        _word[path] = (bpe, UnitEncoder(lambda texts: pieces_of(texts, False), bpe.many))
     return _word[path]
 
 
@@ -233,7 +237,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         bpe, units = word_bpe(path)
-        ids, counts = units.encode(batch.column(1).to_pylist())
+        ids, counts = units.encode(batch.column(1))
         ends = np.cumsum(counts)
         each = [ids[e - n : e] for n, e in zip(counts.tolist(), ends.tolist())]
         decoded = [bpe.decode(x) for x in each]

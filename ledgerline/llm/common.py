@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm.files import new_file, open_file
 from ledgerline.shipping import ship
 
-__all__ = ["by_chunk", "chunks", "documents", "shared_dir", "shared_root", "ship", "utf8", "written"]
+__all__ = ["by_chunk", "chunks", "clean", "documents", "join_skewed", "keep_rows", "marked", "on_files", "remove", "scratch", "shared_dir", "shared_root", "ship", "sliced", "utf8", "written"]
+
+
+_made: dict[str, list[str]] = {}  # the folders made so far, by application
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; set here only where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where it is unset, a local master gets a
+    temporary folder; a cluster is refused, since its machines do not share one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share with the driver")
         found = f"file://{tempfile.mkdtemp(prefix='ledgerline-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/") if "://" in found else f"file://{found.rstrip('/')}"
@@ -25,17 +38,110 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder name (URI) below the shared folder."""
-    return f"{shared_root(spark)}/ledgerline-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/ledgerline-{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = shared_dir(spark, label)
+    path = path or shared_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders that shared_dir named."""
+    own = _made.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in own:
+            own.remove(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes every folder that the operators made in this application; their results cannot be read afterwards."""
+    remove(spark, list(_made.get(spark.sparkContext.applicationId, [])))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes, when left, the folders made inside it, but for those in the list it hands out."""
+    own = _made.setdefault(spark.sparkContext.applicationId, [])
+    before, stay = set(own), []
+    yield stay
+    remove(spark, [p for p in own if p not in before and p not in stay])
+
+
+def on_files(docs: DataFrame) -> DataFrame:
+    """docs, read from files whose rows can be told apart; written first if it is not a scan of files."""
+    try:
+        marked(docs).schema  # noqa: B018
+        return docs
+    except AnalysisException:
+        return written(docs, "rows")
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """docs with __file and __row: the file and the place in it that a row was read from."""
+    at = docs.metadataColumn("_metadata")
+    return docs.withColumns({"__file": at["file_path"], "__row": at["row_index"]})
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs (on_files) whose __file and __row are in kept, with all their columns. No row is moved: what stays
+    of a file is noted beside it, as one list of places, and the scan of the file leaves the rest out."""
+    spark = docs.sparkSession
+    ship(spark)
+    folder = shared_dir(spark, "kept-rows")
+
+    def name(file: str) -> str:
+        return f"{folder}/{hashlib.md5(file.encode()).hexdigest()}.rows"
+
+    def note(key, table):
+        with new_file(name(key[0].as_py())) as out:
+            out.write(np.sort(table["__row"].to_numpy().astype(np.int64)).tobytes())
+        return pa.table({"n": pa.array([table.num_rows], pa.int64())})
+
+    kept.select("__file", "__row").groupBy("__file").applyInArrow(note, "n long").agg(F.sum("n")).collect()  # one row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded, places = None, np.empty(0, np.int64)
+        for batch in batches:
+            files, rows = batch.column("__file").dictionary_encode(), batch.column("__row").to_numpy()
+            stays = np.zeros(batch.num_rows, bool)
+            for code, file in enumerate(files.dictionary.to_pylist()):
+                if file != loaded:
+                    try:
+                        with open_file(name(file)) as f:
+                            loaded, places = file, np.frombuffer(f.read(), np.int64)
+                    except FileNotFoundError:
+                        loaded, places = file, np.empty(0, np.int64)
+                own = np.flatnonzero(files.indices.to_numpy() == code)
+                stays[own] = np.append(places, -1)[np.searchsorted(places, rows[own])] == rows[own]
+            out = batch.select([c for c in batch.schema.names if c not in ("__file", "__row")])
+            yield out.filter(pa.array(stays))
+
+    return marked(docs).mapInArrow(run, docs.schema)
+
+
+def join_skewed(rows: DataFrame, one: DataFrame, key: str, count: str) -> DataFrame:
+    """rows with the columns of one (one row a key, `count` = its rows; a written table): hot keys by broadcast, of which
+    there are fewer than a thousand whatever the input, the others by a merge."""
+    total = one.agg(F.sum(count)).first()[0] or 0
+    hot = one.where(F.col(count) * 1000 > total)
+    if not total or hot.limit(1).count() == 0:
+        return rows.join(one.hint("merge"), key)
+    names = [c for c in one.columns if c != key]
+    near = F.broadcast(hot.select(F.col(key), F.struct(*names).alias("__hot")))
+    told = rows.join(near, key, "left")
+    few = told.where(F.col("__hot").isNotNull()).select(*rows.columns, "__hot.*")
+    rest = told.where(F.col("__hot").isNull()).select(*rows.columns).join(one.where(~(F.col(count) * 1000 > total)).hint("merge"), key)
+    return few.unionByName(rest)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -57,16 +163,20 @@ def chunks(lengths: list[int], limit: int = 1 << 21) -> Iterator[tuple[int, int]
         yield start, len(lengths)
 
 
+def sliced(batch: pa.RecordBatch, text: str | int, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about limit bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    for a, b in chunks(sizes, limit):
+        yield batch.slice(a, b - a)
+
+
 def by_chunk(df: DataFrame, fn: Callable[..., Iterator[pa.RecordBatch]], schema: str, text: str = "text", limit: int = 1 << 21, **options) -> DataFrame:
     """mapInArrow that hands fn pieces of about limit bytes of text, so memory follows neither batch nor partition."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            import pyarrow.compute as pc
-
-            sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
-            for a, b in chunks(sizes, limit):
-                yield from fn(batch.slice(a, b - a), **options)
+            for piece in sliced(batch, text, limit):
+                yield from fn(piece, **options)
 
     return df.mapInArrow(run, schema)

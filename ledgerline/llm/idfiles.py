@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import chunks, shared_dir, ship, utf8
+from ledgerline.llm.common import shared_dir, ship, sliced, utf8
 from ledgerline.llm.files import new_file, open_file
 from ledgerline.llm.units import library_encoder
 
@@ -191,7 +191,7 @@ class Reader:
             i = j
 
 
-def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None, kind: str = "words", id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
+def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None, kind: str = "folded", id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Writes one file a range of ids (kind: how texts are cut for the encoder); returns for each file, in order: uri, docs, ids, base (ids before it)."""
     spark = docs.sparkSession
     ship(spark)
@@ -206,11 +206,9 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None
                 made = new_file(uri)
                 writer = Writer(made.__enter__())
             encoder = library_encoder(path, kind)
-            texts = batch.column(1)
-            for a, b in chunks([len(t.as_buffer()) for t in texts]):
-                ids, counts = encoder.encode([t.as_buffer().to_pybytes() for t in texts[a:b]])
-                ends = np.cumsum(counts)
-                writer.add(batch.column(0)[a:b].to_pylist(), np.insert(ids, ends, end_id), (counts + 1).tolist())
+            for part_ in sliced(batch, 1):
+                ids, counts = encoder.encode(part_.column(1), end_id)
+                writer.add(part_.column(0).to_pylist(), ids, counts.tolist())
         if made is not None:
             writer.close()
             made.__exit__(None, None, None)

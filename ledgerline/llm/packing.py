@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import chunks, shared_dir, ship, utf8, written
+from ledgerline.llm.common import shared_dir, ship, sliced, utf8, written
 from ledgerline.llm.files import new_file, open_file
 from ledgerline.llm.units import library_encoder
 
@@ -189,21 +189,18 @@ def encoded(docs: DataFrame, path: str, end_id: int, size: int = SEQUENCE, id_co
         part, seen, full = TaskContext.get().partitionId(), defaultdict(int), 0
         for batch in batches:
             encoder = library_encoder(path, "spaced")
-            texts = batch.column(1)
-            for a, b in chunks([len(t.as_buffer()) for t in texts]):
-                ids, counts = encoder.encode([t.as_buffer().to_pybytes() for t in texts[a:b]])
-                flat = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
-                counts = (counts + 1).tolist()
-                ranks, fulls, blobs, at = [], [], [], 0
-                for n in counts:
-                    r = n % size
-                    ranks.append(seen[r])
-                    fulls.append(full)
+            for piece in sliced(batch, 1):
+                flat, counts = encoder.encode(piece.column(1), end_id)
+                ranks = np.empty(len(counts), np.int64)
+                for i, r in enumerate((counts % size).tolist()):
+                    ranks[i] = seen[r]
                     seen[r] += 1
-                    full += n // size
-                    blobs.append(flat[at : at + n].tobytes())
-                    at += n
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(counts), pa.int32()), batch.column(0)[a:b], pa.array(counts, pa.int64()), pa.array(ranks, pa.int64()), pa.array(fulls, pa.int64()), pa.array(blobs, pa.binary())], ["part", "doc_id", "n", "rank", "full_before", "ids"])
+                wholes = counts // size
+                fulls = full + np.cumsum(wholes) - wholes
+                full += int(wholes.sum())
+                ends = 4 * np.concatenate([[0], np.cumsum(counts)])
+                blobs = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(flat.astype("<u4"))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), part, np.int32)), piece.column(0), pa.array(counts), pa.array(ranks), pa.array(fulls), blobs], ["part", "doc_id", "n", "rank", "full_before", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     return rows.mapInArrow(run, "part int, doc_id long, n long, rank long, full_before long, ids binary")

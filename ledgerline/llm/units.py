@@ -1,12 +1,13 @@
-"""Encoding a text unit by unit, with each distinct unit encoded once.
+"""Encoding a text piece by piece, with each distinct piece encoded once.
 
-A unit is a piece of text that a tokenizer's pre-tokenizer treats independently of its
-neighbours; a text's ids are its units' ids in order. Units repeat, so a worker keeps a table of
-the units it has met; the table is emptied when it has grown past a bound.
+A piece is a part of a text that a tokenizer's pre-tokenizer treats independently of its
+neighbours; a text's ids are its pieces' ids in order. Pieces repeat, so a worker keeps a table of
+the pieces it has met; the table is emptied when it has grown past a bound.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -14,37 +15,16 @@ from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-
-#: UTF-8 of the white space outside ASCII (Unicode White_Space).
-WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-SPACED_UNIT = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
-
-
-def words(text: bytes) -> list[bytes]:
-    """Runs without ASCII white space: units of a tokenizer that drops white space."""
-    return text.split()
-
+from ledgerline.llm.words import Words, pieces_of
 
-def folded(text: bytes) -> list[bytes]:
-    """The same for a tokenizer that ignores case: fewer distinct units. A text that may hold a special token keeps its case."""
-    return text.split() if b"<|" in text else text.lower().split()
-
-
-def spaced(text: bytes) -> list[bytes]:
-    """Each run without ASCII white space together with the white space before it.
-
-    White space outside ASCII could join a run that is cut here; such a text is one unit.
-    """
-    if not text.isascii() and WIDE_SPACE.search(text):
-        return [text]
-    return SPACED_UNIT.findall(text)
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
 class _Index(dict):
-    """unit -> number; a new unit gets the next number and waits to be encoded."""
+    """piece -> number; a new one gets the next number and waits to be encoded."""
 
     def __init__(self):
         super().__init__()
@@ -59,10 +39,10 @@ class _Index(dict):
 
 
 class UnitEncoder:
-    """encode_many: units -> (flat ids, count per unit). most_units, most_bytes: bound of the table."""
+    """cut: a binary column -> Words; encode_many: pieces -> (flat ids, count per piece). most_units, most_bytes: bound of the table."""
 
-    def __init__(self, split: Callable[[bytes], list[bytes]], encode_many: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most_units: int = 400_000, most_bytes: int = 24 << 20):
-        self.split, self.encode_many, self.most_units, self.most_bytes = split, encode_many, most_units, most_bytes
+    def __init__(self, cut: Callable[[pa.Array], Words], encode_many: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most_units: int = 500_000, most_bytes: int = 24 << 20):
+        self.cut, self.encode_many, self.most_units, self.most_bytes = cut, encode_many, most_units, most_bytes
         self._clear()
 
     def _clear(self) -> None:
@@ -89,23 +69,19 @@ class UnitEncoder:
         self.used += len(ids)
         self.index.waiting = []
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, and the count of each text."""
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (a binary column), each text followed by end_id if there is one, and the count of each text."""
         if len(self.index) > self.most_units or self.index.bytes > self.most_bytes:
             self._clear()
-        get, parts = self.index.__getitem__, []
-        for t in texts:
-            units = self.split(t)
-            parts.append(np.fromiter(map(get, units), np.int64, len(units)))
+        codes, words, names = self.cut(texts)
+        numbers = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
         self._add()
-        numbers = np.concatenate(parts) if parts else np.empty(0, np.int64)
-        lengths = self.lengths[numbers]
+        lengths, starts = self.lengths[numbers][codes], self.starts[numbers][codes]
         ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[numbers] - (ends - lengths), lengths) + np.arange(total)]
-        edges = np.cumsum([0, *map(len, parts)])
-        upto = np.concatenate([[0], ends])[edges]
-        return ids, np.diff(upto)
+        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words)])]
+        counts = np.diff(edges)
+        ids = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(edges[-1])]
+        return (ids, counts) if end_id is None else (np.insert(ids, edges[1:], end_id), counts + 1)
 
 
 def byte_alphabet() -> list[str]:
@@ -131,51 +107,78 @@ SPLITS = {
 }
 
 
+#: What a vocabulary file asks for before its merges; a file that asks for anything else is refused.
+ASKED = {
+    "spaced": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, ""),
+    "folded": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+        "</w>",
+    ),
+}
+
+
+def checked(path: str, kind: str) -> dict:
+    """The content of a vocabulary file, if it asks for the normaliser and splitter of this kind and has plain merges."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]
+    found = (spec.get("normalizer"), spec.get("pre_tokenizer"), model.get("end_of_word_suffix") or "")
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    special = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec.get("added_tokens", []))
+    if found != ASKED[kind] or not plain or not special:
+        raise ValueError(f"{path} asks for another normaliser, splitter or model than a {kind} vocabulary")
+    return spec
+
+
+def is_plain(piece: bytes) -> bool:
+    """Letters of ASCII, perhaps after one space: no pattern would split it."""
+    return piece.isalpha() or (piece[:1] == b" " and piece[1:].isalpha())
+
+
 class LibraryUnits:
-    """Units through the tokenizers library: split into pieces here, each distinct piece given to the library's
-    model once. Units that hold special tokens or characters outside the Latin blocks go through it whole."""
+    """Ids of pieces through the tokenizers library's model. Pieces that hold special tokens or characters outside the
+    Latin blocks go through the library whole."""
 
-    def __init__(self, path: str, kind: str, most_pieces: int = 500_000):
+    def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
+        checked(path, kind)
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.model, self.fold, self.most_pieces = self.tok.model, kind != "spaced", most_pieces
-        self.ascii, self.latin = (p.findall for p in SPLITS["spaced" if kind == "spaced" else "folded"])
-        self.pieces: dict[str, list[int]] = {}
+        self.model, self.fold = self.tok.model, kind != "spaced"
+        self.ascii, self.latin = (p.findall for p in SPLITS[kind])
 
     def __call__(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        pieces, ask, level = self.pieces, self.model.tokenize, BYTE_LEVEL
-        if len(pieces) > self.most_pieces:
-            pieces.clear()
-        whole, found = [], []
+        ask, level, fold = self.model.tokenize, BYTE_LEVEL, self.fold
+        whole: list[tuple[int, str]] = []
+        ids: list[int] = []
+        ends: list[int] = []
         for unit in units:
             text = unit.decode()
-            if "<|" in text:
-                whole.append((len(found), text))
-                found.append(())
-                continue
-            if text.isascii():
-                parts = self.ascii(text.lower() if self.fold else text)
-            elif FAR.search(text):
-                whole.append((len(found), text))
-                found.append(())
-                continue
+            if unit.isalpha() or is_plain(unit):
+                ids += [t.id for t in ask(text.translate(level))]
+            elif "<|" in text or FAR.search(text):
+                whole.append((len(ends), text))
             else:
-                parts = self.latin(normalised(text) if self.fold else text)
-            ids: list[int] = []
-            for part in parts:
-                known = pieces.get(part)
-                if known is None:
-                    known = pieces[part] = [t.id for t in ask((part if part.isascii() else part.encode().decode("latin-1")).translate(level))]
-                ids += known
-            found.append(ids)
+                text = normalised(text) if fold else text
+                parts = (text,) if text.isalpha() or (text[0] == " " and text[1:].isalpha()) else (self.ascii if text.isascii() else self.latin)(text)
+                for p in parts:
+                    ids += [t.id for t in ask((p if p.isascii() else p.encode().decode("latin-1")).translate(level))]
+            ends.append(len(ids))
+        flat_ids, counts = np.array(ids, np.uint32), np.diff(np.array([0, *ends], np.int64))
         if whole:
-            for (i, _), e in zip(whole, self.tok.encode_batch_fast([t for _, t in whole], add_special_tokens=False)):
-                found[i] = e.ids
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
+            coded = self.tok.encode_batch_fast([t for _, t in whole], add_special_tokens=False)
+            flat_ids = np.insert(flat_ids, np.repeat([ends[i] for i, _ in whole], [len(e.ids) for e in coded]), np.fromiter(chain.from_iterable(e.ids for e in coded), np.uint32))
+            counts[[i for i, _ in whole]] = [len(e.ids) for e in coded]
+        return flat_ids, counts
 
 
 def normalised(text: str) -> str:
@@ -187,10 +190,9 @@ _encoders: dict[tuple, UnitEncoder] = {}
 
 
 def library_encoder(path: str, kind: str) -> UnitEncoder:
-    """A worker's encoder for a tokenizer file of the tokenizers library; kind: words, folded or spaced."""
+    """A worker's encoder for a tokenizer file of the tokenizers library; kind: folded (case and white space do not count) or spaced."""
     if (path, kind) not in _encoders:
-        split = {"words": words, "folded": folded, "spaced": spaced}[kind]
-        _encoders[path, kind] = UnitEncoder(split, LibraryUnits(path, kind), most_units=800_000)
+        _encoders[path, kind] = UnitEncoder(lambda texts: pieces_of(texts, kind == "spaced"), LibraryUnits(path, kind))
     return _encoders[path, kind]
 
 
