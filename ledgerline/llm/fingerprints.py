@@ -1,9 +1,15 @@
 """Threshold-scaled document sketches.
 
 The sketch of a text is every 64-bit hash of its five-word shingles that lies below a fixed
-fraction (1 / SCALE) of the hash range, and its smallest hash, so no sketch of a text is empty.
-Sketches of any texts merge by union, and their intersections estimate likeness (shared over all)
-and containment (shared over the smaller text's own) whatever the difference in length.
+fraction (1 / SCALE) of the hash range, and its LEAST smallest hashes where that gives fewer, so a
+short text is sketched by all or most of its shingles. Up to some hash a sketch holds every one the
+text has: two sketches are compared up to the lesser of these bounds. Sketches of any texts merge by
+union, and their intersections estimate likeness (shared over all) and containment (shared over the
+one text's own) whatever the difference in length.
+
+Error against the exact likeness of all shingles: none for two texts of up to LEAST shingles; beyond
+that the standard deviation is at most 0.5 / sqrt(hashes compared), that is below 0.063 with 64 of
+them (68 to 512 words) and below 0.5 / sqrt(words / SCALE) for longer texts (0.045 at 1,000 words).
 
 Next documents are found without a global sort: documents are dealt to ranges of doc_id, each
 range's first document is dealt to the range before it as well, and a task walks its ranges in order.
@@ -29,6 +35,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import ship, utf8
 
 SCALE = 8
+LEAST = 64
 WORDS = 5
 SEED = 1
 
@@ -64,29 +71,50 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return acc
 
 
+def _kept(hashes: np.ndarray, scale: int) -> np.ndarray:
+    """Of sorted distinct hashes those below 2^64 / scale, and the LEAST smallest."""
+    return hashes[: max(LEAST, int(np.searchsorted(hashes, np.uint64((1 << 64) // scale))))]
+
+
 def sketch(text: bytes, scale: int = SCALE, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes below 2^64 / scale, and the smallest hash."""
+    """The sorted hashes kept of a text's shingles."""
     h = shingles(text, words)
-    low = h[h < np.uint64((1 << 64) // scale)]
-    return np.unique(low) if len(low) else h.min(keepdims=True)
+    if len(h) > 8 * LEAST:  # most texts: no need to sort what lies far above
+        low = np.unique(h[h < np.uint64((1 << 64) // scale)])
+        if len(low) >= LEAST:
+            return low
+    return _kept(np.unique(h), scale)
+
+
+def bound(s: np.ndarray, scale: int = SCALE) -> int:
+    """The sketch holds every hash of its text up to this one."""
+    if len(s) < LEAST:
+        return (1 << 64) - 1
+    return max((1 << 64) // scale - 1, int(s[LEAST - 1]))
+
+
+def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """The sketch of two texts' shingles together."""
+    return _kept(np.union1d(a, b), scale)
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The sketch of two texts' shingles together: of hashes above the threshold only the least stays."""
-    both = np.union1d(a, b)
-    low = both[both < np.uint64((1 << 64) // SCALE)]
-    return low if len(low) else both[:1]
+def _compared(a: np.ndarray, b: np.ndarray, scale: int) -> tuple[int, int, int]:
+    """Hashes of a, of b and of both, up to where both are whole."""
+    upto = np.uint64(min(bound(a, scale), bound(b, scale)))
+    a, b = a[: np.searchsorted(a, upto, "right")], b[: np.searchsorted(b, upto, "right")]
+    return len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
     """Estimated share of all shingles of the two texts that both have."""
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared / (len(a) + len(b) - shared)
+    n, m, shared = _compared(a, b, scale)
+    return shared / (n + m - shared) if n + m else 0.0
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
+def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
     """Estimated share of a's shingles that b has."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
+    n, _, shared = _compared(a, b, scale)
+    return shared / n if n else 0.0
 
 
 def packed(s: np.ndarray) -> str:
@@ -165,7 +193,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         other = sketch(edited, scale, words)
         return {
             "doc_id": doc, "n_chars": len(chars), "edited_sha256": hashlib.sha256(edited).hexdigest(), "fingerprint": packed(own), "edited_fingerprint": packed(other),
-            "near_edited": likeness(own, other), "near_next": likeness(own, after_sketch), "contained_edited": containment(own, other), "contained_next": containment(own, after_sketch),
+            "near_edited": likeness(own, other, scale), "near_next": likeness(own, after_sketch, scale), "contained_edited": containment(own, other, scale), "contained_next": containment(own, after_sketch, scale),
         }
 
     return dealt.mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
