@@ -6,22 +6,27 @@
 2. A minimizer met once cannot bring a copy. The others are found by a count with partial
    aggregation; only their segments go on. A minimizer of more than HOT windows would make a shard
    too large; its windows are dealt one by one, by the hash of the whole window.
-3. A task that cuts segments hands on each distinct content once, so a passage in very many
-   documents reaches a shard as one row a task. A shard keeps the first copy of each content.
-4. A shard builds FM-indexes over blocks of whole minimizers and streams its segments through
-   backward search. A window whose interval holds an earlier place is removed.
-5. Verdicts go back to all copies of a content (a join that Spark can split), then to documents.
-
-Positions are (document id, word); rows that repeat an id are told apart by their text, and windows
-at the same id and word are not earlier than each other. Edge cases: null text has no words; texts
-of fewer words than a window lose none; very long texts are cut like others; null ids come first; an
-empty table gives an empty result; other columns are ignored.
+3. A task that cuts segments hands on equal ones once, with all their places, so a passage in very
+   many documents reaches a shard as one row a task.
+4. A shard goes through blocks of whole minimizers. The first segment of each minimizer goes into a
+   compressed FM-index; the others, which are not in it, are streamed through it by backward search.
+   That gives a match length for each word. Where it reaches `window`, the index knows the earliest
+   place of these words, and the window goes if that is before its own. What matched nowhere is
+   indexed in a second round, whose sorted suffixes show what repeats among it.
+5. The ranges to remove go back to documents.
+
+Positions are (document id, text hash, word): rows that repeat an id are told apart by their text,
+and rows that are equal in both are not earlier than each other. Edge cases: null text has no words;
+texts of fewer words than a window lose none; very long texts are cut like others; null ids come
+first; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,23 +35,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import by_chunk, ship, utf8, written
-from ledgerline.llm.fingerprints import _mix, _WordHash
-from ledgerline.llm.fmindex import FmIndex
+from ledgerline.llm.fingerprints import _mix
+from ledgerline.llm.fmindex import FmIndex, Suffixes, earliest
+from ledgerline.llm.words import words_of
 
 WINDOW = 20
 GRAM = 6
-HOT = 300_000
+HOT = 50_000
 LONGEST = 256
-BLOCK_WORDS = 400_000
+BLOCK_BYTES = 3 << 20
+HELD_BYTES = 8 << 20
+PLACES = 22  # bits of a place within a stretch of words
 LEAST_ID = -(1 << 63)
 
-_hashes = _WordHash()
 
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_hashes) >= 500_000:
-        _hashes.clear()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+def word_hashes(names: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in names), np.uint64, len(names))
 
 
 def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
@@ -58,22 +62,26 @@ def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return acc
 
 
-def least_runs(g: np.ndarray, width: int) -> np.ndarray:
-    """Place of the least of each `width` neighbouring hashes, the leftmost of equals.
-
-    The place goes into the low bits of the hash, so that plain minima of shifted arrays find it. Which of two
-    hashes with equal high bits is less then follows from their places, hence from the window's content alike."""
-    if len(g) >= 1 << 24:
-        return np.lib.stride_tricks.sliding_window_view(g, width).argmin(1) + np.arange(len(g) - width + 1)
-    low = np.uint64((1 << 24) - 1)
-    now = (g & ~low) | np.arange(len(g), dtype=np.uint64)
-    size = 1
-    while size * 2 <= width:
-        now = np.minimum(now[:-size], now[size:])
-        size *= 2
-    if size < width:
-        now = np.minimum(now[: len(now) - (width - size)], now[width - size :])
-    return (now & low).astype(np.int64)
+def least_runs(g: np.ndarray, width: int, bits: int = PLACES) -> np.ndarray:
+    """Place of the least of each `width` neighbouring hashes.
+
+    Less is by the upper 40 bits, then the leftmost: that depends on what the window holds alone. The place goes into
+    the low bits of the hash, so that plain minima of shifted arrays find it; longer arrays are done in stretches, each
+    of which counts its places anew."""
+    low, step = np.uint64((1 << bits) - 1), (1 << bits) - width
+    high = ~np.uint64((1 << 24) - 1)
+    out = np.empty(max(0, len(g) - width + 1), np.int64)
+    for start in range(0, len(out), step):
+        part = g[start : start + step + width - 1]
+        now = (part & high) | np.arange(len(part), dtype=np.uint64)
+        size = 1
+        while size * 2 <= width:
+            now = np.minimum(now[:-size], now[size:])
+            size *= 2
+        if size < width:
+            now = np.minimum(now[: len(now) - (width - size)], now[width - size :])
+        out[start : start + len(now)] = start + (now & low).astype(np.int64)
+    return out
 
 
 def segments(h: np.ndarray, lengths: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -113,8 +121,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> Dat
 
 def _occurrences(keyed: DataFrame, window: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        parts = [word_hashes(t.as_buffer().to_pybytes().split()) for t in batch.column(2)]
-        i, m, a, c, w = segments(np.concatenate(parts), np.array([len(p) for p in parts]), window)
+        codes, counts, names = words_of(batch.column(2))
+        i, m, a, c, w = segments(word_hashes(names)[codes] if len(names) else np.empty(0, np.uint64), counts, window)
         if len(m):
             i = pa.array(i)
             yield pa.RecordBatch.from_arrays([pa.array(m), batch.column(0).take(i), batch.column(1).take(i), pa.array(a.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(w.astype(np.int32))], ["m", "key", "mark", "a", "c", "w"])
@@ -130,115 +138,252 @@ def candidates(keyed: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFr
     return written(kept.groupBy("key", "mark").agg(F.collect_set(F.struct("a", "c", "m", "hot")).alias("segs")), "substring-candidates")
 
 
-def _cut(joined: DataFrame, window: int, contents: bool) -> DataFrame:
-    """Segments with the digest of their content; with contents, each distinct content of a task once, with its words."""
+SEGMENT = "m long, key long, mark long, a int, content binary, places array<struct<key: long, mark: long, a: int>>"
+PLACE = pa.struct([("key", pa.int64()), ("mark", pa.int64()), ("a", pa.int32())])
+
+
+class _Held:
+    """Distinct segment contents, each with its minimizer and its places."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.minimizer = array("q")
+        self.owner, self.key, self.mark, self.a = array("q"), array("q"), array("q"), array("q")
+        self.bytes = 0
+
+    def add(self, m: int, content: bytes, key: int, mark: int, a: int) -> None:
+        n = self.number.setdefault(content, len(self.number))
+        if n == len(self.minimizer):
+            self.minimizer.append(m)
+            self.bytes += len(content) + 100
+        self.owner.append(n)
+        self.key.append(key)
+        self.mark.append(mark)
+        self.a.append(a)
+        self.bytes += 32
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """One row a content; its places in order, the first one in columns of its own."""
+        owner, key, mark, a = (np.array(x, np.int64) for x in (self.owner, self.key, self.mark, self.a))
+        order = np.lexsort((a, mark, key, owner))
+        owner, key, mark, a = owner[order], key[order], mark[order], a[order]
+        first = np.searchsorted(owner, np.arange(len(self.number)))
+        places = pa.StructArray.from_arrays([pa.array(key), pa.array(mark), pa.array(a.astype(np.int32))], fields=list(PLACE))
+        listed = pa.ListArray.from_arrays(pa.array(np.append(first, len(owner)).astype(np.int32)), places)
+        out = pa.RecordBatch.from_arrays([pa.array(np.array(self.minimizer, np.int64)), pa.array(key[first]), pa.array(mark[first]), pa.array(a[first].astype(np.int32)), pa.array(list(self.number), pa.binary()), listed], ["m", "key", "mark", "a", "content", "places"])
+        for i in range(0, out.num_rows, 8192):
+            yield out.slice(i, 8192)
+
+
+def _cut(joined: DataFrame, window: int, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """The candidate segments' words; equal ones that a task holds at a time are one row."""
     ship(joined.sparkSession)
-    names = ["m", "d1", "d2", "key", "mark", "a", "c"] + ["content"] * contents
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[bytes] = set()
+        held = _Held()
         for batch in batches:
-            out: list[tuple] = []
-            size = 0
-            edges, fields = batch.column(3).offsets.to_pylist(), [batch.column(3).values.field(f).to_pylist() for f in ("a", "c", "m", "hot")]
+            edges, fields = batch.column(3).offsets.to_numpy().tolist(), [batch.column(3).values.field(f).to_numpy(zero_copy_only=False).tolist() for f in ("a", "c", "m", "hot")]
+            base = edges[0]
             for i, (key, mark, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))):
                 words, own = text.as_buffer().to_pybytes().split(), None
-                for a, c, m, hot in sorted(zip(*(f[edges[i] : edges[i + 1]] for f in fields))):
-                    if hot:
-                        own = run_hashes(word_hashes(words), window).view(np.int64) if own is None else own
-                        items = [(int(own[i]), i, 1) for i in range(a, a + c)]
-                    else:
-                        items = [(m, a, c)]
-                    for m, a, c in items:
-                        content = b" ".join(words[a : a + c + window - 1])
-                        d = xxhash.xxh3_128_digest(content)
-                        if contents:
-                            if d in met:
-                                continue  # rows come in order of key: the first copy of a task is its earliest
-                            met.add(d)
-                        d1, d2 = int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-                        out.append((m, d1, d2, key, mark, a, c, *([content] if contents else [])))
-                        size += len(content) if contents else 56
-                if size > 1 << 21:
-                    yield _rows(names, out)
-                    out, size = [], 0
-            if out:
-                yield _rows(names, out)
-            if len(met) > 300_000:
-                met.clear()
-
-    schema = "m long, d1 long, d2 long, key long, mark long, a int, c int" + ", content binary" * contents
-    return joined.select("key", "mark", "text", "segs", "rest").mapInArrow(run, schema)  # rest: so that both joins read one exchange
-
-
-def _rows(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"a": pa.int32(), "c": pa.int32(), "content": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds.get(n, pa.int64())) for n, c in zip(names, zip(*rows))], names)
-
-
-def removed_in_block(contents: list[bytes], keys: np.ndarray, firsts: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int]]]:
-    """For each distinct content (of whole shards), the runs of its windows that also start earlier, by backward search."""
-    numbers: dict[bytes, int] = {}
-    parts = [np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in t.split(b" ")), np.int64) for t in contents]
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    ends = np.cumsum(sizes + 1) - 1
-    begins = ends - sizes
+                joint = b" ".join(words)
+                sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+                ends = np.cumsum(sizes)
+                starts, ends = (ends - sizes).tolist(), (ends - 1).tolist()
+                for a, c, m, hot in zip(*(f[edges[i] - base : edges[i + 1] - base] for f in fields)):
+                    if not hot:
+                        held.add(m, joint[starts[a] : ends[a + c + window - 2]], key, mark, a)
+                        continue
+                    own = run_hashes(word_hashes(words), window).view(np.int64).tolist() if own is None else own
+                    for j in range(a, a + c):
+                        held.add(own[j], joint[starts[j] : ends[j + window - 1]], key, mark, j)
+                if held.bytes > held_bytes:
+                    yield from held.rows()
+                    held = _Held()
+        if held.number:
+            yield from held.rows()
+
+    return joined.select("key", "mark", "text", "segs", "rest").mapInArrow(run, SEGMENT)  # rest: so that both joins read one exchange
+
+
+class Block(NamedTuple):
+    """Segments in order of (minimizer, place): word numbers from 1, 0 after each segment."""
+
+    text: np.ndarray
+    begins: np.ndarray
+    ends: np.ndarray
+    m: np.ndarray
+    key: np.ndarray
+    mark: np.ndarray
+    a: np.ndarray
+
+    def take(self, rows: np.ndarray, begins: np.ndarray | None = None, ends: np.ndarray | None = None) -> Block:
+        """Some segments, or parts of them (rows repeat then)."""
+        begins, ends = self.begins[rows] if begins is None else begins, self.ends[rows] if ends is None else ends
+        sizes = ends - begins + 1
+        new_ends = np.cumsum(sizes) - 1
+        new_begins = new_ends - sizes + 1
+        at = np.repeat(begins - new_begins, sizes) + np.arange(int(sizes.sum()))
+        text = self.text[np.minimum(at, len(self.text) - 1)].copy()
+        text[new_ends] = 0
+        return Block(text, new_begins, new_ends, self.m[rows], self.key[rows], self.mark[rows], self.a[rows] + begins - self.begins[rows])
+
+    def owner(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, place)
+
+    def positions(self, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(key, mark, word) of places in the text."""
+        own = np.minimum(self.owner(place), len(self.ends) - 1)
+        return self.key[own], self.mark[own], self.a[own] + place - self.begins[own]
+
+    def ranks(self) -> np.ndarray:
+        """The order of all places by position; equal positions have equal ranks."""
+        key, mark, word = self.positions(np.arange(len(self.text)))
+        order = np.lexsort((word, mark, key))
+        new = np.zeros(len(order), np.int64)
+        new[1:] = (np.diff(key[order]) != 0) | (np.diff(mark[order]) != 0) | (np.diff(word[order]) != 0)
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(new)
+        return out
+
+    def starts(self, window: int) -> np.ndarray:
+        """Where windows start."""
+        inside = np.zeros(len(self.text) + 1, np.int64)
+        np.add.at(inside, self.begins, 1)
+        np.add.at(inside, np.maximum(self.ends - window + 1, self.begins), -1)
+        return np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+
+
+def _before(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Positions of a that come before those of b."""
+    return (a[0] < b[0]) | ((a[0] == b[0]) & ((a[1] < b[1]) | ((a[1] == b[1]) & (a[2] < b[2]))))
+
+
+def _repeated(block: Block, suffixes: Suffixes, window: int) -> np.ndarray:
+    """The places of the block's windows that also stand at an earlier one of its places, from the sorted suffixes."""
+    rank, groups = block.ranks(), suffixes.groups()
+    least = rank[suffixes.order[earliest(groups, rank[suffixes.order])]]
+    later = np.zeros(len(block.text), bool)
+    later[suffixes.order] = least[groups] < rank[suffixes.order]
+    starts = block.starts(window)
+    return starts[later[starts]]
+
+
+def streamed_windows(index: FmIndex, indexed: Block, block: Block, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Matching statistics of a block that is not in the index: where its windows are that the index holds at an
+    earlier place, and where those that it lacks."""
+    lengths, lows = index.matching_statistics(block.text, block.begins, block.ends)
+    starts = block.starts(window)
+    full = lengths[starts] >= window
+    met = starts[full]
+    first = index.first_place(lows[met]).astype(np.int64)
+    return met[_before(indexed.positions(first), block.positions(met))], starts[~full]
+
+
+def removed_windows(block: Block, window: int = WINDOW) -> np.ndarray:
+    """Where the windows of whole minimizers are that also start earlier (places in the block's text)."""
+    gone = []
+    lead = np.concatenate([[True], block.m[1:] != block.m[:-1]])
+    leaders, others = np.flatnonzero(lead), np.flatnonzero(~lead)
+    indexed = block.take(leaders)
+    suffixes = Suffixes(indexed.text, window)
+    own = _repeated(indexed, suffixes, window)
+    gone.append(block.begins[leaders][indexed.owner(own)] + own - indexed.begins[indexed.owner(own)])
+    if len(others):
+        # Word numbers of the leaders come first, so that the index knows no others.
+        index = FmIndex(indexed.text, window, indexed.ranks(), suffixes)
+        rest = block.take(others)
+        back = lambda b, at: block.begins[others][b.owner(at)] + at - b.begins[b.owner(at)]
+        earlier, new = streamed_windows(index, indexed, rest, window)
+        gone.append(back(rest, earlier))
+        if len(new):
+            cut = np.flatnonzero((np.diff(new) != 1) | (np.diff(rest.owner(new)) != 0))
+            first, last = new[np.concatenate([[0], cut + 1])], new[np.concatenate([cut, [len(new) - 1]])]
+            rows = rest.owner(first)
+            left = rest.take(rows, first, last + window)
+            again = _repeated(left, Suffixes(left.text, window), window)
+            o = left.owner(again)
+            gone.append(back(rest, first[o] + again - left.begins[o]))
+    return np.concatenate(gone)
+
+
+def block_of(m: np.ndarray, key: np.ndarray, mark: np.ndarray, a: np.ndarray, content: pa.Array) -> Block:
+    codes, counts, _ = words_of(content)
+    lead = np.concatenate([[True], m[1:] != m[:-1]])
+    # Numbers in order of first use by a leader, then by the others.
+    first_use = np.argsort(np.repeat(~lead, counts), kind="stable")
+    _, at = np.unique(codes[first_use], return_index=True)
+    number = np.empty(len(at), np.int64)
+    number[np.argsort(at, kind="stable")] = np.arange(1, len(at) + 1)
+    ends = np.cumsum(counts + 1) - 1
+    begins = ends - counts
     text = np.zeros(int(ends[-1]) + 1, np.int64)
-    for b, p in zip(begins.tolist(), parts):
-        text[b : b + len(p)] = p
-    index = FmIndex(text, window)
-    place, low, high = index.windows(begins, ends)
-    # The order of all windows' positions; equal positions are equal.
-    owner = np.searchsorted(ends, place)
-    word = firsts[owner] + place - begins[owner]
-    order = np.lexsort((word, keys[owner]))
-    k, w = keys[owner][order], word[order]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]) | (w[1:] != w[:-1])])) if len(order) else 0
-    least = np.full(len(text), len(place) + 1, np.int64)  # by the start of the interval
-    np.minimum.at(least, low, rank)
-    gone = np.zeros(len(text) + 1, bool)
-    gone[place[(high - low > 1) & (least[low] < rank)]] = True
-    out = []
-    for b, e in zip(begins.tolist(), ends.tolist()):
-        own = gone[b : e + 1].astype(np.int8)
-        own[-1] = 0
-        step = np.flatnonzero(np.diff(np.concatenate([[0], own])))
-        out.append(list(zip(step[::2].tolist(), step[1::2].tolist())))
-    return out
-
-
-def _verdicts(reps: DataFrame, window: int, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per distinct content: its first place and the runs of windows to remove there."""
+    text[np.arange(len(codes)) + np.repeat(np.arange(len(counts)), counts)] = number[codes]
+    return Block(text, begins, ends, m, key, mark, a)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """The rows in tables of whole minimizers of about `most` bytes of text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        m = batch.column(0).to_numpy()
+        start = 0
+        if size > most and held:
+            last = held[-1].column(0)[held[-1].num_rows - 1].as_py()
+            start = int(np.argmax(m != last)) if (m != last).any() else len(m)
+            if start < len(m):
+                yield pa.Table.from_batches([*held, batch.slice(0, start)])
+                held, size = [], 0
+            else:
+                start = 0
+        upto = np.cumsum(np.diff(np.frombuffer(batch.column(4).buffers()[1], np.int32)[batch.column(4).offset : batch.column(4).offset + batch.num_rows + 1]))
+        news = np.flatnonzero(m[1:] != m[:-1]) + 1
+        while True:
+            before = int(upto[start - 1]) if start else 0
+            k = int(np.searchsorted(upto, before + max(0, most - size)))
+            cut = news[np.searchsorted(news, max(k, start), "right") :][:1]
+            if k >= batch.num_rows or not len(cut):
+                break
+            yield pa.Table.from_batches([*held, batch.slice(start, int(cut[0]) - start)])
+            held, size, start = [], 0, int(cut[0])
+        held.append(batch.slice(start))
+        size += int(upto[-1]) - (int(upto[start - 1]) if start else 0)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _ranges(segments_: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(key, mark, f, t): the ranges of words to remove, from each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, last, last_m = 0, None, None
-
-        def settled(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            runs = removed_in_block([r[7] for r in rows], np.array([r[3] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64), window)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)] + [pa.array([r[5] for r in rows], pa.int32()), pa.array([[{"f": f, "t": t} for f, t in x] for x in runs], pa.list_(pa.struct([("f", pa.int32()), ("t", pa.int32())])))],
-                ["d1", "d2", "first_key", "first_a", "runs"],
-            )
-
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
-                if row[:3] == last:
-                    continue  # a later copy of the same content
-                if row[0] != last_m and size > block_words:
-                    yield from settled(held)
-                    held, size = [], 0
-                last, last_m = row[:3], row[0]
-                held.append(row)
-                size += row[6] + window
-        if held:
-            yield from settled(held)
-
-    ship(reps.sparkSession)
-    n = max(8, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = reps.repartition(n, "m").sortWithinPartitions("m", "d1", "d2", "key", "a")
-    return dealt.mapInArrow(run, "d1 long, d2 long, first_key long, first_a int, runs array<struct<f: int, t: int>>")
+        for table in _blocks(batches, block_bytes):
+            table = table.combine_chunks()
+            m, key, mark, a = (table.column(i).to_numpy().astype(np.int64) for i in range(4))
+            block = block_of(m, key, mark, a, table.column(4).chunk(0))
+            gone = np.sort(removed_windows(block, window))
+            cut = np.flatnonzero((np.diff(gone) != 1) | (np.diff(block.owner(gone)) != 0))
+            first, last = (gone[np.concatenate([[0], cut + 1])], gone[np.concatenate([cut, [len(gone) - 1]])]) if len(gone) else (gone, gone)
+            o = block.owner(first)
+            out = [(key[o], mark[o], a[o] + first - block.begins[o], a[o] + last - block.begins[o] + window)]
+            # A later place of the same segment: all its windows stand at the first place.
+            listed = table.column(5).chunk(0)
+            flat, own = listed.flatten(), np.repeat(np.arange(table.num_rows), listed.value_lengths().to_numpy())
+            k, r, w = (flat.field(f).to_numpy().astype(np.int64) for f in ("key", "mark", "a"))
+            later = np.flatnonzero(_before((key[own], mark[own], a[own]), (k, r, w)))
+            words = block.ends - block.begins
+            out.append((k[later], r[later], w[later], w[later] + words[own[later]]))
+            k, r, f, t = (np.concatenate(x) for x in zip(*out))
+            for i in range(0, len(k), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(k[part]), pa.array(r[part]), pa.array(f[part].astype(np.int32)), pa.array(t[part].astype(np.int32))], ["key", "mark", "f", "t"])
+
+    ship(segments_.sparkSession)
+    n = max(8, int(segments_.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = segments_.repartition(n, "m").sortWithinPartitions("m", "key", "mark", "a")
+    return dealt.mapInArrow(run, "key long, mark long, f int, t int")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = HOT, keep: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -248,12 +393,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = _keyed(docs, id_col, text_col, list(carry))
     found = candidates(keyed, window, hot)
     joined = keyed.join(found.hint("merge"), ["key", "mark"])
-    verdicts = _verdicts(_cut(joined, window, True), window)
-    # One row a content and task may come twice from rows that repeat an id; a copy's verdict does not depend on it.
-    copies = _cut(joined, window, False).join(verdicts.hint("merge"), ["d1", "d2"])
-    is_first = (F.col("key") == F.col("first_key")) & (F.col("a") == F.col("first_a"))
-    whole = F.array(F.struct(F.lit(0).alias("f"), F.col("c").alias("t")))
-    runs = copies.select("key", "mark", "a", F.inline(F.when(is_first, F.col("runs")).otherwise(whole))).groupBy("key", "mark").agg(F.collect_set(F.struct((F.col("a") + F.col("f")).alias("f"), (F.col("a") + F.col("t") + window - 1).alias("t"))).alias("gone"))
+    ranges = _ranges(_cut(joined, window), window)
+    runs = ranges.groupBy("key", "mark").agg(F.collect_set(F.struct("f", "t")).alias("gone"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string, removed array<struct<f: int, t: int>>" * keep
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

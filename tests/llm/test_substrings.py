@@ -5,32 +5,84 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerline.llm import substrings
 from ledgerline.llm.fmindex import FmIndex
 
 
-def test_backward_search_counts_occurrences():
-    rng = np.random.default_rng(4)
-    for top in (1, 2, 5, 300):
-        docs = [rng.integers(1, top + 1, rng.integers(0, 60)) for _ in range(30)]
-        text = np.concatenate([np.append(d, 0) for d in docs])
-        for depth in (2, 3, 4, 5, 8):
-            index = FmIndex(text, depth)
-            for _ in range(60):
-                at = rng.integers(0, len(text))
-                p = text[at : at + rng.integers(1, depth + 1)]
-                if 0 in p:
-                    continue
-                low, high = index.find(p)
-                want = {i for i in range(len(text) - len(p) + 1) if np.array_equal(text[i : i + len(p)], p)}
-                assert set(index.suffixes[low:high].tolist()) == want
-            ends = np.flatnonzero(text == 0)
-            begins = ends - np.array([len(d) for d in docs])
-            for place, low, high in zip(*index.windows(begins, ends)):
-                want = [i for i in range(len(text) - depth + 1) if np.array_equal(text[i : i + depth], text[place : place + depth])]
-                assert sorted(index.suffixes[low:high].tolist()) == want
+def plain(text, p):
+    return [i for i in range(len(text) - len(p) + 1) if np.array_equal(text[i : i + len(p)], p)]
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 5, 8, 20])
+@pytest.mark.parametrize("top", [1, 2, 5, 300])
+def test_backward_search_and_matching_statistics_of_foreign_documents(top, depth):
+    rng = np.random.default_rng(depth)
+    docs = [rng.integers(1, top + 1, rng.integers(0, 60)) for _ in range(20)]
+    text = np.concatenate([np.append(d, 0) for d in docs])
+    index = FmIndex(text, depth)
+    for _ in range(40):
+        at = rng.integers(0, len(text))
+        p = text[at : at + rng.integers(1, depth + 1)]
+        if 0 not in p:
+            low, high = index.find(p)
+            assert high - low == len(plain(text, p))
+    assert index.find(np.array([top + 1])) == (0, 0)
+    # Documents that are not in the index: parts of its own, with words between that it lacks.
+    others = [np.concatenate([rng.integers(1, top + 3, rng.integers(0, 9)), docs[rng.integers(20)][rng.integers(0, 5) :], rng.integers(1, top + 3, 3)]) for _ in range(15)]
+    stream = np.concatenate([np.append(d, 0) for d in others])
+    ends = np.flatnonzero(stream == 0)
+    begins = ends - np.array([len(d) for d in others])
+    lengths, lows = index.matching_statistics(stream, begins, ends)
+    spaced = f" {' '.join(map(str, text))} "
+    for b, e in zip(begins, ends):
+        for p in range(b, e):
+            want = 0
+            while want < depth and p + want < e and f" {' '.join(map(str, stream[p : p + want + 1]))} " in spaced:
+                want += 1
+            assert lengths[p] == want
+            if want == depth:
+                assert index.first_place(lows[p : p + 1])[0] == plain(text, stream[p : p + depth])[0]
+
+
+def test_minimizers_are_chosen_alike_whatever_the_length():
+    rng = np.random.default_rng(2)
+    g = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    g[::7] = (np.uint64(5) << np.uint64(24)) + rng.integers(0, 1 << 20, len(g[::7])).astype(np.uint64)  # equal in the bits that count
+    want = [min(range(i, i + 15), key=lambda j: (int(g[j]) >> 24, j)) for i in range(len(g) - 14)]
+    for bits in (5, 6, 9, 22):
+        assert substrings.least_runs(g, 15, bits).tolist() == want
+
+
+def shard(rows):
+    """Segments (m, key, mark, a, words) as a block."""
+    rows = sorted(rows)
+    return substrings.block_of(*(np.array([r[i] for r in rows], np.int64) for i in range(4)), pa.array([" ".join(r[4]).encode() for r in rows], pa.binary())), rows
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_a_shard_removes_what_starts_earlier(seed):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(30)}" for _ in range(80)]
+    rows = []
+    for k in range(60):
+        at, n = rng.randrange(40), rng.randint(4, 30)
+        words = base[at : at + n]
+        if rng.random() < 0.5:
+            words[rng.randrange(n)] = "new"
+        rows.append((rng.randrange(3), rng.randrange(20), rng.randrange(2), 100 * k, words))
+    block, rows = shard(rows)
+    got = set(substrings.removed_windows(block, 4).tolist())
+    first = {}
+    for m, key, mark, a, words in rows:
+        for i in range(len(words) - 3):
+            first[m, *words[i : i + 4]] = min(first.get((m, *words[i : i + 4]), (99,)), (key, mark, a + i))
+    # Windows of different minimizers differ in words; here they are kept apart by comparing within one minimizer.
+    want = {int(b) + i for b, (m, key, mark, a, words) in zip(block.begins, rows) for i in range(len(words) - 3) if min(v for k, v in first.items() if k[1:] == tuple(words[i : i + 4])) < (key, mark, a + i)}
+    within = {int(b) + i for b, (m, key, mark, a, words) in zip(block.begins, rows) for i in range(len(words) - 3) if first[m, *words[i : i + 4]] < (key, mark, a + i)}
+    assert within <= got <= want
 
 
 def brute(rows, window):
@@ -63,9 +115,10 @@ def corpus(seed, n=60, vocabulary=400):
     return texts + texts[-5:] + [" ".join(shared[0])] * 20
 
 
-@pytest.mark.parametrize("hot,block", [(substrings.HOT, substrings.BLOCK_WORDS), (30, 100)])
-def test_matches_brute_force(spark, monkeypatch, hot, block):
-    monkeypatch.setattr(substrings._verdicts, "__defaults__", (block,))
+@pytest.mark.parametrize("hot,block,held", [(substrings.HOT, substrings.BLOCK_BYTES, substrings.HELD_BYTES), (30, 600, 3000), (300, 1, 1)])
+def test_matches_brute_force(spark, monkeypatch, hot, block, held):
+    monkeypatch.setattr(substrings._ranges, "__defaults__", (block,))
+    monkeypatch.setattr(substrings._cut, "__defaults__", (held,))
     rows = list(enumerate(corpus(hot)))
     random.Random(1).shuffle(rows)
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, key int, content string").repartition(5)
