@@ -1,8 +1,12 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Each step groups the neighbours of a node and links them to the smallest one; a step's result is
-written to the shared folder, which cuts lineage. Hot nodes: the least neighbour is found with
-partial aggregation, and the neighbours are joined back to it, so no task holds a neighbourhood.
+Each step finds the smallest neighbour of a node with partial aggregation and links the others to
+it; a step's result is written to the shared folder, which cuts lineage, and the last one's goes.
+Hot nodes: nodes with over a thousandth of all rows, hence fewer than a thousand, meet their
+neighbours by broadcast, so no task holds the neighbourhood of a hub.
+
+The steps halve the distance to the root, so that `most` rounds settle more nodes than a table holds;
+should they not, an error is raised and nothing is returned.
 """
 
 from __future__ import annotations
@@ -10,14 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import written
+from ledgerline.llm.common import join_skewed, remove, scratch, shared_dir, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (a, b), a > b. large: each node's larger neighbours go to its least one; else its smaller ones do."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    joined = both.join(least.hint("merge"), "a")
+    least = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m")), "cc-least")
+    joined = join_skewed(both, least, "a", "n")
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("x"), F.col("m").alias("y"))
     else:
@@ -27,10 +31,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node of its component."""
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    sign = None
+    spark = edges.sparkSession
+    path, sign = shared_dir(spark, "cc"), None
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc", path)
     for _ in range(most):
-        now = written(_star(_star(now, True), False), "cc")
+        with scratch(spark) as stay:
+            before, path = path, shared_dir(spark, "cc")
+            stay.append(path)
+            now = written(_star(written(_star(now, True), "cc-large"), False), "cc", path)
+        remove(spark, [before])
         # A fixed point has every node under one root: no root is itself a child.
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == sign:

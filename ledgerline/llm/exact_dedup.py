@@ -6,8 +6,10 @@ reduced to one row per digest with partial aggregation (a group of copies of any
 row per map task), anti-joined with the index, and what is new is appended.
 
 Edge cases: null text counts as empty; empty texts are one group; repeated rows with one id are
-copies of each other; extra columns are ignored; an empty table gives an empty result. A null id
-sorts after every other id: it stays only if all ids of its group are null.
+copies of each other; extra columns are ignored; very long texts are hashed whole; an empty table
+gives an empty result. A null id sorts after every other id: it stays only if all ids of its group
+are null. keep_first decides by row, not by id: of rows that repeat an id, those with other texts
+are judged by themselves, and of equal ones the first in its file stays.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import shared_dir, written
+from ledgerline.llm.common import join_skewed, keep_rows, marked, on_files, remove, shared_dir, written
 
 
 def normalised(text: str | Column = "text") -> Column:
@@ -54,6 +56,7 @@ class DigestIndex:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, [self.path])
 
 
 def add_batch(index: DigestIndex, digests: DataFrame, id_col: str = "doc_id") -> None:
@@ -69,22 +72,35 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     With an index of earlier batches, a document whose digest is known is dropped in favour of the
     id kept then. group_size counts the copies of the batch that brought the digest. Of rows that
-    repeat the kept id itself, all are kept rows: the decision is by id.
+    repeat the kept id itself, all are kept rows: the decision is by id. Without an index one is made
+    for the call and dropped.
     """
-    index = index or DigestIndex(docs.sparkSession)
+    own = index or DigestIndex(docs.sparkSession)
     rows = written(docs.select(F.col(id_col).alias("doc_id"), digest(text_col).alias("digest")), "digests")
-    add_batch(index, rows, "doc_id")
-    # The merge with the index takes one row per digest; the join back to the rows is dealt anew on
-    # both sides, so that Spark can split the partition of a digest with very many copies.
-    seen = rows.select("digest").distinct()
-    verdict = seen.join(index.read().select("digest", "keep_id", F.col("n").alias("group_size")).hint("merge"), "digest")
+    add_batch(own, rows, "doc_id")
+    # The merge with the index takes one row per digest; digests with very many copies meet theirs by broadcast.
+    seen = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("__copies"))
+    verdict = seen.join(own.read().select("digest", "keep_id", F.col("n").alias("group_size")).hint("merge"), "digest")
     verdict = written(verdict, "digest-verdict")
-    return rows.join(verdict.hint("merge"), "digest").select(
+    if index is None:
+        own.drop()
+    return join_skewed(rows, verdict, "digest", "__copies").select(
         F.col("doc_id").alias(id_col), "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns (rows are found again by id)."""
-    stays = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__stays")).distinct()
-    return docs.join(stays, docs[id_col].eqNullSafe(stays["__stays"]), "left_semi")
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
+    """One row of each group of equal texts, that with the smallest id, with all its columns; with an index of earlier
+    batches only texts that it lacks, which are added to it."""
+    docs = on_files(docs)
+    own = index or DigestIndex(docs.sparkSession)
+    rows = marked(docs).select(F.col(id_col).alias("doc_id"), digest(text_col).alias("digest"), "__file", "__row")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__file", "__row")
+    stays = rows.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
+    if own.exists():
+        stays = stays.join(own.read().select("digest").hint("merge"), "digest", "left_anti")
+    stays = written(stays.select("digest", "first.*", "n"), "digest-first")
+    own.append(stays.withColumnRenamed("doc_id", "keep_id"))
+    if index is None:
+        own.drop()
+    return keep_rows(docs, stays)

@@ -5,13 +5,16 @@ over a fixed-length window and classified by softmax. A whole text is cut into w
 each other (the last one ends with the text); windows of many texts go through the network as one
 batch. A text's class probabilities are the mean over its windows, weighted by the letters in each.
 
-Training: at most TRAIN_ROWS rows with a language, those with the smallest hash of their id, SPAN
-bytes of each. Rows, window starts and initial weights follow from fixed seeds and sorted input, so
-a model is the same for the same table. Only text and language are looked at.
+Training: at most TRAIN_ROWS rows with a language, those with the smallest hash of their id; of each
+row DRAWS windows that lie anywhere in the whole text; STEPS steps, whatever the rows. Rows, window
+starts and initial weights follow from fixed seeds and sorted input, so a model is the same for the
+same table. Only text and language are looked at.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; short texts are padded
 with spaces; long texts are read whole; equal texts get equal results; with one language, or none,
-to learn from, every text with letters gets it, or `und`; an empty table gives an empty result.
+to learn from, every text with letters gets it, or `und`; rows that repeat an id are rows of their
+own; null ids are held out from nothing and keep their null; other columns are ignored (or carried,
+in keep_identified); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import by_chunk, utf8
+from ledgerline.llm.common import by_chunk, ship, sliced, utf8
 
 WINDOW = 256
 EMBED = 8
 WIDTHS = (2, 3, 4)
 FILTERS = 24
 TRAIN_ROWS = 6000
-SPAN = 1024
-EPOCHS = 6
+DRAWS = 8
+STEPS = 600
 UND = "und"
 LETTER = re.compile(r"[^\W\d_]")
 NOT_ASCII_LETTER = bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b <= 122))
@@ -118,9 +121,8 @@ def gradients(net: ByteNet, windows: np.ndarray, labels: np.ndarray) -> tuple[li
     return [d_embed, *d_filters, *d_bias, h.T @ p, p.sum(0)], loss
 
 
-def fit(samples: list[tuple[bytes, str]], epochs: int | None = None, seed: int = 7, batch: int = 64) -> ByteNet:
-    """Adam on windows of the samples; two windows of each sample an epoch, more epochs for fewer samples."""
-    epochs = epochs or min(30, max(EPOCHS, EPOCHS * TRAIN_ROWS // max(1, len(samples))))
+def fit(samples: list[tuple[list[bytes], str]], steps: int = STEPS, seed: int = 7, batch: int = 128) -> ByteNet:
+    """Adam on windows of the samples (windows of a text, language): a batch takes one window of each of its samples."""
     classes = sorted({c for _, c in samples})
     net = ByteNet.fresh(classes or [UND], seed)
     if len(classes) < 2:
@@ -128,41 +130,42 @@ def fit(samples: list[tuple[bytes, str]], epochs: int | None = None, seed: int =
     samples = sorted(samples)
     label = {c: i for i, c in enumerate(classes)}
     y = np.array([label[c] for _, c in samples])
-    coded = [FOLD[np.frombuffer(t, np.uint8)] for t, _ in samples]
+    coded = [[FOLD[np.frombuffer(w, np.uint8)] for w in own] for own, _ in samples]
     rng = np.random.default_rng(seed)
     m, v = [np.zeros_like(p) for p in net.params()], [np.zeros_like(p) for p in net.params()]
-    step = 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(samples))
-        for a in range(0, len(order), batch):
-            own = np.repeat(order[a : a + batch], 2)
-            windows = np.full((len(own), WINDOW), 32, np.uint8)
-            for j, i in enumerate(own):
-                size = int(WINDOW * rng.uniform(0.1, 1)) if rng.random() < 0.3 else WINDOW  # short texts are learnt too
-                start = rng.integers(0, max(1, len(coded[i]) - size + 1))
-                part = coded[i][start : start + size]
-                windows[j, : len(part)] = part
-            grads, _ = gradients(net, windows, y[own])
-            step += 1
-            rate = 4e-3 * (1 - step * batch / (epochs * len(order) + batch))
-            for p, g, a1, a2 in zip(net.params(), grads, m, v):
-                a1 += 0.1 * (g - a1)
-                a2 += 0.001 * (g * g - a2)
-                p -= rate * (a1 / (1 - 0.9**step)) / (np.sqrt(a2 / (1 - 0.999**step)) + 1e-8)
+    order = np.empty(0, np.int64)
+    for step in range(1, steps + 1):
+        while len(order) < batch:
+            order = np.concatenate([order, rng.permutation(len(samples))])
+        own, order = order[:batch], order[batch:]
+        windows = np.full((len(own), WINDOW), 32, np.uint8)
+        for j, i in enumerate(own):
+            part = coded[i][rng.integers(len(coded[i]))]
+            if rng.random() < 0.3:  # short texts are learnt too
+                size = int(WINDOW * rng.uniform(0.1, 1))
+                start = rng.integers(0, max(1, len(part) - size + 1))
+                part = part[start : start + size]
+            windows[j, : len(part)] = part
+        grads, _ = gradients(net, windows, y[own])
+        rate = 4e-3 * (1 - step / (steps + 1))
+        for p, g, a1, a2 in zip(net.params(), grads, m, v):
+            a1 += 0.1 * (g - a1)
+            a2 += 0.001 * (g * g - a2)
+            p -= rate * (a1 / (1 - 0.9**step)) / (np.sqrt(a2 / (1 - 0.999**step)) + 1e-8)
     return net
 
 
-def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_ROWS) -> list[tuple[bytes, str]]:
-    """At most `most` (span of text, language) of the rows that are not held out."""
+def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_ROWS) -> list[tuple[list[bytes], str]]:
+    """At most `most` (windows of the text, language) of the rows that are not held out. Windows start anywhere in the text."""
     body = utf8(text_col)
-    start = F.greatest(F.pmod(F.xxhash64(F.col(id_col)), F.greatest(F.length(body) - SPAN, F.lit(1))), F.lit(0)).cast("int")
+    last = F.greatest(F.length(body) - WINDOW, F.lit(0)) + 1
+    at = lambda i: F.pmod(F.xxhash64(F.lit(17), F.col(id_col), i), last).cast("int")
+    windows = F.transform(F.sequence(F.lit(1), F.lit(DRAWS)), lambda i: F.substring(body, at(i) + 1, F.lit(WINDOW)))
     open_ = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     draw = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 30))
     share = min(1.0, 1.1 * most / max(1, open_.count()))  # so that all tasks together hand on about `most` rows, not each
-    rows = open_.where(draw < int(share * (1 << 30))).select(
-        F.col(lang_col).cast("string").alias("lang"), F.substring(body, start + 1, F.lit(SPAN)).alias("span"), draw.alias("h"), F.col(id_col).alias("i")
-    )
-    return [(bytes(r.span), r.lang) for r in rows.orderBy("h", "i").limit(most).select("span", "lang").collect()]
+    rows = open_.where(draw < int(share * (1 << 30))).select(F.col(lang_col).cast("string").alias("lang"), windows.alias("windows"), draw.alias("h"), F.col(id_col).alias("i"))
+    return [([bytes(w) for w in r.windows], r.lang) for r in rows.orderBy("h", "i").limit(most).select("windows", "lang").collect()]
 
 
 def held_out(id_col: str = "doc_id"):
@@ -217,5 +220,21 @@ def identify(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: st
     return by_chunk(rows, run, "doc_id long, held_out boolean, lang_pred string, score double", limit=1 << 20).withColumnRenamed("doc_id", id_col)
 
 
+def keep_identified(docs: DataFrame, net: ByteNet, least: float, text_col: str = "text") -> DataFrame:
+    """The rows whose text has letters and whose best language scores `least` or more, with all their columns."""
+    ship(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(net)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in sliced(batch, place, 1 << 20):
+                texts = [t.as_buffer().to_pybytes() for t in piece.column(place).cast(pa.binary()).fill_null(b"")]
+                lang, score = predict(model.value, texts)
+                yield piece.filter(pa.array([x != UND and y >= least for x, y in zip(lang, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train_and_identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_ROWS) -> DataFrame:
     return identify(docs, fit(training_rows(docs, id_col, text_col, lang_col, most)), id_col, text_col)

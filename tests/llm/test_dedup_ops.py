@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from ledgerline.llm import exact_dedup, simhash
@@ -77,3 +78,91 @@ def test_components_on_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(-5, -9), (7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30)) and got[-5] == -9
+
+
+def test_decisions_are_made_by_row(spark, tmp_path):
+    rows = [(5, "a"), (3, "b"), (5, "b"), (7, "c"), (7, "c"), (None, "d"), (None, "d"), (None, "a"), (8, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "f", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, __copies string, n int")
+    want = [(None, "d"), (3, "b"), (5, "a"), (7, "c"), (8, None)]
+    order = lambda rows_: sorted(((r.doc_id, r.text) for r in rows_), key=lambda x: (x[0] is not None, x[0] or 0))
+    docs.repartition(4).write.parquet(f"{tmp_path}/docs")
+    for own in (docs, docs.repartition(3), spark.read.parquet(f"{tmp_path}/docs")):
+        kept = exact_dedup.keep_first(own)
+        assert kept.columns == docs.columns and order(kept.collect()) == want
+        near = simhash.keep_one(own)
+        assert near.columns == docs.columns and order(near.collect()) == want  # short texts: far apart unless equal
+    assert exact_dedup.keep_first(docs.limit(0)).count() == 0 == simhash.keep_one(docs.limit(0)).count()
+
+
+def test_an_index_of_earlier_batches_drops_rows_seen_before(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    assert exact_dedup.keep_first(docs(spark, ["a", "b", "b"]), index=index).count() == 2
+    assert [r.text for r in exact_dedup.keep_first(docs(spark, ["c", "b", "c"]), index=index).collect()] == ["c"]
+    index.drop()
+    assert not index.exists()
+
+
+def test_intermediate_tables_go(spark):
+    from ledgerline.llm import common
+
+    made = common._made[spark.sparkContext.applicationId]
+    tables = [t.name for t in spark.catalog.listTables()]
+    with common.scratch(spark) as stay:
+        before = len(made)
+        exact_dedup.exact_dedup(docs(spark, ODD)).collect()
+        simhash.near_duplicates(docs(spark, ODD)).collect()
+        stay.append(common.shared_dir(spark, "kept"))
+        assert len(made) > before + 3
+    assert made[before:] == stay and [t.name for t in spark.catalog.listTables()] == tables
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from ledgerline.llm import common
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_root(SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"), conf=conf))
+
+
+def pairs_by_plain_search(fps, radius=3):
+    root = np.arange(len(fps))
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= radius):
+            a, b = root[i], root[j]
+            if a != b:
+                root[root == max(a, b)] = min(a, b)
+    return root
+
+
+def test_a_large_bucket_is_compared_by_pairs_of_tiles(spark):
+    rng = np.random.default_rng(11)
+    seeds = rng.integers(0, 1 << 38, 300).astype(np.uint64)  # all agree on the other 26 bits: one bucket
+    fps = np.unique(np.concatenate([seeds] + [seeds ^ (np.uint64(1) << rng.integers(0, 38, 300).astype(np.uint64)) for _ in range(6)]))
+    want = pairs_by_plain_search(fps)
+    table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    got = {r.node: r.root for r in connected_components(simhash.links(table, 3, big=50)).collect()}
+    signed = fps.view(np.int64)
+    for own in np.unique(want):
+        members = signed[want == own]
+        assert {got.get(int(x), int(x)) for x in members} == {int(members.min())}
+
+
+def test_a_hundred_thousand_fingerprints_in_one_bucket(spark):
+    rng = np.random.default_rng(12)
+    fps = np.unique(rng.integers(0, 1 << 38, 100_000).astype(np.uint64))
+    near = np.unique(np.concatenate([fps, fps[:500] ^ np.uint64(1)])).view(np.int64)
+    table = spark.createDataFrame(pa.table({"fp": near}))
+    forest = simhash.links(table, 3, big=3000).distinct()
+    linked = {int(x) for r in forest.collect() for x in (r.a, r.b)}
+    assert {int(x) for x in fps[:500].view(np.int64)} <= linked and len(linked) >= 1000
+
+
+def test_hubs_meet_their_neighbours_by_broadcast(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(30)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.root for r in connected_components(table).collect()}
+    assert all(got[i] == 0 for i in range(3000)) and all(got[5000 + i] == 5000 for i in range(31))

@@ -62,6 +62,66 @@ def test_windows_cover_every_byte():
 
 
 def test_model_ignores_row_order():
-    s = [(t.encode(), lang) for t, lang in corpus(80)]
-    a, b = langid.fit(s, epochs=1), langid.fit(s[::-1], epochs=1)
+    s = [([t.encode()[:256], t.encode()[-256:]], lang) for t, lang in corpus(80)]
+    a, b = langid.fit(s, steps=3), langid.fit(s[::-1], steps=3)
     assert all(np.array_equal(x, y) for x, y in zip(a.params(), b.params()))
+
+
+def test_training_windows_come_from_the_whole_text(spark):
+    long = "".join(random.Random(1).choices("abcdefgh ", k=128_000))
+    docs = spark.createDataFrame([(i, long, "en") for i in range(40)] + [(100, "short", "en"), (101, None, "en"), (102, "x", None)], "doc_id long, text string, lang string")
+    rows = langid.training_rows(docs)
+    assert len(rows) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in [*range(40), 100]) and all(len(w) == langid.DRAWS for w, _ in rows)
+    assert {w for own, _ in rows for w in own if len(w) < 256} <= {b"short"}
+    places = [long.encode().index(w) / len(long) for own, _ in rows for w in own if len(w) == 256]
+    assert {int(10 * p) for p in places} == set(range(10))
+    assert len(langid.training_rows(docs, most=7)) == 7
+
+
+def plain_score(net, data):
+    """One text through the network, an element at a time."""
+    data = [32 if 9 <= b <= 13 else 48 if 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else b for b in data]
+    size = langid.WINDOW
+    cuts = [data + [32] * (size - len(data))] if len(data) <= size else [data[i : i + size] for i in range(0, len(data) - size, size)] + [data[-size:]]
+    total, weight = [0.0] * len(net.classes), 0.0
+    for window in cuts:
+        hidden = []
+        for w, f, bias in zip(langid.WIDTHS, net.filters, net.filter_bias):
+            for k in range(f.shape[1]):
+                sums = [sum(float(net.embed[window[i + j]][e]) * float(f[j * langid.EMBED + e][k]) for j in range(w) for e in range(langid.EMBED)) for i in range(size - w + 1)]
+                hidden.append(max(0.0, max(sums) + float(bias[k])))
+        z = [sum(h * float(net.dense[i][c]) for i, h in enumerate(hidden)) + float(net.bias[c]) for c in range(len(net.classes))]
+        p = np.exp(np.array(z) - max(z))
+        letters = sum(97 <= b <= 122 or b >= 128 for b in window) + 1e-3
+        total = [t + letters * x for t, x in zip(total, p / p.sum())]
+        weight += letters
+    return [t / weight for t in total]
+
+
+def test_prediction_equals_a_plain_forward_pass():
+    net = langid.ByteNet.fresh(["de", "en", "fr"], seed=3)
+    texts = [b"Ab 9\t!", "\u00fcber ".encode() * 70, b"x" * 256, b"word " * 103]
+    lang, score = langid.predict(net, texts)
+    for t, got, s in zip(texts, lang, score):
+        want = plain_score(net, t)
+        assert got == net.classes[int(np.argmax(want))] and abs(s - max(want)) < 1e-5
+
+
+def test_the_query_learns_the_languages_of_documents(spark):
+    from ledgerline.llm.queries import op7_language_id
+
+    got = {r.doc_id: r for r in op7_language_id(spark, "/root/testdata/sf0.01").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL").select("doc_id", "lang", "text").collect()
+    tested = [got[r.doc_id].lang_pred == r.lang for r in docs if got[r.doc_id].held_out and got[r.doc_id].lang_pred != "und"]
+    assert len(tested) > 100 and np.mean(tested) >= 0.97
+
+
+def test_keeping_what_is_identified(spark):
+    rows = [(i, t, lang, i) for i, (t, lang) in enumerate(corpus(120))] + [(None, "the and ing that", "en", 7), (5, None, "en", 8), (5, "12 34", "en", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred int").repartition(3)
+    net = langid.fit(langid.training_rows(docs))
+    kept = langid.keep_identified(docs, net, 0.3)
+    assert kept.schema == docs.schema
+    ids = [r.lang_pred for r in kept.collect()]
+    assert 1007 in ids and not {1008, 1009} & {*ids} and len(ids) >= 115
+    assert langid.keep_identified(docs.limit(0), net, 0.3).count() == 0

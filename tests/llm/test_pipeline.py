@@ -6,7 +6,7 @@ import re
 import numpy as np
 
 import corpus_pipeline
-from ledgerline.llm import simhash
+from ledgerline.llm import common, simhash
 
 SYLLABLES = {"en": "the and ing that is of er ou".split(), "de": "der ung und sch ein ich ü ß".split()}
 
@@ -59,5 +59,30 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(got)
     total = {i: sum(r.length for r in packed if r.doc_id == i) for i in got}
     assert all(r.doc_tokens == total[r.doc_id] for r in packed)
+    made = len(common._made[spark.sparkContext.applicationId])
     rows_of_run = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(common._made[spark.sparkContext.applicationId]) == made + 1  # only the result stays
     assert sorted(rows_of_run) == sorted(packed) and re and np
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_rows_that_repeat_ids_and_null_ids_are_rows_of_their_own(spark, tmp_path):
+    rng = random.Random(4)
+    made = [" ".join(words("en" if i % 2 else "de", rng, 90)) for i in range(40)]
+    rows = [(i, t, "en" if i % 2 else "de", "s", len(t)) for i, t in enumerate(made)]
+    rows += [(5, made[3], "en", "s", 0), (None, made[3], "en", "s", 0), (None, " ".join(words("de", rng, 80)), "de", None, None), (7, made[7], "en", "s", 0), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        kept = corpus_pipeline.written(stage(spark, kept, str(tmp_path)), name)
+        assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert got == [(None, rows[42][1])] + [(i, t) for i, t in enumerate(made)]
+
+
+def test_an_empty_table_passes_every_stage(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "sequence_id" in out.columns
