@@ -1,6 +1,10 @@
 """A corpus pipeline of five stages; each one's result is written as Parquet and read as the next one's documents.
 
 language ID -> exact dedup -> SimHash near-dedup -> substring dedup -> packing
+
+Every stage decides by row: rows that repeat an id are rows of their own. Null texts count as empty: language ID
+rejects them, so later stages meet none in run(), but each takes them. Null ids sort as their operator says and keep
+their null. An empty table passes through every stage and ends as an empty table of pieces.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import exact_dedup, langid, packing, simhash, substrings
-from ledgerline.llm.common import documents, written
+from ledgerline.llm.common import documents, remove, scratch, shared_dir, written
 from ledgerline.llm.units import tokenizer_path
 
 #: Documents without letters, or whose best language scores less than this, are rejected; an even guess over four is 0.25.
@@ -17,19 +21,17 @@ LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is recognised."""
-    found = langid.train_and_identify(docs).where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE))
-    known = found.select(F.col("doc_id").alias("__known")).distinct()
-    return docs.join(known, docs["doc_id"].eqNullSafe(known["__known"]), "left_semi")
+    """Keeps the documents whose language is recognised. Empty, null and letterless texts go."""
+    return langid.keep_identified(docs, langid.fit(langid.training_rows(docs)), LEAST_SCORE)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of equal texts."""
+    """Keeps one row of each group of equal texts, that with the smallest id; ties go to the first in its file."""
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by fingerprints."""
+    """Keeps one row of each group linked by fingerprints, that with the smallest id; ties go to the first in its file."""
     return simhash.keep_one(docs)
 
 
@@ -64,7 +66,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The stages one after another. What a stage made on its way goes when its result is written, and so does its input."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = shared_dir(spark, f"pipeline-{name}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, path)
+        if before:
+            remove(spark, [before])
+        before = path
     return docs
