@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerline.functions.text import bound
+
 
 def _none() -> Column:
     return F.array().cast("array<bigint>")
@@ -80,8 +82,14 @@ def window_bytes(values: Column, low: float, high: float, rounded: bool) -> Colu
 def min_max_bytes(values: Column) -> Column:
     """Per-array scaling to 0-255; NaN counts as 0 and a constant array is all zero."""
     clean = F.transform(values, lambda v: F.when(F.isnan(v) | v.isNull(), 0.0).otherwise(v.cast("double")))
-    low, high = F.array_min(clean), F.array_max(clean)
-    return F.transform(clean, lambda v: F.when(high > low, F.floor((v - low) / (high - low) * 255.0)).otherwise(0).cast("bigint"))
+    scaled = lambda z: F.transform(z["c"], lambda v: F.when(z["high"] > z["low"], F.floor((v - z["low"]) / (z["high"] - z["low"]) * 255.0)).otherwise(0).cast("bigint"))
+    return bound(clean, lambda c: bound(F.struct(c.alias("c"), F.array_min(c).alias("low"), F.array_max(c).alias("high")), scaled))
+
+
+def three_windows(values: Column, windows: list[tuple[float, float]]) -> Column:
+    """One struct (r, g, b) of whole numbers a value, each channel through its own window, rounded half to even."""
+    channel = lambda v, w: F.bround((F.least(F.greatest(v.cast("double"), F.lit(w[0])), F.lit(w[1])) - w[0]) / (w[1] - w[0]) * 255.0, 0).cast("bigint")
+    return F.transform(values, lambda v: F.struct(*[channel(v, w).alias(c) for c, w in zip("rgb", windows)]))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -89,6 +97,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def second_half(values: Column) -> Column:
+    half = F.floor(F.size(values) / 2).cast("int")
+    return F.slice(values, half + 1, F.size(values) - half)
+
+
 def fitting_count(bytes_each: Column, limit: int, counts: list[int]) -> Column:
     """The largest of the counts whose base64 size fits the limit."""
     size = F.ceil(bytes_each / 3) * 4

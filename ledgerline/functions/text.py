@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +17,11 @@ OMITTED = "[earlier records omitted to fit; the newest are kept]"
 LEAD_INS = ["answer:", "response:", "the answer is", "answer is", "the response is", "response is", "correct option is"]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once a row, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def populated(c: Column) -> Column:
     return c.isNotNull() & (F.trim(c.cast("string")) != "")
 
@@ -69,7 +73,10 @@ def trim_line_ends(text: Column) -> Column:
 
 
 def truncate(text: Column, n: int) -> Column:
-    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(TRUNCATED))).otherwise(text)
+    """A text of at most four lines stays. Any other gets a leading line break and, where that makes it longer than n, is
+    cut to n characters with a mark after them; nothing is left of it where n has no room."""
+    cut = F.when(F.length(text) > n - 1, F.concat(F.substring(text, 1, max(0, n - 1)), F.lit(TRUNCATED))).otherwise(text)
+    return F.when(F.size(F.split(text, "\n")) <= 4, text).otherwise(F.concat(F.lit("\n"), cut) if n > 1 else F.lit(""))
 
 
 def count_events(text: Column) -> Column:
@@ -119,38 +126,73 @@ def replace_first(text: Column, mark: str, by: Column) -> Column:
     return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), by, F.substring(text, at + len(mark), F.length(text)))).otherwise(text)
 
 
-def keep_latest_text(text: str, most: int) -> str:
+def keep_latest(text: Column, most: int) -> Column:
     """The newest whole lines within `most` characters, after a marker line; a newest line that is too long is cut."""
-    if len(text) <= most:
-        return text
-    budget, lines, used, start = most - len(OMITTED) - 1, text.split("\n"), 0, None
-    for i in range(len(lines) - 1, -1, -1):
-        used += len(lines[i]) + 1
-        if used > budget:
-            break
-        start = i
-    kept = lines[start:] if start is not None else []
-    if not any(kept):
-        kept = [next((x for x in reversed(lines) if x), "")[:budget]]
-    return "\n".join([OMITTED, *kept])
-
-
-def keep_latest(most: int):
-    @pandas_udf(StringType())
-    def kept(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else keep_latest_text(t, most))
-
-    return kept
-
-
-def last_k_dates_text(text: str, k: int, most: int | None = None) -> str:
-    """Text from the first line of the k-th newest date on; k shrinks until it fits, then the newest lines are kept."""
-    lines = text.split("\n")
-    dates = [m.group(1) if (m := re.match(r"\[(\d{4}-\d{2}-\d{2})", x)) else None for x in lines]
-    newest = sorted({d for d in dates if d}, reverse=True)
-    for n in range(min(k, len(newest)), 0, -1):
-        cut = next(i for i, d in enumerate(dates) if d and d >= newest[n - 1])
-        out = "\n".join(lines[cut:])
-        if most is None or len(out) <= most or n == 1:
-            return out if most is None else keep_latest_text(out, most)
-    return text if most is None else keep_latest_text(text, most)
+    room = most - len(OMITTED) - 1
+
+    def count(lines: Column) -> Column:
+        """How many lines from the end fit, line breaks included."""
+        start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+        def add(seen: Column, line: Column) -> Column:
+            used = seen["used"] + F.length(line) + 1
+            fits = seen["open"] & (used <= room)
+            return F.struct(used.alias("used"), (seen["n"] + fits.cast("int")).alias("n"), fits.alias("open"))
+
+        return F.aggregate(F.reverse(lines), start, add)["n"]
+
+    def shortened(lines: Column) -> Column:
+        kept = bound(count(lines), lambda n: F.slice(lines, F.size(lines) - n + 1, n))
+        newest = F.coalesce(F.get(F.filter(F.reverse(lines), lambda x: x != ""), F.lit(0)), F.lit(""))
+        own = bound(kept, lambda k: F.when(F.exists(k, lambda x: x != ""), k).otherwise(F.array(F.substring(newest, 1, max(0, room)))))
+        return F.array_join(F.concat(F.array(F.lit(OMITTED)), own), "\n")
+
+    return F.when(F.length(text) <= most, text).otherwise(bound(F.split(text, "\n"), shortened))
+
+
+def last_k_dates(text: Column, k: int, most: int | None = None) -> Column:
+    """Text from the first line of the k-th newest distinct date on; fewer dates where that is over `most` characters, and
+    where one date alone is, its newest lines. A text of fewer dates is whole."""
+    day = r"^\[(\d{4}-\d{2}-\d{2})"
+
+    def cut(lines: Column) -> Column:
+        dates = F.transform(lines, lambda x: F.regexp_extract(x, day, 1))
+        newest = F.reverse(F.array_sort(F.array_distinct(F.filter(dates, lambda d: d != ""))))
+        return bound(F.struct(lines.alias("lines"), dates.alias("dates"), newest.alias("newest")), choices)
+
+    def from_date(z: Column, n: Column) -> Column:
+        first = F.get(F.filter(F.transform(z["dates"], lambda d, i: F.when((d != "") & (d >= F.get(z["newest"], n - 1)), i)), lambda i: i.isNotNull()), F.lit(0))
+        return F.array_join(F.slice(z["lines"], first + 1, F.size(z["lines"])), "\n")
+
+    def choices(z: Column) -> Column:
+        texts = F.transform(F.sequence(F.lit(k), F.lit(1), F.lit(-1)), lambda n: from_date(z, n))
+        own = F.get(texts, F.lit(0)) if most is None else bound(texts, lambda t: F.coalesce(F.get(F.filter(t, lambda x: F.length(x) <= most), F.lit(0)), keep_latest(F.element_at(t, -1), most)))
+        return F.when(F.size(z["newest"]) <= k, whole).otherwise(own)
+
+    whole = text if most is None else keep_latest(text, most)
+    return bound(F.split(text, "\n"), cut)
+
+
+def demographics(age: Column, sex: Column) -> Column:
+    """One line with age and sex; what is not known says so."""
+    known = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
+    return F.concat(F.lit("PATIENT: age "), known(age), F.lit(" years at the prediction time; sex "), known(sex), F.lit("."))
+
+
+def retrieved_line(time: Column, code: Column, name: Column, kind: Column, value: Column) -> Column:
+    """`[time] | code (name) | VALUE: v` of a retrieved event; its kind where it has neither code nor name, `[unknown]`
+    where it has no time; null where nothing but a time is left."""
+    held = lambda c: F.when(F.trim(c) != "", c)
+    stamp = F.coalesce(F.date_format(time, "'['yyyy-MM-dd HH:mm']'"), F.lit("[unknown]"))
+    what = F.nullif(F.concat_ws(" ", F.nullif(code, F.lit("")), F.concat(F.lit("("), held(name), F.lit(")"))), F.lit(""))
+    what = F.coalesce(what, F.nullif(kind, F.lit("")))
+    said = F.concat(F.lit("VALUE: "), held(F.trim(F.regexp_replace(value, "\n", " "))))
+    return F.when(what.isNotNull() | said.isNotNull(), F.concat_ws(" | ", stamp, what, said))
+
+
+def template_prompt(template: Column, parts: dict[str, Column]) -> Column:
+    """A template with every mark [NAME] replaced by its text; a null text is empty."""
+    out = template
+    for name, part in parts.items():
+        out = F.replace(out, F.lit(f"[{name}]"), F.coalesce(part, F.lit("")))
+    return out

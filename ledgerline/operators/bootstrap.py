@@ -1,47 +1,169 @@
 """Bootstrap intervals by reweighting: a cluster's weight in a replicate is a function of its key.
 
-Weights are Poisson(1) counts of a keyed hash, so a replicate needs no draw, no order and no resampled
-rows, and both arms of a comparison share them. Rows are summed to (cluster, ...) before replicates
-multiply them.
+A weight is a Poisson(1) count of a 32-bit hash of cluster and replicate, so a replicate needs no draw, no
+order, no resampled rows and no join, and both arms of a comparison share the weights. Rows are summed to
+clusters first; a task then multiplies its clusters with all replicates at once and hands on one row a
+replicate and group of cells, so replicates x tasks rows move, whatever the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.hashing import poisson_weight, uniform
-from ledgerline.operators.metrics import auroc, ratio
+from ledgerline.functions.hashing import POISSON_ONE, keyed_sha
+from ledgerline.operators.metrics import ratio
+from ledgerline.operators.running import range_edges, range_number
+from ledgerline.shipping import ship
 
+REPLICATES = 1000
+#: The multipliers of the 32-bit hash.
+SPREAD, MIX = 0x9E3779B1, 0x45D9F3B
+#: From which hash on a cluster is drawn once, twice, ...
+DRAWN = [int(p * (1 << 32)) + 1 for p in POISSON_ONE]
+BLOCK = 100
 
-def replicated(df: DataFrame, cluster: Sequence[str], replicates: int, salt: str = "boot", weight: str = "w") -> DataFrame:
-    """Adds rep and weight; rows drawn 0 times are dropped (they weigh nothing).
 
-    A weight is hashed once per cluster and replicate and joined to the cluster's rows."""
-    drawn = df.select(*cluster).distinct().withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))))
-    once = F.get(F.transform(F.array(uniform(salt, F.col("rep"), *cluster)), poisson_weight), F.lit(0))
-    drawn = drawn.withColumn(weight, once)
-    return df.join(drawn, list(cluster)).where(F.col(weight) > 0)
+def cluster_hash(cluster: Column, salt: str = "boot") -> Column:
+    """32 bits of a keyed hash of the cluster; a null cluster is an error at run time."""
+    bits = F.conv(F.substring(keyed_sha(salt, cluster), 1, 8), 16, 10).cast("bigint")
+    return F.when(cluster.isNull(), F.raise_error(F.lit("a row has no cluster")).cast("bigint")).otherwise(bits)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    low = np.uint64(0xFFFFFFFF)
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(16))) * np.uint64(MIX) & low
+    return x ^ (x >> np.uint64(16))
+
+
+def weights(clusters: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """How often each cluster (a hash) is drawn in each replicate: clusters x replicates."""
+    rep = _mixed((replicates.astype(np.uint64) + np.uint64(1)) * np.uint64(SPREAD) & np.uint64(0xFFFFFFFF))
+    return np.searchsorted(np.array(DRAWN, np.uint64), _mixed(clusters.astype(np.uint64)[:, None] ^ rep[None]), "right")
+
+
+def weights_sql(clusters: str, key: str, replicates: int, salt: str = "boot") -> str:
+    """DuckDB SQL of (key, rep, w) for a table with one row a cluster."""
+    half = lambda a, b: f"xor({a}, {a} >> 16) * {MIX} % 4294967296 AS {b}"
+    drawn = " + ".join(f"(u >= {d})::INT" for d in DRAWN)
+    return f"""(SELECT {key}, rep, ({drawn})::BIGINT AS w FROM (
+        SELECT {key}, rep, xor(h, r) AS x0, {half("x0", "x1")}, {half("x1", "x2")}, xor(x2, x2 >> 16) AS u
+        FROM (SELECT {key}, ('0x' || substr(sha256('{salt}:' || {key}), 1, 8))::BIGINT AS h FROM {clusters}),
+             (SELECT rep, (rep + 1) * {SPREAD} % 4294967296 AS y0, {half("y0", "y1")}, {half("y1", "y2")}, xor(y2, y2 >> 16) AS r FROM range({replicates}) t(rep))))"""
+
+
+def replicated_sums(df: DataFrame, cluster: Column, values: Sequence[str], replicates: int = REPLICATES, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, rep, values): the sums of the values in each replicate, each cluster weighted as often as it is drawn."""
+    per = df.groupBy(*keys, cluster_hash(cluster).alias("__h")).agg(*[F.sum(v).cast("double").alias(v) for v in values])
+    ship(df.sparkSession)
+    schema = ", ".join([f"`{k}` {per.schema[k].dataType.simpleString()}" for k in keys] + ["rep long"] + [f"`{v}` double" for v in values])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch.column(len(keys)).to_numpy(zero_copy_only=False)
+            x = np.stack([batch.column(len(keys) + 1 + i).to_numpy(zero_copy_only=False) for i in range(len(values))], axis=1)
+            names = list(zip(*(batch.column(i).to_pylist() for i in range(len(keys))))) if keys else [()] * batch.num_rows
+            groups: dict[tuple, list[int]] = {}
+            for i, k in enumerate(names):
+                groups.setdefault(k, []).append(i)
+            for a in range(0, replicates, BLOCK):
+                w = weights(h, np.arange(a, min(a + BLOCK, replicates))).astype(np.float64)
+                for k, rows in groups.items():
+                    total = totals.setdefault(k, np.zeros((replicates, len(values))))
+                    total[a : a + w.shape[1]] += w[rows].T @ x[rows]
+        for k, total in totals.items():
+            own = [pa.array([v] * replicates, batch_type) for v, batch_type in zip(k, kinds)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(replicates)), *[pa.array(total[:, i]) for i in range(len(values))]], [*keys, "rep", *values])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(per.schema[k].dataType) for k in keys]
+    return per.mapInArrow(run, schema).groupBy(*keys, "rep").agg(*[F.sum(v).alias(v) for v in values])
 
 
 def interval(per_rep: DataFrame, value: str, keys: Sequence[str] = (), level: float = 0.95) -> DataFrame:
-    """Percentile interval, linear between neighbours."""
+    """Percentile interval, linear between neighbours (one value a replicate and key)."""
     a = (1 - level) / 2
     return per_rep.groupBy(*keys).agg(F.percentile(value, a).alias("low"), F.percentile(value, 1 - a).alias("high"), F.count(value).alias("reps"))
 
 
-def cluster_auroc(df: DataFrame, cluster: str, question: str, label: Column, score: Column, replicates: int) -> DataFrame:
-    """(rep, question, auroc) with the cluster drawn as a whole; a null cluster is an error at run time."""
-    checked = F.when(F.col(cluster).isNull(), F.raise_error(F.lit("a row has no cluster")).cast("bigint")).otherwise(F.col(cluster).cast("bigint"))
-    small = df.select(checked.alias("c"), F.col(question), label.cast("int").alias("y"), score.alias("s")).groupBy("c", question, "y", "s").agg(F.count(F.lit(1)).alias("k"))
-    reps = replicated(small, ["c"], replicates)
-    return auroc(reps, F.col("y"), F.col("s"), ["rep", question], weight=F.col("w") * F.col("k"))
+def index_interval(per_rep: DataFrame, value: str, keys: Sequence[str] = (), level: float = 0.95) -> DataFrame:
+    """Interval by index into the sorted values, outwards: no interpolation. Replicates without a value do not count."""
+    a = (1 - level) / 2
+    held = per_rep.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("__v"))  # one value a replicate
+    last = F.size("__v") - 1
+    at = lambda i: F.get("__v", i.cast("int"))
+    return held.select(*keys, at(F.floor(F.round(last * a, 9))).alias("low"), at(F.ceil(F.round(last * (1 - a), 9))).alias("high"), F.size("__v").cast("bigint").alias("reps"))
+
+
+def cluster_auroc(df: DataFrame, cluster: str, question: str, label: Column, score: Column, replicates: int = REPLICATES, rows_each: int = 200_000) -> DataFrame:
+    """(rep, question, auroc) with the cluster drawn as a whole; null where a replicate has one class.
+
+    Scores are cut into ranges; a task has one question's rows of one range and all replicates, a block of them at a
+    time. What pairs of ranges add follows from their sums."""
+    ship(df.sparkSession)
+    rows = df.select(cluster_hash(F.col(cluster)).alias("h"), F.col(question).alias("q"), label.cast("int").alias("y"), score.cast("double").alias("s")).where("s IS NOT NULL AND NOT isnan(s) AND y IS NOT NULL")
+    cells = rows.groupBy("q", "s", "h").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
+    parts = cells.withColumn("r", range_number("s", range_edges(cells, "s", rows_each)))
+    schema = f"rep long, q {rows.schema['q'].dataType.simpleString()}, r int, pos double, neg double, won double"
+
+    def run(key, table):
+        s, order = table["s"].to_numpy(), None
+        order = np.argsort(s, kind="stable")
+        h, p, n = (table[c].to_numpy()[order].astype(np.float64 if c != "h" else np.uint64) for c in ("h", "pos", "neg"))
+        first = np.flatnonzero(np.concatenate([[True], np.diff(s[order]) != 0]))
+        out = []
+        for a in range(0, replicates, BLOCK):
+            w = weights(h, np.arange(a, min(a + BLOCK, replicates))).astype(np.float64)
+            wp, wn = (np.add.reduceat(w * x[:, None], first, axis=0) for x in (p, n))
+            below = np.cumsum(wn, axis=0) - wn
+            out.append(np.stack([wp.sum(0), wn.sum(0), (wp * (below + wn / 2)).sum(0)], axis=1))
+        found = np.concatenate(out)
+        return pa.table({"rep": pa.array(np.arange(replicates)), "q": pa.array([key[0].as_py()] * replicates, table.schema.field("q").type), "r": pa.array([key[1].as_py()] * replicates, pa.int32()), **{c: pa.array(found[:, i]) for i, c in enumerate(("pos", "neg", "won"))}})
 
+    per = parts.groupBy("q", "r").applyInArrow(run, schema)
+    below = Window.partitionBy("rep", "q").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    total = per.withColumn("won", F.col("won") + F.col("pos") * F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
+    return total.groupBy("rep", F.col("q").alias(question)).agg(ratio(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auroc"))
 
-def stratified_accuracy_difference(df: DataFrame, unit: str, truth: str, a: str, b: str, replicates: int) -> DataFrame:
+
+def stratified_accuracy_difference(df: DataFrame, unit: str, truth: str, a: str, b: str, replicates: int = REPLICATES) -> DataFrame:
     """(rep, difference of balanced accuracies b - a) on the same draws; each unit is weighted within its class."""
-    cells = df.groupBy(unit, truth).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(a) == F.col(truth)).alias("ha"), F.count_if(F.col(b) == F.col(truth)).alias("hb"))
-    per = replicated(cells, [unit], replicates).groupBy("rep", truth).agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("n", "ha", "hb")])
+    marked = df.select(F.col(unit), F.col(truth).alias("t"), F.lit(1).alias("n"), (F.col(a) == F.col(truth)).cast("int").alias("ha"), (F.col(b) == F.col(truth)).cast("int").alias("hb"))
+    per = replicated_sums(marked, F.col(unit), ["n", "ha", "hb"], replicates, ["t"]).where("n > 0")
     return per.groupBy("rep").agg((F.avg(ratio(F.col("hb"), F.col("n"))) - F.avg(ratio(F.col("ha"), F.col("n")))).alias("difference"))
+
+
+def stratified_metrics(df: DataFrame, unit: str, truth: str, pred: str, classes: Sequence, replicates: int = REPLICATES) -> DataFrame:
+    """(rep, accuracy, balanced_accuracy, macro_f1): the forced-answer metrics of each replicate. Units are drawn within
+    their class: a replicate's cells are scaled to the class's size, so every class keeps its share."""
+    cell = lambda t, p: F.when((F.col(truth) == t) & (F.col(pred).eqNullSafe(p) if p is not None else ~F.coalesce(F.col(pred).isin(*classes), F.lit(False))), 1).otherwise(0)
+    names = {(i, j): f"c{i}_{j}" for i in range(len(classes)) for j in range(len(classes) + 1)}
+    marked = df.select(F.col(unit), *[cell(classes[i], classes[j] if j < len(classes) else None).alias(c) for (i, j), c in names.items()])
+    size = marked.agg(*[sum(F.sum(names[i, j]) for j in range(len(classes) + 1)).alias(f"n{i}") for i in range(len(classes))])  # one row
+    per = replicated_sums(marked, F.col(unit), list(names.values()), replicates).crossJoin(F.broadcast(size))
+    drawn = lambda i: sum((F.col(names[i, j]) for j in range(len(classes) + 1)), F.lit(0.0))
+    scaled = lambda i, j: F.coalesce(F.try_divide(F.col(names[i, j]) * F.col(f"n{i}"), drawn(i)), F.lit(0.0))
+    every = range(len(classes))
+    there = [F.when(F.col(f"n{i}") > 0, 1).otherwise(0) for i in every]
+    recall = [ratio(scaled(i, i), F.col(f"n{i}")) for i in every]
+    f1 = [ratio(2 * scaled(i, i), F.col(f"n{i}") + sum((scaled(k, i) for k in every), F.lit(0.0))) for i in every]
+    mean = lambda xs: ratio(sum((F.coalesce(x, F.lit(0.0)) * t for x, t in zip(xs, there)), F.lit(0.0)), sum(there, F.lit(0)))
+    accuracy = ratio(sum((scaled(i, i) for i in every), F.lit(0.0)), sum((F.col(f"n{i}") for i in every), F.lit(0)))
+    return per.select("rep", accuracy.alias("accuracy"), mean(recall).alias("balanced_accuracy"), mean(f1).alias("macro_f1"))
+
+
+def cluster_macro_accuracy(df: DataFrame, cluster: str, question: str, label: str, pred: str, replicates: int = REPLICATES) -> DataFrame:
+    """(rep, balanced_accuracy): mean over questions of the balanced accuracy, whole clusters drawn; unreadable is wrong."""
+    right = F.coalesce(F.col(pred) == F.col(label), F.lit(False)).cast("int")
+    marked = df.select(F.col(cluster), F.col(question).alias("q"), F.col(label).alias("y"), F.lit(1).alias("n"), right.alias("hit"))
+    per = replicated_sums(marked, F.col(cluster), ["n", "hit"], replicates, ["q", "y"]).where("n > 0")
+    return per.groupBy("rep", "q").agg(F.avg(ratio(F.col("hit"), F.col("n"))).alias("ba")).groupBy("rep").agg(F.avg("ba").alias("balanced_accuracy"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators.running import exact_quantiles
+
 
 class ContractError(ValueError):
     """A table breaks a rule it must keep."""
@@ -90,6 +92,20 @@ def cited_evidence(reasons: DataFrame, records: DataFrame, allowed: Sequence[str
     return reasons.join(known, ["record", "date"], "left").select(*reasons.columns, F.col("file").isin(*allowed).alias("allowed"), (F.col("date") <= cutoff).alias("in_time"), F.col("__known").isNotNull().alias("found"))
 
 
+def input_qa(rows: DataFrame, arm: str, header: str, after: str, kept: str, images: str, expected: str, gap: str) -> DataFrame:
+    """What each arm's inputs hold: rows, rows with a header, with events after the prediction, with a report that had to
+    go, with another number of images than expected; median, 90th percentile and maximum of the days since the newest
+    record; and how many rows break a rule."""
+    broken = (F.col(after) > 0) | ~F.col(header) | F.col(kept) | ~F.col(images).eqNullSafe(F.col(expected))
+    counts = rows.groupBy(arm).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(header).alias("with_header"), F.count_if(F.col(after) > 0).alias("with_later_events"), F.count_if(kept).alias("with_report"),
+        F.count_if(~F.col(images).eqNullSafe(F.col(expected))).alias("wrong_images"), F.count_if(F.coalesce(broken, F.lit(True))).alias("broken"),
+    )
+    gaps = exact_quantiles(rows, gap, [0.5, 0.9, 1.0], [arm], "__gap")
+    at = [F.get("__gap", F.lit(i)).alias(n) for i, n in enumerate(("gap_median", "gap_p90", "gap_max"))]
+    return counts.join(gaps, arm, "left").select(*counts.columns, *at)
+
+
 def agrees(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
     """Rows of a re-read table that differ from their source by more than the tolerance, or are on one side only."""
     j = a.select(*keys, *[F.col(v).alias(f"__a_{v}") for v in values], F.lit(1).alias("__ina")).join(b.select(*keys, *[F.col(v).alias(f"__b_{v}") for v in values], F.lit(1).alias("__inb")), list(keys), "full_outer")

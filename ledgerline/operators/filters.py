@@ -73,6 +73,14 @@ def hidden_group(df: DataFrame, keys: Sequence[str], note: str, marker: str) ->
     return df.groupBy(*keys).agg(F.coalesce(F.bool_or(F.lower(F.col(note)).contains(marker.lower())), F.lit(False)).alias("hidden"))
 
 
+def group_any(df: DataFrame, keys: Sequence[str], flag: Column, name: str) -> DataFrame:
+    """df with whether any row of its group has the flag; nulls count as not. Groups are reduced before they are joined
+    back, so a group of any size is one row."""
+    found = df.groupBy(*keys).agg(F.coalesce(F.bool_or(flag), F.lit(False)).alias(name))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    return df.alias("l").join(found.alias("r"), same).select("l.*", f"r.{name}")
+
+
 def date_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
 

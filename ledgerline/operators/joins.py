@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators.contracts import require_unique
+from ledgerline.functions.arrays import cosine
+from ledgerline.functions.dates import shifted
 
 
 def right_wins(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -27,15 +28,58 @@ def without_done(df: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame
 
 
 def attach_link(df: DataFrame, link: DataFrame, on: dict[str, str], checked: bool = True) -> DataFrame:
-    """Left join on keys compared as text; a link key that repeats is an error (one aggregate before the join)."""
-    keys = list(on.values())
+    """Left join; keys whose types differ are compared as text. A link key that repeats is an error where it is met: the
+    link is gathered by the join's own keys, so the check costs no pass and no shuffle of its own."""
+    keys, rest = list(on.values()), [c for c in link.columns if c not in on.values()]
+    same = {b: df.schema[a].dataType == link.schema[b].dataType for a, b in on.items()}
+    as_key = lambda c, b: F.col(c) if same[b] else F.col(c).cast("string")
+    renamed = link.select(*[as_key(k, k).alias(f"__{k}") for k in keys], *rest)
     if checked:
-        require_unique(link, keys)
-    renamed = link.select(*[F.col(k).cast("string").alias(f"__{k}") for k in keys], *[c for c in link.columns if c not in keys])
-    cond = [F.col(a).cast("string") == F.col(f"__{b}") for a, b in on.items()]
+        names = [f"__{k}" for k in keys]
+        row, n = F.first(F.struct(F.lit(1).alias("__one"), *rest)), F.count(F.lit(1))
+        said = F.concat(F.lit(f"{keys} repeats: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in names]))
+        gathered = renamed.where(" AND ".join(f"`{k}` IS NOT NULL" for k in names)).groupBy(*names).agg(row.alias("__row"), n.alias("__n"))
+        renamed = gathered.select(*names, F.when(F.col("__n") == 1, F.col("__row")).otherwise(F.raise_error(said).cast(gathered.schema["__row"].dataType)).alias("__row")).select(*names, *[F.col(f"__row.{c}").alias(c) for c in rest])
+    cond = [as_key(a, b) == F.col(f"__{b}") for a, b in on.items()]
     return df.join(renamed, cond, "left").drop(*[f"__{k}" for k in keys])
 
 
+def one_to_one(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join in which no key repeats on either side; one that does is an error where it is met."""
+    return keyed_once(left, on).join(keyed_once(right, on), list(on))
+
+
+def keyed_once(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """df, gathered by its keys; a key that repeats raises an error."""
+    rest = [c for c in df.columns if c not in on]
+    gathered = df.groupBy(*on).agg(F.first(F.struct(F.lit(1).alias("__one"), *rest)).alias("__row"), F.count(F.lit(1)).alias("__n"))
+    said = F.concat(F.lit(f"{list(on)} repeats: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in on]))
+    row = F.when(F.col("__n") == 1, F.col("__row")).otherwise(F.raise_error(said).cast(gathered.schema["__row"].dataType))
+    return gathered.select(*on, row.alias("__row")).select(*on, *[F.col(f"__row.{c}").alias(c) for c in rest])
+
+
+def alike(df: DataFrame, vector: Column, master: DataFrame, column: str, above: float) -> DataFrame:
+    """Rows whose vector has a cosine above `above` with the one vector of master (refused if it has not one row)."""
+    if master.limit(2).count() != 1:
+        raise ValueError("the master vector is one row")
+    one = master.select(F.col(column).alias("__master"))
+    return df.withColumn("__vector", vector).crossJoin(F.broadcast(one)).where(cosine(F.col("__vector"), F.col("__master")) > above).drop("__vector", "__master")
+
+
+def events_of_notes(rows: DataFrame, notes: DataFrame, events: DataFrame, keys: Sequence[str], person: str, note: str, time: str, anchor: str, before: str) -> DataFrame:
+    """Events in [anchor - before, anchor] of each row's person whose note is one of the row's (keys, note) notes: two
+    equi-joins on person and note, with the range as a condition of the second."""
+    own = rows.join(notes.select(*keys, note).distinct(), list(keys))
+    seen = events.select(F.col(person).alias("__p"), F.col(note).alias("__n"), *[c for c in events.columns if c not in (person, note, *own.columns)])
+    met = (F.col(person) == F.col("__p")) & (F.col(note) == F.col("__n")) & F.col(time).between(shifted(F.col(anchor), before, -1), F.col(anchor))
+    return own.join(seen, met).drop("__p", "__n")
+
+
+def matched(a: DataFrame, b: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both tables on the keys that they share."""
+    return restrict(a, b, on), restrict(b, a, on)
+
+
 def label_columns(long: DataFrame, key: str, task: str, label: str, tasks: Sequence[str], allowed: Sequence[int] | None = None) -> DataFrame:
     """Long (key, task, label) to label__<task>; labels outside `allowed` become null; absent tasks are null columns."""
     value = F.col(label) if allowed is None else F.when(F.col(label).isin(*allowed), F.col(label))

@@ -11,6 +11,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.text import bound
+from ledgerline.storage import written
+
 K1, B = 1.2, 0.75
 
 
@@ -19,50 +22,76 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
-def postings(docs: DataFrame, key: str, partition: str, text: str, terms: Column) -> DataFrame:
-    """(partition, key, dl, term, tf) for the terms of the array column `terms` only."""
-    t = docs.select(F.col(partition), F.col(key), tokens(F.col(text)).alias("__t"), terms.alias("__q"))
-    own = F.filter("__t", lambda x: F.array_contains("__q", x))
-    return t.select(partition, key, F.size("__t").cast("bigint").alias("dl"), F.explode(own).alias("term")).groupBy(partition, key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+def tokenised(docs: DataFrame, key: str, partition: str, text: str) -> DataFrame:
+    """(partition, key, __t): the tokens of each document, written once for all rounds that search it."""
+    return written(docs.select(F.col(partition), F.col(key), tokens(F.col(text)).alias("__t")), "tokens")
 
 
-def bm25(docs: DataFrame, key: str, partition: str, text: str, terms: Column) -> DataFrame:
-    """(partition, key, score) of documents with a term; statistics are per partition (the entity searched in)."""
-    stats = docs.groupBy(partition).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("avg_dl"))
-    post = postings(docs, key, partition, text, terms)
+def bm25(own: DataFrame, key: str, partition: str, terms: Column) -> DataFrame:
+    """(partition, key, term, score) of documents (tokenised) that hold a term of the array column `terms`; statistics are
+    per partition (the entity searched in)."""
+    stats = own.groupBy(partition).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("__t")).alias("avg_dl"))
+    met = own.select(partition, key, F.size("__t").cast("bigint").alias("dl"), F.explode(bound(terms, lambda q: F.filter("__t", lambda x: F.array_contains(q, x)))).alias("term"))
+    post = met.groupBy(partition, key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df_ = post.groupBy(partition, "term").agg(F.count(F.lit(1)).alias("df"))
     scored = post.join(df_, [partition, "term"]).join(stats, partition)
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    return scored.groupBy(partition, key).agg(F.sum(idf * tf).alias("score"))
+    return scored.select(partition, key, "term", (idf * tf).alias("score"))
 
 
-def search(docs: DataFrame, key: str, partition: str, text: str, terms: Column, k: int, time: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Top k per partition by score, then key; a one-sided date range is open on the other side."""
+def _best(scored: DataFrame, key: str, groups: Sequence[str], k: int) -> DataFrame:
+    w = Window.partitionBy(*groups).orderBy(F.desc(F.round("score", 9)), key)
+    return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+
+
+def _dated(docs: DataFrame, time: str | None, start: str | None, end: str | None) -> DataFrame:
+    """A one-sided date range is open on the other side."""
     if time and start:
         docs = docs.where(F.col(time) >= F.lit(start))
     if time and end:
         docs = docs.where(F.col(time) <= F.lit(end))
-    w = Window.partitionBy(partition).orderBy(F.desc(F.round("score", 9)), key)
-    return bm25(docs, key, partition, text, terms).withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+    return docs
+
 
+def search(docs: DataFrame, key: str, partition: str, text: str, terms: Column, k: int, time: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Top k per partition by score, then key."""
+    own = tokenised(_dated(docs, time, start, end), key, partition, text)
+    total = bm25(own, key, partition, terms).groupBy(partition, key).agg(F.sum("score").alias("score"))
+    return _best(total, key, [partition], k)
 
-def frequent_new_terms(hits: DataFrame, docs: DataFrame, key: str, partition: str, text: str, searched: Sequence[str], n: int, least: int = 4) -> DataFrame:
+
+def search_each(docs: DataFrame, key: str, partition: str, text: str, terms: Sequence[str], k: int) -> DataFrame:
+    """(partition, key, terms): the top k of every term by itself, one row a document with the terms that found it; hits
+    without an id, which cannot be told apart, are all kept, one row each."""
+    own = tokenised(docs, key, partition, text)
+    hits = _best(bm25(own.where(F.col(key).isNotNull()), key, partition, F.array(*map(F.lit, terms))), key, [partition, "term"], k)
+    named = hits.groupBy(partition, key).agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    loose = own.where(F.col(key).isNull()).select(partition, key, F.sort_array(F.array_intersect("__t", F.array(*map(F.lit, terms)))).alias("terms"))
+    return named.unionByName(loose.where(F.size("terms") > 0))
+
+
+def frequent_new_terms(hits: DataFrame, own: DataFrame, key: str, partition: str, searched: Sequence[str], n: int, least: int = 4) -> DataFrame:
     """Per partition the n most frequent words of the hits that were not searched yet: the default proposer."""
-    words = hits.select(partition, key).join(docs.select(partition, key, text), [partition, key]).select(partition, F.explode(tokens(F.col(text))).alias("term"))
+    words = hits.select(partition, key).join(own, [partition, key]).select(partition, F.explode("__t").alias("term"))
     counts = words.where((F.length("term") >= least) & ~F.col("term").isin(*searched)).groupBy(partition, "term").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(partition).orderBy(F.desc("c"), "term")
     return counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).groupBy(partition).agg(F.sort_array(F.collect_list("term")).alias("terms"))
 
 
 def iterative_search(docs: DataFrame, key: str, partition: str, text: str, first: Sequence[str], rounds: int, k: int, n_terms: int, propose: Callable[..., DataFrame] = frequent_new_terms) -> DataFrame:
-    """(partition, key, iteration): each hit with the first round that found it. A round is one plan over all partitions."""
-    found = search(docs, key, partition, text, F.array(*map(F.lit, first)), k).select(partition, key, F.lit(0).cast("bigint").alias("iteration"))
-    last = found
+    """(partition, key, iteration): each hit with the first round that found it. A round is one plan over all partitions;
+    tokens and each round's hits are written, so that no round works out an earlier one again."""
+    own = tokenised(docs, key, partition, text)
+
+    def hits(table: DataFrame, terms: Column, i: int) -> DataFrame:
+        total = bm25(table, key, partition, terms).groupBy(partition, key).agg(F.sum("score").alias("score"))
+        return written(_best(total, key, [partition], k).select(partition, key, F.lit(i).cast("bigint").alias("iteration")), "hits")
+
+    found = last = hits(own, F.array(*map(F.lit, first)), 0)
     for i in range(1, rounds):
-        terms = propose(last, docs, key, partition, text, first, n_terms)
-        with_terms = docs.join(terms, partition)
-        last = search(with_terms, key, partition, text, F.col("terms"), k).select(partition, key, F.lit(i).cast("bigint").alias("iteration"))
+        terms = propose(last, own, key, partition, first, n_terms)
+        last = hits(own.join(terms, partition), F.col("terms"), i)
         found = found.unionByName(last)
     return found.groupBy(partition, key).agg(F.min("iteration").alias("iteration"))
 

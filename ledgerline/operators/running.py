@@ -1,26 +1,80 @@
-"""Running sums over one global order without a one-task window.
+"""Running sums and exact quantiles over an order, without a window that holds all rows of a key.
 
-Values are first summed per order key. Key ranges from approximate quantiles split the keys; a window
-runs inside each range, and the sums of the ranges before (a bounded table) are added.
+Values are first summed per order key. Key ranges from approximate quantiles split the order, as many as
+the table needs for RANGE_ROWS rows each; a window runs inside each range, and the sums of the ranges
+before, one row a key and range, are added.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+RANGE_ROWS = 500_000
 
-def running_sums(df: DataFrame, order: str, values: Sequence[str], ranges: int = 32) -> DataFrame:
-    """df has one row per `order`; adds before_<value>: the sum over all smaller keys."""
-    edges = df.agg(F.percentile_approx(order, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 1000)).first()[0] or []
-    edges = sorted(set(edges))
-    number = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(order))) if edges else F.lit(0)
-    parts = df.withColumn("__range", number)
-    sums = parts.groupBy("__range").agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
-    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most `ranges` rows
-    sums = sums.select("__range", *[F.coalesce(F.sum(f"__s_{v}").over(earlier), F.lit(0)).alias(f"__b_{v}") for v in values])
-    inner = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = parts.join(F.broadcast(sums), "__range")
-    return out.select(*df.columns, *[(F.coalesce(F.sum(v).over(inner), F.lit(0)) + F.col(f"__b_{v}")).alias(f"before_{v}") for v in values])
+
+def range_edges(df: DataFrame, order: str, rows_each: int = RANGE_ROWS) -> list:
+    """Where ranges of about rows_each rows start; empty for a table of one range."""
+    n = df.count()
+    ranges = -(-n // rows_each)
+    if ranges < 2:
+        return []
+    at = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    return sorted(set(df.agg(F.percentile_approx(order, at, 20 * ranges)).first()[0] or []))
+
+
+def range_number(order: str | Column, edges: Sequence) -> Column:
+    c = F.col(order) if isinstance(order, str) else order
+    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= c)) if edges else F.lit(0)
+
+
+def running_sums(df: DataFrame, order: str, values: Sequence[str], keys: Sequence[str] = (), rows_each: int = RANGE_ROWS) -> DataFrame:
+    """df has one row per keys and `order`; adds before_<value>: the sum over all smaller orders of the same keys."""
+    edges = range_edges(df, order, rows_each)
+    parts = df.withColumn("__range", range_number(order, edges))
+    inner = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = lambda v: F.coalesce(F.sum(v).over(inner), F.lit(0))
+    if not edges:
+        return parts.select(*df.columns, *[own(v).alias(f"before_{v}") for v in values])
+    sums = parts.groupBy(*keys, "__range").agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sums = sums.select(*keys, "__range", *[F.coalesce(F.sum(f"__s_{v}").over(earlier), F.lit(0)).alias(f"__b_{v}") for v in values])
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "__range"]]
+    out = parts.withColumns({f"__i_{v}": own(v) for v in values}).alias("p").join(sums.alias("s"), same)
+    return out.select(*[F.col(f"p.{c}") for c in df.columns], *[(F.col(f"__i_{v}") + F.col(f"__b_{v}")).alias(f"before_{v}") for v in values])
+
+
+def next_order(df: DataFrame, order: str, keys: Sequence[str] = (), name: str = "next", rows_each: int = RANGE_ROWS) -> DataFrame:
+    """df has one row per keys and `order`; adds the next larger order of the same keys."""
+    edges = range_edges(df, order, rows_each)
+    parts = df.withColumn("__range", range_number(order, edges))
+    inside = F.lead(order).over(Window.partitionBy(*keys, "__range").orderBy(order))
+    if not edges:
+        return parts.withColumn(name, inside).drop("__range")
+    starts = parts.groupBy(*keys, "__range").agg(F.min(order).alias("__first"))
+    starts = starts.select(*keys, "__range", F.lead("__first").over(Window.partitionBy(*keys).orderBy("__range")).alias("__after"))  # one row a range
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "__range"]]
+    out = parts.withColumn("__inside", inside).alias("p").join(starts.alias("s"), same)
+    return out.select(*[F.col(f"p.{c}") for c in df.columns], F.coalesce("__inside", "__after").alias(name))
+
+
+def exact_quantiles(df: DataFrame, value: str, cuts: Sequence[float], keys: Sequence[str] = (), name: str = "quantiles") -> DataFrame:
+    """(keys, quantiles): linear between neighbours, as numpy has it. Rows are counted per value and the ranks found in
+    running counts, so no task holds a column's values."""
+    per = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    cum = running_sums(per, value, ["__c"], keys)
+    total = per.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+    found = cum.join(total, list(keys)) if keys else cum.crossJoin(F.broadcast(total))  # one row
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("before___c") <= rank) & (rank < F.col("before___c") + F.col("__c")), F.col(value).cast("double")))
+
+    ends = []
+    for i, q in enumerate(cuts):
+        rank = F.lit(q) * (F.col("__n") - 1)
+        ends += [at(F.floor(rank)).alias(f"__a{i}"), at(F.ceil(rank)).alias(f"__b{i}")]
+    row = found.groupBy(*keys).agg(*ends, F.max("__n").alias("__n"))
+    part = lambda i, q: F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * (F.lit(q) * (F.col("__n") - 1) - F.floor(F.lit(q) * (F.col("__n") - 1)))
+    return row.select(*keys, F.array(*[part(i, q) for i, q in enumerate(cuts)]).alias(name))

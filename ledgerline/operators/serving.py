@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.functions.hashing import fingerprint
+from ledgerline.storage import written
 
 Model = Callable[[list[str]], list[str | None]]
 ADAPTERS: dict[str, Callable[..., Model]] = {}
@@ -69,10 +70,11 @@ def ask(df: DataFrame, request: str, model: Model, name: str = "response_text",
 
 
 def ask_with_cache(df: DataFrame, request: str, model: Model, cache: DataFrame, readable: Callable[[Column], Column], key: str = "message_key") -> tuple[DataFrame, DataFrame]:
-    """(rows with replies, rows to add to the cache). Only distinct requests that the cache lacks are asked; only
-    readable replies are kept for the cache. cache: (key, response_text)."""
+    """(rows with replies, rows to add to the cache). Only distinct requests that the cache lacks are asked, each once: the
+    replies are written to a table that both results read. Only readable replies are kept for the cache. cache: (key,
+    response_text)."""
     wanted = df.select(key, request).dropDuplicates([key])
-    fresh = ask(wanted.join(cache.select(key), key, "left_anti"), request, model)
+    fresh = written(ask(wanted.join(cache.select(key), key, "left_anti"), request, model), "replies")
     known = cache.select(key, "response_text", F.lit(None).cast("string").alias("error"), F.lit(True).alias("from_cache"))
     replies = known.unionByName(fresh.select(key, "response_text", "error", F.lit(False).alias("from_cache")))
     return df.join(replies, key, "left"), fresh.where(readable(F.col("response_text"))).select(key, "response_text")

@@ -10,6 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.running import exact_quantiles, range_edges, range_number
+from ledgerline.shipping import ship
+from ledgerline.storage import written
 
 
 def _per_time(df: DataFrame, keys: Sequence[str], time: str, event: str) -> DataFrame:
@@ -32,14 +35,18 @@ def censoring(df: DataFrame, keys: Sequence[str], time: str, event: str) -> Data
 
 
 def step_at(points: DataFrame, curve: DataFrame, keys: Sequence[str], at: str, x: str, y: str, name: str, before: float = 1.0) -> DataFrame:
-    """Value of the last x <= at of a right-continuous curve; `before` ahead of its start. One sequence per key, no pairs."""
+    """Value of the last x <= at of a right-continuous curve; `before` ahead of its start.
+
+    It is looked up once for each distinct time of a key and joined back, so a window holds times, not rows."""
     from ledgerline.operators.joins import latest_at_or_before
 
     k = F.struct(*keys) if keys else F.lit(1)
-    left = points.withColumn("__key", k)
+    left = points.select(*keys, at).distinct().withColumn("__key", k)
     right = curve.select(k.alias("__key"), F.col(x).cast(points.schema[at].dataType).alias("__x"), F.col(y).alias("__y"), F.lit(0).alias("__o"))
-    out = latest_at_or_before(left, right, "__key", at, "__x", "__y", "__o", name)
-    return out.withColumn(name, F.coalesce(F.col(name), F.lit(before))).drop("__key")
+    found = latest_at_or_before(left, right, "__key", at, "__x", "__y", "__o", name).drop("__key")
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in [*keys, at]]
+    out = points.alias("p").join(found.alias("f"), same, "left")
+    return out.select(*[F.col(f"p.{c}") for c in points.columns], F.coalesce(F.col(f"f.{name}"), F.lit(before)).alias(name))
 
 
 def trapezoid(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -61,51 +68,75 @@ def is_monotone(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     return df.select(*keys, (F.lag(x).over(w) < F.col(x)).alias("up")).groupBy(*keys).agg(F.coalesce(F.bool_and("up"), F.lit(True)).alias("increasing"))
 
 
-def c_index(df: DataFrame, keys: Sequence[str], time: str, event: str, risk: str, digits: int = 8) -> DataFrame:
+def dominated(t, dead, risk, n) -> tuple[float, float]:
+    """(won, pairs) over cells: pairs of a death and a cell that outlives it (a later time, or a censoring at the same
+    time); won where the death's risk is higher, half where it is equal. Times are halved again and again: deaths of the
+    earlier half meet the later half's risks in one sorted lookup."""
+    import numpy as np
+
+    def met(d: np.ndarray, o: np.ndarray) -> tuple[float, float]:
+        if not len(d) or not len(o):
+            return 0.0, 0.0
+        order = np.argsort(risk[o], kind="stable")
+        r, upto = risk[o][order], np.concatenate([[0.0], np.cumsum(n[o][order])])
+        below, same = upto[np.searchsorted(r, risk[d], "left")], upto[np.searchsorted(r, risk[d], "right")]
+        return float((n[d] * (below + same) / 2).sum()), float(n[d].sum() * upto[-1])
+
+    won = pairs = 0.0
+    order = np.argsort(t, kind="stable")
+    starts = np.concatenate([np.flatnonzero(np.concatenate([[True], np.diff(t[order]) != 0])), [len(order)]]) if len(order) else np.zeros(1, int)
+    stack = [(0, len(starts) - 1)]
+    while stack:
+        a, b = stack.pop()
+        if b - a < 1:
+            continue
+        if b - a == 1:
+            own = order[starts[a] : starts[b]]
+            w, p = met(own[dead[own]], own[~dead[own]])
+        else:
+            mid = (a + b) // 2
+            early, late = order[starts[a] : starts[mid]], order[starts[mid] : starts[b]]
+            w, p = met(early[dead[early]], late)
+            stack += [(a, mid), (mid, b)]
+        won, pairs = won + w, pairs + p
+    return won, pairs
+
+
+def c_index(df: DataFrame, keys: Sequence[str], time: str, event: str, risk: str, digits: int = 8, rows_each: int = 200_000) -> DataFrame:
     """Harrell's C: pairs whose earlier time is a death (a death and a censoring at one time count too); equal risks half.
 
-    Rows are summed per (time, event, rounded risk). A group's cells are counted in a Fenwick tree over risks,
-    latest time first, so the work is n log n and only cells, not rows, reach Python."""
-    cells = df.groupBy(*keys, F.col(time).cast("double").alias("t"), F.col(event).alias("e"), F.round(F.col(risk), digits).alias("r")).agg(F.count(F.lit(1)).alias("n"))
-    schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + ["c_index double", "pairs double"])
-
-    def count(key, pdf):
+    Rows are summed per (time, event, risk to `digits` digits: risks that near are equal). Times are cut into ranges of
+    about rows_each cells; a task has the cells of one range of a key, and of the ranges after it their counts by risk,
+    so pairs are counted by sorted lookups and no task pairs rows."""
+    import pyarrow as pa
+
+    cells = df.groupBy(*keys, F.col(time).cast("double").alias("t"), F.col(event).alias("e"), F.round(F.col(risk), digits).cast("double").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    edges = range_edges(cells, "t", rows_each)
+    cells = written(cells.withColumn("part", range_number("t", edges)), "c-index")
+    own = cells.select(*keys, "part", F.lit(False).alias("later"), "t", "e", "r", "n")
+    if edges:
+        by_risk = cells.groupBy(*keys, "part", "r").agg(F.sum("n").alias("n"))
+        after = by_risk.where("part > 0").select(*keys, F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("part"), "r", "n").groupBy(*keys, "part", "r").agg(F.sum("n").alias("n"))
+        own = own.unionByName(after.select(*keys, "part", F.lit(True).alias("later"), F.lit(0.0).alias("t"), F.lit(False).alias("e"), "r", "n"))
+    ship(df.sparkSession)
+
+    def count(key, table):
         import numpy as np
-        import pandas as pd
-
-        levels = np.unique(pdf.r.to_numpy())
-        tree = np.zeros(len(levels) + 1)
-
-        def add(i, v):
-            i += 1
-            while i < len(tree):
-                tree[i] += v
-                i += i & -i
-
-        def upto(i):
-            total = 0.0
-            while i > 0:
-                total += tree[i]
-                i -= i & -i
-            return total
-
-        pdf = pdf.assign(k=np.searchsorted(levels, pdf.r.to_numpy()))
-        won = pairs = there = 0.0
-        for _, rows in sorted(pdf.groupby("t"), key=lambda x: -x[0]):
-            for k, n in rows[~rows.e][["k", "n"]].itertuples(index=False):
-                add(k, n)
-                there += n
-            dead = rows[rows.e]
-            for k, n in dead[["k", "n"]].itertuples(index=False):
-                below, same = upto(k), upto(k + 1) - upto(k)
-                won += n * (below + same / 2)
-                pairs += n * there
-            for k, n in dead[["k", "n"]].itertuples(index=False):
-                add(k, n)
-                there += n
-        return pd.DataFrame([[*key, won / pairs if pairs else None, pairs]], columns=[*keys, "c_index", "pairs"])
-
-    return cells.groupBy(*keys).applyInPandas(count, schema)
+
+        later, t, e, r, n = (table[c].to_numpy() for c in ("later", "t", "e", "r", "n"))
+        t = np.where(later, np.inf, t)  # whoever comes after outlives every death here
+        won, pairs = dominated(t, e.astype(bool) & ~later, r, n.astype(float))
+        return pa.table({**{k: pa.array([v.as_py()], table.schema.field(k).type) for k, v in zip(keys, key)}, "won": pa.array([won]), "pairs": pa.array([pairs])})
+
+    schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + ["won double", "pairs double"])
+    per = own.groupBy(*keys, "part").applyInArrow(count, schema)
+    return per.groupBy(*keys).agg(F.try_divide(F.sum("won"), F.sum("pairs")).alias("c_index"), F.sum("pairs").alias("pairs"))
+
+
+def integrated_brier(per_time: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """(keys, integrated_brier): trapezoid area over the span; null where there is one time."""
+    area = trapezoid(per_time, keys, x, y)
+    return area.select(*keys, F.try_divide("area", "span").alias("integrated_brier"))
 
 
 def weighted_brier(df: DataFrame, keys: Sequence[str], time: str, event: str, surv: str, t: str, g_own: str, g_t: str) -> DataFrame:
@@ -128,7 +159,7 @@ def dynamic_auc(df: DataFrame, keys: Sequence[str], time: str, event: str, risk:
 
 def window_upper(df: DataFrame, time: str, event: str, q: float = 0.9, margin: float = 0.999) -> DataFrame:
     """One row: 0.999 x the earlier of the 90th percentile and the last of the event times."""
-    t = F.when(F.col(event), F.col(time).cast("double"))
-    return df.agg((F.least(F.percentile(t, q), F.max(t)) * margin).alias("upper"))
+    dead = df.where(F.col(event)).select(F.col(time).cast("double").alias("__t"))
+    return exact_quantiles(dead, "__t", [q, 1.0], name="__q").select((F.least(F.get("__q", F.lit(0)), F.get("__q", F.lit(1))) * margin).alias("upper"))
 
 

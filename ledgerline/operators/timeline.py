@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.dates import age_at
+from ledgerline.functions.text import demographics
+
 
 def ordered_text(df: DataFrame, keys: Sequence[str], order: Sequence[Column], line: Column, name: str, separator: str = "\n") -> DataFrame:
     """Lines of each group in order, as one text; null lines are left out."""
@@ -44,6 +47,15 @@ def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column], last:
     return row.select(*keys, "__row.*").select(*df.columns)
 
 
+def demographics_of(events: DataFrame, keys: Sequence[str], code: str, time: str, order: Sequence[Column], as_of: Column, sexes: dict[str, str]) -> DataFrame:
+    """(keys, header): age and sex from the pseudo-events of birth and gender, the first of each; unknown where there is none."""
+    first = lambda keep, value: F.min_by(F.when(keep, value), F.when(keep, F.struct(*order)))
+    is_sex = F.col(code).startswith("Gender/")
+    row = events.groupBy(*keys).agg(first(F.col(code) == "MEDS_BIRTH", F.col(time)).alias("__birth"), first(is_sex, F.substring_index(F.col(code), "/", -1)).alias("__sex"), F.max(as_of).alias("__at"))
+    words = F.element_at(F.create_map(*[F.lit(x) for kv in sexes.items() for x in kv]), F.col("__sex"))
+    return row.select(*keys, demographics(age_at(F.col("__birth"), F.col("__at")), words).alias("header"))
+
+
 def distinct_events(df: DataFrame, keys: Sequence[str], event_id: str, time: str, line: Column) -> DataFrame:
     """Retrieved events without repeats and without null ids, unknown times first."""
     one = df.where(F.col(event_id).isNotNull()).dropDuplicates([*keys, event_id])

@@ -32,11 +32,12 @@ def q36_answer_clean(conversations):
 CASES = [
     (1, r"Reasoning... <answer>No</answer> then <answer> Yes </answer>", "Yes"), (2, "<label>Stable disease</label>", "stable disease"), (3, 'I think "Progression" fits', "progression"), (4, "<a long explanation> | No", "no"),
     (5, r"so \boxed{\text{Yes}} it is \boxed{No}", "no"), (6, "plain last word yes", "yes"), (7, None, "yes"), (8, "<answer></answer> Maybe", "maybe"), (9, "A | B | <Yes>", "a"), (10, "answer: 'No' [TRUNCATED 3]", "no"),
+    (11, "<label></label> No", "no"), (12, f"<{'x' * 60}> end", "x" * 60), (13, r"\boxed{a \boxed{b}} c", "b"),
 ]
 
 
 @query("region", sql="""
-    SELECT * FROM (VALUES (1, 'Yes', true), (2, 'Stable disease', true), (3, 'Progression', false), (4, 'No', true), (5, 'No', true), (6, 'yes', true), (7, '', false), (8, 'Maybe', true), (9, 'Yes', true), (10, '3]', false)) v(case_id, answer, correct)""")
+    SELECT * FROM (VALUES (1, 'Yes', true), (2, 'Stable disease', true), (3, 'Progression', false), (4, 'No', true), (5, 'No', true), (6, 'yes', true), (7, '', false), (8, 'Maybe', true), (9, 'Yes', false), (10, '3]', false), (11, 'No', true), (12, repeat('x', 60), false), (13, 'a \\boxed{b}', false)) v(case_id, answer, correct)""")
 def q37_answer_extract(region):
     """Priority extraction and any-candidate match on stated replies."""
     ship(region.sparkSession)

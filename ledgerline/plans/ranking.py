@@ -89,13 +89,12 @@ def q46_auroc_macro(events):
     return metrics.with_macro(q, "question", ["run"], ["auroc"]).select("question", F.round("auroc", 9).alias("auroc"))
 
 
-REPS = 40
-_POISSON = "(" + " + ".join(f"(CASE WHEN u >= {p!r} THEN 1 ELSE 0 END)" for p in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)) + ")::BIGINT"
+REPS = bootstrap.REPLICATES
 
 
 @query("events", sql=f"""
     WITH e AS (SELECT user_id, weekofyear(ts)::VARCHAR AS question, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y, value AS s FROM events),
-    wts AS (SELECT rep, user_id, {_POISSON} AS w FROM (SELECT rep, user_id, ('0x' || substr(sha256('boot:' || rep || ':' || user_id), 1, 8))::BIGINT / 4294967296.0 AS u FROM (SELECT DISTINCT user_id FROM events), range({REPS}) t(rep))),
+    wts AS {bootstrap.weights_sql("(SELECT DISTINCT user_id FROM events)", "user_id", REPS)},
     base AS (SELECT 0 AS rep, question, y, s, 1::BIGINT AS w, false AS boot FROM e),
     drawn AS (SELECT rep, question, y, s, w, true AS boot FROM e JOIN wts USING (user_id) WHERE w > 0),
     c AS (SELECT boot, rep, question, s, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS pos, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS neg FROM (SELECT * FROM base UNION ALL SELECT * FROM drawn) GROUP BY ALL),
@@ -117,17 +116,15 @@ def q47_cluster_bootstrap(events):
 
 @query("lineitem", sql=f"""
     WITH l AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS t, CASE WHEN l_discount >= 0.05 THEN 1 ELSE 0 END AS a, CASE WHEN l_quantity >= 25 THEN 1 ELSE 0 END AS b FROM lineitem),
-    wts AS (SELECT rep, l_orderkey, {_POISSON} AS w FROM (SELECT rep, l_orderkey, ('0x' || substr(sha256('boot:' || rep || ':' || l_orderkey), 1, 8))::BIGINT / 4294967296.0 AS u FROM (SELECT DISTINCT l_orderkey FROM lineitem), range(20) r(rep))),
-    c AS (SELECT rep, t, sum(w) AS n, sum(CASE WHEN a = t THEN w ELSE 0 END) AS ha, sum(CASE WHEN b = t THEN w ELSE 0 END) AS hb FROM l JOIN wts USING (l_orderkey) GROUP BY ALL),
+    per AS (SELECT l_orderkey, t, count(*) AS n, count(*) FILTER (WHERE a = t) AS ha, count(*) FILTER (WHERE b = t) AS hb FROM l GROUP BY ALL),
+    wts AS {bootstrap.weights_sql("(SELECT DISTINCT l_orderkey FROM lineitem)", "l_orderkey", REPS)},
+    c AS (SELECT rep, t, sum(w * n) AS n, sum(w * ha) AS ha, sum(w * hb) AS hb FROM per JOIN wts USING (l_orderkey) GROUP BY ALL),
     d AS (SELECT rep, avg(hb::DOUBLE / n) - avg(ha::DOUBLE / n) AS difference FROM c WHERE n > 0 GROUP BY rep)
     SELECT round(quantile_cont(difference, 0.025), 6) AS low, round(quantile_cont(difference, 0.975), 6) AS high, count(difference) AS reps FROM d""")
 def q48_strat_bootstrap_diff(lineitem):
-    """Paired difference of two arms' balanced accuracies on shared draws, classes weighted within themselves.
-
-    Rows are summed to (order, truth, arms) cells before replicates multiply them."""
+    """Paired difference of two arms' balanced accuracies on shared draws, classes weighted within themselves."""
     rows = lineitem.select("l_orderkey", _y().alias("t"), (F.col("l_discount") >= 0.05).cast("int").alias("a"), (F.col("l_quantity") >= 25).cast("int").alias("b"))
-    d = bootstrap.stratified_accuracy_difference(rows, "l_orderkey", "t", "a", "b", 20)
-    i = bootstrap.interval(d, "difference")
+    i = bootstrap.interval(bootstrap.stratified_accuracy_difference(rows, "l_orderkey", "t", "a", "b", REPS), "difference")
     return i.select(r6("low").alias("low"), r6("high").alias("high"), "reps")
 
 
@@ -162,7 +159,22 @@ def q50_brier_oe(lineitem):
     return rows.groupBy("l_linestatus").agg(r6(metrics.brier(p, y)).alias("brier"), r6(metrics.observed_expected(p, y)).alias("observed_expected"), F.count_if(metrics.right_side_of_rate(p, F.col("rate"), y)).alias("right_side"), r6(F.avg(metrics.logit(p))).alias("mean_logit"), F.count_if(p > 0.25).alias("over"))
 
 
-@query("events")
+def _newton_sql(cells: str, keys: str, rounds: int = 12) -> str:
+    """DuckDB SQL of the rounds of a one-variable logistic regression over cells (keys, x, y, n)."""
+    steps = [f"b0 AS (SELECT {keys}, CASE WHEN min(x) < max(x) AND sum(y) > 0 AND sum(y) < sum(n) THEN 0.0::DOUBLE END AS a, CASE WHEN min(x) < max(x) AND sum(y) > 0 AND sum(y) < sum(n) THEN 0.0::DOUBLE END AS b, 1.0::DOUBLE AS moved FROM {cells} GROUP BY {keys})"]
+    for i in range(rounds):
+        steps.append(f"""s{i} AS (SELECT {keys}, a, b, sum(w) AS s0, sum(w * x) AS s1, sum(w * x * x) AS s2, sum(g) AS g0, sum(g * x) AS g1
+            FROM (SELECT *, n * m * (1 - m) AS w, y - n * m AS g FROM (SELECT *, 1 / (1 + exp(-(a + b * x))) AS m FROM {cells} JOIN b{i} USING ({keys}))) GROUP BY {keys}, a, b),
+            b{i + 1} AS (SELECT {keys}, CASE WHEN ok THEN a + da END AS a, CASE WHEN ok THEN b + db END AS b, CASE WHEN ok THEN greatest(abs(da), abs(db)) END AS moved
+            FROM (SELECT *, s0 * s2 - s1 * s1 > 1e-12 AND abs(b) <= 1e6 AS ok, (s2 * g0 - s1 * g1) / (s0 * s2 - s1 * s1) AS da, (s0 * g1 - s1 * g0) / (s0 * s2 - s1 * s1) AS db FROM s{i}))""")
+    return ",\n".join(steps)
+
+
+@query("events", sql=f"""
+    WITH r AS (SELECT weekofyear(ts) AS week, (event_type = 'error')::INT AS y, ((props->>'$.k')::DOUBLE % 100) / 100 AS p FROM events),
+    c AS (SELECT week, x, sum(y)::DOUBLE AS y, count(*)::DOUBLE AS n FROM (SELECT week, y, round(ln(least(greatest(p, 0.000001), 0.999999) / (1 - least(greatest(p, 0.000001), 0.999999))), 9) AS x FROM r) GROUP BY week, x),
+    {_newton_sql("c", "week")}
+    SELECT week, round(CASE WHEN moved < 1e-8 THEN b END, 6) AS slope, t.n::BIGINT AS n FROM b12 JOIN (SELECT week, sum(n) AS n FROM c GROUP BY week) t USING (week)""")
 def q51_calibration(events):
     """Slope of a logistic regression on the logit of a stated probability, per event week."""
     rows = events.select(F.weekofyear("ts").cast("bigint").alias("week"), (F.col("event_type") == "error").cast("int").alias("y"), (F.pmod(F.get_json_object("props", "$.k").cast("double"), F.lit(100)) / 100).alias("p"))

@@ -12,12 +12,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(*tables: str, sql: str | None = None):
-    """Registers fn(table...) under its name; it gets the named tables as DataFrames."""
+def query(*tables: str, sql: str | None = None, folder: bool = False):
+    """Registers fn(table...) under its name; it gets the named tables as DataFrames, and first, with folder, where they lie."""
 
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(*[table(spark, sf_dir, t) for t in tables])
+            return fn(*[sf_dir] * folder, *[table(spark, sf_dir, t) for t in tables])
 
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         QUERIES[fn.__name__] = run

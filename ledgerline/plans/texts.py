@@ -25,7 +25,7 @@ def q34_render_timeline(events):
 
 @query("documents", sql=r"""
     WITH d AS (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT contains(l, 'th')), chr(10)) AS kept FROM documents)
-    SELECT doc_id, len(string_split(kept, chr(10))) AS lines, CASE WHEN len(kept) > 80 THEN substr(kept, 1, 80) || '... [TRUNCATED]' ELSE kept END AS head,
+    SELECT doc_id, len(string_split(kept, chr(10))) AS lines, CASE WHEN len(string_split(kept, chr(10))) <= 4 THEN kept ELSE chr(10) || CASE WHEN len(kept) > 79 THEN substr(kept, 1, 79) || '... [TRUNCATED]' ELSE kept END END AS head,
            sha256(array_to_string(list_transform(string_split(replace(kept, '.', '. ') || chr(10) || 'a | VALUE: 3', chr(10)), lambda l: regexp_replace(regexp_replace(l, '[ \t]+$', ''), '\s*\|\s*VALUE:.*$', '')), chr(10))) AS trimmed FROM d""")
 def q35_line_ops(documents):
     """Lines with a marker dropped, line ends trimmed, VALUE parts stripped, text cut."""

@@ -43,6 +43,11 @@ def delimited(spark: SparkSession, path: str, schema: T.StructType | None = None
     return r.option("inferSchema", not text_ids).csv(path)
 
 
+def file_place() -> Column:
+    """Orders rows as their files have them: by file, by the place of the part of it that a task reads, then within it."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def parquet_columns(spark: SparkSession, path: str, columns: Sequence[str], key: str | None = None, keys: Sequence | DataFrame | None = None) -> DataFrame:
     """Only the named columns; keys as a list become a pushed filter, as a table a semi-join."""
     df = spark.read.parquet(path)
@@ -70,7 +75,7 @@ def xml_events(spark: SparkSession, path: str) -> DataFrame:
     """encounter > entry(timestamp) > event, one row an event, numbered in document order."""
     schema = T.StructType([T.StructField("_person", T.StringType()), T.StructField("entry", T._parse_datatype_string(ENTRY))])
     enc = spark.read.format("xml").option("rowTag", "encounter").schema(schema).load(path)
-    rows = enc.withColumn("doc", F.monotonically_increasing_id()).select("doc", "_person", F.posexplode("entry").alias("i", "e")).select("doc", "_person", "i", "e", F.posexplode("e.event").alias("j", "v"))
+    rows = enc.withColumn("doc", file_place()).select("doc", "_person", F.posexplode("entry").alias("i", "e")).select("doc", "_person", "i", "e", F.posexplode("e.event").alias("j", "v"))
     return rows.select(F.col("_person").alias("person"), F.try_to_timestamp("e._timestamp").cast("timestamp_ntz").alias("time"), F.col("v._code").alias("code"), F.col("v._name").alias("description"), F.col("v._VALUE").alias("text_value"), F.col("v._unit").alias("unit"), F.struct("doc", "i", "j").alias("doc_ord"))
 
 
@@ -84,7 +89,7 @@ def log_blocks(spark: SparkSession, path: str, header: str, value: str) -> DataF
     """(file, task, mean): a header line opens a block, the values after it belong to it."""
     from pyspark.sql import Window
 
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"), "value")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), file_place().alias("n"), "value")
     marked = lines.select("file", "n", F.nullif(F.regexp_extract("value", header, 1), F.lit("")).alias("h"), F.nullif(F.regexp_extract("value", value, 1), F.lit("")).try_cast("double").alias("v"))
     w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     return marked.withColumn("task", F.last("h", ignorenulls=True).over(w)).where("v IS NOT NULL AND task IS NOT NULL").groupBy("file", "task").agg(F.avg("v").alias("mean"), F.count("v").alias("n"))
@@ -98,9 +103,10 @@ def result_files(spark: SparkSession, root: str, pattern: str = "*_results_*.csv
     return df.select("*", part(-4).alias("source"), part(-3).alias("task"), part(-2).alias("model"), F.regexp_extract(part(-1), r"_results_(.+)\.csv$", 1).alias("experiment"))
 
 
-def per_patient(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """{root}/*/{table}.parquet; columns are whatever the files have."""
-    return spark.read.option("mergeSchema", True).parquet(f"{root}/*/{table}.parquet")
+def per_patient(spark: SparkSession, root: str, table: str, schema: T.StructType | None = None) -> DataFrame:
+    """{root}/*/{table}.parquet; columns are whatever the files have. With a schema no footers are read to find them out."""
+    reader = spark.read.option("mergeSchema", True) if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{root}/*/{table}.parquet")
 
 
 def looked_up(df: DataFrame, pairs: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.hashing import case_set_hash
+from ledgerline.shipping import ship
 from ledgerline.sources.readers import path_exists
 
 HEAVY = ("dynamic_prompt", "prompt", "note", "summary", "patient_string")
@@ -25,9 +26,22 @@ def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).option("escape", '"').csv(path)
 
 
+def recover_table(spark: SparkSession, path: str) -> bool:
+    """Puts a table back that a swap left without its name: the old one is beside the target until the new one has it."""
+    fs, target = _fs(spark, path)
+    if fs.exists(target):
+        return False
+    beside = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.*.old")) or []
+    for status in sorted(beside, key=lambda s: -s.getModificationTime()):
+        return bool(fs.rename(status.getPath(), target))
+    return False
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside the target, then swaps; a failed write leaves the old table."""
+    """Writes beside the target, then swaps; a failed write leaves the old table, and a swap that broke off between its two
+    renames is mended first (also by recover_table)."""
     spark, draft = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    recover_table(spark, path)
     df.write.parquet(draft)
     fs, target = _fs(spark, path)
     new, old = spark._jvm.org.apache.hadoop.fs.Path(draft), spark._jvm.org.apache.hadoop.fs.Path(f"{draft}.old")
@@ -87,6 +101,30 @@ def side_outputs(df: DataFrame, path: str, outcome: str = "outcome") -> None:
     df.write.mode("overwrite").partitionBy(outcome).parquet(path)
 
 
+def write_files(df: DataFrame, folder: str, name: str, content: str) -> int:
+    """One file a row (text or bytes) below the folder, each renamed into place whole; returns how many."""
+    from pyarrow import fs as stores
+
+    ship(df.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        n = 0
+        for batch in batches:
+            for file, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store, path = stores.FileSystem.from_uri(f"{folder.rstrip('/')}/{file}")
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                draft = f"{path}.{uuid.uuid4().hex}.draft"
+                with store.open_output_stream(draft) as out:
+                    out.write(body.encode() if isinstance(body, str) else body)
+                store.move(draft, path)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return df.select(name, content).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def document_text(df: DataFrame, key: str, order: list[str], line: str) -> DataFrame:
     """One text per id, lines in order."""
     from ledgerline.operators.timeline import ordered_text

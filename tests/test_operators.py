@@ -3,12 +3,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import answers, arrays, dates, hashing, text
 from ledgerline.operators import bootstrap, contracts, filters, joins, metrics, retrieval, sampling, survival, timeline
-from ledgerline.operators.running import running_sums
+from ledgerline.operators.running import exact_quantiles, next_order, running_sums
 
 
 def one(df):
@@ -19,8 +20,8 @@ def test_forced_answers_by_hand(spark):
     rows = spark.createDataFrame(list(zip([1, 1, 1, 0, 0], [1, 0, None, 0, 1])), "t int, p int")
     m = one(metrics.forced_answer(rows, "t", "p"))
     assert (m.n, m.accuracy) == (5, 0.4) and math.isclose(m.balanced_accuracy, (1 / 3 + 1 / 2) / 2)
-    c = one(metrics.confusion(rows.fillna(0), F.col("t"), F.col("p")))
-    assert math.isclose(c.sensitivity, 1 / 3) and c.specificity == 0.5
+    c = one(metrics.forced_answer(rows, "t", "p", binary=(0, 1)))
+    assert math.isclose(c.sensitivity, 1 / 3) and c.specificity == 0.5 and c.n_unreadable == 1
     rows = spark.createDataFrame(list(zip([0, 0, 1, 2], [0, 1, 1, None])), "t int, p int")
     m = one(metrics.forced_answer(rows, "t", "p"))
     assert m.balanced_accuracy == 0.5 and math.isclose(m.macro_f1, 4 / 9)
@@ -124,11 +125,124 @@ def test_steps_trapezoid_and_monotone(spark):
 
 def test_running_sums_over_ranges(spark):
     rows = [(float(i), i % 5) for i in range(300)]
-    got = {r.s: r.before_v for r in running_sums(spark.createDataFrame(rows, "s double, v long").repartition(7), "s", ["v"], 8).collect()}
+    got = {r.s: r.before_v for r in running_sums(spark.createDataFrame(rows, "s double, v long").repartition(7), "s", ["v"], rows_each=40).collect()}
     assert all(got[float(i)] == sum(r[1] for r in rows[:i]) for i in range(300))
     assert running_sums(spark.createDataFrame([], "s double, v long"), "s", ["v"]).count() == 0
 
 
+def test_ranges_with_keys_and_exact_quantiles(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), float(rng.randint(0, 400)) / 4) for _ in range(3000)] + [(None, 1.0), (None, 3.0), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    per = df.where("v IS NOT NULL").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    for each in (100, 10_000):
+        got = next_order(running_sums(per, "v", ["n"], ["k"], each), "v", ["k"], rows_each=each).collect()
+        for r in got:
+            own = sorted(v for k, v in rows if k == r.k and v is not None)
+            assert r.before_n == sum(v < r.v for v in own) and r.next == min((v for v in own if v > r.v), default=None)
+        assert len(got) == len({(k, v) for k, v in rows if v is not None})
+    found = {r.k: r.q for r in exact_quantiles(df.where("k IS NOT NULL"), "v", [0, 0.1, 0.5, 0.9, 1], ["k"], "q").collect()}
+    for k in "ab":
+        assert np.allclose(found[k], np.quantile([v for x, v in rows if x == k and v is not None], [0, 0.1, 0.5, 0.9, 1]))
+    assert one(exact_quantiles(df.limit(0), "v", [0.5], name="q")).q == [None]
+
+
+def test_weights_are_poisson_and_alike_in_every_engine(spark):
+    import duckdb
+
+    w = bootstrap.weights(np.arange(20_000, dtype=np.uint64) * np.uint64(2654435761) & np.uint64(0xFFFFFFFF), np.arange(50))
+    shares = np.bincount(w.ravel(), minlength=9) / w.size
+    assert np.allclose(shares[:6], [0.36788, 0.36788, 0.18394, 0.06131, 0.01533, 0.00307], atol=0.003)
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.03 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.5
+    df = spark.createDataFrame([(i, 1) for i in range(40)], "c long, v int")
+    got = {r.rep: r.v for r in bootstrap.replicated_sums(df, F.col("c"), ["v"], 130).collect()}
+    want = duckdb.sql(f"SELECT rep, sum(w) AS v FROM {bootstrap.weights_sql('(SELECT range AS c FROM range(40))', 'c', 130)} GROUP BY rep").fetchall()
+    assert got == {r: float(v) for r, v in want}
+
+
+def test_auroc_replicates_do_not_depend_on_ranges(spark):
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 60), rng.choice("xy"), int(rng.random() < 0.4), float(rng.randint(0, 30))) for _ in range(1500)]
+    df = spark.createDataFrame(rows, "c long, q string, y int, s double")
+    a, b = ({(r.rep, r.q): r.auroc for r in bootstrap.cluster_auroc(df, "c", "q", F.col("y"), F.col("s"), 30, each).collect()} for each in (10**6, 200))
+    assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], rel_tol=1e-12) for k in a)
+
+
+def test_stratified_metrics_of_a_sure_answer(spark):
+    rows = [(i, "ab"[i % 2], "ab"[i % 2]) for i in range(100)] + [(i, "a", None) for i in range(100, 150)]
+    m = bootstrap.stratified_metrics(spark.createDataFrame(rows, "u long, t string, p string"), "u", "t", "p", ["a", "b"], 200)
+    i = one(bootstrap.interval(m, "accuracy"))
+    assert i.low < 2 / 3 < i.high and one(bootstrap.interval(m, "balanced_accuracy")).high < 0.9
+    sure = bootstrap.stratified_metrics(spark.createDataFrame(rows[:100], "u long, t string, p string"), "u", "t", "p", ["a", "b"], 50)
+    assert {(r.accuracy, r.balanced_accuracy, r.macro_f1) for r in sure.collect()} == {(1.0, 1.0, 1.0)}
+    by_index = one(bootstrap.index_interval(spark.createDataFrame([(float(v),) for v in range(11)] + [(None,)], "v double"), "v"))
+    assert (by_index.low, by_index.high, by_index.reps) == (0.0, 10.0, 11)
+
+
+def test_forced_answers_with_unreadable_ones(spark):
+    rows = spark.createDataFrame([(1, 1), (1, 0), (1, None), (0, 0), (0, 1)], "t int, p int")
+    r = one(metrics.forced_answer(rows, "t", "p", binary=(0, 1)))
+    assert (r.n, r.n_unreadable, r.accuracy) == (5, 1, 0.4) and math.isclose(r.sensitivity, 1 / 3) and r.specificity == 0.5
+
+
+def test_regressions_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 2))
+    y = 2 + x @ [0.5, -1.5] + rng.normal(size=400)
+    label = (rng.random(400) < 1 / (1 + np.exp(-(x @ [1.0, -2.0])))).astype(int)
+    rows = [(int(i % 2), float(a) if i % 9 else None, float(b), float(t), int(z), i % 4 > 0) for i, ((a, b), t, z) in enumerate(zip(x, y, label))]
+    df = spark.createDataFrame(rows, "k int, a double, b double, t double, z int, train boolean")
+    for r in metrics.least_squares(df, "t", ["a", "b"], ["k"]).collect():
+        own = [(1, q[1], q[2], q[3]) for q in rows if q[0] == r.k and q[1] is not None]
+        want = np.linalg.lstsq(np.array([q[:3] for q in own]), np.array([q[3] for q in own]), rcond=None)[0]
+        assert np.allclose([r.intercept, *r.coefficients], want)
+    flat = one(metrics.least_squares(df.withColumn("b", F.lit(1.0)), "t", ["b"]))
+    assert flat.intercept is None
+    got = metrics.logistic_blend(df, "z", ["a", "b"], F.col("train")).collect()
+    assert len(got) == 400
+    z = np.array([[1, *v] for v in _standard(rows)])
+    fit, t = np.array([q[5] for q in rows]), np.array([q[4] for q in rows])
+    beta = np.zeros(z.shape[1])
+    for _ in range(40):
+        m = 1 / (1 + np.exp(-z[fit] @ beta))
+        pen = np.diag([0.0] + [1.0] * (z.shape[1] - 1))
+        beta = beta + np.linalg.solve((z[fit] * (m * (1 - m))[:, None]).T @ z[fit] + pen, z[fit].T @ (t[fit] - m) - pen @ beta)
+    want = {q[2]: p for q, p in zip(rows, 1 / (1 + np.exp(-z @ beta)))}
+    assert all(abs(r.blend - want[r.b]) < 1e-6 for r in got)
+
+
+def _standard(rows):
+    out = []
+    for i in (1, 2):
+        own = [q[i] for q in rows if q[5] and q[i] is not None]
+        out += [[np.mean(own) if q[i] is None else q[i] for q in rows], [float(q[i] is None) for q in rows]]
+    m = np.array(out)
+    fit = np.array([q[5] for q in rows])
+    spread = m[:, fit].std(axis=1, keepdims=True)
+    return np.where(spread > 0, (m - m[:, fit].mean(axis=1, keepdims=True)) / np.where(spread > 0, spread, 1), 0).T
+
+
+def test_c_index_over_time_ranges(spark):
+    rng = random.Random(16)
+    rows = [(1, float(rng.randint(1, 30)), rng.random() < 0.6, float(rng.randint(0, 9))) for _ in range(600)]
+    df = spark.createDataFrame(rows, "g int, t double, e boolean, risk double")
+    a, b = (one(survival.c_index(df, ["g"], "t", "e", "risk", rows_each=n)) for n in (10**6, 60))
+    assert a.pairs == b.pairs and math.isclose(a.c_index, b.c_index)
+
+
+def test_contradicting_horizons_costs_and_options(spark):
+    rows = spark.createDataFrame([(0.3, 0.2), (0.1, 0.2), (None, 0.4), (0.9, 0.1)], "a double, b double")
+    r = one(metrics.horizon_conflicts(rows, F.col("a"), F.col("b"), F.col("a") > 0.5, F.col("b") > 0.5))
+    assert (r.n, r.near_above_far, r.yes_then_no) == (4, 2, 1)
+    seen = spark.createDataFrame([("t", "x", 1.0), ("t", "x", 3.0), ("u", "y", 5.0)], "task string, arm string, cost double")
+    todo = spark.createDataFrame([("t", "x", 10), ("v", "x", 10), ("u", "y", 2), ("u", "z", 2)], "task string, arm string, n int")
+    got = {(r.task, r.arm): r.forecast for r in metrics.cost_forecast(seen, todo, "task", "arm", "cost", "n").collect()}
+    assert got == {("t", "x"): 20.0, ("v", "x"): 20.0, ("u", "y"): 10.0, ("u", "z"): None}
+    golden = spark.createDataFrame([(0, [0.6, 0.4]), (0, [0.3, 0.7]), (1, [0.7, 0.3]), (1, None)], "y int, p array<double>")
+    r = one(metrics.option_scores(golden, "y", "p", [0, 1]))
+    assert r.balanced_accuracy == 0.25 and r.top_two == 0.75 and r.auroc == 0.0
+
+
 def test_windows_filters_and_leaks(spark):
     e = spark.sql("SELECT timestamp_ntz'2024-01-08 00:00:00' AS a, explode(array(timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2023-12-31 23:59:59', timestamp_ntz'2024-01-08 00:00:00', timestamp_ntz'2024-01-08 00:00:01', NULL)) AS t")
     assert e.where(filters.in_window(F.col("t"), F.col("a"), "7d")).count() == 2
@@ -174,10 +288,12 @@ def test_lines_and_budgets(spark):
     lines = e.select(text.event_line(F.col("t"), F.col("c"), F.col("d"), text.rounded_text(F.col("v")), F.col("u"), F.col("n"), 5).alias("x")).collect()
     assert [r.x for r in lines] == ["[2024-03-01 10:05] | A/1 (desc) | VALUE: 2.2 mg | NOTE: two l...", "B"]
     full = "\n".join(f"[2024-01-{d:02d} 10:00] | code {d}" for d in range(1, 11))
-    kept = text.keep_latest_text(full, 130)
+    column = lambda t, c: spark.createDataFrame([(t,)], "t string").select(c(F.col("t")).alias("x")).first().x
+    kept = column(full, lambda t: text.keep_latest(t, 130))
     assert kept.startswith(text.OMITTED) and kept.endswith("code 10") and len(kept) <= 130
-    assert text.keep_latest_text("x" * 500, 100).startswith(text.OMITTED + "\nxxx") and text.keep_latest_text("short", 100) == "short"
-    assert text.last_k_dates_text(full, 2) == "\n".join(full.split("\n")[-2:])
+    cut = column("x" * 500, lambda t: text.keep_latest(t, 100))
+    assert cut.startswith(text.OMITTED + "\nxxx") and len(cut) == 100 and column("short", lambda t: text.keep_latest(t, 100)) == "short"
+    assert column(full, lambda t: text.last_k_dates(t, 2)) == "\n".join(full.split("\n")[-2:])
     t = spark.createDataFrame([(full,), (text.NO_EVENTS,), (None,)], "t string")
     assert [(r[0], r[1]) for r in t.select(text.count_events(F.col("t")), text.event_dates(F.col("t"))).collect()] == [(10, 10), (0, 0), (0, 0)]
     r = spark.createDataFrame([("a [M] b [M]",), ("none",)], "t string").select(text.replace_first(F.col("t"), "[M]", F.lit("x")).alias("r"))
@@ -190,8 +306,12 @@ def test_joins_refuse_duplicates_and_pick_rows(spark):
     rows = spark.createDataFrame([("007", 1), ("008", 2)], "acc string, x int")
     link = spark.createDataFrame([("007", 30)], "acc string, gap int")
     assert {r.acc: r.gap for r in joins.attach_link(rows, link, {"acc": "acc"}).collect()} == {"007": 30, "008": None}
-    with pytest.raises(contracts.ContractError):
-        joins.attach_link(rows, link.union(link), {"acc": "acc"})
+    with pytest.raises(Exception, match="repeats"):
+        joins.attach_link(rows, link.union(link), {"acc": "acc"}).collect()
+    assert joins.attach_link(rows.withColumn("acc", F.col("acc").cast("int")), link, {"acc": "acc"}).where("gap = 30").count() == 0  # as text, 7 is not 007
+    assert {r.acc: r.gap for r in joins.one_to_one(rows, link, ["acc"]).collect()} == {"007": 30}
+    with pytest.raises(Exception, match="repeats"):
+        joins.one_to_one(rows.union(rows), link, ["acc"]).collect()
     assert joins.without_done(rows, link, ["acc"]).count() == 1
     days = spark.createDataFrame([(1, -10, "b"), (1, 10, "a"), (1, 200, "c"), (2, 90, "d")], "p int, day int, acc string")
     near = joins.pick(days, ["p"], F.col("day").between(-60, 30), [F.abs("day"), F.col("day"), F.col("acc")], F.col("acc"), "start")

@@ -32,6 +32,23 @@ def test_only_unknown_requests_are_asked(spark):
         serving.adapter("none")
 
 
+def test_every_unknown_request_is_asked_once(spark, tmp_path):
+    def model(texts):
+        import uuid
+
+        (tmp_path / uuid.uuid4().hex).write_text("\n".join(texts))
+        return [f"re:{uuid.uuid4().hex}" for _ in texts]
+
+    df = serving.with_request_key(spark.createDataFrame([(f"c{i}", i, f"q{i % 6}") for i in range(24)], "case_id string, ord int, request string"), F.col("request")).repartition(3)
+    cache = spark.createDataFrame([], "message_key string, response_text string")
+    rows, new = serving.ask_with_cache(df, "request", model, cache, lambda c: c.isNotNull())
+    replies = {r.message_key: r.response_text for r in new.collect()}
+    assert all(r.response_text == replies[r.message_key] for r in rows.collect())
+    rows.count()
+    asked = [t for f in tmp_path.iterdir() for t in f.read_text().split("\n")]
+    assert sorted(asked) == [f"q{i}" for i in range(6)]
+
+
 def test_waves_and_caps(spark):
     df = requests(spark)
     lead = {(r.case_id, r.ord) for r in serving.waves(df, "case_id", [F.col("ord")], F.col("request") == "q0").where("wave = 0").collect()}
