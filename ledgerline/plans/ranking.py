@@ -205,3 +205,54 @@ def q55_best_variant(lineitem):
     return out.select("name", r6("ba").alias("ba"), "chosen")
 
 
+
+
+@query("lineitem", sql=f"""
+    WITH r AS (SELECT l_orderkey, l_returnflag AS q, (l_linestatus = 'F')::INT AS y, CASE WHEN l_discount > 0.02 THEN (l_quantity > 25)::INT END AS p FROM lineitem),
+    per AS (SELECT l_orderkey, q, y, count(*) AS n, count(*) FILTER (WHERE p = y) AS hit FROM r GROUP BY ALL),
+    wts AS {bootstrap.weights_sql("(SELECT DISTINCT l_orderkey FROM lineitem)", "l_orderkey", REPS)},
+    c AS (SELECT rep, q, y, sum(w * n) AS n, sum(w * hit) AS hit FROM per JOIN wts USING (l_orderkey) GROUP BY ALL),
+    b AS (SELECT rep, avg(ba) AS ba FROM (SELECT rep, q, avg(hit::DOUBLE / n) AS ba FROM c WHERE n > 0 GROUP BY rep, q) GROUP BY rep),
+    k AS (SELECT q, y, sum(w)::DOUBLE AS n, sum(CASE WHEN p = y THEN w ELSE 0 END) AS hit FROM (SELECT *, 1 + l_orderkey % 3 AS w FROM r) GROUP BY q, y)
+    SELECT (SELECT round(avg(ba), 6) FROM (SELECT q, avg(hit / n) AS ba FROM k GROUP BY q)) AS weighted, round(quantile_cont(ba, 0.025), 6) AS low, round(quantile_cont(ba, 0.975), 6) AS high, count(*) AS reps FROM b""")
+def q95_macro_accuracy(lineitem):
+    """Row-weighted balanced accuracy averaged over questions, and its interval from whole clusters."""
+    rows = lineitem.select("l_orderkey", F.col("l_returnflag").alias("q"), (F.col("l_linestatus") == "F").cast("int").alias("y"), F.when(F.col("l_discount") > 0.02, (F.col("l_quantity") > 25).cast("int")).alias("p"), (1 + F.col("l_orderkey") % 3).alias("w"))
+    point = metrics.forced_answer(rows, "y", "p", ["q"], weight="w").agg(r6(F.avg("balanced_accuracy")).alias("weighted"))
+    i = bootstrap.interval(bootstrap.cluster_macro_accuracy(rows, "l_orderkey", "q", "y", "p"), "balanced_accuracy")
+    return point.crossJoin(i).select("weighted", r6("low").alias("low"), r6("high").alias("high"), "reps")  # one row each
+
+
+_CLASSES = ("A", "N", "R")
+
+
+@query("lineitem", sql=f"""
+    WITH r AS (SELECT l_orderkey, l_returnflag AS t, CASE WHEN l_quantity < 15 THEN 'A' WHEN l_quantity < 30 THEN 'N' WHEN l_quantity < 45 THEN 'R' END AS p FROM lineitem),
+    per AS (SELECT l_orderkey, t, p, count(*) AS n FROM r GROUP BY ALL), size AS (SELECT t, count(*) AS total FROM r GROUP BY t),
+    wts AS {bootstrap.weights_sql("(SELECT DISTINCT l_orderkey FROM lineitem)", "l_orderkey", REPS)},
+    c AS (SELECT rep, t, p, sum(w * n)::DOUBLE AS n FROM per JOIN wts USING (l_orderkey) GROUP BY ALL), d AS (SELECT rep, t, sum(n) AS drawn FROM c GROUP BY ALL),
+    s AS (SELECT c.rep, c.t, c.p, c.n * total / drawn AS n, total FROM c JOIN d ON d.rep = c.rep AND d.t = c.t JOIN size ON size.t = c.t WHERE drawn > 0),
+    k AS (SELECT rep, x.t AS k, any_value(total) AS total, sum(n) FILTER (WHERE s.t = x.t AND p = x.t) AS hit, sum(n) FILTER (WHERE p = x.t) AS named FROM s, (VALUES ('A'), ('N'), ('R')) x(t) GROUP BY rep, x.t),
+    m AS (SELECT rep, sum(hit) / (SELECT sum(total) FROM size) AS accuracy, avg(hit / z.total) AS balanced_accuracy, avg(2 * hit / (z.total + named)) AS macro_f1 FROM k JOIN size z ON z.t = k.k GROUP BY rep),
+    l AS (SELECT rep, metric, value FROM m UNPIVOT (value FOR metric IN (accuracy, balanced_accuracy, macro_f1)))
+    SELECT metric, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(*) AS reps FROM l GROUP BY metric""")
+def q98_metric_intervals(lineitem):
+    """Intervals of every forced-answer metric, units drawn within their class."""
+    q = F.col("l_quantity")
+    rows = lineitem.select("l_orderkey", F.col("l_returnflag").alias("t"), F.when(q < 15, "A").when(q < 30, "N").when(q < 45, "R").alias("p"))
+    long = bootstrap.stratified_metrics(rows, "l_orderkey", "t", "p", _CLASSES).unpivot(["rep"], ["accuracy", "balanced_accuracy", "macro_f1"], "metric", "value")
+    return bootstrap.interval(long, "value", ["metric"]).select("metric", r6("low").alias("low"), r6("high").alias("high"), "reps")
+
+
+@query("events", sql=f"""
+    WITH e AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS k FROM events GROUP BY user_id),
+    wts AS {bootstrap.weights_sql("(SELECT user_id FROM e)", "user_id", REPS)},
+    r AS (SELECT rep, sum(w * k) AS k, sum(w * n) AS n FROM e JOIN wts USING (user_id) GROUP BY rep),
+    v AS (SELECT list_sort(list(k::DOUBLE / n)) AS v FROM r WHERE k > 0 AND k < n)
+    SELECT round(v[floor(round((len(v) - 1) * 0.025, 9))::INT + 1], 6) AS low, round(v[ceil(round((len(v) - 1) * 0.975, 9))::INT + 1], 6) AS high, len(v)::BIGINT AS reps FROM v""")
+def q99_index_interval(events):
+    """An interval by index into the sorted replicates; those in which a class is missing do not count."""
+    marked = events.select("user_id", F.lit(1).alias("n"), (F.col("event_type") == "error").cast("int").alias("k"))
+    reps = bootstrap.replicated_sums(marked, F.col("user_id"), ["n", "k"]).select("rep", F.when((F.col("k") > 0) & (F.col("k") < F.col("n")), F.col("k") / F.col("n")).alias("share"))
+    i = bootstrap.index_interval(reps, "share")
+    return i.select(r6("low").alias("low"), r6("high").alias("high"), "reps")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.plans import cohort, exchange, parsing, ranking, summaries, survival, texts
+from ledgerline.plans import cohort, exchange, parsing, ranking, rules, summaries, survival, texts
 from ledgerline.plans.register import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cohort", "exchange", "parsing", "ranking", "summaries", "survival", "texts"]
+__all__ = ["ORACLES", "QUERIES", "cohort", "exchange", "parsing", "ranking", "rules", "summaries", "survival", "texts"]

@@ -86,3 +86,23 @@ def q53_ipcw_brier(orders, customer):
     b = survival.weighted_brier(x, ["segment", "day"], "t", "e", "sv", "day", "g_own", "g_t")
     u = survival.dynamic_auc(x.withColumn("risk", 1 - F.col("sv")), ["segment", "day"], "t", "e", "risk", "day", "g_own")
     return b.join(u, ["segment", "day"]).select("segment", "day", r6("brier").alias("brier"), r6("auroc").alias("auc"))
+
+
+@query("orders", "customer", sql=f"""
+    WITH {PEOPLE}, {PER_TIME}, {CENS}, grid AS (SELECT segment, m * 90 AS day FROM (SELECT DISTINCT segment FROM s), range(1, 9) t(m)),
+    own AS (SELECT s.*, (SELECT arg_max(g, t) FROM gg WHERE gg.segment = s.segment AND gg.t <= s.t) AS g_own FROM s),
+    at_day AS (SELECT segment, day, coalesce((SELECT arg_max(g, t) FROM gg WHERE gg.segment = grid.segment AND gg.t <= grid.day), 1.0) AS g_t FROM grid),
+    x AS (SELECT o.segment, day, t, e, exp(-day / (200.0 + o.o_custkey % 300)) AS sv, g_own, g_t FROM own o JOIN at_day a ON o.segment = a.segment),
+    b AS (SELECT segment, day, avg(coalesce(CASE WHEN t <= day AND e THEN sv * sv / nullif(g_own, 0) WHEN t > day THEN (1 - sv) * (1 - sv) / nullif(g_t, 0) ELSE 0 END, 0)) AS brier FROM x GROUP BY ALL),
+    a AS (SELECT segment, day, (lead(day) OVER w - day) * (brier + lead(brier) OVER w) / 2 AS part FROM b WINDOW w AS (PARTITION BY segment ORDER BY day))
+    SELECT segment, round(sum(part) / (max(day) - min(day)), 6) AS integrated_brier FROM a GROUP BY segment""")
+def q100_integrated_brier(orders, customer):
+    """The censoring-weighted Brier score averaged over the scoring days."""
+    p = people(orders, customer)
+    g = survival.censoring(p, ["segment"], "t", "e")
+    own = survival.step_at(p, g, ["segment"], "t", "t", "g", "g_own")
+    grid = p.select("segment").distinct().select("segment", F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda m: (m * 90).cast("bigint"))).alias("day"))
+    at_day = survival.step_at(grid, g, ["segment"], "day", "t", "g", "g_t")
+    x = own.join(at_day, "segment").withColumn("sv", F.exp(-F.col("day") / (200.0 + F.col("o_custkey") % 300)))  # eight grid days a row
+    b = survival.weighted_brier(x, ["segment", "day"], "t", "e", "sv", "day", "g_own", "g_t")
+    return survival.integrated_brier(b, ["segment"], "day", "brier").select("segment", r6("integrated_brier").alias("integrated_brier"))
