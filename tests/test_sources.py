@@ -2,11 +2,13 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.sources import readers, sinks
+from ledgerline.operators import blocks
+from ledgerline.sources import readers, sinks, volumes
 from ledgerline.streaming.windows import windowed_counts
 
 
@@ -97,3 +99,53 @@ def test_event_windows_as_stream_and_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(r) for r in spark.table("w").collect()) == batch and [r[2] for r in batch] == [2, 1]
+
+
+def test_a_swap_that_broke_off_is_mended(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.replace_table(spark.range(3), path)
+    (tmp_path / "t").rename(tmp_path / "t.0123.old")  # a crash between the two renames
+    assert sinks.recover_table(spark, path) and spark.read.parquet(path).count() == 3
+    assert not sinks.recover_table(spark, path)
+    (tmp_path / "t").rename(tmp_path / "t.0123.old")
+    sinks.replace_table(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and not list(tmp_path.glob("*.old"))
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1), (1, 2, 0), (0, 2, 1)])
+@pytest.mark.parametrize("signs", [(1, 1, 1), (-1, 1, -1), (-1, -1, 1), (1, -1, -1)])
+def test_volumes_are_shown_alike_however_they_are_stored(order, signs):
+    world = np.arange(2 * 3 * 4, dtype=np.float32).reshape(2, 3, 4)  # towards right, front, head
+    stored, affine = world, np.zeros((4, 4))
+    for axis, sign in enumerate(signs):
+        stored = np.flip(stored, axis) if sign < 0 else stored
+    stored = stored.transpose(order)
+    for own, axis in enumerate(order):
+        affine[axis, own] = signs[axis] * (axis + 1.0)
+    affine[3, 3] = 1
+    spacing = tuple(float(order[i] + 1) for i in range(3))
+    v = volumes.Volume(volumes.encode(stored, affine, spacing))
+    assert len(v) == 4 and v.spacing == (1.0, 2.0, 3.0)
+    for k in range(4):
+        want = [[world[1 - c, 2 - r, 3 - k] for c in range(2)] for r in range(3)]  # front to back, the patient's right to the left
+        assert v.slice(k).tolist() == want
+    with pytest.raises(IndexError):
+        v.slice(4)
+    with pytest.raises(ValueError, match="not a NIfTI"):
+        volumes.Volume(b"x" * 400)
+
+
+def test_slides_become_tiles_that_the_manifest_lacks(spark, tmp_path):
+    gray = np.full((64, 64), 240, np.uint8)
+    gray[:32, :32] = np.random.default_rng(1).integers(20, 90, (32, 32))
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.pgm").write_bytes(b"P5 64 64 255\n" + gray.tobytes())
+    slides = spark.createDataFrame([("a.pgm",), ("b.pgm",)], "slide string")
+    manifest = spark.createDataFrame([("a.pgm", 0, 0)], "slide string, x int, y int")
+    assert [r.slide for r in blocks.untiled(slides, manifest, "slide").collect()] == ["b.pgm"]
+
+    def cut(content, name):
+        return [{"slide": name, "x": x, "y": y, "tissue": share} for x, y, share in blocks.tiles(volumes.read_pgm(content), 16)]
+
+    found = readers.volumes(spark, str(tmp_path), "*.pgm", cut, "slide string, x int, y int, tissue double").where("slide = 'b.pgm'").collect()
+    assert {(r.x, r.y) for r in found} == {(0, 0), (16, 0), (0, 16), (16, 16)}
