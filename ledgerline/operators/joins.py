@@ -66,6 +66,23 @@ def alike(df: DataFrame, vector: Column, master: DataFrame, column: str, above:
     return df.withColumn("__vector", vector).crossJoin(F.broadcast(one)).where(cosine(F.col("__vector"), F.col("__master")) > above).drop("__vector", "__master")
 
 
+def nearest(df: DataFrame, id_: str, vector: str, targets: DataFrame, name: str, target: str, block: int = 1000) -> DataFrame:
+    """df with `nearest` and `cos`: the target (name, vector) of highest cosine to each row's vector; ties go to the smaller
+    name. Targets are gathered in blocks of `block` rows. One block is broadcast; of more, each row meets one block at a
+    time, in a join on the block's number, and keeps the best."""
+    count = targets.count()
+    blocks = max(1, -(-count // block))
+    numbered = targets.withColumn("__b", F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int"))
+    gathered = numbered.groupBy("__b").agg(F.collect_list(F.struct(F.col(name).alias("n"), F.col(target).alias("v"))).alias("__targets"))
+    scored = F.transform("__targets", lambda z: F.struct(F.round(cosine(F.col(vector), z["v"]), 9).alias("cos"), (-z["n"]).alias("neg")))
+    if blocks == 1:
+        met = df.crossJoin(F.broadcast(gathered.drop("__b"))).withColumn("__best", F.array_max(scored))  # one row of at most `block` targets
+        return met.select(*df.columns, (-F.col("__best.neg")).cast(targets.schema[name].dataType).alias("nearest"), F.col("__best.cos").alias("cos"))
+    dealt = df.select(id_, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b"))
+    best = dealt.join(gathered, "__b").select(id_, F.array_max(scored).alias("__best")).groupBy(id_).agg(F.max("__best").alias("__best"))
+    return df.join(best, id_).select(*df.columns, (-F.col("__best.neg")).cast(targets.schema[name].dataType).alias("nearest"), F.col("__best.cos").alias("cos"))
+
+
 def events_of_notes(rows: DataFrame, notes: DataFrame, events: DataFrame, keys: Sequence[str], person: str, note: str, time: str, anchor: str, before: str) -> DataFrame:
     """Events in [anchor - before, anchor] of each row's person whose note is one of the row's (keys, note) notes: two
     equi-joins on person and note, with the range as a condition of the second."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import arrays, text
-from ledgerline.operators import retrieval, timeline
+from ledgerline.operators import joins, retrieval, timeline
 from ledgerline.plans.register import query
 
 r6 = lambda c: F.round(c, 6)
@@ -73,16 +73,13 @@ def q57_iter_retrieval(documents):
     h AS (SELECT vec_id, list_cosine_similarity(embedding[1:len(embedding) // 2]::DOUBLE[], embedding[len(embedding) // 2 + 1:]::DOUBLE[]) > 0.2 AS halves FROM embeddings)
     SELECT vec_id, any_value(s.label) AS label, arg_max(near, (round(cos, 9), -near)) AS nearest, round(max(cos), 6) AS cos, any_value(halves) AS halves FROM s JOIN h USING (vec_id) GROUP BY vec_id""")
 def q58_cosine_join(embeddings):
-    """Nearest label centroid of every vector, and whether its halves are alike. Centroids are one row a label."""
+    """Nearest label centroid of every vector, and whether its halves are alike."""
     cells = embeddings.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    cents = cells.groupBy().agg(F.collect_list(F.struct("label", "i", "m")).alias("c"))
-    by_label = F.array_sort(F.array_distinct(F.transform("c", lambda z: z["label"])))
-    cents = cents.select(F.transform(by_label, lambda k: F.struct(k.alias("label"), F.transform(F.array_sort(F.transform(F.filter("c", lambda z: z["label"] == k), lambda z: F.struct(z["i"].alias("i"), z["m"].alias("m")))), lambda z: z["m"]).alias("m"))).alias("cents"))
-    e = embeddings.crossJoin(F.broadcast(cents))  # one row: labels x dimensions
-    scored = F.transform("cents", lambda z: F.struct(F.round(arrays.cosine(F.col("embedding"), z["m"]), 9).alias("cos"), (-z["label"]).alias("neg")))
+    cents = cells.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda z: z["m"]).alias("m"))  # one value a dimension
     half = F.floor(F.size("embedding") / 2).cast("int")
-    halves = arrays.cosine(F.slice("embedding", F.lit(1), half), F.slice("embedding", half + 1, F.size("embedding") - half)) > 0.2
-    return e.select("vec_id", "label", F.array_max(scored).alias("b"), halves.alias("halves")).select("vec_id", "label", (-F.col("b.neg")).cast("int").alias("nearest"), r6("b.cos").alias("cos"), "halves")
+    halves = arrays.cosine(F.slice("embedding", F.lit(1), half), arrays.second_half(F.col("embedding"))) > 0.2
+    found = joins.nearest(embeddings, "vec_id", "embedding", cents, "label", "m")
+    return found.select("vec_id", "label", "nearest", r6("cos").alias("cos"), halves.alias("halves"))
 
 
 @query("part", sql="""

@@ -399,3 +399,43 @@ def test_keep_first_last_and_fill(spark):
     assert [r.f for r in timeline.forward_fill(e, ["k"], [F.col("o")], F.col("v"), "f").orderBy("o").collect()] == ["a", "a", "c"]
     d = timeline.distinct_events(spark.createDataFrame([(1, "e1", None, "x"), (1, "e1", None, "x"), (1, None, "t", "y"), (1, "e2", "2024", "z")], "k int, id string, t string, l string"), ["k"], "id", "t", F.col("l"))
     assert one(d).patient_string == "x\nz"
+
+
+def test_nearest_targets_over_blocks(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(50, 6)), rng.normal(size=(37, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    targets = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "n int, w array<double>")
+    cos = (x @ y.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)[None]
+    for block in (1000, 5):
+        got = {r.i: r.nearest for r in joins.nearest(df, "i", "v", targets, "n", "w", block).collect()}
+        assert got == {i: int(k) for i, k in enumerate(cos.argmax(1))}
+
+
+def test_truncation_candidates_and_headers(spark):
+    column = lambda c, **v: spark.createDataFrame([tuple(v.values())], ", ".join(f"{k} string" for k in v)).select(c.alias("x")).first().x
+    four, five = "a\nb\nc\nd", "a\nb\nc\nd\ne"
+    assert column(text.truncate(F.col("t"), 3), t=four) == four
+    assert column(text.truncate(F.col("t"), 5), t=five) == "\na\nb\n" + text.TRUNCATED and column(text.truncate(F.col("t"), 50), t=five) == "\n" + five
+    assert column(text.truncate(F.col("t"), 1), t=five) == ""
+    assert answers.answer_candidates("<answer></answer> No") == ["No", "<answer></answer> No"]
+    assert "x" * 51 not in answers.answer_candidates(f"<{'x' * 51}> a") and "x" * 50 in answers.answer_candidates(f"<{'x' * 50}> a")
+    assert answers.answer_candidates("one | two | <Yes>") == ["Yes", "<Yes>", "one | two"]
+    assert answers.boxed("\\boxed{" * 5000) == [] and answers.boxed("\\boxed{a\\boxed{b}}\\boxed{c}") == ["a\\boxed{b}", "c"]
+    assert column(text.demographics(F.lit(None), F.lit("male")), t="") == "PATIENT: age unknown years at the prediction time; sex male."
+    with pytest.raises(ValueError):
+        dates.parse_duration("6m")
+    assert column(dates.parse_time(F.col("t")), t="2024-01-02T03:04:05.678").second == 5
+    full = "head\n" + "\n".join(f"[2024-01-{d:02d} 10:00] | code {d}" for d in range(1, 6))
+    assert column(text.last_k_dates(F.col("t"), 9), t=full) == full and column(text.last_k_dates(F.col("t"), 3, 60), t=full) == "\n".join(full.split("\n")[-2:])
+    assert column(text.keep_latest(F.col("t"), 70), t="a\n" * 60 + "\n") == text.OMITTED + "\n" + "a\n" * ((70 - len(text.OMITTED) - 1 - 2) // 2) + "\n"
+
+
+def test_rows_per_group_flag_notes_and_master(spark):
+    rows = spark.createDataFrame([(None, True), (None, False), (1, False), (1, None), (2, True)], "k int, f boolean")
+    assert sorted((str(r.k), r.any) for r in filters.group_any(rows, ["k"], F.col("f"), "any").collect()) == [("1", False), ("1", False), ("2", True), ("None", True), ("None", True)]
+    v = spark.createDataFrame([(1, [1.0, 0.0, 1.0, 0.0]), (2, [1.0, 0.0, 0.0, 1.0])], "i int, v array<double>")
+    master = spark.createDataFrame([([2.0, 0.0],)], "m array<double>")
+    assert [r.i for r in joins.alike(v, arrays.second_half(F.col("v")), master, "m", 0.999).collect()] == [1]
+    with pytest.raises(ValueError):
+        joins.alike(v, F.col("v"), master.union(master), "m", 0.5)
