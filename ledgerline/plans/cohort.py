@@ -198,7 +198,19 @@ def q29_min_positive_sample(labels):
     return sampling.minimum_positives(both, "doc_id", ["quality", "toxic"], 5, 40, "minpos").select("doc_id", "quality", "toxic")
 
 
-@query("labels")
+def _cover_sql(table: str, key: str, columns: tuple[str, ...], cells: int, each: int, k: int, prefix: str) -> str:
+    """DuckDB SQL of the greedy cover of at most `cells` (column, value) cells, a step a cell."""
+    long = " UNION ALL ".join(f"SELECT {key}, h, '{c}' AS col, {c}::VARCHAR AS val FROM h WHERE {c} IS NOT NULL" for c in columns)
+    steps = [f"""h AS (SELECT DISTINCT {key}, sha256('{prefix}:' || {key}) AS h, {", ".join(columns)} FROM {table}), l AS ({long}),
+        c AS (SELECT col, val, row_number() OVER (ORDER BY count(*), col, val) AS r FROM l GROUP BY col, val), m AS (SELECT {key}, h, r FROM l JOIN c USING (col, val)), s0 AS (SELECT {key} FROM m WHERE false)"""]
+    for i in range(1, cells + 1):
+        need = f"greatest(0, least({each} - (SELECT count(*) FROM m WHERE r = {i} AND {key} IN (SELECT {key} FROM s{i - 1})), {k} - (SELECT count(*) FROM s{i - 1})))"
+        steps.append(f"s{i} AS (SELECT {key} FROM s{i - 1} UNION ALL SELECT {key} FROM (SELECT {key}, row_number() OVER (ORDER BY h, {key}) AS n FROM m WHERE r = {i} AND {key} NOT IN (SELECT {key} FROM s{i - 1})) WHERE n <= {need})")
+    fill = f"SELECT {key} FROM (SELECT {key}, row_number() OVER (ORDER BY h, {key}) AS n FROM (SELECT DISTINCT {key}, h FROM m) WHERE {key} NOT IN (SELECT {key} FROM s{cells})) WHERE n <= {k} - (SELECT count(*) FROM s{cells})"
+    return f"WITH {', '.join(steps)} SELECT DISTINCT {key}, {', '.join(columns)} FROM {table} WHERE {key} IN (SELECT {key} FROM s{cells} UNION ALL {fill})"
+
+
+@query("labels", sql=_cover_sql("labels", "doc_id", ("quality", "toxic"), 4, 5, 30, "cover"))
 def q30_greedy_cover(labels):
     """Every answer of both tasks carried five times, rarest first, then filled to 30."""
     ids = sampling.greedy_cover(labels.distinct(), "doc_id", ["quality", "toxic"], 5, 30, "cover")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.functions.dates import parse_time
-from ledgerline.operators import filters, joins, timeline
+from ledgerline.operators import blocks, filters, joins, timeline
 from ledgerline.plans.register import query
 from ledgerline.shipping import ship
 from ledgerline.sources import readers, sinks, volumes
@@ -220,3 +220,23 @@ def q77_times_and_cells(events, customer):
     a, b = (events.where(F.col("event_type") == t).select("user_id").distinct() for t in ("error", "signup"))
     grid = joins.cells(customer.select("c_mktsegment").distinct(), events.select("event_type").distinct())
     return one(later, "date").unionByName(one(joins.matched(a, b, ["user_id"])[0], "shared")).unionByName(one(grid, "cells"))
+
+
+@query("supplier", sql="""
+    SELECT 's' || s_suppkey || '.pgm' AS slide, 16 * i AS x, 16 * j AS y, 1.0::DOUBLE AS tissue FROM supplier, range(4) a(i), range(4) b(j) WHERE i <= s_nationkey % 3 AND s_suppkey % 4 > 0""")
+def q123_slide_tiles(supplier):
+    """Slides that the manifest does not list yet, cut into tiles that hold tissue."""
+    spark, folder = supplier.sparkSession, shared_dir(supplier.sparkSession, "slides")
+    dark, bright = F.lit(b"\x28"), F.lit(b"\xf0")
+    wide = lambda pixel, n: F.array_join(F.array_repeat(F.hex(pixel), n), "")
+    line = F.concat(wide(dark, (F.col("s_nationkey") % 3 + 1) * 16), wide(bright, (3 - F.col("s_nationkey") % 3) * 16))
+    body = F.concat(F.lit(b"P5 64 64 255\n"), F.unhex(F.array_join(F.array_repeat(line, 64), "")))
+    slides = supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".pgm")).alias("slide"), "s_suppkey", body.alias("body"))
+    manifest = slides.where("s_suppkey % 4 = 0").select("slide")
+    sinks.write_files(blocks.untiled(slides, manifest, "slide"), folder, "slide", "body")
+
+    def cut(content, name):
+        return [{"slide": name, "x": x, "y": y, "tissue": share} for x, y, share in blocks.tiles(volumes.read_pgm(content), 16)]
+
+    ship(spark)
+    return readers.volumes(spark, folder, "*.pgm", cut, "slide string, x long, y long, tissue double")

@@ -256,3 +256,24 @@ def q99_index_interval(events):
     reps = bootstrap.replicated_sums(marked, F.col("user_id"), ["n", "k"]).select("rep", F.when((F.col("k") > 0) & (F.col("k") < F.col("n")), F.col("k") / F.col("n")).alias("share"))
     i = bootstrap.index_interval(reps, "share")
     return i.select(r6("low").alias("low"), r6("high").alias("high"), "reps")
+
+
+def _ridge_sql(rounds: int = 8) -> str:
+    """DuckDB SQL of the rounds of a logistic regression with intercept and one penalised slope over c (x, y, n)."""
+    steps = ["b0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
+    for i in range(rounds):
+        steps.append(f"""g{i} AS (SELECT any_value(a) AS a, any_value(b) AS b, sum(w) AS s0, sum(w * x) AS s1, sum(w * x * x) + 1 AS s2, sum(y - n * m) AS g0, sum(x * (y - n * m)) - any_value(b) AS g1
+            FROM (SELECT *, n * m * (1 - m) AS w FROM (SELECT *, 1 / (1 + exp(-(a + b * x))) AS m FROM c, b{i}))),
+            b{i + 1} AS (SELECT a + (s2 * g0 - s1 * g1) / (s0 * s2 - s1 * s1) AS a, b + (s0 * g1 - s1 * g0) / (s0 * s2 - s1 * s1) AS b FROM g{i})""")
+    return ",\n".join(steps)
+
+
+@query("lineitem", sql=f"""
+    WITH r AS (SELECT l_quantity AS q, (l_returnflag = 'R')::INT AS y, l_shipdate < TIMESTAMP '1997-01-01' AS train FROM lineitem), k AS (SELECT avg(q) AS m, stddev_pop(q) AS s FROM r WHERE train),
+    c AS (SELECT (q - m) / s AS x, sum(y)::DOUBLE AS y, count(*)::DOUBLE AS n FROM r, k WHERE train GROUP BY x), {_ridge_sql()}
+    SELECT q AS l_quantity, count(*) AS n, round(1 / (1 + exp(-(any_value(a) + any_value(b) * (q - any_value(m)) / any_value(s)))), 6) AS blend FROM r, k, b8 WHERE NOT train GROUP BY q""")
+def q119_blend(lineitem):
+    """A logistic blend of standardised scores, fitted on one split and applied to the other."""
+    rows = lineitem.select("l_quantity", (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz")).alias("train"))
+    told = metrics.logistic_blend(rows, "y", ["l_quantity"], F.col("train")).where("NOT train")
+    return told.groupBy("l_quantity").agg(F.count(F.lit(1)).alias("n"), r6(F.max("blend")).alias("blend"))

@@ -312,7 +312,8 @@ def q108_content(part):
 def q109_configuration(region):
     """Registry, presets and variants resolved on the driver."""
     shared = {"t1": {"label_mapping": {"0": "no", "1": "yes", "-1": "n/a"}, "is_binary": True}, "t2": {"label_mapping": {"1": "high", "0": "low"}, "is_binary": True}}
-    tasks = config.resolve_registry([{"task_name": "t1", "shared_task": "t1"}, {"task_name": "panel", "panel_tasks": ["t2"]}], shared)
+    entries = config.read_config('{"tasks": [{"task_name": "t1", "shared_task": "t1"}, {"task_name": "panel", "panel_tasks": ["t2"]}]}')
+    tasks = config.resolve_registry(entries["tasks"], shared)
     presets = {"both": {"blocks": [1, 2]}}
     rows = [("task", t["task_name"], ",".join(t.get("choices", []))) for t in tasks]
     rows += [("preset", n, "unknown" if (e := config.expand_preset(n, presets))["unknown"] else f"{len(e['blocks'])} blocks") for n in ("both", "other")]
@@ -408,3 +409,47 @@ def q117_durations(orders):
     """Times moved by a calendar duration."""
     later = dates.shifted(F.col("o_orderdate"), "6mo", 1)
     return orders.select("o_orderkey", later.alias("later"), F.datediff(later, "o_orderdate").alias("gap"))
+
+
+@query("lineitem", sql="""
+    WITH r AS (SELECT l_linestatus, (l_returnflag = 'R')::INT AS t, CASE WHEN l_tax > 0.01 THEN (l_discount >= 0.05)::INT END AS p FROM lineitem)
+    SELECT l_linestatus, count(*) AS n, count(*) FILTER (WHERE p IS NULL) AS n_unreadable, round(avg((p IS NOT DISTINCT FROM t)::INT), 6) AS accuracy,
+           round(avg((p IS NOT DISTINCT FROM 1)::INT) FILTER (WHERE t = 1), 6) AS sensitivity, round(avg((p IS NOT DISTINCT FROM 0)::INT) FILTER (WHERE t = 0), 6) AS specificity FROM r GROUP BY l_linestatus""")
+def q118_forced_binary(lineitem):
+    """Two classes with unreadable predictions: they are wrong, and counted."""
+    rows = lineitem.select("l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("t"), F.when(F.col("l_tax") > 0.01, (F.col("l_discount") >= 0.05).cast("int")).alias("p"))
+    m = metrics.forced_answer(rows, "t", "p", ["l_linestatus"], binary=(0, 1))
+    return m.select("l_linestatus", "n", "n_unreadable", *[r6(c).alias(c) for c in ("accuracy", "sensitivity", "specificity")])
+
+
+@query("part", sql="""
+    WITH d AS (SELECT p_partkey, p_size AS n FROM part)
+    SELECT p_partkey, range(n)::BIGINT[] AS every, CASE WHEN n <= 7 THEN range(n) ELSE list_transform(range(7), lambda i: floor(i / 6.0 * (n - 1))::BIGINT) END AS few,
+           list_sort(list_distinct(list_transform(range(5), lambda j: round_even(round_even(0.2 * (n - 1), 0) + (round_even(0.8 * (n - 1), 0) - round_even(0.2 * (n - 1), 0)) * j / 4.0, 0)::BIGINT))) AS part_ FROM d""")
+def q120_selectors(part):
+    """Index generators by name."""
+    pick = lambda name, **k: arrays.SELECTORS[name](F.col("p_size"), **k)
+    return part.select("p_partkey", pick("all").alias("every"), pick("up_to_k", k=7).alias("few"), pick("fraction_range", count=5, low=0.2, high=0.8).alias("part_"))
+
+
+@query("embeddings", sql="""
+    SELECT vec_id FROM embeddings WHERE vec_id % 10 IN (3, 7)""")
+def q121_pack_check(embeddings):
+    """Rendered images whose bytes are gone or differ from the manifest's."""
+    pixels = embeddings.select("vec_id", F.concat_ws(",", F.transform(arrays.min_max_bytes(F.col("embedding")), lambda v: v.cast("string"))).cast("binary").alias("content"))
+    manifest = pixels.select("vec_id", F.sha2("content", 256).alias("sha256"))
+    pack = pixels.where("vec_id % 10 <> 3").withColumn("content", F.when(F.col("vec_id") % 10 == 7, F.lit("other").cast("binary")).otherwise(F.col("content")))
+    return blocks.damaged(pack, manifest, "vec_id", "content")
+
+
+@query("orders", sql="""
+    WITH o AS (SELECT *, sha256('pool:' || o_custkey || ':' || o_orderkey) AS h FROM orders),
+    one AS (SELECT o_custkey, arg_min(o_orderkey, h) AS o_orderkey, arg_min(o_orderstatus, h) AS status FROM o GROUP BY o_custkey),
+    m AS (SELECT o_orderkey, status, sha256('pool:' || o_orderkey) AS h FROM one), c AS (SELECT status, row_number() OVER (ORDER BY count(*), status) AS r FROM m GROUP BY status),
+    s AS (SELECT o_orderkey, h, row_number() OVER (PARTITION BY status ORDER BY h, o_orderkey) AS k FROM m), t AS (SELECT o_orderkey FROM s WHERE k <= 4),
+    f AS (SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY h, o_orderkey) AS n FROM m WHERE o_orderkey NOT IN (SELECT o_orderkey FROM t)) WHERE n <= 20 - (SELECT count(*) FROM t))
+    SELECT o_custkey, o_orderkey, status FROM one WHERE o_orderkey IN (SELECT o_orderkey FROM t UNION ALL SELECT o_orderkey FROM f)""")
+def q122_enriched_pool(orders):
+    """One order a customer, each status carried four times, then filled to 20."""
+    rows = orders.select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("status"))
+    return sampling.enriched_pool(rows, "o_custkey", "o_orderkey", ["status"], 4, 20, "pool").select("o_custkey", "o_orderkey", "status")
