@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,62 +14,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.files import new_file, open_file
 from ledgerline.shipping import ship
+from ledgerline.storage import clean, made, remove, scratch, shared_dir, shared_root, written
 
-__all__ = ["by_chunk", "chunks", "clean", "documents", "join_skewed", "keep_rows", "marked", "on_files", "remove", "scratch", "shared_dir", "shared_root", "ship", "sliced", "utf8", "written"]
-
-
-_made: dict[str, list[str]] = {}  # the folders made so far, by application
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir. Where it is unset, a local master gets a
-    temporary folder; a cluster is refused, since its machines do not share one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share with the driver")
-        found = f"file://{tempfile.mkdtemp(prefix='ledgerline-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/") if "://" in found else f"file://{found.rstrip('/')}"
-
-
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder name (URI) below the shared folder."""
-    path = f"{shared_root(spark)}/ledgerline-{label}-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = path or shared_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes folders that shared_dir named."""
-    own = _made.get(spark.sparkContext.applicationId, [])
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        if path in own:
-            own.remove(path)
-
-
-def clean(spark: SparkSession) -> None:
-    """Deletes every folder that the operators made in this application; their results cannot be read afterwards."""
-    remove(spark, list(_made.get(spark.sparkContext.applicationId, [])))
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Deletes, when left, the folders made inside it, but for those in the list it hands out."""
-    own = _made.setdefault(spark.sparkContext.applicationId, [])
-    before, stay = set(own), []
-    yield stay
-    remove(spark, [p for p in own if p not in before and p not in stay])
+__all__ = ["by_chunk", "chunks", "clean", "documents", "join_skewed", "keep_rows", "made", "marked", "on_files", "remove", "scratch", "shared_dir", "shared_root", "ship", "sliced", "utf8", "written"]
 
 
 def on_files(docs: DataFrame) -> DataFrame:
@@ -128,18 +72,16 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def join_skewed(rows: DataFrame, one: DataFrame, key: str, count: str) -> DataFrame:
-    """rows with the columns of one (one row a key, `count` = its rows; a written table): hot keys by broadcast, of which
-    there are fewer than a thousand whatever the input, the others by a merge."""
-    total = one.agg(F.sum(count)).first()[0] or 0
-    hot = one.where(F.col(count) * 1000 > total)
-    if not total or hot.limit(1).count() == 0:
-        return rows.join(one.hint("merge"), key)
+    """rows with the columns of one (one row a key, `count` = its rows): keys with over a thousandth of all rows by
+    broadcast, of which there are fewer than a thousand whatever the input, the others by a merge. One plan; what `one`
+    shuffles is shared by its parts."""
+    share = one.crossJoin(F.broadcast(one.agg(F.sum(count).alias("__total"))))  # one row
+    hot = F.col(count) * 1000 > F.col("__total")
     names = [c for c in one.columns if c != key]
-    near = F.broadcast(hot.select(F.col(key), F.struct(*names).alias("__hot")))
-    told = rows.join(near, key, "left")
-    few = told.where(F.col("__hot").isNotNull()).select(*rows.columns, "__hot.*")
-    rest = told.where(F.col("__hot").isNull()).select(*rows.columns).join(one.where(~(F.col(count) * 1000 > total)).hint("merge"), key)
-    return few.unionByName(rest)
+    near = F.broadcast(share.where(hot).select(F.col(key), F.struct(*names).alias("__hot")))
+    few = rows.join(near, key).select(*rows.columns, "__hot.*")
+    rest = rows.join(near.select(key), key, "left_anti").join(share.where(~hot).select(*one.columns).hint("merge"), key)
+    return few.unionByName(rest.select(*rows.columns, *names))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from ledgerline.llm.common import join_skewed, remove, scratch, shared_dir, writ
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (a, b), a > b. large: each node's larger neighbours go to its least one; else its smaller ones do."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m")), "cc-least")
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m"))
     joined = join_skewed(both, least, "a", "n")
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("x"), F.col("m").alias("y"))
@@ -32,7 +32,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node of its component."""
     spark = edges.sparkSession
-    path, sign = shared_dir(spark, "cc"), None
+    path = shared_dir(spark, "cc")
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc", path)
     for _ in range(most):
         with scratch(spark) as stay:
@@ -40,9 +40,8 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
             stay.append(path)
             now = written(_star(written(_star(now, True), "cc-large"), False), "cc", path)
         remove(spark, [before])
-        # A fixed point has every node under one root: no root is itself a child.
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == sign:
+        # Settled: every child has one root, and no root is itself a child.
+        ends = now.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select(F.col("a").alias("x"), "n").unionAll(now.select(F.col("b").alias("x"), F.lit(-1).cast("bigint").alias("n")).distinct())
+        if ends.groupBy("x").agg(F.max("n").alias("most"), F.min("n").alias("least")).where("most > 1 OR most = 1 AND least = -1").limit(1).count() == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        sign = tuple(seen)
     raise RuntimeError(f"components did not settle in {most} rounds")

@@ -105,7 +105,7 @@ def test_an_index_of_earlier_batches_drops_rows_seen_before(spark):
 def test_intermediate_tables_go(spark):
     from ledgerline.llm import common
 
-    made = common._made[spark.sparkContext.applicationId]
+    made = common.made(spark)
     tables = [t.name for t in spark.catalog.listTables()]
     with common.scratch(spark) as stay:
         before = len(made)
