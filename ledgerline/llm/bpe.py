@@ -9,7 +9,9 @@ earlier merge across the boundary, and is kept in a table. A prefix has one vali
 position that fails once is dead: the time is linear in the text.
 
 Edge cases: null text has no ids; special tokens in a text become their ids, as in the tokenizers
-library; a text of any length is one pass; an empty table gives an empty result.
+library; a text of any length is one pass; null ids keep their null; repeated rows are rows of their
+own; other columns are ignored; an empty table gives an empty result. A file that asks for another
+normaliser or splitter is refused.
 """
 
 from __future__ import annotations

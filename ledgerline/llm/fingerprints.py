@@ -17,7 +17,8 @@ range's first document is dealt to the range before it as well, and a task walks
 Edge cases: null text counts as empty; a text of fewer words than a shingle has one shingle of all
 its words, an empty one the shingle of no words; equal texts have equal sketches; of rows with one
 id the order is by text; null ids come first; a single document is its own next one; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; very long texts are sketched whole; other columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ coded by itself, so a reader takes any block range by its offsets and decodes al
 selector at once. An id of more than 60 bits is an escape: its word holds a place in the exceptions.
 
 Edge cases: null and empty texts hold the end id alone; null document ids come first; rows that
-repeat an id are written in order of text; an empty table writes no file and gives an empty result.
+repeat an id are written in order of text; very long texts run over as many blocks as they need;
+other columns are ignored; an empty table writes no file and gives an empty result.
 """
 
 from __future__ import annotations

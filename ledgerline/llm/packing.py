@@ -4,7 +4,10 @@ Documents are encoded once; what is longer than a sequence gives whole sequences
 Only the histogram of remainders (one count a length) reaches the driver. There the lengths are
 placed longest first: a count of equal pieces goes into the pattern with the most room, splitting
 its count, or opens a new pattern. Where that leaves too much padding (very many equal lengths), a
-counted share of those remainders is cut to the size of the room and the plan is made again.
+counted share of those remainders is cut to the size of the room and the plan is made again, as long
+as that lowers the padding by a hundredth; then single packs are dissolved into the room of others.
+What stays is at most PADDING of all, or, where few documents leave nothing to share, less than a
+sequence for each pattern (tests hold both).
 Patterns are joined back by rank: the k-th piece of a length belongs to the pattern whose rank
 range has k. Ranks come from running counts within the part that wrote a document plus the counts
 of the parts before, so no text or id is moved.
@@ -61,11 +64,12 @@ def plan(counts: dict[int, int], size: int = SEQUENCE, padding: float = PADDING)
     cuts: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
     whole = {k: v for k, v in counts.items() if v}
     parts: dict[int, int] = defaultdict(int)
-    patterns = shortest_pack_first(whole, size)
-    for _ in range(12):
+    patterns, before = shortest_pack_first(whole, size), None
+    while True:
         waste = sum((size - sum(p)) * n for p, n in patterns)
-        if waste <= padding * size * sum(n for _, n in patterns) or waste < size:
+        if waste <= padding * size * sum(n for _, n in patterns) or waste < size or before is not None and waste > 0.99 * before:
             break
+        before = waste
         new_cuts = 0
         for pattern, n in sorted(patterns, key=lambda x: -(size - sum(x[0])) * x[1]):
             free = size - sum(pattern)
@@ -91,8 +95,10 @@ def plan(counts: dict[int, int], size: int = SEQUENCE, padding: float = PADDING)
     return cuts, _fill(dict(patterns), whole, cuts, size, padding)
 
 
-def _fill(patterns: dict[tuple[int, ...], int], whole: dict[int, int], cuts: dict, size: int, padding: float, most: int = 2000) -> list[tuple[tuple[int, ...], int]]:
-    """Dissolves the emptiest packs one by one into the room of the others; for what has no counts to share."""
+def _fill(patterns: dict[tuple[int, ...], int], whole: dict[int, int], cuts: dict, size: int, padding: float) -> list[tuple[tuple[int, ...], int]]:
+    """Dissolves the emptiest packs one by one into the room of the others; for what has no counts to share: less than a
+    sequence a pattern, so the steps are bounded by the patterns, whatever the documents."""
+    most = 2000 + 4 * len(patterns)
     by_room: dict[int, set[tuple[int, ...]]] = defaultdict(set)
     for p in patterns:
         by_room[size - sum(p)].add(p)

@@ -9,10 +9,16 @@ a response, the others are revisits that carry no payload.
 The first of each group is found on (digest, id) rows with partial aggregation, and joined back to
 the pages by digest, where Spark may split the partition of a very frequent payload.
 
+Payloads are equal if their SHA-1 is. Record ids are unique: a payload's first response has one of
+page and payload, which revisits refer to; every other record's also names its archive and place in
+it. (Only where adaptive execution splits a payload's rows over tasks, and one page id repeats with
+that payload, can two responses meet in one id.)
+
 Edge cases: null html is the empty payload, and empty payloads revisit each other; rows that repeat
 a page id are records of their own, and with one payload all of them are responses if that id is the
-smallest; null page ids come after all others; an empty table writes no archive and gives an empty
-result; other columns are ignored.
+smallest; null page ids come after all others, and their records refer to nothing; very long pages
+are records like others; an empty table writes no archive and gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -61,15 +67,16 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["Content-Length"])]
 
 
-def page_record(page: int | None, url: str | None, payload: bytes, digest: str, first: int | None, revisit: bool) -> bytes:
+def page_record(page: int | None, url: str | None, payload: bytes, digest: str, first: int | None, revisit: bool, place: tuple = ()) -> bytes:
+    """place: what tells the record from others of its page and payload; empty for the one that revisits refer to."""
     uri = "".join((url or "").split()) or None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     headers = [
-        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id("page", page)), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}"),
+        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id("page", page, digest, *place)), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("X-Page-ID", None if page is None else str(page)), ("X-Payload-Length", str(len(payload))), ("Content-Type", "application/http; msgtype=response"),
     ]
     if revisit:
-        headers[3:3] = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id("page", first)), ("X-Refers-To-Page", str(first))]
+        headers[3:3] = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id("page", first, digest)), ("X-Refers-To-Page", str(first))]
     return record(headers, http if revisit else http + payload)
 
 
@@ -143,7 +150,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0,
     dealt = rows.join(first.hint("merge"), "digest").select("page_id", "url", "html", "digest", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = None
+        made = answered = None
         for batch in batches:
             if made is None and batch.num_rows:
                 number = TaskContext.get().partitionId()
@@ -151,8 +158,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0,
                 made = new_file(uri)
                 archive = Archive(made.__enter__(), number)
             for page, link, html, digest, head in zip(*(batch.column(i) for i in range(5))):
-                payload, page, head = html.as_buffer().to_pybytes(), page.as_py(), head.as_py()
-                archive.add(page_record(page, link.as_py(), payload, base64.b32encode(digest.as_py()).decode(), head, len(payload) >= least and head is not None and page != head))
+                payload, page, head, digest = html.as_buffer().to_pybytes(), page.as_py(), head.as_py(), digest.as_py()
+                revisit = len(payload) >= least and head is not None and page != head
+                first = not revisit and page is not None and page == head and digest != answered  # rows come in order of digest
+                answered = digest if first else answered
+                archive.add(page_record(page, link.as_py(), payload, base64.b32encode(digest).decode(), head, revisit, () if first else (number, archive.records)))
         if made is not None:
             archive.close()
             made.__exit__(None, None, None)

@@ -110,3 +110,39 @@ def test_packed_pieces_hold_every_id_once(spark):
         assert [x for _, ids, _ in own for x in ids] == want and {n for _, _, n in own} == {len(want)}
         assert [s for s, _, _ in own] == np.cumsum([0] + [len(ids) for _, ids, _ in own])[:-1].tolist()
     assert packing.pack_documents(frame(spark, []), BYTE, 0).count() == 0
+
+
+def test_padding_at_the_scale_of_many_documents():
+    rng = random.Random(6)
+    for counts in ({n: rng.randint(1, 2_000_000) for n in range(1, 1024)}, {700: 10**9, 40: 10**6}, {513: 10**8, 514: 3, 2: 10**7}, {rng.randint(300, 1023): 10**7 for _ in range(9)}):
+        cuts, patterns = packing.plan(dict(counts))
+        parts = {}
+        for length, own in cuts.items():
+            for n, pieces in own:
+                assert sum(pieces) == length
+                counts[length] -= n
+                for x in pieces:
+                    parts[x] = parts.get(x, 0) + n
+        for x, n in parts.items():
+            counts[x] = counts.get(x, 0) + n
+        placed = {}
+        for p, n in patterns:
+            assert sum(p) <= 1024
+            for x in p:
+                placed[x] = placed.get(x, 0) + n
+        assert placed == {k: v for k, v in counts.items() if v}
+        total = sum(n for _, n in patterns)
+        assert sum((1024 - sum(p)) * n for p, n in patterns) <= (packing.PADDING + len(patterns) / total) * 1024 * total
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "b a"), (None, "a"), (4, "x y"), (4, "x y"), (4, None), (4, "later")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tok = Tokenizer.from_file(WORD)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    got = sorted(idfiles.read_ids(spark, idfiles.write_ids(docs, WORD, end_id=2), keep=True).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.ids) for r in got] == [(i, tok.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in order]
+    packed = packing.pack_documents(docs, BYTE, end_id=0, keep=True).collect()
+    byte = Tokenizer.from_file(BYTE)
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    assert sorted([(r.doc_id, r.ids) for r in packed], key=key) == sorted([(i, byte.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in rows], key=key)

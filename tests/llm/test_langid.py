@@ -117,7 +117,7 @@ def test_the_query_learns_the_languages_of_documents(spark):
 
 
 def test_keeping_what_is_identified(spark):
-    rows = [(i, t, lang, i) for i, (t, lang) in enumerate(corpus(120))] + [(None, "the and ing that", "en", 7), (5, None, "en", 8), (5, "12 34", "en", 9)]
+    rows = [(i, t, lang, i) for i, (t, lang) in enumerate(corpus(120))] + [(None, "the and ing that", "en", 1007), (5, None, "en", 1008), (5, "12 34", "en", 1009)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred int").repartition(3)
     net = langid.fit(langid.training_rows(docs))
     kept = langid.keep_identified(docs, net, 0.3)

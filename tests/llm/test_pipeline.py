@@ -59,9 +59,9 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(got)
     total = {i: sum(r.length for r in packed if r.doc_id == i) for i in got}
     assert all(r.doc_tokens == total[r.doc_id] for r in packed)
-    made = len(common._made[spark.sparkContext.applicationId])
+    made = len(common.made(spark))
     rows_of_run = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert len(common._made[spark.sparkContext.applicationId]) == made + 1  # only the result stays
+    assert len(common.made(spark)) == made + 1  # only the result stays
     assert sorted(rows_of_run) == sorted(packed) and re and np
 
 

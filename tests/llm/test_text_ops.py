@@ -189,3 +189,16 @@ def test_token_counts_of_an_empty_table_and_null_ids(spark):
     assert tokencount.token_counts(frame(spark, []), path).collect() == [] == tokencount.terminal_counts(frame(spark, []), path).collect()
     rows = spark.createDataFrame([(None, "a b", 1), (3, None, 2), (3, "a b", 3), (3, "a b", 3)], "doc_id long, text string, n_tokens int")
     assert sorted((r.doc_id or -1, r.n_pretokens) for r in tokencount.token_counts(rows, path).collect()) == [(-1, 2), (3, 0), (3, 2), (3, 2)]
+
+
+def test_bpe_of_null_and_repeated_ids_and_an_empty_table(spark):
+    rows = spark.createDataFrame([(None, "b a", "x"), (3, None, "y"), (3, "b a", "z"), (3, "b a", "z")], "doc_id long, text string, ids string")
+    got = bpe.encode_decode(rows, WORD).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == [(-1, 2), (3, 0), (3, 2), (3, 2)]
+    assert bpe.encode_decode(frame(spark, []), WORD).count() == 0
+
+
+def test_fingerprints_of_one_id_with_several_texts(spark):
+    rows = spark.createDataFrame([(1, "b b b"), (1, "a a a"), (2, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_chars, r.near_next) for r in fingerprints.with_next(rows).collect())
+    assert got == [(1, 5, 0.0), (1, 5, 0.0), (2, 0, 0.0)]

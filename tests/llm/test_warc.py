@@ -32,6 +32,22 @@ def test_short_payloads_can_stay_responses(spark):
     assert kinds == {1: "response", 2: "response", 3: "response", 4: "revisit"}
 
 
+def test_repeated_and_null_page_ids_have_records_of_their_own(spark):
+    rows = [(1, "a"), (1, "a"), (2, "a"), (2, "a"), (None, "a"), (None, "b"), (None, "b"), (1, "c"), (3, "c")]
+    pages = spark.createDataFrame(rows, "page_id long, html string").repartition(2)
+    uris = warc.write_archives(pages)
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(spark, uris).collect()), key=str)
+    want = [(1, "response", None)] * 3 + [(2, "revisit", 1)] * 2 + [(3, "revisit", 1), (None, "response", None), (None, "response", None), (None, "revisit", 1)]
+    assert got == sorted(want, key=str)
+    headers = []
+    for uri in uris:
+        with warc.open_file(uri) as f:
+            headers += [h for h, _ in warc.read_archive(f)]
+    ids = [h["WARC-Record-ID"] for h in headers]
+    assert len(set(ids)) == len(ids) == len(rows) + len(uris)
+    assert {h["WARC-Refers-To"] for h in headers if "WARC-Refers-To" in h} <= set(ids)
+
+
 def test_each_record_is_a_frame_of_its_own(monkeypatch):
     monkeypatch.setattr(warc, "DICT_SAMPLE", 20_000)
     out = io.BytesIO()
