@@ -420,7 +420,7 @@ def test_truncation_candidates_and_headers(spark):
     assert column(text.truncate(F.col("t"), 1), t=five) == ""
     assert answers.answer_candidates("<answer></answer> No") == ["No", "<answer></answer> No"]
     assert "x" * 51 not in answers.answer_candidates(f"<{'x' * 51}> a") and "x" * 50 in answers.answer_candidates(f"<{'x' * 50}> a")
-    assert answers.answer_candidates("one | two | <Yes>") == ["Yes", "<Yes>", "one | two"]
+    assert answers.answer_candidates("one | two | <Yes>") == ["Yes", "one | two", "<Yes>"]
     assert answers.boxed("\\boxed{" * 5000) == [] and answers.boxed("\\boxed{a\\boxed{b}}\\boxed{c}") == ["a\\boxed{b}", "c"]
     assert column(text.demographics(F.lit(None), F.lit("male")), t="") == "PATIENT: age unknown years at the prediction time; sex male."
     with pytest.raises(ValueError):
@@ -439,3 +439,9 @@ def test_rows_per_group_flag_notes_and_master(spark):
     assert [r.i for r in joins.alike(v, arrays.second_half(F.col("v")), master, "m", 0.999).collect()] == [1]
     with pytest.raises(ValueError):
         joins.alike(v, F.col("v"), master.union(master), "m", 0.5)
+
+
+def test_windows_in_whole_numbers(spark):
+    r = spark.createDataFrame([([-5.0, 0.0, 0.5, 1.0, 9.0],)], "v array<double>").select(arrays.window_bytes(F.col("v"), 0.0, 1.0, True).alias("a"), arrays.window_bytes(F.col("v"), 0.0, 1.0, False).alias("b"), arrays.three_windows(F.col("v"), [(0.0, 1.0), (-5.0, 5.0), (0.0, 9.0)]).alias("c")).first()
+    assert r.a == [0, 0, 128, 255, 255] and r.b == [0, 0, 127, 255, 255]
+    assert [tuple(x) for x in r.c][0] == (0, 0, 0) and [tuple(x) for x in r.c][4] == (255, 255, 255) and [tuple(x) for x in r.c][1] == (0, 128, 0)
