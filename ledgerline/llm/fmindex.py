@@ -137,10 +137,10 @@ class Suffixes:
         return np.cumsum(self.first) - 1
 
 
-def earliest(groups: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Of each group, the member of least rank (as an index into the ordered suffixes)."""
-    best = np.lexsort((rank, groups))
-    return best[np.concatenate([[True], groups[best][1:] != groups[best][:-1]])] if len(groups) else best
+def least_of_groups(first: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Of each group of neighbours (first: where one starts) the least value."""
+    starts = np.flatnonzero(first)
+    return np.minimum.reduceat(values, starts) if len(starts) else values
 
 
 class FmIndex:
@@ -148,6 +148,8 @@ class FmIndex:
 
     def __init__(self, text: np.ndarray, depth: int, rank: np.ndarray | None = None, suffixes: Suffixes | None = None):
         self.depth, self.size = depth, len(text)
+        if len(text) >= 1 << 24:
+            raise ValueError("a shard's block is indexed up to 2 ** 24 words")
         own = suffixes or Suffixes(text, depth)
         top = int(text.max(initial=0))
         self.top = top
@@ -164,7 +166,9 @@ class FmIndex:
         first = np.append(own.first, False)
         self.group_bits = _packed(first)
         self.group_before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.group_bits), dtype=np.int64)])[:-1].astype(np.int32)
-        self.samples = own.order[earliest(own.groups(), own.order if rank is None else rank[own.order])].astype(np.int32)
+        # The place of least rank: ranks in the upper bits, places in the lower 24.
+        place = own.order if rank is None else rank[own.order] << 24 | own.order
+        self.samples = (least_of_groups(own.first, place) & ((1 << 24) - 1)).astype(np.int32)
 
     def first_place(self, low: np.ndarray) -> np.ndarray:
         """The sampled place of the group that starts at `low`."""

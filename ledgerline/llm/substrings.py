@@ -34,17 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import by_chunk, ship, utf8, written
+from ledgerline.llm.common import by_chunk, ship, trimmed, utf8, written
 from ledgerline.llm.fingerprints import _mix
-from ledgerline.llm.fmindex import FmIndex, Suffixes, earliest
-from ledgerline.llm.words import words_of
+from ledgerline.llm.fmindex import FmIndex, Suffixes, least_of_groups
+from ledgerline.llm.words import single_spaced, words_of
 
 WINDOW = 20
 GRAM = 6
-HOT = 50_000
+HOT = 5_000
 LONGEST = 256
-BLOCK_BYTES = 3 << 20
-HELD_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+HELD_BYTES = 6 << 20
 PLACES = 22  # bits of a place within a stretch of words
 LEAST_ID = -(1 << 63)
 
@@ -185,25 +185,25 @@ def _cut(joined: DataFrame, window: int, held_bytes: int = HELD_BYTES) -> DataFr
             edges, fields = batch.column(3).offsets.to_numpy().tolist(), [batch.column(3).values.field(f).to_numpy(zero_copy_only=False).tolist() for f in ("a", "c", "m", "hot")]
             base = edges[0]
             for i, (key, mark, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))):
-                words, own = text.as_buffer().to_pybytes().split(), None
-                joint = b" ".join(words)
-                sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-                ends = np.cumsum(sizes)
-                starts, ends = (ends - sizes).tolist(), (ends - 1).tolist()
+                text = text.as_buffer().to_pybytes()
+                joint, ends = single_spaced(text)
+                starts, joint, own = np.append(0, ends[:-1] + 1), joint.tobytes(), None
                 for a, c, m, hot in zip(*(f[edges[i] - base : edges[i + 1] - base] for f in fields)):
                     if not hot:
                         held.add(m, joint[starts[a] : ends[a + c + window - 2]], key, mark, a)
-                        continue
-                    own = run_hashes(word_hashes(words), window).view(np.int64).tolist() if own is None else own
-                    for j in range(a, a + c):
-                        held.add(own[j], joint[starts[j] : ends[j + window - 1]], key, mark, j)
-                if held.bytes > held_bytes:
-                    yield from held.rows()
-                    held = _Held()
+                    else:
+                        if own is None:
+                            codes, _, names = words_of(pa.array([text], pa.large_binary()))
+                            own = run_hashes(word_hashes(names)[codes], window).view(np.int64)
+                        for j in range(a, a + c):
+                            held.add(int(own[j]), joint[starts[j] : ends[j + window - 1]], key, mark, j)
+                    if held.bytes > held_bytes:
+                        yield from held.rows()
+                        held = _Held()
         if held.number:
             yield from held.rows()
 
-    return joined.select("key", "mark", "text", "segs", "rest").mapInArrow(run, SEGMENT)  # rest: so that both joins read one exchange
+    return joined.select("key", "mark", "text", "segs", "rest").mapInArrow(trimmed(run), SEGMENT)  # rest: so that both joins read one exchange
 
 
 class Block(NamedTuple):
@@ -237,14 +237,15 @@ class Block(NamedTuple):
         return self.key[own], self.mark[own], self.a[own] + place - self.begins[own]
 
     def ranks(self) -> np.ndarray:
-        """The order of all places by position; equal positions have equal ranks."""
-        key, mark, word = self.positions(np.arange(len(self.text)))
-        order = np.lexsort((word, mark, key))
+        """Numbers of all places that order windows by position, equal for equal positions. Windows of two segments of one
+        text never interleave, so segments are ordered, and places within one."""
+        order = np.lexsort((self.a, self.mark, self.key))
         new = np.zeros(len(order), np.int64)
-        new[1:] = (np.diff(key[order]) != 0) | (np.diff(mark[order]) != 0) | (np.diff(word[order]) != 0)
-        out = np.empty(len(order), np.int64)
-        out[order] = np.cumsum(new)
-        return out
+        new[1:] = (np.diff(self.key[order]) != 0) | (np.diff(self.mark[order]) != 0) | (np.diff(self.a[order]) != 0)
+        row = np.empty(len(order), np.int64)
+        row[order] = np.cumsum(new)
+        sizes = self.ends - self.begins + 1
+        return np.repeat(row * int(sizes.max(initial=1)) - self.begins, sizes) + np.arange(len(self.text))
 
     def starts(self, window: int) -> np.ndarray:
         """Where windows start."""
@@ -261,10 +262,10 @@ def _before(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
 
 def _repeated(block: Block, suffixes: Suffixes, window: int) -> np.ndarray:
     """The places of the block's windows that also stand at an earlier one of its places, from the sorted suffixes."""
-    rank, groups = block.ranks(), suffixes.groups()
-    least = rank[suffixes.order[earliest(groups, rank[suffixes.order])]]
+    rank = block.ranks()[suffixes.order]
+    least = least_of_groups(suffixes.first, rank)
     later = np.zeros(len(block.text), bool)
-    later[suffixes.order] = least[groups] < rank[suffixes.order]
+    later[suffixes.order] = least[suffixes.groups()] < rank
     starts = block.starts(window)
     return starts[later[starts]]
 
@@ -280,17 +281,22 @@ def streamed_windows(index: FmIndex, indexed: Block, block: Block, window: int)
     return met[_before(indexed.positions(first), block.positions(met))], starts[~full]
 
 
-def removed_windows(block: Block, window: int = WINDOW) -> np.ndarray:
-    """Where the windows of whole minimizers are that also start earlier (places in the block's text)."""
+def leaders_first(m: np.ndarray) -> tuple[np.ndarray, int]:
+    """The order that puts the first segment of each minimizer ahead of all others, and how many these are."""
+    lead = np.concatenate([[True], m[1:] != m[:-1]])
+    return np.argsort(~lead, kind="stable"), int(lead.sum())
+
+
+def removed_windows(block: Block, leading: int, window: int = WINDOW) -> np.ndarray:
+    """Where the windows of whole minimizers are that also start earlier (places in the block's text). The first `leading`
+    segments are the leaders; words are numbered in order of first use, so the index knows the least numbers only."""
     gone = []
-    lead = np.concatenate([[True], block.m[1:] != block.m[:-1]])
-    leaders, others = np.flatnonzero(lead), np.flatnonzero(~lead)
+    leaders, others = np.arange(leading), np.arange(leading, len(block.m))
     indexed = block.take(leaders)
     suffixes = Suffixes(indexed.text, window)
     own = _repeated(indexed, suffixes, window)
     gone.append(block.begins[leaders][indexed.owner(own)] + own - indexed.begins[indexed.owner(own)])
     if len(others):
-        # Word numbers of the leaders come first, so that the index knows no others.
         index = FmIndex(indexed.text, window, indexed.ranks(), suffixes)
         rest = block.take(others)
         back = lambda b, at: block.begins[others][b.owner(at)] + at - b.begins[b.owner(at)]
@@ -308,18 +314,12 @@ def removed_windows(block: Block, window: int = WINDOW) -> np.ndarray:
 
 
 def block_of(m: np.ndarray, key: np.ndarray, mark: np.ndarray, a: np.ndarray, content: pa.Array) -> Block:
+    """Segments as a block; words are numbered in order of first use."""
     codes, counts, _ = words_of(content)
-    lead = np.concatenate([[True], m[1:] != m[:-1]])
-    # Numbers in order of first use by a leader, then by the others.
-    first_use = np.argsort(np.repeat(~lead, counts), kind="stable")
-    _, at = np.unique(codes[first_use], return_index=True)
-    number = np.empty(len(at), np.int64)
-    number[np.argsort(at, kind="stable")] = np.arange(1, len(at) + 1)
     ends = np.cumsum(counts + 1) - 1
-    begins = ends - counts
     text = np.zeros(int(ends[-1]) + 1, np.int64)
-    text[np.arange(len(codes)) + np.repeat(np.arange(len(counts)), counts)] = number[codes]
-    return Block(text, begins, ends, m, key, mark, a)
+    text[np.arange(len(codes)) + np.repeat(np.arange(len(counts)), counts)] = codes.astype(np.int64) + 1
+    return Block(text, ends - counts, ends, m, key, mark, a)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -360,10 +360,11 @@ def _ranges(segments_: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _blocks(batches, block_bytes):
-            table = table.combine_chunks()
+            order, leading = leaders_first(table.column(0).to_numpy())
+            table = table.take(pa.array(order)).combine_chunks()
             m, key, mark, a = (table.column(i).to_numpy().astype(np.int64) for i in range(4))
             block = block_of(m, key, mark, a, table.column(4).chunk(0))
-            gone = np.sort(removed_windows(block, window))
+            gone = np.sort(removed_windows(block, leading, window))
             cut = np.flatnonzero((np.diff(gone) != 1) | (np.diff(block.owner(gone)) != 0))
             first, last = (gone[np.concatenate([[0], cut + 1])], gone[np.concatenate([cut, [len(gone) - 1]])]) if len(gone) else (gone, gone)
             o = block.owner(first)
@@ -383,7 +384,55 @@ def _ranges(segments_: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -
     ship(segments_.sparkSession)
     n = max(8, int(segments_.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = segments_.repartition(n, "m").sortWithinPartitions("m", "key", "mark", "a")
-    return dealt.mapInArrow(run, "key long, mark long, f int, t int")
+    return dealt.mapInArrow(trimmed(run), "key long, mark long, f int, t int")
+
+
+def matching_intervals(docs: DataFrame, against: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, f, t): the intervals of words of each document, as long as they go, all of whose runs of `window` words stand
+    somewhere in `against`. The shards of `against` are indexed, the documents are streamed through them. Rows that repeat
+    an id are told apart by their text and report each its own; documents without a match report nothing."""
+    ship(docs.sparkSession)
+    sides = [_keyed(df, id_col, text_col, []) for df in (against, docs)]
+    met = [_occurrences(side, window) for side in sides]
+    rows = []
+    for i, side in enumerate(sides):
+        shared = met[i].join(met[1 - i].select("m").distinct().hint("merge"), "m", "left_semi")
+        segs = written(shared.groupBy("key", "mark").agg(F.collect_set(F.struct("a", "c", "m", F.lit(False).alias("hot"))).alias("segs")), "interval-segments")
+        rows.append(_cut(side.join(segs.hint("merge"), ["key", "mark"]), window).withColumn("streamed", F.lit(i == 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _blocks(batches, block_bytes):
+            table = table.combine_chunks()
+            streamed = table.column("streamed").to_numpy().astype(bool)
+            own = [table.column(i).to_numpy().astype(np.int64) for i in range(4)]
+            # The indexed rows first.
+            order = np.argsort(streamed, kind="stable")
+            block = block_of(streamed[order].astype(np.int64), own[1][order], own[2][order], own[3][order], table.column(4).chunk(0).take(pa.array(order)))
+            held, asked = np.flatnonzero(~streamed[order]), np.flatnonzero(streamed[order])
+            if not len(held) or not len(asked):
+                continue
+            rest = block.take(asked)
+            index = FmIndex(block.take(held).text, window)
+            lengths, _ = index.matching_statistics(rest.text, rest.begins, rest.ends)
+            full = np.flatnonzero(lengths >= window)
+            if not len(full):
+                continue
+            cut = np.flatnonzero((np.diff(full) != 1) | (np.diff(rest.owner(full)) != 0))
+            first, last = full[np.concatenate([[0], cut + 1])], full[np.concatenate([cut, [len(full) - 1]])]
+            row = rest.owner(first)
+            f, t = first - rest.begins[row], last - rest.begins[row] + window
+            places = table.column(5).chunk(0).take(pa.array(order[asked[row]]))  # equal segments of a task: one match, many places
+            many, flat = np.repeat(np.arange(len(row)), places.value_lengths().to_numpy()), places.flatten()
+            a = flat.field("a").to_numpy().astype(np.int64)
+            yield pa.RecordBatch.from_arrays([flat.field("key"), flat.field("mark"), pa.array((a + f[many]).astype(np.int32)), pa.array((a + t[many]).astype(np.int32))], ["key", "mark", "f", "t"])
+
+    n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows[0].unionByName(rows[1]).repartition(n, "m").sortWithinPartitions("m", "streamed", "key", "mark", "a")
+    found = dealt.mapInArrow(trimmed(run), "key long, mark long, f int, t int").groupBy("key", "mark").agg(F.sort_array(F.collect_set(F.struct("f", "t"))).alias("r"))
+    # Intervals of neighbouring segments overlap by window - 1 words: where the next one starts no later than a window would, they are one.
+    step = lambda done, r: F.when((F.size(done) > 0) & (r["f"] <= F.element_at(done, -1)["t"] - (window - 1)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["f"].alias("f"), F.greatest(F.element_at(done, -1)["t"], r["t"]).alias("t"))))).otherwise(F.concat(done, F.array(r)))
+    joined = F.aggregate("r", F.expr("CAST(array() AS array<struct<f: int, t: int>>)"), step)
+    return found.select(F.when(F.col("key") != LEAST_ID, F.col("key")).alias(id_col), F.inline(joined))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = HOT, keep: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -400,20 +449,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n, gone, sha, texts, ranges = [], [], [], [], []
         for text, runs_ in zip(batch.column(1), batch.column(2).to_pylist()):
-            words = text.as_buffer().to_pybytes().split()
-            n.append(len(words))
+            joint, ends = single_spaced(text.as_buffer().to_pybytes())
+            n.append(len(ends))
+            lost = 0
             if runs_:
-                edge = np.zeros(len(words) + 1, np.int64)
+                edge = np.zeros(len(ends) + 1, np.int64)
                 for r in runs_:
                     edge[r["f"]] += 1
                     edge[r["t"]] -= 1
                 stays = np.cumsum(edge)[:-1] == 0
-                words = [words[i] for i in np.flatnonzero(stays).tolist()]
-            gone.append(n[-1] - len(words))
-            kept = b" ".join(words)
+                lost = len(ends) - int(stays.sum())
+                joint = joint[np.repeat(stays, np.diff(ends, prepend=-1))]
+            gone.append(lost)
+            kept = joint[:-1].tobytes()
             sha.append(hashlib.sha256(kept).hexdigest())
             if keep:
-                texts.append(kept.decode() if n[-1] > len(words) else None)
+                texts.append(kept.decode() if lost else None)
                 ranges.append(runs_ or [])
         cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)]
         if keep:

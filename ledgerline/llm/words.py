@@ -60,6 +60,23 @@ def words_of(column: pa.Array) -> Words:
     return Words(codes, np.diff(np.searchsorted(starts, offsets)), names)
 
 
+def single_spaced(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a text, each with one space after it, as bytes; and where each word ends (at its space). No list of
+    words is made, so a very long text costs a few times its bytes."""
+    data = np.frombuffer(text, np.uint8)
+    if not len(data):
+        return data, np.empty(0, np.int64)
+    here = ~IS_SPACE[data]
+    keep = here.copy()
+    keep[1:] |= here[:-1]  # the one white space after a word
+    out = data[keep]
+    spaces = ~here[keep]
+    out[spaces] = 32
+    if here[-1]:
+        out, spaces = np.append(out, np.uint8(32)), np.append(spaces, True)
+    return out, np.flatnonzero(spaces)
+
+
 #: 0 white space, 1 letters (and every byte of other characters), 2 digits, 3 the rest.
 KIND = np.full(256, 3, np.uint8)
 KIND[IS_SPACE] = 0

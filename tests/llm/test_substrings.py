@@ -59,7 +59,9 @@ def test_minimizers_are_chosen_alike_whatever_the_length():
 def shard(rows):
     """Segments (m, key, mark, a, words) as a block."""
     rows = sorted(rows)
-    return substrings.block_of(*(np.array([r[i] for r in rows], np.int64) for i in range(4)), pa.array([" ".join(r[4]).encode() for r in rows], pa.binary())), rows
+    order, leading = substrings.leaders_first(np.array([r[0] for r in rows]))
+    rows = [rows[i] for i in order]
+    return substrings.block_of(*(np.array([r[i] for r in rows], np.int64) for i in range(4)), pa.array([" ".join(r[4]).encode() for r in rows], pa.binary())), rows, leading
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -73,8 +75,8 @@ def test_a_shard_removes_what_starts_earlier(seed):
         if rng.random() < 0.5:
             words[rng.randrange(n)] = "new"
         rows.append((rng.randrange(3), rng.randrange(20), rng.randrange(2), 100 * k, words))
-    block, rows = shard(rows)
-    got = set(substrings.removed_windows(block, 4).tolist())
+    block, rows, leading = shard(rows)
+    got = set(substrings.removed_windows(block, leading, 4).tolist())
     first = {}
     for m, key, mark, a, words in rows:
         for i in range(len(words) - 3):
@@ -141,3 +143,35 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     alone = substrings.remove_repeats(spark.createDataFrame(rows[:2], "doc_id long, text string"), keep=True).collect()
     assert [r.n_removed for r in alone] == [0, 0] and alone[0].kept is None
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("block", [substrings.BLOCK_BYTES, 200])
+def test_foreign_documents_report_their_intervals(spark, block):
+    window = 6
+    against, docs = corpus(3, 40, 60), corpus(4, 40, 60)
+    known = set()
+    for t in against:
+        w = (t or "").split()
+        known |= {tuple(w[i : i + window]) for i in range(len(w) - window + 1)}
+    want = set()
+    for i, t in enumerate(docs):
+        w = (t or "").split()
+        starts = [j for j in range(len(w) - window + 1) if tuple(w[j : j + window]) in known]
+        for j in starts:
+            if j - 1 not in starts:
+                end = j
+                while end + 1 in starts:
+                    end += 1
+                want.add((i, j, end + window))
+    table = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = substrings.matching_intervals(table(docs), table(against), window=window, block_bytes=block)
+    assert {(r.doc_id, r.f, r.t) for r in got.collect()} == want and want
+    assert substrings.matching_intervals(table([]), table(against), window=window).count() == 0 == substrings.matching_intervals(table(docs), table([]), window=window).count()
+
+
+def test_words_are_joined_without_a_list():
+    for text in (b"", b" ", b"a", b" a\n\tbc  d", b"x y ", "\u00fc  \u00a0 b".encode(), b"\x1c a"):
+        joint, ends = substrings.single_spaced(text)
+        words = re.findall(rb"[^\x20\x09-\x0D]+", text)
+        assert joint.tobytes() == b"".join(w + b" " for w in words)
+        assert ends.tolist() == (np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
