@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -16,7 +17,7 @@ from ledgerline.llm.files import new_file, open_file
 from ledgerline.shipping import ship
 from ledgerline.storage import clean, made, remove, scratch, shared_dir, shared_root, written
 
-__all__ = ["by_chunk", "chunks", "clean", "documents", "join_skewed", "keep_rows", "made", "marked", "on_files", "remove", "scratch", "shared_dir", "shared_root", "ship", "sliced", "utf8", "written"]
+__all__ = ["by_chunk", "chunks", "clean", "documents", "join_skewed", "keep_rows", "made", "marked", "on_files", "remove", "scratch", "shared_dir", "shared_root", "ship", "sliced", "trimmed", "utf8", "written"]
 
 
 def on_files(docs: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
             out = batch.select([c for c in batch.schema.names if c not in ("__file", "__row")])
             yield out.filter(pa.array(stays))
 
-    return marked(docs).mapInArrow(run, docs.schema)
+    return marked(docs).mapInArrow(trimmed(run), docs.schema)
 
 
 def join_skewed(rows: DataFrame, one: DataFrame, key: str, count: str) -> DataFrame:
@@ -105,14 +106,29 @@ def chunks(lengths: list[int], limit: int = 1 << 21) -> Iterator[tuple[int, int]
         yield start, len(lengths)
 
 
-def sliced(batch: pa.RecordBatch, text: str | int, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def trimmed(run: Callable) -> Callable:
+    """A mapInArrow function that hands memory back when its task ends: workers stay for the next stage, and what their
+    allocators hold would add to it."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return wrapped
+
+
+def sliced(batch: pa.RecordBatch, text: str | int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about limit bytes of text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     for a, b in chunks(sizes, limit):
         yield batch.slice(a, b - a)
 
 
-def by_chunk(df: DataFrame, fn: Callable[..., Iterator[pa.RecordBatch]], schema: str, text: str = "text", limit: int = 1 << 21, **options) -> DataFrame:
+def by_chunk(df: DataFrame, fn: Callable[..., Iterator[pa.RecordBatch]], schema: str, text: str = "text", limit: int = 1 << 20, **options) -> DataFrame:
     """mapInArrow that hands fn pieces of about limit bytes of text, so memory follows neither batch nor partition."""
     ship(df.sparkSession)
 
@@ -121,4 +137,4 @@ def by_chunk(df: DataFrame, fn: Callable[..., Iterator[pa.RecordBatch]], schema:
             for piece in sliced(batch, text, limit):
                 yield from fn(piece, **options)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import shared_dir, ship, sliced, utf8
+from ledgerline.llm.common import shared_dir, ship, sliced, trimmed, utf8
 from ledgerline.llm.files import new_file, open_file
 from ledgerline.llm.units import library_encoder
 
@@ -217,7 +217,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    files = sorted(dealt.mapInArrow(run, "part int, uri string, docs long, ids long").collect())  # one row a file
+    files = sorted(dealt.mapInArrow(trimmed(run), "part int, uri string, docs long, ids long").collect())  # one row a file
     base, out = 0, []
     for f in files:
         out.append({"uri": f.uri, "docs": f.docs, "ids": f.ids, "base": base})
@@ -246,7 +246,7 @@ def read_ids(spark, files: list[dict], keep: bool = False) -> DataFrame:
                         yield _batch(out, keep)
 
     table = spark.createDataFrame([(f["uri"], f["base"]) for f in files], "uri string, base long")
-    return table.repartition(len(files)).mapInArrow(run, schema)
+    return table.repartition(len(files)).mapInArrow(trimmed(run), schema)
 
 
 def _batch(rows: list[tuple], keep: bool) -> pa.RecordBatch:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import by_chunk, ship, sliced, utf8
+from ledgerline.llm.common import by_chunk, ship, sliced, trimmed, utf8
 
 WINDOW = 256
 EMBED = 8
@@ -233,7 +233,7 @@ def keep_identified(docs: DataFrame, net: ByteNet, least: float, text_col: str =
                 lang, score = predict(model.value, texts)
                 yield piece.filter(pa.array([x != UND and y >= least for x, y in zip(lang, score)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def train_and_identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_ROWS) -> DataFrame:

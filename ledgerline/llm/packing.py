@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import shared_dir, ship, sliced, utf8, written
+from ledgerline.llm.common import shared_dir, ship, sliced, trimmed, utf8, written
 from ledgerline.llm.files import new_file, open_file
 from ledgerline.llm.units import library_encoder
 
@@ -209,7 +209,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, size: int = SEQUENCE, id_co
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), part, np.int32)), piece.column(0), pa.array(counts), pa.array(ranks), pa.array(fulls), blobs], ["part", "doc_id", "n", "rank", "full_before", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    return rows.mapInArrow(run, "part int, doc_id long, n long, rank long, full_before long, ids binary")
+    return rows.mapInArrow(trimmed(run), "part int, doc_id long, n long, rank long, full_before long, ids binary")
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int, size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -254,4 +254,4 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, size: int = SEQUENCE
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.list_(pa.int64()) if m == "ids" else pa.int64()) for m, c in zip(names, zip(*out))], names)
 
-    return ids.mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
+    return ids.mapInArrow(trimmed(run), schema).withColumnRenamed("doc_id", id_col)

@@ -41,7 +41,7 @@ class _Index(dict):
 class UnitEncoder:
     """cut: a binary column -> Words; encode_many: pieces -> (flat ids, count per piece). most_units, most_bytes: bound of the table."""
 
-    def __init__(self, cut: Callable[[pa.Array], Words], encode_many: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most_units: int = 500_000, most_bytes: int = 24 << 20):
+    def __init__(self, cut: Callable[[pa.Array], Words], encode_many: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most_units: int = 350_000, most_bytes: int = 16 << 20):
         self.cut, self.encode_many, self.most_units, self.most_bytes = cut, encode_many, most_units, most_bytes
         self._clear()
 
