@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, exact_dedup, fingerprints, idfiles, langid, packing, simhash, substrings, tokencount, warc
+from ledgerline.llm import alignment, bpe, collocations, exact_dedup, fingerprints, idfiles, langid, packing, simhash, substrings, tokencount, topk, warc
 from ledgerline.llm.common import documents
 from ledgerline.llm.units import tokenizer_path
 
@@ -54,6 +54,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(documents(spark, sf_dir), tokenizer_path(PIECES))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(documents(spark, sf_dir), tokenizer_path(BYTE_BPE), tokenizer_path(PIECES))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_substrings": op2_substrings,
@@ -65,6 +77,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_alignment": op11_alignment,
+    "op12_topk": op12_topk,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES = {
@@ -91,4 +106,26 @@ ORACLES = {
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM h""",
+    "op12_topk": r"""
+        WITH v AS (SELECT vec_id, row_number() OVER () AS own, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.own, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.own <> c.own WHERE q.vec_id % 50 = 0)
+        SELECT query_id, rank, vec_id, score
+        FROM (SELECT *, (row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id))::INT AS rank FROM s) WHERE rank <= 5""",
+    "op13_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+        g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS i FROM (SELECT *, unnest(range(1, 6)) AS k FROM p))),
+        f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 100),
+        inside AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, array_to_string(ws[i:i + j - 1], ' ') AS phrase, a FROM (SELECT lang, a, ws, j, unnest(range(1, k - j + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS j FROM c))) GROUP BY ALL),
+        kept AS (SELECT c.* FROM c LEFT JOIN inside s ON s.lang = c.lang AND s.phrase = c.phrase WHERE s.longer IS NULL OR 100 * s.longer < 100 * c.a),
+        parts AS (SELECT lang, phrase, a, j, array_to_string(ws[1:j], ' ') AS lp, array_to_string(ws[j + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS j FROM kept)),
+        big AS (SELECT lang, phrase, a FROM f WHERE a >= 100),
+        cuts AS (SELECT p.lang, p.phrase, p.a, l.a AS l, r.a AS r, n.n, j, ((1000::HUGEINT * p.a * n.n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+                 FROM parts p JOIN n ON n.lang = p.lang JOIN big l ON l.lang = p.lang AND l.phrase = p.lp JOIN big r ON r.lang = p.lang AND r.phrase = p.rp),
+        least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+        SELECT lang, rank, phrase, a, l, r, n, score
+        FROM (SELECT *, (row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase))::INT AS rank FROM least) WHERE rank <= 2000""",
 }

@@ -144,15 +144,16 @@ def is_plain(piece: bytes) -> bool:
 
 class LibraryUnits:
     """Ids of pieces through the tokenizers library's model. Pieces that hold special tokens or characters outside the
-    Latin blocks go through the library whole."""
+    Latin blocks go through the library whole. plain: special tokens are ordinary text."""
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         checked(path, kind)
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.tok.encode_special_tokens = plain
         self.model, self.fold = self.tok.model, kind != "spaced"
         self.ascii, self.latin = (p.findall for p in SPLITS[kind])
 
