@@ -44,6 +44,12 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder of that name?"""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Deletes folders that shared_dir named."""
     own = made(spark)
