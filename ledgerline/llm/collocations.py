@@ -41,6 +41,10 @@ BETWEEN = np.zeros(256, bool)
 BETWEEN[[32, 9]] = True
 #: A chunk holds this many words at least, if a task has them.
 CHUNK_WORDS = 4_000_000
+#: Of a phrase of count a in a language of `words` words, at the cut after its first i + 1 words; heads[i] and tails[i] are
+#: the counts of its first and its last i + 1 words. Exact up to 38 digits.
+SCORE = """CAST(CAST(1000 * CAST(a AS DECIMAL(19)) AS DECIMAL(22)) * CAST(words AS DECIMAL(16)) AS DECIMAL(38))
+    DIV CAST(CAST(heads[i] AS DECIMAL(19)) * CAST(tails[size(tails) - 1 - i] AS DECIMAL(19)) AS DECIMAL(38))"""
 KINDS = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("seq", pa.binary()), ("code", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
 NAMED = "chunk long, lang string, seq binary, code int, word string, n long"
 PAIRED = "chunk long, seq binary, code int, first long, last long, n long"
@@ -209,9 +213,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
         kept = own.drop("id") if kept is None else kept.unionByName(own.drop("id"))
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("__phrases")).join(totals, "lang")
     scored = join_skewed(kept, written(sizes, "lang-phrases"), "lang", "__phrases")
-    # heads[i] and tails[i] are the counts of the first and the last i + 1 words.
-    exact = "CAST(CAST(1000 * CAST(a AS DECIMAL(19)) AS DECIMAL(22)) * CAST(words AS DECIMAL(16)) AS DECIMAL(38)) DIV CAST(CAST(heads[i] AS DECIMAL(19)) * CAST(tails[size(tails) - 1 - i] AS DECIMAL(19)) AS DECIMAL(38))"
-    cut = F.expr(f"array_min(transform(sequence(0, size(heads) - 1), i -> named_struct('score', {exact}, 'i', i)))")
+    cut = F.expr(f"array_min(transform(sequence(0, size(heads) - 1), i -> named_struct('score', {SCORE}, 'i', i)))")
     rows = scored.withColumn("cut", cut).select("lang", "phrase", "a", F.expr("heads[cut.i]").alias("l"), F.expr("tails[size(tails) - 1 - cut.i]").alias("r"), F.col("words").alias("n"), "cut.score")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     return rows.withColumn("rank", place).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

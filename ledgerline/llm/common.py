@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.files import new_file, open_file
 from ledgerline.shipping import ship
-from ledgerline.storage import clean, made, remove, scratch, shared_dir, shared_root, written
+from ledgerline.storage import clean, exists, made, remove, scratch, shared_dir, shared_root, written
 
-__all__ = ["by_chunk", "chunks", "clean", "documents", "join_skewed", "keep_rows", "made", "marked", "on_files", "remove", "scratch", "shared_dir", "shared_root", "ship", "sliced", "trimmed", "utf8", "written"]
+__all__ = ["by_chunk", "chunks", "clean", "documents", "exists", "join_skewed", "keep_rows", "made", "marked", "on_files", "remove", "scratch", "shared_dir", "shared_root", "ship", "sliced", "trimmed", "utf8", "written"]
 
 
 def on_files(docs: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def marked(docs: DataFrame) -> DataFrame:
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs (on_files) whose __file and __row are in kept, with all their columns. No row is moved: what stays
-    of a file is noted beside it, as one list of places, and the scan of the file leaves the rest out."""
+    of a file is noted beside it, as one list of places, and the scan of the file leaves the rest out. Every file of docs
+    has a note, if an empty one; a file whose note is gone when the result is read is an error, not an empty file."""
     spark = docs.sparkSession
     ship(spark)
     folder = shared_dir(spark, "kept-rows")
@@ -46,30 +47,33 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
         return f"{folder}/{hashlib.md5(file.encode()).hexdigest()}.rows"
 
     def note(key, table):
+        places = np.sort(table["__row"].to_numpy().astype(np.int64))
         with new_file(name(key[0].as_py())) as out:
-            out.write(np.sort(table["__row"].to_numpy().astype(np.int64)).tobytes())
+            out.write(places[places >= 0].tobytes())
         return pa.table({"n": pa.array([table.num_rows], pa.int64())})
 
-    kept.select("__file", "__row").groupBy("__file").applyInArrow(note, "n long").agg(F.sum("n")).collect()  # one row
+    every = marked(docs).groupBy("__file").agg(F.lit(-1).cast("long").alias("__row"))
+    kept.select("__file", F.col("__row").cast("long")).unionByName(every).groupBy("__file").applyInArrow(note, "n long").agg(F.sum("n")).collect()  # one row
+
+    taken = {c.lower() for c in docs.columns}
+    file, row = (next(c for c in (f"__{x}" + "_" * k for k in range(len(taken) + 1)) if c not in taken) for x in ("file", "row"))
+    at = docs.metadataColumn("_metadata")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded, places = None, np.empty(0, np.int64)
         for batch in batches:
-            files, rows = batch.column("__file").dictionary_encode(), batch.column("__row").to_numpy()
+            files, rows = batch.column(file).dictionary_encode(), batch.column(row).to_numpy()
             stays = np.zeros(batch.num_rows, bool)
-            for code, file in enumerate(files.dictionary.to_pylist()):
-                if file != loaded:
-                    try:
-                        with open_file(name(file)) as f:
-                            loaded, places = file, np.frombuffer(f.read(), np.int64)
-                    except FileNotFoundError:
-                        loaded, places = file, np.empty(0, np.int64)
+            for code, of in enumerate(files.dictionary.to_pylist()):
+                if of != loaded:
+                    with open_file(name(of)) as f:
+                        loaded, places = of, np.frombuffer(f.read(), np.int64)
                 own = np.flatnonzero(files.indices.to_numpy() == code)
                 stays[own] = np.append(places, -1)[np.searchsorted(places, rows[own])] == rows[own]
-            out = batch.select([c for c in batch.schema.names if c not in ("__file", "__row")])
+            out = batch.select([c for c in batch.schema.names if c not in (file, row)])
             yield out.filter(pa.array(stays))
 
-    return marked(docs).mapInArrow(trimmed(run), docs.schema)
+    return docs.withColumns({file: at["file_path"], row: at["row_index"]}).mapInArrow(trimmed(run), docs.schema)
 
 
 def join_skewed(rows: DataFrame, one: DataFrame, key: str, count: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Exact dedup against a persistent digest index, bucketed and sorted by digest.
 
-The index is a Parquet table of (digest, keep_id, n): bucketed and sorted by the digest, so that
+The index is a folder with a Parquet table of (digest, keep_id, n): bucketed and sorted by the digest, so that
 a batch of new documents is joined by sort-merge without moving the index. A batch is first
 reduced to one row per digest with partial aggregation (a group of copies of any size leaves one
 row per map task), anti-joined with the index, and what is new is appended.
@@ -14,12 +14,13 @@ are judged by themselves, and of equal ones the first in its file stays.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import join_skewed, keep_rows, marked, on_files, remove, shared_dir, written
+from ledgerline.llm.common import exists, join_skewed, keep_rows, marked, on_files, remove, shared_dir, written
 
 
 def normalised(text: str | Column = "text") -> Column:
@@ -33,26 +34,46 @@ def digest(text: str | Column = "text") -> Column:
 
 
 class DigestIndex:
-    """A table of the digests seen so far; bucketed by digest, files sorted by it."""
+    """A table of the digests seen so far; bucketed by digest, files sorted by it.
+
+    The folder is the index: `about` in it says how many buckets there are, and any session that opens the folder makes a
+    table over its files. A folder that holds anything else is refused. Without a path an index is made for the session.
+    """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, path: str | None = None):
         self.spark = spark
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
+        self.path = (path or shared_dir(spark, "digest-index")).rstrip("/")
+        self.name = name or f"digest_index_{hashlib.md5(self.path.encode()).hexdigest()}"
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.path = path or shared_dir(spark, "digest-index")
+        if self.exists():
+            self.buckets = spark.read.schema("buckets int").json(f"{self.path}/about").first()[0]
+            self._open()
+        elif exists(spark, self.path):
+            raise ValueError(f"{self.path} is there already and is no digest index")
 
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        return exists(self.spark, f"{self.path}/about/_SUCCESS")
+
+    def _open(self) -> None:
+        """A table of this session over the folder's files."""
+        spark = self.spark
+        if not spark.catalog.tableExists(self.name):
+            spark.sql(f"CREATE TABLE {self.name} (digest STRING, keep_id BIGINT, n BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/digests'")
+        found = [r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}").collect() if r.col_name == "Location"][0]
+        if re.sub("^file:/*", "/", found) != re.sub("^file:/*", "/", f"{self.path}/digests"):
+            raise ValueError(f"the table {self.name} lies in {found}, not in {self.path}")
+        spark.catalog.refreshTable(self.name)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
     def append(self, rows: DataFrame) -> None:
         """Append (digest, keep_id, n); one file a bucket, since rows are dealt by digest first."""
-        (
-            rows.select("digest", "keep_id", "n").repartition(self.buckets, "digest").write.format("parquet")
-            .mode("append").option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
-        )
+        if not self.exists():
+            self.spark.range(1).select(F.lit(self.buckets).alias("buckets")).coalesce(1).write.json(f"{self.path}/about")
+            self._open()
+        dealt = rows.select("digest", F.col("keep_id").cast("long"), F.col("n").cast("long")).repartition(self.buckets, "digest")
+        dealt.write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

@@ -3,7 +3,7 @@
 The Burrows-Wheeler transform is kept in a wavelet matrix: one bit vector a level, with a running
 count for every 64 bits, so that a rank is a few lookups a level. Neither the text nor its suffix
 array is kept. Suffixes are sorted by their first `depth` words, all that matches of that length
-need; their common prefixes are kept as one byte a suffix and, for every depth, one bit that marks
+need; their common prefixes are kept as small numbers (a byte each up to a depth of 255) and, for every depth, one bit that marks
 where a group of suffixes with that many equal words starts. Of the suffix array one sample a group
 of `depth` equal words stays: the earliest place, which answers "where first" at once.
 
@@ -106,6 +106,11 @@ def _ahead(ranks: np.ndarray, shift: int) -> np.ndarray:
     return out
 
 
+def length_type(depth: int) -> type:
+    """Of numbers that hold lengths up to depth."""
+    return np.uint8 if depth < 1 << 8 else np.uint16 if depth < 1 << 16 else np.int32
+
+
 class Suffixes:
     """The suffixes of a text in the order of their first `depth` words, and the common prefixes of neighbours."""
 
@@ -129,7 +134,7 @@ class Suffixes:
                 can = np.flatnonzero(so_far + size <= depth)
                 same = own[a[can] + so_far[can]] == own[b[can] + so_far[can]]
                 common[1 + can[same & (a[can] != b[can])]] += size
-        self.common = common.astype(np.uint8)
+        self.common = common.astype(length_type(depth))
         self.first = np.concatenate([[True], full[self.order][1:] != full[self.order][:-1]]) if n else np.empty(0, bool)
 
     def groups(self) -> np.ndarray:
@@ -148,15 +153,15 @@ class FmIndex:
 
     def __init__(self, text: np.ndarray, depth: int, rank: np.ndarray | None = None, suffixes: Suffixes | None = None):
         self.depth, self.size = depth, len(text)
-        if len(text) >= 1 << 24:
-            raise ValueError("a shard's block is indexed up to 2 ** 24 words")
+        if len(text) >= 1 << 31:
+            raise ValueError("a shard's block is indexed up to 2 ** 31 words")
         own = suffixes or Suffixes(text, depth)
         top = int(text.max(initial=0))
         self.top = top
         self.bwt = WaveletMatrix(text[own.order - 1].astype(np.int64), top)
         smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])[:-1]
         self.base = smaller - self.bwt.bottom(np.arange(top + 1), np.zeros(top + 1, np.int64))
-        self.common = np.append(own.common, 0).astype(np.uint8)
+        self.common = np.append(own.common, 0).astype(length_type(depth))
         self.common[0] = 0
         self.starts = [None]  # by depth
         for d in range(1, depth + 1):
@@ -166,9 +171,11 @@ class FmIndex:
         first = np.append(own.first, False)
         self.group_bits = _packed(first)
         self.group_before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.group_bits), dtype=np.int64)])[:-1].astype(np.int32)
-        # The place of least rank: ranks in the upper bits, places in the lower 24.
-        place = own.order if rank is None else rank[own.order] << 24 | own.order
-        self.samples = (least_of_groups(own.first, place) & ((1 << 24) - 1)).astype(np.int32)
+        # Of each group the place of least rank.
+        place = own.order if rank is None else rank[own.order]
+        is_least = np.flatnonzero(place == least_of_groups(own.first, place)[own.groups()])
+        of = own.groups()[is_least]
+        self.samples = own.order[is_least[np.flatnonzero(np.diff(of, prepend=-1))]].astype(np.int32)
 
     def first_place(self, low: np.ndarray) -> np.ndarray:
         """The sampled place of the group that starts at `low`."""
@@ -196,7 +203,7 @@ class FmIndex:
     def matching_statistics(self, text: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each word of the documents text[begin:end]: the length of the longest match that starts there, up to
         `depth`, and where the interval of that match starts. Words that the index lacks are numbers above its own."""
-        lengths, lows = np.zeros(len(text), np.uint8), np.zeros(len(text), np.int64)
+        lengths, lows = np.zeros(len(text), length_type(self.depth)), np.zeros(len(text), np.int64)
         order = np.argsort(begins - ends, kind="stable")
         begins, ends = begins[order], ends[order]
         sizes = ends - begins

@@ -387,17 +387,20 @@ def _ranges(segments_: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -
     return dealt.mapInArrow(trimmed(run), "key long, mark long, f int, t int")
 
 
-def matching_intervals(docs: DataFrame, against: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def matching_intervals(docs: DataFrame, against: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """(id, f, t): the intervals of words of each document, as long as they go, all of whose runs of `window` words stand
     somewhere in `against`. The shards of `against` are indexed, the documents are streamed through them. Rows that repeat
     an id are told apart by their text and report each its own; documents without a match report nothing."""
     ship(docs.sparkSession)
     sides = [_keyed(df, id_col, text_col, []) for df in (against, docs)]
     met = [_occurrences(side, window) for side in sides]
+    # Minimizers of both sides; those of very many windows are dealt window by window.
+    sizes = [df.groupBy("m").agg(F.sum("c").alias(f"n{i}")) for i, df in enumerate(met)]
+    both = written(sizes[0].join(sizes[1], "m").select("m", (F.col("n0") + F.col("n1") > hot).alias("hot")), "interval-minimizers")
     rows = []
     for i, side in enumerate(sides):
-        shared = met[i].join(met[1 - i].select("m").distinct().hint("merge"), "m", "left_semi")
-        segs = written(shared.groupBy("key", "mark").agg(F.collect_set(F.struct("a", "c", "m", F.lit(False).alias("hot"))).alias("segs")), "interval-segments")
+        shared = met[i].join(both.hint("merge"), "m")
+        segs = written(shared.groupBy("key", "mark").agg(F.collect_set(F.struct("a", "c", "m", "hot")).alias("segs")), "interval-segments")
         rows.append(_cut(side.join(segs.hint("merge"), ["key", "mark"]), window).withColumn("streamed", F.lit(i == 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 
 from ledgerline.llm import exact_dedup, simhash
@@ -102,6 +103,60 @@ def test_an_index_of_earlier_batches_drops_rows_seen_before(spark):
     assert not index.exists()
 
 
+def test_an_index_outlives_its_session(spark, tmp_path):
+    """Another session, with a catalog that knows nothing of the index, opens it by its folder."""
+    path = f"file://{tmp_path}/index"
+    first = exact_dedup.DigestIndex(spark, buckets=4, path=path)
+    exact_dedup.exact_dedup(docs(spark, [f"text {i}" for i in range(10)]), index=first).collect()
+    spark.sql(f"DROP TABLE {first.name}")  # an external table: its files stay
+    other = spark.newSession()
+    second = exact_dedup.DigestIndex(other, buckets=64, path=path)
+    assert second.exists() and second.buckets == 4 and second.read().count() == 10
+    new = other.createDataFrame([(100, "text 3"), (101, "new")], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_dedup(new, index=second).collect()}
+    assert got == {100: (3, False), 101: (101, True)}
+    assert sorted(r.keep_id for r in second.read().collect()) == [*range(10), 101]
+    assert exact_dedup.keep_first(new, index=second).count() == 0
+    plan = new.select(exact_dedup.digest().alias("digest")).join(second.read().hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
+    assert "Bucketed: true" in plan or "SelectedBucketsCount: 4 out of 4" in plan
+    second.drop()
+    assert not second.exists()
+
+
+def test_a_folder_that_holds_something_else_is_refused(spark, tmp_path):
+    spark.range(3).write.parquet(f"file://{tmp_path}/other")
+    with pytest.raises(ValueError, match="no digest index"):
+        exact_dedup.DigestIndex(spark, path=f"file://{tmp_path}/other")
+    assert spark.read.parquet(f"file://{tmp_path}/other").count() == 3
+
+
+def test_a_missing_note_is_an_error(spark, tmp_path):
+    from ledgerline.llm import common
+
+    docs(spark, ["a", "b", "b", "c", "d"]).repartition(3).write.parquet(f"{tmp_path}/docs")
+    own = spark.read.parquet(f"{tmp_path}/docs")
+    with common.scratch(spark):
+        kept = exact_dedup.keep_first(own)
+        assert kept.count() == 4
+    with pytest.raises(Exception, match="rows"):
+        kept.collect()
+
+
+def test_files_without_a_row_that_stays(spark, tmp_path):
+    for i, texts in enumerate((["a", "b"], ["b", "a"], ["a"])):
+        spark.createDataFrame([(10 * i + k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs/part={i}")
+    own = spark.read.parquet(f"{tmp_path}/docs")
+    assert sorted(r.doc_id for r in exact_dedup.keep_first(own).collect()) == [0, 1] == sorted(r.doc_id for r in simhash.keep_one(own).collect())
+
+
+def test_columns_that_are_called_like_places(spark, tmp_path):
+    rows = [(1, "a", "x", 7, "m"), (2, "a", "y", 8, "m"), (3, "b", None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, __file string, __row int, _metadata string").repartition(2).write.parquet(f"{tmp_path}/docs")
+    own = spark.read.parquet(f"{tmp_path}/docs")
+    for kept in (exact_dedup.keep_first(own), simhash.keep_one(own)):
+        assert kept.columns == own.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
 def test_intermediate_tables_go(spark):
     from ledgerline.llm import common
 
@@ -119,8 +174,6 @@ def test_intermediate_tables_go(spark):
 def test_a_cluster_without_a_shared_folder_is_refused():
     from types import SimpleNamespace
 
-    import pytest
-
     from ledgerline.llm import common
 
     conf = SimpleNamespace(get=lambda *a: None)

@@ -145,8 +145,17 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("block", [substrings.BLOCK_BYTES, 200])
-def test_foreign_documents_report_their_intervals(spark, block):
+@pytest.mark.parametrize("window", [255, 256, 300])
+def test_long_windows(spark, window):
+    rng = random.Random(window)
+    words = [f"w{rng.randrange(900)}" for _ in range(400)]
+    rows = [(1, " ".join(words)), (2, "x " + " ".join(words) + " y"), (3, " ".join(words[:window])), (4, " ".join(words[: window - 1])), (5, " ".join(words[50:320]))]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=window).collect()}
+    assert got == brute(rows, window) and got[2][1] == 400 and got[3][1] == window
+
+
+@pytest.mark.parametrize("block,hot", [(substrings.BLOCK_BYTES, substrings.HOT), (200, substrings.HOT), (200, 3)])
+def test_foreign_documents_report_their_intervals(spark, block, hot):
     window = 6
     against, docs = corpus(3, 40, 60), corpus(4, 40, 60)
     known = set()
@@ -164,7 +173,7 @@ def test_foreign_documents_report_their_intervals(spark, block):
                     end += 1
                 want.add((i, j, end + window))
     table = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = substrings.matching_intervals(table(docs), table(against), window=window, block_bytes=block)
+    got = substrings.matching_intervals(table(docs), table(against), window=window, block_bytes=block, hot=hot)
     assert {(r.doc_id, r.f, r.t) for r in got.collect()} == want and want
     assert substrings.matching_intervals(table([]), table(against), window=window).count() == 0 == substrings.matching_intervals(table(docs), table([]), window=window).count()
 
