@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.hashing import POISSON_ONE, keyed_sha
 from ledgerline.operators.metrics import ratio
-from ledgerline.operators.running import range_edges, range_number
+from ledgerline.operators.running import cuts_of
 from ledgerline.shipping import ship
+from ledgerline.storage import written
 
 REPLICATES = 1000
 #: The multipliers of the 32-bit hash.
@@ -26,6 +27,8 @@ SPREAD, MIX = 0x9E3779B1, 0x45D9F3B
 #: From which hash on a cluster is drawn once, twice, ...
 DRAWN = [int(p * (1 << 32)) + 1 for p in POISSON_ONE]
 BLOCK = 100
+#: Sums of replicates that a task holds before it hands them on, and weights that it works with at a time.
+HELD_BYTES, WEIGHT_BYTES = 64 << 20, 32 << 20
 
 
 def cluster_hash(cluster: Column, salt: str = "boot") -> Column:
@@ -59,29 +62,51 @@ def weights_sql(clusters: str, key: str, replicates: int, salt: str = "boot") ->
 
 def replicated_sums(df: DataFrame, cluster: Column, values: Sequence[str], replicates: int = REPLICATES, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, rep, values): the sums of the values in each replicate, each cluster weighted as often as it is drawn."""
-    per = df.groupBy(*keys, cluster_hash(cluster).alias("__h")).agg(*[F.sum(v).cast("double").alias(v) for v in values])
-    ship(df.sparkSession)
+    per = df.groupBy(*keys, cluster_hash(cluster).alias("h")).agg(*[F.sum(v).alias(v) for v in values])
+    return summed_weights(per, keys, values, replicates)
+
+
+def summed_weights(per: DataFrame, keys: Sequence[str], values: Sequence[str], replicates: int) -> DataFrame:
+    """(keys, rep, values): per has rows of keys, h (a cluster's hash) and values; they are multiplied where they lie, and a
+    task hands on one row a replicate and combination of keys each time it holds HELD_BYTES."""
+    per = per.select(*keys, "h", *[F.col(v).cast("double").alias(v) for v in values])
+    ship(per.sparkSession)
     schema = ", ".join([f"`{k}` {per.schema[k].dataType.simpleString()}" for k in keys] + ["rep long"] + [f"`{v}` double" for v in values])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[tuple, np.ndarray] = {}
+        number: dict[tuple, int] = {}
+        total = np.zeros((0, replicates, len(values)))
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for k, i in number.items():
+                own = [pa.array([v] * replicates, kind) for v, kind in zip(k, kinds)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(replicates)), *[pa.array(total[i, :, j]) for j in range(len(values))]], [*keys, "rep", *values])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             h = batch.column(len(keys)).to_numpy(zero_copy_only=False)
             x = np.stack([batch.column(len(keys) + 1 + i).to_numpy(zero_copy_only=False) for i in range(len(values))], axis=1)
-            names = list(zip(*(batch.column(i).to_pylist() for i in range(len(keys))))) if keys else [()] * batch.num_rows
-            groups: dict[tuple, list[int]] = {}
-            for i, k in enumerate(names):
-                groups.setdefault(k, []).append(i)
+            # Each key column as a dictionary: only distinct combinations are met in Python.
+            code, names = np.zeros(len(h), np.int64), [()]
+            for i in range(len(keys)):
+                coded = batch.column(i).dictionary_encode(null_encoding="encode")
+                listed = coded.dictionary.to_pylist()
+                kinds_met, code = np.unique(code * len(listed) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+                names = [(*names[k // len(listed)], listed[k % len(listed)]) for k in kinds_met.tolist()]
+            order = np.argsort(code, kind="stable")
+            first = np.searchsorted(code[order], np.arange(len(names)))
+            place = np.array([number.setdefault(k, len(number)) for k in names])
+            if len(number) > len(total):
+                total = np.concatenate([total, np.zeros((len(number) - len(total), replicates, len(values)))])
             for a in range(0, replicates, BLOCK):
-                w = weights(h, np.arange(a, min(a + BLOCK, replicates))).astype(np.float64)
-                for k, rows in groups.items():
-                    total = totals.setdefault(k, np.zeros((replicates, len(values))))
-                    total[a : a + w.shape[1]] += w[rows].T @ x[rows]
-        for k, total in totals.items():
-            own = [pa.array([v] * replicates, batch_type) for v, batch_type in zip(k, kinds)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(replicates)), *[pa.array(total[:, i]) for i in range(len(values))]], [*keys, "rep", *values])
+                w = weights(h[order], np.arange(a, min(a + BLOCK, replicates))).astype(np.float64)
+                for j in range(len(values)):
+                    total[place, a : a + w.shape[1], j] += np.add.reduceat(w * x[order, j : j + 1], first, axis=0)
+            if total.nbytes > HELD_BYTES:
+                yield from rows()
+                number, total = {}, np.zeros((0, replicates, len(values)))
+        yield from rows()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -104,32 +129,40 @@ def index_interval(per_rep: DataFrame, value: str, keys: Sequence[str] = (), lev
     return held.select(*keys, at(F.floor(F.round(last * a, 9))).alias("low"), at(F.ceil(F.round(last * (1 - a), 9))).alias("high"), F.size("__v").cast("bigint").alias("reps"))
 
 
-def cluster_auroc(df: DataFrame, cluster: str, question: str, label: Column, score: Column, replicates: int = REPLICATES, rows_each: int = 200_000) -> DataFrame:
+def cluster_auroc(df: DataFrame, cluster: str, question: str, label: Column, score: Column, replicates: int = REPLICATES, rows_each: int = 50_000) -> DataFrame:
     """(rep, question, auroc) with the cluster drawn as a whole; null where a replicate has one class.
 
-    Scores are cut into ranges; a task has one question's rows of one range and all replicates, a block of them at a
-    time. What pairs of ranges add follows from their sums."""
+    Rows are summed per (question, score, cluster) and scores cut into ranges of about rows_each such cells. A range of
+    several scores is one task's, a question at a time: cells in order, replicates in blocks of WEIGHT_BYTES. A score that
+    fills a range, however many clusters have it, is one by itself: all its cells are tied, so their sums by replicate are
+    enough, and these are added up where the cells lie (replicated_sums), a task holding HELD_BYTES of them. What
+    pairs of ranges add follows from their sums, replicates x ranges rows a question."""
     ship(df.sparkSession)
-    rows = df.select(cluster_hash(F.col(cluster)).alias("h"), F.col(question).alias("q"), label.cast("int").alias("y"), score.cast("double").alias("s")).where("s IS NOT NULL AND NOT isnan(s) AND y IS NOT NULL")
-    cells = rows.groupBy("q", "s", "h").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    parts = cells.withColumn("r", range_number("s", range_edges(cells, "s", rows_each)))
+    rows = df.select(F.col(cluster).alias("c"), F.col(question).alias("q"), label.cast("int").alias("y"), score.cast("double").alias("s")).where("s IS NOT NULL AND NOT isnan(s) AND y IS NOT NULL")
+    counted = rows.groupBy("q", "s", cluster_hash(F.col("c")).alias("h")).agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
+    cells = written(counted, "score-cells")
+    cuts = cuts_of(cells, "s", rows_each=rows_each)[0]
+    parts = cells.withColumns({"r": cuts.number(F.col("s")), "tied": cuts.is_point(F.col("s"))})
     schema = f"rep long, q {rows.schema['q'].dataType.simpleString()}, r int, pos double, neg double, won double"
 
     def run(key, table):
-        s, order = table["s"].to_numpy(), None
+        s = table["s"].to_numpy()
         order = np.argsort(s, kind="stable")
         h, p, n = (table[c].to_numpy()[order].astype(np.float64 if c != "h" else np.uint64) for c in ("h", "pos", "neg"))
         first = np.flatnonzero(np.concatenate([[True], np.diff(s[order]) != 0]))
-        out = []
-        for a in range(0, replicates, BLOCK):
-            w = weights(h, np.arange(a, min(a + BLOCK, replicates))).astype(np.float64)
+        out, step = [], max(1, WEIGHT_BYTES // (8 * len(s)))
+        for a in range(0, replicates, step):
+            w = weights(h, np.arange(a, min(a + step, replicates))).astype(np.float64)
             wp, wn = (np.add.reduceat(w * x[:, None], first, axis=0) for x in (p, n))
             below = np.cumsum(wn, axis=0) - wn
             out.append(np.stack([wp.sum(0), wn.sum(0), (wp * (below + wn / 2)).sum(0)], axis=1))
         found = np.concatenate(out)
         return pa.table({"rep": pa.array(np.arange(replicates)), "q": pa.array([key[0].as_py()] * replicates, table.schema.field("q").type), "r": pa.array([key[1].as_py()] * replicates, pa.int32()), **{c: pa.array(found[:, i]) for i, c in enumerate(("pos", "neg", "won"))}})
 
-    per = parts.groupBy("q", "r").applyInArrow(run, schema)
+    per = parts.where("NOT tied").groupBy("q", "r").applyInArrow(run, schema)
+    if cuts.heavy:
+        tied = summed_weights(parts.where("tied").select("q", "r", "h", "pos", "neg"), ["q", "r"], ["pos", "neg"], replicates)
+        per = per.unionByName(tied.withColumn("won", F.col("pos") * F.col("neg") / 2))
     below = Window.partitionBy("rep", "q").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     total = per.withColumn("won", F.col("won") + F.col("pos") * F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
     return total.groupBy("rep", F.col("q").alias(question)).agg(ratio(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auroc"))

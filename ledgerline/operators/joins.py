@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.arrays import cosine
 from ledgerline.functions.dates import shifted
+from ledgerline.operators.running import RANGE_ROWS, carried_last
 
 
 def right_wins(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -124,16 +125,18 @@ def pick(df: DataFrame, keys: Sequence[str], within: Column, order: Sequence[Col
     return df.where(within).groupBy(*keys).agg(F.min_by(value, F.struct(*order)).alias(name))
 
 
-def latest_at_or_before(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, order: str, name: str, salt: Column | None = None) -> DataFrame:
+def latest_at_or_before(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, order: str, name: str, rows_each: int = RANGE_ROWS) -> DataFrame:
     """Backward as-of: for each left row the value of the last right row of its key at or before its time.
 
-    Both sides are put in one sequence per key and the last right value is carried forward: one shuffle and
-    one sort, no pairs. At equal times right rows come first, the larger `order` last."""
+    Both sides are put in one sequence per key and the last right value is carried forward, from time range to time range
+    where there are several: no pairs, and no task holds all rows of a key. At equal times right rows come first, the
+    larger `order` last."""
     lcols = left.columns
     a = left.select(F.col(key).alias("__k"), F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[order].dataType).alias("__o"), F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.struct(*lcols).alias("__row"))
     b = right.select(F.col(key).alias("__k"), F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.col(order).alias("__o"), F.col(value).alias("__v"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"))
-    w = Window.partitionBy("__k").orderBy(F.col("__t"), F.col("__side"), F.col("__o")).rowsBetween(Window.unboundedPreceding, 0)
-    carried = a.unionByName(b).withColumn(name, F.last("__v", ignorenulls=True).over(w))
+    # A condition that is always true but that Spark does not push down: it cannot derive constraints of a union from the range's lambda.
+    both = a.unionByName(b).where(F.monotonically_increasing_id() >= 0)
+    carried = carried_last(both, ["__k"], [F.col("__t"), F.col("__side"), F.col("__o")], F.col("__v"), name, rows_each)
     return carried.where("__side = 1").select("__row.*", name)
 
 

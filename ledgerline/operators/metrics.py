@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators.running import exact_quantiles, next_order, running_sums
+from ledgerline.operators.running import exact_quantiles, running_sums
 from ledgerline.storage import written
 
 
@@ -79,19 +79,15 @@ def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str]) -> DataFrame:
 def ks_distance(df: DataFrame, value: str, side: str, keys: Sequence[str]) -> DataFrame:
     """Largest gap between the two sides' empirical distributions (side: a boolean column)."""
     per = df.groupBy(*keys, value).agg(F.count_if(F.col(side)).alias("x"), F.count_if(~F.col(side)).alias("y"))
-    total = per.groupBy(*keys).agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"))
-    cum = running_sums(per, value, ["x", "y"], keys)
-    cum = cum.join(total, list(keys)) if keys else cum.crossJoin(F.broadcast(total))  # one row
-    upto = lambda c: ratio(F.col(f"before_{c}") + F.col(c), F.col(f"n{c}"))
+    cum = running_sums(per, value, ["x", "y"], keys, totals=True)
+    upto = lambda c: ratio(F.col(f"before_{c}") + F.col(c), F.col(f"total_{c}"))
     return cum.select(*keys, F.abs(upto("x") - upto("y")).alias("g")).groupBy(*keys).agg(F.max("g").alias("ks"))
 
 
 def best_threshold(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, threshold, balanced_accuracy): the best midpoint between neighbouring scores; ties go nearest to 0.5, then lowest."""
     per = df.groupBy(*keys, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    total = per.groupBy(*keys).agg(F.sum("p").alias("pt"), F.sum("n").alias("nt"))
-    cum = next_order(running_sums(per, score, ["p", "n"], keys), score, keys).where("next IS NOT NULL")
-    cum = cum.join(total, list(keys)) if keys else cum.crossJoin(F.broadcast(total))  # one row
+    cum = running_sums(per, score, ["p", "n"], keys, following="next", totals=True).where("next IS NOT NULL").withColumnsRenamed({"total_p": "pt", "total_n": "nt"})
     c = cum.select(*keys, ((F.col(score) + F.col("next")) / 2).alias("threshold"), (F.col("before_p") + F.col("p")).alias("pb"), (F.col("before_n") + F.col("n")).alias("nb"), "pt", "nt")
     ba = (ratio(F.col("pt") - F.col("pb"), F.col("pt")) + ratio(F.col("nb"), F.col("nt"))) / 2
     ranked = c.withColumn("ba", F.round(ba, 12)).where("ba IS NOT NULL")

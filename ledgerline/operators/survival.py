@@ -10,28 +10,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators.running import exact_quantiles, range_edges, range_number
+from ledgerline.operators.running import RANGE_ROWS, carried_product, cuts_of, exact_quantiles, running_sums
 from ledgerline.shipping import ship
 from ledgerline.storage import written
 
 
-def _per_time(df: DataFrame, keys: Sequence[str], time: str, event: str) -> DataFrame:
+def _per_time(df: DataFrame, keys: Sequence[str], time: str, event: str, rows_each: int) -> DataFrame:
     per = df.groupBy(*keys, time).agg(F.count_if(F.col(event)).alias("d"), F.count_if(~F.col(event)).alias("c"))
-    later = Window.partitionBy(*keys).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumn("at_risk", F.sum(F.col("d") + F.col("c")).over(later))
+    cum = running_sums(per.withColumn("__m", F.col("d") + F.col("c")), time, ["__m"], keys, rows_each, totals=True)
+    return cum.withColumn("at_risk", F.col("total___m") - F.col("before___m")).select(*keys, time, "d", "c", "at_risk")
 
 
-def kaplan_meier(df: DataFrame, keys: Sequence[str], time: str, event: str) -> DataFrame:
+def kaplan_meier(df: DataFrame, keys: Sequence[str], time: str, event: str, rows_each: int = RANGE_ROWS) -> DataFrame:
     """(keys, time, d, c, at_risk, survival just after each distinct time)."""
-    w = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    return _per_time(df, keys, time, event).withColumn("survival", F.product(1 - F.col("d") / F.col("at_risk")).over(w))
+    return carried_product(_per_time(df, keys, time, event, rows_each), keys, [F.col(time)], 1 - F.col("d") / F.col("at_risk"), "survival", rows_each)
 
 
-def censoring(df: DataFrame, keys: Sequence[str], time: str, event: str) -> DataFrame:
+def censoring(df: DataFrame, keys: Sequence[str], time: str, event: str, rows_each: int = RANGE_ROWS) -> DataFrame:
     """Reverse curve G: at a tie deaths leave the risk set before the censorings are counted; without any censoring G is 1."""
-    w = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     factor = F.when(F.col("c") > 0, 1 - F.col("c") / (F.col("at_risk") - F.col("d"))).otherwise(1.0)
-    return _per_time(df, keys, time, event).withColumn("g", F.product(factor).over(w))
+    return carried_product(_per_time(df, keys, time, event, rows_each), keys, [F.col(time)], factor, "g", rows_each)
 
 
 def step_at(points: DataFrame, curve: DataFrame, keys: Sequence[str], at: str, x: str, y: str, name: str, before: float = 1.0) -> DataFrame:
@@ -68,10 +66,10 @@ def is_monotone(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     return df.select(*keys, (F.lag(x).over(w) < F.col(x)).alias("up")).groupBy(*keys).agg(F.coalesce(F.bool_and("up"), F.lit(True)).alias("increasing"))
 
 
-def dominated(t, dead, risk, n) -> tuple[float, float]:
+def dominated(t, dead, risk, n, alone=None) -> tuple[float, float]:
     """(won, pairs) over cells: pairs of a death and a cell that outlives it (a later time, or a censoring at the same
     time); won where the death's risk is higher, half where it is equal. Times are halved again and again: deaths of the
-    earlier half meet the later half's risks in one sorted lookup."""
+    earlier half meet the later half's risks in one sorted lookup. alone: cells whose own time does not count (by cell)."""
     import numpy as np
 
     def met(d: np.ndarray, o: np.ndarray) -> tuple[float, float]:
@@ -92,6 +90,7 @@ def dominated(t, dead, risk, n) -> tuple[float, float]:
             continue
         if b - a == 1:
             own = order[starts[a] : starts[b]]
+            own = own if alone is None else own[~alone[own]]
             w, p = met(own[dead[own]], own[~dead[own]])
         else:
             mid = (a + b) // 2
@@ -102,34 +101,60 @@ def dominated(t, dead, risk, n) -> tuple[float, float]:
     return won, pairs
 
 
+def grid_pairs(i, j, dead, lost, tied_time, tied_risk) -> tuple[float, float]:
+    """(won, pairs) between whole cells of a grid of time ranges i and risk ranges j (one row a cell; dead, lost: deaths and
+    censorings in it): pairs in different risk ranges, or in one of a single risk, that lie in different time ranges, or
+    in one of a single time."""
+    import numpy as np
+
+    rows, cols = int(i.max(initial=-1)) + 1, int(j.max(initial=-1)) + 1
+    d, c = np.zeros((rows, cols)), np.zeros((rows, cols))
+    d[i, j], c[i, j] = dead, lost
+    point_i, point_j = np.zeros(rows, bool), np.zeros(cols, bool)
+    point_i[i[tied_time]], point_j[j[tied_risk]] = True, True
+    every = d + c
+    outlive = np.cumsum(every[::-1], axis=0)[::-1] - every + c * point_i[:, None]
+    below = np.cumsum(outlive, axis=1) - outlive
+    same = outlive * point_j
+    others = outlive.sum(axis=1, keepdims=True) - outlive
+    return float((d * (below + same / 2)).sum()), float((d * (others + same)).sum())
+
+
 def c_index(df: DataFrame, keys: Sequence[str], time: str, event: str, risk: str, digits: int = 8, rows_each: int = 200_000) -> DataFrame:
     """Harrell's C: pairs whose earlier time is a death (a death and a censoring at one time count too); equal risks half.
 
-    Rows are summed per (time, event, risk to `digits` digits: risks that near are equal). Times are cut into ranges of
-    about rows_each cells; a task has the cells of one range of a key, and of the ranges after it their counts by risk,
-    so pairs are counted by sorted lookups and no task pairs rows."""
+    Rows are summed per (time, event, risk to `digits` digits: risks that near are equal), and times and risks are cut into
+    ranges of about rows_each such rows; a time or a risk that fills a range is one by itself. A pair is counted
+    once, in one of three places: within a range of several times by lookups in that range; within a range of several
+    risks, for times of different ranges, by lookups in that range; all others from the counts of the grid of ranges,
+    at most MOST_RANGES squared a key. So no task holds more rows than a range, nor pairs any."""
     import pyarrow as pa
 
     cells = df.groupBy(*keys, F.col(time).cast("double").alias("t"), F.col(event).alias("e"), F.round(F.col(risk), digits).cast("double").alias("r")).agg(F.count(F.lit(1)).alias("n"))
-    edges = range_edges(cells, "t", rows_each)
-    cells = written(cells.withColumn("part", range_number("t", edges)), "c-index")
-    own = cells.select(*keys, "part", F.lit(False).alias("later"), "t", "e", "r", "n")
-    if edges:
-        by_risk = cells.groupBy(*keys, "part", "r").agg(F.sum("n").alias("n"))
-        after = by_risk.where("part > 0").select(*keys, F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("part"), "r", "n").groupBy(*keys, "part", "r").agg(F.sum("n").alias("n"))
-        own = own.unionByName(after.select(*keys, "part", F.lit(True).alias("later"), F.lit(0.0).alias("t"), F.lit(False).alias("e"), "r", "n"))
+    cells = written(cells, "c-index")
+    at, of = cuts_of(cells, "t", "r", rows_each=rows_each)
+    cells = cells.select("*", at.number(F.col("t")).alias("i"), of.number(F.col("r")).alias("j"), at.is_point(F.col("t")).alias("pi"), of.is_point(F.col("r")).alias("pj"))
     ship(df.sparkSession)
-
-    def count(key, table):
-        import numpy as np
-
-        later, t, e, r, n = (table[c].to_numpy() for c in ("later", "t", "e", "r", "n"))
-        t = np.where(later, np.inf, t)  # whoever comes after outlives every death here
-        won, pairs = dominated(t, e.astype(bool) & ~later, r, n.astype(float))
-        return pa.table({**{k: pa.array([v.as_py()], table.schema.field(k).type) for k, v in zip(keys, key)}, "won": pa.array([won]), "pairs": pa.array([pairs])})
-
     schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + ["won double", "pairs double"])
-    per = own.groupBy(*keys, "part").applyInArrow(count, schema)
+
+    def counted(count):
+        def run(key, table):
+            columns = {c: table[c].to_numpy() for c in table.column_names if c not in keys}
+            won, pairs = count(**columns)
+            return pa.table({**{k: pa.array([v.as_py()], table.schema.field(k).type) for k, v in zip(keys, key)}, "won": pa.array([won]), "pairs": pa.array([pairs])})
+
+        return run
+
+    by_time = cells.where("NOT pi").groupBy(*keys, "i").applyInArrow(counted(lambda t, e, r, n, i, **_: dominated(t, e.astype(bool), r, n.astype(float))), schema)
+    parts = [by_time]
+    if at.edges:
+        by_risk = cells.where("NOT pj").groupBy(*keys, "j").applyInArrow(counted(lambda e, r, n, i, pi, **_: dominated(i, e.astype(bool), r, n.astype(float), ~pi.astype(bool))), schema)
+        grid = cells.groupBy(*keys, "i", "j").agg(F.sum(F.when(F.col("e"), F.col("n")).otherwise(0)).alias("dead"), F.sum(F.when(F.col("e"), 0).otherwise(F.col("n"))).alias("lost"), F.bool_or("pi").alias("pi"), F.bool_or("pj").alias("pj"))
+        whole = grid.groupBy(*keys).applyInArrow(counted(lambda i, j, dead, lost, pi, pj: grid_pairs(i, j, dead, lost, pi.astype(bool), pj.astype(bool))), schema)
+        parts += [by_risk, whole]
+    per = parts[0]
+    for p in parts[1:]:
+        per = per.unionByName(p)
     return per.groupBy(*keys).agg(F.try_divide(F.sum("won"), F.sum("pairs")).alias("c_index"), F.sum("pairs").alias("pairs"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import age_at
 from ledgerline.functions.text import demographics
+from ledgerline.operators.running import RANGE_ROWS, carried_last
 
 
 def ordered_text(df: DataFrame, keys: Sequence[str], order: Sequence[Column], line: Column, name: str, separator: str = "\n") -> DataFrame:
@@ -34,10 +35,9 @@ def last_dates(df: DataFrame, keys: Sequence[str], date: Column, k: int) -> Data
     return df.withColumn("__date", date).withColumn("date_rank", F.dense_rank().over(w).cast("bigint")).where(F.col("date_rank") <= k).drop("__date")
 
 
-def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
-    """The last non-null value so far."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, name: str, rows_each: int = RANGE_ROWS) -> DataFrame:
+    """The last non-null value so far; a key's rows are spread over ranges of the first order column."""
+    return carried_last(df, keys, order, value, name, rows_each)
 
 
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column], last: bool = False) -> DataFrame:

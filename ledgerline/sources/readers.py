@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.operators.running import RANGE_ROWS, carried_last
+
 
 def task_rows(spark: SparkSession, table: str, task: str) -> DataFrame:
     """SELECT * FROM table WHERE task = :task, with a bound parameter; errors are not swallowed."""
@@ -85,14 +87,13 @@ def events_of_xml(xml: Column) -> Column:
     return F.arrays_zip(col("//event/../@timestamp").alias("time"), col("//event/@code").alias("code"), col("//event/text()").alias("value"))
 
 
-def log_blocks(spark: SparkSession, path: str, header: str, value: str) -> DataFrame:
-    """(file, task, mean): a header line opens a block, the values after it belong to it."""
-    from pyspark.sql import Window
-
+def log_blocks(spark: SparkSession, path: str, header: str, value: str, rows_each: int = RANGE_ROWS) -> DataFrame:
+    """(file, task, mean): a header line opens a block, the values after it belong to it. A long file's lines are spread
+    over ranges of the parts that it is read in."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), file_place().alias("n"), "value")
     marked = lines.select("file", "n", F.nullif(F.regexp_extract("value", header, 1), F.lit("")).alias("h"), F.nullif(F.regexp_extract("value", value, 1), F.lit("")).try_cast("double").alias("v"))
-    w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("task", F.last("h", ignorenulls=True).over(w)).where("v IS NOT NULL AND task IS NOT NULL").groupBy("file", "task").agg(F.avg("v").alias("mean"), F.count("v").alias("n"))
+    named = carried_last(marked, ["file"], [F.col("n.block"), F.col("n.row")], F.col("h"), "task", rows_each)
+    return named.where("v IS NOT NULL AND task IS NOT NULL").groupBy("file", "task").agg(F.avg("v").alias("mean"), F.count("v").alias("n"))
 
 
 def result_files(spark: SparkSession, root: str, pattern: str = "*_results_*.csv") -> DataFrame:

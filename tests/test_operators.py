@@ -5,10 +5,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import answers, arrays, dates, hashing, text
-from ledgerline.operators import bootstrap, contracts, filters, joins, metrics, retrieval, sampling, survival, timeline
+from ledgerline.operators import bootstrap, contracts, filters, joins, metrics, retrieval, running, sampling, survival, timeline
 from ledgerline.operators.running import exact_quantiles, next_order, running_sums
 
 
@@ -147,6 +148,90 @@ def test_ranges_with_keys_and_exact_quantiles(spark):
     assert one(exact_quantiles(df.limit(0), "v", [0.5], name="q")).q == [None]
 
 
+def test_range_numbers_count_edges(spark):
+    edges = sorted(random.Random(3).sample(range(1000), 150))
+    for own in (edges, edges[:32], edges[:33], edges[:1], []):
+        got = spark.createDataFrame([(v,) for v in [-1, *range(0, 1001, 7), *own]] + [(None,)], "v int").select("v", running.range_number("v", own).alias("n")).collect()
+        assert all(r.n == sum(e <= r.v for e in own) for r in got if r.v is not None)
+
+
+def test_heavy_values_are_ranges_by_themselves(spark):
+    values = [5.0] * 500 + [float(i) for i in range(100)] + [9.0] * 300
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    cuts = running.cuts_of(df, "v", rows_each=40)[0]
+    assert {5.0, 9.0} <= set(cuts.heavy)
+    rows = df.select("v", cuts.number(F.col("v")).alias("r"), cuts.is_point(F.col("v")).alias("p")).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r.r, set()).add(r.v)
+    assert all(len(held[r.r]) == 1 for r in rows if r.p) and all(max(a) < min(b) for a, b in zip((held[k] for k in sorted(held)), (held[k] for k in sorted(held)[1:])))
+
+
+def test_values_are_carried_over_ranges(spark):
+    """One key over many tasks: the same rows as one window gives."""
+    rng = random.Random(8)
+    rows = [(rng.choice([None, "a", "a", "a", "a", "b"]), float(rng.randint(0, 300)), i, rng.choice([None, None, None, f"v{i}"]), 1 - rng.random() / 50) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, t double, o int, v string, f double").repartition(5)
+    order = [F.col("t"), F.col("o")]
+    w = Window.partitionBy("k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    want = {r.o: (r.last, r.prod) for r in df.select("o", F.last("v", True).over(w).alias("last"), F.product("f").over(w).alias("prod")).collect()}
+    for each in (50, 10**6):
+        last = running.carried_last(df, ["k"], order, F.col("v"), "last", each)
+        assert last.columns == [*df.columns, "last"] and {r.o: r["last"] for r in last.collect()} == {o: x for o, (x, _) in want.items()}
+        prod = {r.o: r["prod"] for r in running.carried_product(df, ["k"], order, F.col("f"), "prod", each).collect()}
+        assert all(math.isclose(prod[o], p) for o, (_, p) in want.items()) and len(prod) == 2000
+    numbered = running.carried_last(df, ["k"], order, F.col("v"), "last", 50)
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "__range" in plan  # windows are by key and range
+    sizes = df.withColumn("r", running.range_number("t", running.range_edges(df, "t", 50))).groupBy("k", "r").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 150 and sizes[1] > 30
+
+
+def test_as_of_and_curves_over_ranges(spark):
+    rng = random.Random(9)
+    left = spark.createDataFrame([(rng.choice("ab"), rng.randint(0, 500), i) for i in range(900)], "k string, t int, i int")
+    right = spark.createDataFrame([(rng.choice("ab"), rng.randint(0, 500), f"v{i}", i) for i in range(400)], "k string, t int, v string, o int")
+    a, b = ({r.i: r.got for r in joins.latest_at_or_before(left, right, "k", "t", "t", "v", "o", "got", n).collect()} for n in (60, 10**6))
+    assert a == b and len(a) == 900
+    people = spark.createDataFrame([("g", rng.randint(1, 400), rng.random() < 0.6) for _ in range(1500)], "g string, t int, e boolean")
+    for curve, name in ((survival.kaplan_meier, "survival"), (survival.censoring, "g")):
+        x, y = ({r.t: (r.at_risk, r[-1]) for r in curve(people, ["g"] if name == "survival" else [], "t", "e", n).collect()} for n in (20, 10**6))
+        assert x.keys() == y.keys() and all(x[t][0] == y[t][0] and math.isclose(x[t][1], y[t][1]) for t in x)
+
+
+@pytest.mark.parametrize("shape", ["continuous", "few times", "few risks", "ties"])
+def test_concordance_by_cells(spark, shape):
+    """Pairs inside time ranges, inside risk ranges and between cells add up to all pairs, each counted once."""
+    rng = np.random.default_rng(len(shape))
+    n = 700
+    t = rng.integers(0, 6, n).astype(float) if shape in ("few times", "ties") else rng.random(n)
+    r = rng.integers(0, 5, n) / 4 if shape in ("few risks", "ties") else np.round(rng.random(n), 6)
+    e = rng.random(n) < 0.5
+    df = spark.createDataFrame([(x, bool(y), z, "a" if i % 3 else "b") for i, (x, y, z) in enumerate(zip(t.tolist(), e.tolist(), r.tolist()))], "t double, e boolean, risk double, g string")
+    for each in (40, 10**6):
+        got = {x.g: (x.c_index, x.pairs) for x in survival.c_index(df, ["g"], "t", "e", "risk", rows_each=each).collect()}
+        for g in "ab":
+            own = np.array([("a" if i % 3 else "b") == g for i in range(n)])
+            tt, rr, ee = t[own], r[own], e[own]
+            pair = ee[:, None] & ((tt[None] > tt[:, None]) | ((tt[None] == tt[:, None]) & ~ee[None]))
+            won = (pair * ((rr[None] < rr[:, None]) + 0.5 * (rr[None] == rr[:, None]))).sum()
+            assert got[g][1] == pair.sum() and math.isclose(got[g][0], won / pair.sum())
+
+
+def test_cluster_auroc_of_few_scores(spark):
+    """Eleven scores that very many clusters share: scores with a range's worth of clusters are summed where they lie."""
+    rng = np.random.default_rng(2)
+    rows = [(int(i % 2000), "q" if i % 5 else "z", int(rng.random() < 0.3 + 0.05 * (i % 11)), (i % 11) / 10 if i % 7 else float(rng.random())) for i in range(9000)]
+    df = spark.createDataFrame(rows, "c long, q string, y int, s double")
+    a, b = ({(r.rep, r.q): r.auroc for r in bootstrap.cluster_auroc(df, "c", "q", F.col("y"), F.col("s"), 25, each).collect()} for each in (10**6, 150))
+    assert a.keys() == b.keys() and len(a) == 50 and all(math.isclose(a[k], b[k]) for k in a)
+    cells = df.groupBy("q", "s", "c").count()
+    cuts = running.cuts_of(cells, "s", rows_each=150)[0]
+    assert len(cuts.heavy) >= 11
+    inside = cells.where(~cuts.is_point(F.col("s"))).groupBy("q", cuts.number(F.col("s")).alias("r")).count().agg(F.max("count")).first()[0]
+    assert inside <= 450
+
+
 def test_weights_are_poisson_and_alike_in_every_engine(spark):
     import duckdb
 
