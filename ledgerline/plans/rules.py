@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import answers, arrays, dates, text
-from ledgerline.operators import blocks, contracts, filters, joins, metrics, retrieval, sampling, serving, survival, timeline
+from ledgerline.operators import blocks, contracts, filters, joins, metrics, postings, retrieval, sampling, serving, survival, timeline
 from ledgerline.plans import config
 from ledgerline.plans.register import query
 
@@ -256,7 +256,7 @@ def q103_curve_counts(embeddings):
     return metrics.curve_counts(embeddings.select(F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x.cast("double"), 2)).alias("c")), "c", 0.15)
 
 
-@query("documents", sql="""
+@query("documents", folder=True, sql="""
     WITH tok AS (SELECT source, CASE WHEN doc_id % 10 > 0 THEN doc_id END AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents), own AS (SELECT * FROM tok WHERE id IS NOT NULL),
     st AS (SELECT source, count(*) AS n, avg(len(w)) AS avg_dl FROM own GROUP BY source),
     p AS (SELECT source, id, len(w) AS dl, term, count(*) AS tf FROM (SELECT source, id, w, unnest(w) AS term FROM own) WHERE term IN ('hend', 'und', 'the') GROUP BY ALL),
@@ -264,10 +264,11 @@ def q103_curve_counts(embeddings):
     h AS (SELECT source, id, term FROM (SELECT *, row_number() OVER (PARTITION BY source, term ORDER BY round(score, 9) DESC, id) AS r FROM s) WHERE r <= 2)
     SELECT source, id, list_sort(list(DISTINCT term)) AS terms FROM h GROUP BY ALL
     UNION ALL SELECT source, id, list_sort(list_filter(['hend', 'und', 'the'], lambda x: list_contains(w, x))) FROM tok WHERE id IS NULL AND list_has_any(w, ['hend', 'und', 'the'])""")
-def q104_term_hits(documents):
+def q104_term_hits(folder, documents):
     """The best two documents of each term by itself, hits without an id all kept."""
     d = documents.select("source", F.when(F.col("doc_id") % 10 > 0, F.col("doc_id")).alias("id"), "text")
-    return retrieval.search_each(d, "id", "source", "text", ["hend", "und", "the"], 2)
+    index = postings.index_of(d, f"{folder}/documents with ids", "id", "source", "text")
+    return index.search_each(["hend", "und", "the"], 2).select(F.col("part").alias("source"), F.col("key").alias("id"), "terms")
 
 
 @query("conversations", sql="""

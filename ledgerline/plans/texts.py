@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import arrays, text
-from ledgerline.operators import joins, retrieval, timeline
+from ledgerline.operators import joins, postings, timeline
 from ledgerline.plans.register import query
 
 r6 = lambda c: F.round(c, 6)
@@ -44,16 +44,16 @@ def _score(posts: str) -> str:
         FROM {posts} p JOIN (SELECT source, term, count(*) AS df FROM {posts} GROUP BY ALL) f ON p.source = f.source AND p.term = f.term JOIN st ON st.source = p.source GROUP BY p.source, p.doc_id"""
 
 
-@query("documents", sql=f"""
+@query("documents", folder=True, sql=f"""
     WITH {BM25}, posts AS (SELECT source, doc_id, len(w) AS dl, term, count(*) AS tf FROM (SELECT source, doc_id, w, unnest(w) AS term FROM tok) WHERE term IN ('the', 'hend', 'tionat', 'und') GROUP BY ALL),
     sc AS ({_score("posts")}) SELECT source, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc) WHERE rank <= 5""")
-def q56_bm25(documents):
-    """Top five documents of each source for a fixed list of terms."""
-    hits = retrieval.search(documents, "doc_id", "source", "text", F.array(*map(F.lit, ["the", "hend", "tionat", "und"])), 5)
-    return hits.select("source", "doc_id", r6("score").alias("score"), "rank")
+def q56_bm25(folder, documents):
+    """Top five documents of each source for a fixed list of terms, from the table's posting index."""
+    hits = postings.index_of(documents, f"{folder}/documents", "doc_id", "source", "text").search(["the", "hend", "tionat", "und"], 5)
+    return hits.select(F.col("part").alias("source"), F.col("key").alias("doc_id"), r6("score").alias("score"), "rank")
 
 
-@query("documents", sql=f"""
+@query("documents", folder=True, sql=f"""
     WITH {BM25}, p1 AS (SELECT source, doc_id, len(w) AS dl, term, count(*) AS tf FROM (SELECT source, doc_id, w, unnest(w) AS term FROM tok) WHERE term IN ('hend', 'und') GROUP BY ALL),
     s1 AS ({_score("p1")}), h1 AS (SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s1) WHERE rank <= 3),
     c AS (SELECT source, term, count(*) AS c FROM (SELECT h1.source, unnest(w) AS term FROM h1 JOIN tok USING (source, doc_id)) WHERE len(term) >= 4 AND term NOT IN ('hend', 'und') GROUP BY ALL),
@@ -61,9 +61,10 @@ def q56_bm25(documents):
     p2 AS (SELECT x.source, x.doc_id, dl, x.term, count(*) AS tf FROM (SELECT source, doc_id, len(w) AS dl, unnest(w) AS term FROM tok) x SEMI JOIN t2 ON t2.source = x.source AND t2.term = x.term GROUP BY ALL),
     s2 AS ({_score("p2")}), h2 AS (SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s2) WHERE rank <= 3)
     SELECT source, doc_id, min(i)::BIGINT AS iteration FROM (SELECT *, 0 AS i FROM h1 UNION ALL SELECT *, 1 FROM h2) GROUP BY ALL""")
-def q57_iter_retrieval(documents):
-    """Two rounds: the second searches the most frequent new words of the first round's hits."""
-    return retrieval.iterative_search(documents, "doc_id", "source", "text", ["hend", "und"], rounds=2, k=3, n_terms=3)
+def q57_iter_retrieval(folder, documents):
+    """Two rounds over the index of q56: the second searches the most frequent new words of the first round's hits."""
+    index = postings.index_of(documents, f"{folder}/documents", "doc_id", "source", "text")
+    return index.iterative_search(["hend", "und"], rounds=2, k=3, n_terms=3).select(F.col("part").alias("source"), F.col("key").alias("doc_id"), "iteration")
 
 
 @query("embeddings", sql="""
