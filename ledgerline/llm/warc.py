@@ -6,13 +6,13 @@ archives (bounded by DICT_SAMPLE bytes), so an archive is read with nothing besi
 starts with a warcinfo record. Of records with equal payloads the one with the smallest page id is
 a response, the others are revisits that carry no payload.
 
-The first of each group is found on (digest, id) rows with partial aggregation, and joined back to
-the pages by digest, where Spark may split the partition of a very frequent payload.
+No page is moved. The first of each group is found on (digest, id, place) rows with partial
+aggregation and joined back to those rows, frequent payloads by broadcast; what it says of a file's
+rows is noted beside it, and the pages are archived where they are read, an archive a task.
 
 Payloads are equal if their SHA-1 is. Record ids are unique: a payload's first response has one of
 page and payload, which revisits refer to; every other record's also names its archive and place in
-it. (Only where adaptive execution splits a payload's rows over tasks, and one page id repeats with
-that payload, can two responses meet in one id.)
+it. Of rows that repeat the smallest page id with one payload, one is that first response.
 
 Edge cases: null html is the empty payload, and empty payloads revisit each other; rows that repeat
 a page id are records of their own, and with one payload all of them are responses if that id is the
@@ -29,19 +29,22 @@ import struct
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import shared_dir, ship, utf8
+from ledgerline.llm.common import join_skewed, marked, on_files, shared_dir, ship, utf8, written
 from ledgerline.llm.files import new_file, open_file
 
 SKIPPABLE = 0x184D2A5D
 DICT_SIZE = 64 << 10
 DICT_SAMPLE = 4 << 20
 LEVEL = 3
+#: Stands for a group without a page id.
+NO_PAGE = -(1 << 63)
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -143,31 +146,49 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0,
     """Writes every page as a record; returns the archives' URIs (one row a task reaches the driver)."""
     spark = pages.sparkSession
     ship(spark)
-    folder = folder or shared_dir(spark, "warc")
-    url = F.col(url_col) if url_col in pages.columns else F.lit(None)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.cast("string").alias("url"), utf8(html_col).alias("html")).withColumn("digest", F.unhex(F.sha1("html")))
-    first = rows.select("page_id", "digest").groupBy("digest").agg(F.min("page_id").alias("first"))
-    dealt = rows.join(first.hint("merge"), "digest").select("page_id", "url", "html", "digest", "first")
+    pages = on_files(pages)
+    folder, notes = folder or shared_dir(spark, "warc"), shared_dir(spark, "warc-notes")
+    page, html = F.col(id_col).cast("long").alias("page_id"), utf8(html_col).alias("html")
+    rows = marked(pages).select("__file", "__row", page, F.unhex(F.sha1(html)).alias("digest"))
+    place = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "__file", "__row"))
+    verdict = written(rows.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "warc-first")
+    own = (F.col("page_id") == F.col("first.page_id")) & (F.col("__file") == F.col("first.__file")) & (F.col("__row") == F.col("first.__row"))
+    told = join_skewed(rows, verdict, "digest", "n").select("__file", "__row", F.coalesce("first.page_id", F.lit(NO_PAGE)).alias("head"), F.coalesce(own, F.lit(False)).cast("long").alias("own"))
+    name = lambda file: f"{notes}/{hashlib.md5(file.encode()).hexdigest()}.rows"
+
+    def note(key, table):
+        table = table.sort_by("__row")
+        with new_file(name(key[0].as_py())) as out:
+            out.write(np.stack([table[c].to_numpy() for c in ("__row", "head", "own")], axis=1).tobytes())
+        return pa.table({"n": pa.array([table.num_rows], pa.int64())})
+
+    told.groupBy("__file").applyInArrow(note, "n long").agg(F.sum("n")).collect()  # one row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = answered = None
+        made = loaded = None
         for batch in batches:
             if made is None and batch.num_rows:
                 number = TaskContext.get().partitionId()
                 uri = f"{folder}/pages-{number:06d}.warc.zst"
                 made = new_file(uri)
                 archive = Archive(made.__enter__(), number)
-            for page, link, html, digest, head in zip(*(batch.column(i) for i in range(5))):
-                payload, page, head, digest = html.as_buffer().to_pybytes(), page.as_py(), head.as_py(), digest.as_py()
+            for page, link, html, file, row in zip(*(batch.column(i) for i in range(5))):
+                if file.as_py() != loaded:
+                    loaded = file.as_py()
+                    with open_file(name(loaded)) as f:
+                        known = np.frombuffer(f.read(), np.int64).reshape(-1, 3)
+                _, head, first = known[np.searchsorted(known[:, 0], row.as_py())].tolist()
+                payload, page, head = html.as_buffer().to_pybytes(), page.as_py(), None if head == NO_PAGE else head
                 revisit = len(payload) >= least and head is not None and page != head
-                first = not revisit and page is not None and page == head and digest != answered  # rows come in order of digest
-                answered = digest if first else answered
-                archive.add(page_record(page, link.as_py(), payload, base64.b32encode(digest).decode(), head, revisit, () if first else (number, archive.records)))
+                archive.add(page_record(page, link.as_py(), payload, sha1_base32(payload), head, revisit, () if first else (number, archive.records)))
         if made is not None:
             archive.close()
             made.__exit__(None, None, None)
             yield pa.RecordBatch.from_pydict({"uri": [uri], "records": pa.array([archive.records], pa.int64())})
 
+    url = F.col(url_col) if url_col in pages.columns else F.lit(None)
+    at = pages.metadataColumn("_metadata")
+    dealt = pages.select(page, url.cast("string").alias("url"), html, at["file_path"].alias("file"), at["row_index"].alias("row"))
     return sorted(r.uri for r in dealt.mapInArrow(run, "uri string, records long").collect())
 
 
