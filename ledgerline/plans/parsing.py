@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import answers, dates, text
@@ -29,20 +30,20 @@ def q36_answer_clean(conversations):
     return rows.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cleaned").alias("answers"), F.count_if("refused").alias("refusals"), big(F.sum(F.length("q"))).alias("question_chars"), F.count_if("right").alias("right_label"))
 
 
-CASES = [
-    (1, r"Reasoning... <answer>No</answer> then <answer> Yes </answer>", "Yes"), (2, "<label>Stable disease</label>", "stable disease"), (3, 'I think "Progression" fits', "progression"), (4, "<a long explanation> | No", "no"),
-    (5, r"so \boxed{\text{Yes}} it is \boxed{No}", "no"), (6, "plain last word yes", "yes"), (7, None, "yes"), (8, "<answer></answer> Maybe", "maybe"), (9, "A | B | <Yes>", "a"), (10, "answer: 'No' [TRUNCATED 3]", "no"),
-    (11, "<label></label> No", "no"), (12, f"<{'x' * 60}> end", "x" * 60), (13, r"\boxed{a \boxed{b}} c", "b"),
-]
-
-
-@query("region", sql="""
-    SELECT * FROM (VALUES (1, 'Yes', true), (2, 'Stable disease', true), (3, 'Progression', false), (4, 'No', true), (5, 'No', true), (6, 'yes', true), (7, '', false), (8, 'Maybe', true), (9, 'Yes', false), (10, '3]', false), (11, 'No', true), (12, repeat('x', 60), false), (13, 'a \\boxed{b}', false)) v(case_id, answer, correct)""")
-def q37_answer_extract(region):
-    """Priority extraction and any-candidate match on stated replies."""
-    ship(region.sparkSession)
-    rows = region.sparkSession.createDataFrame(CASES, "case_id int, reply string, gold string")
-    return rows.select("case_id", answers.primary(F.col("reply")).alias("answer"), answers.any_correct(F.col("reply"), F.col("gold")).alias("correct"))
+@query("conversations", sql=r"""
+    WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM conversations), c AS (SELECT conv_id, turn, ws[1] AS a, ws[2] AS b FROM w WHERE len(ws) > 1)
+    SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN '\text{' || a || '} ' || b WHEN 1 THEN a WHEN 2 THEN b WHEN 3 THEN 'all' WHEN 4 THEN b ELSE a || ' ' || b END AS answer, turn % 2 = 0 AS correct FROM c""")
+def q37_answer_extract(conversations):
+    """The answer that comes first, and whether any candidate is the gold answer, in replies of six forms around the first
+    two words of each text: boxed, behind an empty tag, in brackets behind a pipe, a sentence, several pipes, a label."""
+    ship(conversations.sparkSession)
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
+    rows = conversations.select("conv_id", "turn", ((F.col("conv_id") + F.col("turn")) % 6).alias("form"), F.get(words, F.lit(0)).alias("a"), F.get(words, F.lit(1)).alias("b")).where("b IS NOT NULL")
+    replies = [r"'so \\boxed{\\text{' || a || '} ' || b || '} fine'", "'<answer></answer> ' || a", """a || ' | <"' || b || '">'""", "a || ' is ' || b || ' of all'", "'no ' || a || ' | ' || a || ' | ' || b", "'<b> <label>the answer is ' || a || '  ' || b || ' [truncated 3]</label> x'"]
+    golds = [r"'\\text{' || a || '} ' || b", "a", "a", "a || ' is ' || b || ' of all'", "'no ' || a", "a || ' ' || b"]
+    form = lambda cases: F.expr("CASE form " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(cases)) + " END")
+    asked = rows.select("conv_id", "turn", form(replies).alias("reply"), F.when(F.col("turn") % 2 == 0, form(golds)).otherwise("not in it").alias("gold"))
+    return asked.select("conv_id", "turn", answers.primary(F.col("reply")).alias("answer"), answers.any_correct(F.col("reply"), F.upper("gold")).alias("correct"))
 
 
 @query("pages", sql=r"""
@@ -74,22 +75,29 @@ def q40_logprob_fill(events):
     return events.select("event_type", c.alias("c")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c"), 4).alias("filled"), r6(F.avg(F.exp("c"))).alias("mean_p"))
 
 
-@query("region", sql="""
-    SELECT i, t::TIMESTAMP AS t, horizon::BIGINT AS horizon FROM (VALUES (1, '2024-02-29 00:00:00', 1), (2, '2024-03-01 13:45:00', 2), (3, '2024-03-01 13:45:10', NULL), (4, '2024-03-01 13:45:10', 5), (5, '2023-12-05 00:00:00', NULL), (6, '2023-12-01 00:00:00', NULL), (7, NULL, 10), (8, NULL, NULL), (9, NULL, NULL)) v(i, t, horizon)""")
-def q41_dates_multi(region):
-    """Dates in five formats, invalid ones null; the horizon in a task's name."""
-    rows = [(1, "2024-02-29", "died_1_yr"), (2, "2024-03-01 13:45", "x_2_yr_late"), (3, "2024-03-01 13:45:10", "plain"), (4, "2024-03-01T13:45:10Z", "a_5_yr"), (5, "20231205", "b"), (6, "202312", "c_yr"), (7, "2023-02-30", "d_10_yr"), (8, "soon", "e"), (9, None, None)]
-    df = region.sparkSession.createDataFrame(rows, "i int, d string, task string")
-    return df.select("i", dates.parse_time(F.col("d")).alias("t"), dates.horizon_years(F.col("task")).alias("horizon"))
+@query("orders", sql="""
+    SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN o_orderdate WHEN 1 THEN date_trunc('minute', o_orderdate) WHEN 2 THEN date_trunc('day', o_orderdate) WHEN 3 THEN o_orderdate WHEN 4 THEN date_trunc('day', o_orderdate) WHEN 5 THEN date_trunc('month', o_orderdate) END AS t,
+           CASE WHEN o_orderkey % 3 < 2 THEN o_custkey % 12 END AS horizon FROM orders""")
+def q41_dates_multi(orders):
+    """Order dates written in six formats and read back, and the horizon in a task's name; what is neither is null."""
+    at = lambda f: F.date_format("o_orderdate", f)
+    forms = [at("yyyy-MM-dd HH:mm:ss"), at("yyyy-MM-dd HH:mm"), at("yyyy-MM-dd"), F.concat(at("yyyy-MM-dd"), F.lit("T"), at("HH:mm:ss"), F.lit("Z")), at("yyyyMMdd"), at("yyyyMM"), F.concat(at("yyyy"), F.lit("-02-30"))]
+    text = F.expr("CASE " + " ".join(f"WHEN o_orderkey % 7 = {i} THEN f[{i}]" for i in range(7)) + " END")
+    years = (F.col("o_custkey") % 12).cast("string")
+    task = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("died_"), years, F.lit("_yr"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("x_"), years, F.lit("_yr_late"))).otherwise(F.concat(F.lit("plain_"), years))
+    rows = orders.withColumn("f", F.array(*forms)).select("o_orderkey", text.alias("d"), task.alias("task"))
+    return rows.select("o_orderkey", dates.parse_time(F.col("d")).alias("t"), dates.horizon_years(F.col("task")).alias("horizon"))
 
 
-XML = '<encounter><entry timestamp="2024-01-02 10:00"><event code="A/1">7.5</event></entry><entry timestamp="2024-01-01 09:00"><event code="B/2">note</event></entry></encounter>'
-
-
-@query("region", sql="""
-    SELECT * FROM (VALUES (TIMESTAMP '2024-01-01 09:00:00', 'B/2', 'note', 1::BIGINT), (TIMESTAMP '2024-01-02 10:00:00', 'A/1', '7.5', 0::BIGINT)) v("time", code, "value", doc_ord)""")
-def q64_xml_events(region):
-    """Events of an XML text, in order of time, then of the document."""
-    df = region.sparkSession.createDataFrame([(XML,)], "x string")
-    e = df.select(F.posexplode(readers.events_of_xml(F.col("x"))).alias("doc_ord", "e"))
-    return e.select(dates.parse_time(F.col("e.time")).alias("time"), F.col("e.code").alias("code"), F.col("e.value").alias("value"), big("doc_ord").alias("doc_ord")).orderBy(F.col("time").asc_nulls_last(), "doc_ord")
+@query("events", sql="""
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) - 1 AS place, sec AS "time", event_type || '/' || event_id AS code, props AS value FROM (SELECT *, date_trunc('second', ts) AS sec FROM events) WHERE ts IS NOT NULL""")
+def q64_xml_events(events):
+    """Every user's events written as one XML text, newest first, and read back in order of time, then of the event."""
+    escaped = F.replace(F.replace("props", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    entry = F.concat(F.lit('<entry timestamp="'), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit('"><event code="'), "event_type", F.lit("/"), F.col("event_id").cast("string"), F.lit('">'), escaped, F.lit("</event></entry>"))
+    listed = F.sort_array(F.collect_list(F.struct("ts", F.col("event_id"), entry.alias("x"))), False)  # one user's events
+    texts = events.where("ts IS NOT NULL").groupBy("user_id").agg(F.concat(F.lit("<encounter>"), F.array_join(F.transform(listed, lambda z: z["x"]), ""), F.lit("</encounter>")).alias("x"))
+    e = texts.select("user_id", F.posexplode(readers.events_of_xml(F.col("x"))).alias("doc_ord", "e"))
+    read = e.select("user_id", "doc_ord", dates.parse_time(F.col("e.time")).alias("time"), F.col("e.code").alias("code"), F.col("e.value").alias("value"))
+    w = Window.partitionBy("user_id").orderBy("time", F.split("code", "/")[1].cast("bigint"))
+    return read.select("user_id", (F.row_number().over(w) - 1).cast("bigint").alias("place"), "time", "code", "value")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType, StringType, StructType
 
 from ledgerline.functions import answers, arrays, dates, text
 from ledgerline.operators import blocks, contracts, filters, joins, metrics, postings, retrieval, sampling, serving, survival, timeline
 from ledgerline.plans import config
 from ledgerline.plans.register import query
+from ledgerline.shipping import ship
 
 r6 = lambda c: F.round(c, 6)
 big = lambda c: F.col(c).cast("bigint") if isinstance(c, str) else c.cast("bigint")
@@ -308,18 +312,26 @@ def q108_content(part):
     return blocks.golden(blocks.assembled(blocks.with_blocks(rows, spec)), ["p_partkey"], "prompt", "images")
 
 
-@query("region", sql="""
-    SELECT * FROM (VALUES ('task', 't1', 'no,yes'), ('task', 'panel', ''), ('task', 't2', 'low,high'), ('preset', 'both', '2 blocks'), ('preset', 'other', 'unknown'), ('variant', 'short', '2')) v(what, name, value)""")
-def q109_configuration(region):
-    """Registry, presets and variants resolved on the driver."""
+@query("part", sql="""
+    SELECT p_partkey, p_partkey || CASE WHEN p_size % 3 = 2 THEN '|t2' ELSE '' END AS tasks, CASE p_size % 3 WHEN 0 THEN 'no,yes' ELSE 'low,high' END AS choices, CASE WHEN p_size % 4 < 3 THEN '2 blocks' ELSE 'unknown' END AS preset, CASE WHEN p_size % 5 = 0 THEN 2 ELSE p_size END::BIGINT AS k FROM part""")
+def q109_configuration(part):
+    """A configuration text a part, resolved: registry entry, preset and variant."""
+    ship(part.sparkSession)
+    task = F.expr("CASE p_size % 3 WHEN 0 THEN '\"shared_task\": \"t1\"' WHEN 1 THEN '\"shared_task\": \"t2\"' ELSE '\"panel_tasks\": [\"t2\"]' END")
+    entry = F.concat(F.lit('{"tasks": [{"task_name": "'), F.col("p_partkey").cast("string"), F.lit('", '), task, F.lit('}], "preset": "'), F.when(F.col("p_size") % 4 < 3, "both").otherwise("other"), F.lit('", "run": {"k": '), F.col("p_size").cast("string"), F.lit('}, "variant": "'), F.when(F.col("p_size") % 5 == 0, "short").otherwise("plain"), F.lit('"}'))
+    return part.select("p_partkey", config_of(entry).alias("c")).select("p_partkey", "c.*")
+
+
+@pandas_udf(StructType().add("tasks", StringType()).add("choices", StringType()).add("preset", StringType()).add("k", LongType()))
+def config_of(text: pd.Series) -> pd.DataFrame:
     shared = {"t1": {"label_mapping": {"0": "no", "1": "yes", "-1": "n/a"}, "is_binary": True}, "t2": {"label_mapping": {"1": "high", "0": "low"}, "is_binary": True}}
-    entries = config.read_config('{"tasks": [{"task_name": "t1", "shared_task": "t1"}, {"task_name": "panel", "panel_tasks": ["t2"]}]}')
-    tasks = config.resolve_registry(entries["tasks"], shared)
-    presets = {"both": {"blocks": [1, 2]}}
-    rows = [("task", t["task_name"], ",".join(t.get("choices", []))) for t in tasks]
-    rows += [("preset", n, "unknown" if (e := config.expand_preset(n, presets))["unknown"] else f"{len(e['blocks'])} blocks") for n in ("both", "other")]
-    rows.append(("variant", "short", str(config.with_variant({"k": 5}, {"short": {"k": 2}}, "short")["k"])))
-    return region.sparkSession.createDataFrame(rows, "what string, name string, value string")
+    rows = []
+    for said in text:
+        read = config.read_config(said)
+        tasks = config.resolve_registry(read["tasks"], shared)
+        preset = config.expand_preset(read["preset"], {"both": {"blocks": [1, 2]}})
+        rows.append(("|".join(t["task_name"] for t in tasks), ",".join(tasks[-1]["choices"]), "unknown" if preset["unknown"] else f"{len(preset['blocks'])} blocks", config.with_variant(read["run"], {"short": {"k": 2}, "plain": {}}, read["variant"])["k"]))
+    return pd.DataFrame(rows, columns=["tasks", "choices", "preset", "k"])
 
 
 @query("orders", sql="""

@@ -505,7 +505,11 @@ def test_truncation_candidates_and_headers(spark):
     assert column(text.truncate(F.col("t"), 1), t=five) == ""
     assert answers.answer_candidates("<answer></answer> No") == ["No", "<answer></answer> No"]
     assert "x" * 51 not in answers.answer_candidates(f"<{'x' * 51}> a") and "x" * 50 in answers.answer_candidates(f"<{'x' * 50}> a")
-    assert answers.answer_candidates("one | two | <Yes>") == ["Yes", "one | two", "<Yes>"]
+    assert answers.answer_candidates("one | two | <Yes>") == ["Yes", "one | two", "<Yes>", "one"]
+    assert "no clear progression of disease" in answers.answer_candidates("no clear progression of disease")
+    assert answers.answer_candidates("Yes | a | b") == ["Yes | a", "b", "Yes"]
+    for said, left in (('"The answer is: [x] yes [TRUNCATED 3] "', ": [x] yes"), ("a [b] c [was truncated]", "a"), ("'", "'"), ("Answer:  The  answer", "The answer"), ("[truncated] kept", "[truncated] kept")):
+        assert answers.tidy(said) == left
     assert answers.boxed("\\boxed{" * 5000) == [] and answers.boxed("\\boxed{a\\boxed{b}}\\boxed{c}") == ["a\\boxed{b}", "c"]
     assert column(text.demographics(F.lit(None), F.lit("male")), t="") == "PATIENT: age unknown years at the prediction time; sex male."
     with pytest.raises(ValueError):
