@@ -106,6 +106,37 @@ def input_qa(rows: DataFrame, arm: str, header: str, after: str, kept: str, imag
     return counts.join(gaps, arm, "left").select(*counts.columns, *at)
 
 
+def record_qa(rows: DataFrame, arm: str, header: str, header_text: str, in_record: str, in_window: str, signed_later: str, removed: str, trimmed: str, after: str, without_reports: Sequence[str] = (), unknown: str = "unknown") -> DataFrame:
+    """What each arm's record inputs hold: rows; with a header, and of those with age and with sex known; with the report in
+    the record, in the window, signed after the prediction's day, and removed; trimmed; events after the prediction in all;
+    and the rows that break a rule: an event after the prediction, no header, or a report in the window that was kept, but
+    for the arms that show no reports. header_text: the header, `Age: .. Sex: ..`, where either part may be unknown."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    known = lambda part: yes(header) & (F.regexp_extract(F.lower(F.coalesce(header_text, F.lit(""))), rf"{part}:\s*(\w+)", 1) != unknown) & F.lower(F.coalesce(header_text, F.lit(""))).contains(f"{part}:")
+    broken = (F.col(after) > 0) | ~yes(header) | (yes(in_window) & ~yes(removed) & ~F.coalesce(F.col(arm).isin(*without_reports), F.lit(False)))
+    return rows.groupBy(arm).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(yes(header)).alias("with_header"), F.count_if(known("age")).alias("age_known"), F.count_if(known("sex")).alias("sex_known"),
+        F.count_if(yes(in_record)).alias("report_in_record"), F.count_if(yes(in_window)).alias("report_in_window"), F.count_if(yes(in_window) & yes(signed_later)).alias("report_signed_later"), F.count_if(yes(removed)).alias("report_removed"),
+        F.count_if(yes(trimmed)).alias("trimmed"), F.coalesce(F.sum(after), F.lit(0)).cast("bigint").alias("events_after"), F.count_if(F.coalesce(broken, F.lit(True))).alias("broken"),
+    )
+
+
+def image_qa(rows: DataFrame, arm: str, images: str, expected: str, error: str, spreads: str, has_prior: str, gap: str, blank: float = 2.0) -> DataFrame:
+    """What each arm's image inputs hold: cases; with as many images as expected; load errors; with a slice that is nearly blank
+    (its values spread by less than `blank`; spreads: an array, one a slice) and the median number of those a case; with a
+    prior, with an earlier one, and the median days to it; and the cases that break a rule: another number of images
+    although all loaded, or a prior that is not earlier."""
+    prior = F.coalesce(F.col(has_prior), F.lit(False))
+    own = rows.withColumns({"__blank": F.size(F.filter(F.coalesce(F.col(spreads), F.array().cast("array<double>")), lambda s: s < blank)), "__gap": F.when(prior, F.col(gap))})
+    right, earlier = F.col(images).eqNullSafe(F.col(expected)), F.coalesce(F.col("__gap") > 0, F.lit(False))
+    counts = own.groupBy(arm).agg(
+        F.count(F.lit(1)).alias("cases"), F.count_if(right).alias("as_expected"), F.count(error).alias("load_errors"), F.count_if(F.col("__blank") > 0).alias("with_blank"),
+        F.count_if(prior).alias("with_prior"), F.count_if(prior & earlier).alias("prior_earlier"), F.count_if((~right & F.col(error).isNull()) | (prior & ~earlier)).alias("broken"),
+    )
+    median = lambda c, name: exact_quantiles(own, c, [0.5], [arm], "__q").select(arm, F.get("__q", F.lit(0)).alias(name))
+    return counts.join(median("__blank", "blank_median"), arm, "left").join(median("__gap", "gap_median"), arm, "left")
+
+
 def agrees(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
     """Rows of a re-read table that differ from their source by more than the tolerance, or are on one side only."""
     j = a.select(*keys, *[F.col(v).alias(f"__a_{v}") for v in values], F.lit(1).alias("__ina")).join(b.select(*keys, *[F.col(v).alias(f"__b_{v}") for v in values], F.lit(1).alias("__inb")), list(keys), "full_outer")

@@ -84,13 +84,33 @@ def nearest(df: DataFrame, id_: str, vector: str, targets: DataFrame, name: str,
     return df.join(best, id_).select(*df.columns, (-F.col("__best.neg")).cast(targets.schema[name].dataType).alias("nearest"), F.col("__best.cos").alias("cos"))
 
 
+def seconds_of(time: Column) -> Column:
+    """Whole seconds since 1970 of a date or time, by its fields: no time zone moves them."""
+    return F.unix_date(time.cast("date")).cast("bigint") * 86400 + F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)
+
+
+def in_intervals(anchors: DataFrame, events: DataFrame, on: Sequence[str], start: Column, end: Column, time: Column, width: int | None = None) -> DataFrame:
+    """anchors with each event of the same keys in [start, end] (columns of anchors; time: of events); columns that both have
+    come from anchors.
+
+    Time is cut into bins of `width` seconds, by default the mean length of the intervals; an anchor stands in every bin that
+    its interval touches, an event in its own. So a pair is formed once, in the event's bin, and none outside the anchor's
+    bins, whatever a key holds; a key's bins are different tasks'. Null times and bounds meet nothing."""
+    spans = anchors.select("*", seconds_of(start).alias("__from"), seconds_of(end).alias("__to")).where("__from <= __to")
+    if width is None:
+        width = max(1, int(spans.agg(F.avg(F.col("__to") - F.col("__from"))).first()[0] or 1))  # one row
+    bins = F.sequence(F.floor(F.col("__from") / width), F.floor(F.col("__to") / width))
+    dealt = spans.withColumns({"__start": start, "__end": end, "__bin": F.explode(bins)}).drop("__from", "__to")
+    keyed = events.select(*[F.col(k).alias(f"__{k}") for k in on], time.alias("__time"), F.floor(seconds_of(time) / width).alias("__at"), *[c for c in events.columns if c not in anchors.columns])
+    same = [F.col(k) == F.col(f"__{k}") for k in on] + [F.col("__bin") == F.col("__at"), F.col("__time").between(F.col("__start"), F.col("__end"))]
+    return dealt.join(keyed, same).drop("__start", "__end", "__bin", "__at", "__time", *[f"__{k}" for k in on])
+
+
 def events_of_notes(rows: DataFrame, notes: DataFrame, events: DataFrame, keys: Sequence[str], person: str, note: str, time: str, anchor: str, before: str) -> DataFrame:
-    """Events in [anchor - before, anchor] of each row's person whose note is one of the row's (keys, note) notes: two
-    equi-joins on person and note, with the range as a condition of the second."""
+    """Events in [anchor - before, anchor] of each row's person whose note is one of the row's (keys, note) notes: an equi-join
+    on the note, whose range is looked for in bins of time."""
     own = rows.join(notes.select(*keys, note).distinct(), list(keys))
-    seen = events.select(F.col(person).alias("__p"), F.col(note).alias("__n"), *[c for c in events.columns if c not in (person, note, *own.columns)])
-    met = (F.col(person) == F.col("__p")) & (F.col(note) == F.col("__n")) & F.col(time).between(shifted(F.col(anchor), before, -1), F.col(anchor))
-    return own.join(seen, met).drop("__p", "__n")
+    return in_intervals(own, events, [person, note], shifted(F.col(anchor), before, -1), F.col(anchor), F.col(time))
 
 
 def matched(a: DataFrame, b: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:

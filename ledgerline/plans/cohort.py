@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerline.functions.dates import shifted
 from ledgerline.functions.hashing import fingerprint, keyed_sha, opaque_id
 from ledgerline.functions.text import populated
 from ledgerline.operators import contracts, filters, joins, sampling, timeline
@@ -30,11 +31,34 @@ def q01_task_scan(orders):
 def q02_window_events(events, customer):
     """Events within seven days before each user's last day, both ends in."""
     anchors = events.groupBy("user_id").agg(F.date_trunc("day", F.max("ts")).cast("timestamp_ntz").alias("anchor"))
-    kept = events.join(anchors, "user_id").where(filters.in_window(F.col("ts"), F.col("anchor"), "7d"))
+    kept = joins.in_intervals(anchors, events, ["user_id"], shifted(F.col("anchor"), "7d", -1), F.col("anchor"), F.col("ts"))
     kept = kept.join(customer.select(F.col("c_custkey").alias("user_id"), "c_mktsegment"), "user_id", "left")
     return kept.groupBy("user_id", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), big(F.max(F.datediff("anchor", "ts"))).alias("oldest_days"))
 
 
+@query("events", "orders", sql="""
+    SELECT o.o_orderkey % 50 AS part, count(*) AS n, count(DISTINCT o.o_orderkey) AS anchors, sum(e.event_id)::BIGINT AS ids
+    FROM (SELECT o_orderkey, o_orderkey % 150 AS user_id, TIMESTAMP '2024-01-01' + INTERVAL (o_orderkey % 744) HOUR AS anchor, o_orderkey % 5 AS days FROM orders) o
+    JOIN events e ON e.user_id = o.user_id AND e.ts BETWEEN o.anchor - INTERVAL (days * 12) HOUR AND o.anchor + INTERVAL 1 HOUR GROUP BY 1""")
+def q125_many_anchors(events, orders):
+    """Events around very many anchors a person, in windows of different lengths: in bins of time, not person by person."""
+    hours = lambda n: F.make_interval(hours=n)
+    first = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    anchors = orders.select("o_orderkey", (F.col("o_orderkey") % 150).alias("user_id"), (first + hours((F.col("o_orderkey") % 744).cast("int"))).alias("anchor"), (F.col("o_orderkey") % 5 * 12).cast("int").alias("before"))
+    met = joins.in_intervals(anchors, events, ["user_id"], F.col("anchor") - hours(F.col("before")), F.col("anchor") + hours(F.lit(1)), F.col("ts"))
+    return met.groupBy((F.col("o_orderkey") % 50).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("anchors"), big(F.sum("event_id")).alias("ids"))
+
+
+@query("lineitem", "orders", sql="""
+    SELECT l_returnflag, count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+    WHERE CASE WHEN o_orderkey % 10 = 0 THEN l_shipdate IS NOT NULL ELSE l_shipdate BETWEEN o_orderdate - INTERVAL 2 YEAR AND o_orderdate + INTERVAL 6 MONTH END GROUP BY l_returnflag""")
+def q128_relative_window(lineitem, orders):
+    """Rows within a window around their own anchor; rows without an anchor are all kept."""
+    anchors = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderkey") % 10 > 0, F.col("o_orderdate")).alias("anchor"))
+    kept = lineitem.join(anchors, "l_orderkey").where(filters.in_window(F.col("l_shipdate"), F.col("anchor"), "2y", "6mo"))
+    return kept.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("orders"))
+
+
 @query("events", sql="""
     SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events
     WHERE (contains(lower(event_type || ' ' || props), 'err') OR contains(lower(event_type || ' ' || props), 'pur') OR contains(lower(event_type || ' ' || props), '7'))

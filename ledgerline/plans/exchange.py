@@ -12,6 +12,7 @@ from ledgerline.operators import blocks, filters, joins, timeline
 from ledgerline.plans.register import query
 from ledgerline.shipping import ship
 from ledgerline.sources import readers, sinks, volumes
+from ledgerline.sources.volume_source import volume_slices
 from ledgerline.storage import shared_dir
 
 big = lambda c: F.col(c).cast("bigint") if isinstance(c, str) else c.cast("bigint")
@@ -210,6 +211,28 @@ def q76_volume_slices(embeddings):
     return read.select("study", "k", "n", "spacing", "values")
 
 
+@query("embeddings", sql="""
+    WITH v AS (SELECT vec_id, len(embedding) // 4 AS n, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id >= 100)
+    SELECT 's' || vec_id AS study, k::INT AS k, n::INT AS n, [e[4 * k + 2], e[4 * k + 1], e[4 * k + 4], e[4 * k + 3]] AS "values" FROM v, unnest([0, 3, 9]) t(k) WHERE k < n AND 's' || vec_id > 's2'""")
+def q124_lazy_slices(embeddings):
+    """Vectors as uncompressed volumes from the head down; three slices of the studies past s2, read without the rest."""
+    spark, folder = embeddings.sparkSession, shared_dir(embeddings.sparkSession, "lazy-volumes")
+    ship(spark)
+
+    def written_as(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            bodies = [volumes.encode(np.array(v, np.float32)[: len(v) // 4 * 4].reshape(2, 2, -1, order="F"), np.diag([1.0, -1.0, -2.0, 1.0]), packed=False) for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], ["name", "body"])
+
+    named = embeddings.where("vec_id >= 100").select(F.concat(F.lit("s"), F.col("vec_id").cast("string"), F.lit("__1.nii")).alias("name"), "embedding")
+    sinks.write_files(named.mapInArrow(written_as, "name string, body binary"), folder, "name", "body")
+    read = volume_slices(spark, folder, parts=2).where(F.col("k").isin(0, 3, 9) & (F.col("study") > "s2"))
+    return read.select("study", "k", "n", "values")
+
+
 @query("events", "customer", sql="""
     SELECT 'date' AS what, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' UNION ALL SELECT 'shared', count(*) FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' INTERSECT SELECT DISTINCT user_id FROM events WHERE event_type = 'signup')
     UNION ALL SELECT 'cells', count(DISTINCT c_mktsegment) * (SELECT count(DISTINCT event_type) FROM events) FROM customer""")

@@ -384,6 +384,37 @@ def q113_input_qa(lineitem):
     return contracts.input_qa(rows, "arm", "header", "after", "kept", "images", "expected", "gap").withColumn("gap_p90", r6("gap_p90"))
 
 
+@query("customer", "orders", sql="""
+    WITH o AS (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most, count(*) FILTER (WHERE o_orderstatus = 'P') AS pending, max(o_orderdate) AS last FROM orders GROUP BY o_custkey),
+    r AS (SELECT c_mktsegment AS arm, c_custkey % 9 > 0 AS header, c_custkey % 4 = 0 AS no_age, c_custkey % 7 = 0 AS no_sex, n IS NOT NULL AS rec, coalesce(n > 5, false) AS win, coalesce(last >= TIMESTAMP '2001-01-01', false) AS later, coalesce(n > 8, false) AS gone, coalesce(most > 300000, false) AS cut, CASE WHEN c_custkey % 11 = 0 THEN pending END AS after FROM customer LEFT JOIN o ON o_custkey = c_custkey)
+    SELECT arm, count(*) AS n, count(*) FILTER (WHERE header) AS with_header, count(*) FILTER (WHERE header AND NOT no_age) AS age_known, count(*) FILTER (WHERE header AND NOT no_sex) AS sex_known, count(*) FILTER (WHERE rec) AS report_in_record,
+           count(*) FILTER (WHERE win) AS report_in_window, count(*) FILTER (WHERE win AND later) AS report_signed_later, count(*) FILTER (WHERE gone) AS report_removed, count(*) FILTER (WHERE cut) AS trimmed, coalesce(sum(after), 0)::BIGINT AS events_after,
+           count(*) FILTER (WHERE coalesce(coalesce(after, 0) > 0 OR NOT header OR (win AND NOT gone AND arm <> 'BUILDING'), true)) AS broken FROM r GROUP BY arm""")
+def q126_record_qa(customer, orders):
+    """What each segment's records hold: headers, reports in record and window, trimmed ones, and how many break a rule."""
+    per = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(n_rows(), F.max("o_totalprice").alias("most"), F.count_if(F.col("o_orderstatus") == "P").alias("pending"), F.max("o_orderdate").alias("last"))
+    part = lambda k, name, value: F.concat(F.lit(f"{name}: "), F.when(F.col("c_custkey") % k == 0, "unknown").otherwise(value))
+    rows = customer.join(per, "c_custkey", "left").select(
+        F.col("c_mktsegment").alias("arm"), (F.col("c_custkey") % 9 > 0).alias("header"), F.concat(part(4, "Age", "61"), F.lit(", "), part(7, "Sex", "female")).alias("said"), F.col("n").isNotNull().alias("rec"), (F.col("n") > 5).alias("win"),
+        (F.col("last") >= F.lit("2001-01-01").cast("timestamp_ntz")).alias("later"), (F.col("n") > 8).alias("gone"), (F.col("most") > 300000).alias("cut"), F.when(F.col("c_custkey") % 11 == 0, F.col("pending")).otherwise(0).alias("after"),
+    )
+    return contracts.record_qa(rows.withColumn("after", F.coalesce("after", F.lit(0))), "arm", "header", "said", "rec", "win", "later", "gone", "cut", "after", ["BUILDING"])
+
+
+@query("embeddings", sql="""
+    WITH r AS (SELECT label AS arm, vec_id, list_transform(range(8), lambda i: round(list_max(embedding[8 * i + 1:8 * i + 8]) - list_min(embedding[8 * i + 1:8 * i + 8]), 6)) AS s, 8 - (vec_id % 6 = 0)::INT AS images, CASE WHEN vec_id % 12 = 0 THEN 'broken file' END AS error, vec_id % 3 = 0 AS prior, vec_id % 40 - 2 AS gap FROM embeddings),
+    q AS (SELECT *, len(list_filter(s, lambda x: x < 0.3)) AS blank FROM r)
+    SELECT arm, count(*) AS cases, count(*) FILTER (WHERE images = 8) AS as_expected, count(error) AS load_errors, count(*) FILTER (WHERE blank > 0) AS with_blank, count(*) FILTER (WHERE prior) AS with_prior, count(*) FILTER (WHERE prior AND gap > 0) AS prior_earlier,
+           count(*) FILTER (WHERE (images <> 8 AND error IS NULL) OR (prior AND gap <= 0)) AS broken, quantile_cont(blank, 0.5)::DOUBLE AS blank_median, quantile_cont(gap, 0.5) FILTER (WHERE prior)::DOUBLE AS gap_median FROM q GROUP BY arm""")
+def q127_image_qa(embeddings):
+    """What each label's images hold, with parts of a vector as slices: counts, load errors, slices nearly blank, priors."""
+    part = lambda i: F.slice("embedding", i * 8 + 1, 8)
+    spread = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.round((F.array_max(part(i)) - F.array_min(part(i))).cast("double"), 6))
+    every = lambda k: F.col("vec_id") % k
+    rows = embeddings.select(F.col("label").alias("arm"), spread.alias("s"), (8 - (every(6) == 0).cast("int")).alias("images"), F.lit(8).alias("expected"), F.when(every(12) == 0, "broken file").alias("error"), (every(3) == 0).alias("prior"), (every(40) - 2).alias("gap"))
+    return contracts.image_qa(rows, "arm", "images", "expected", "error", "s", "prior", "gap", 0.3)
+
+
 @query("events", sql="""
     WITH r AS (SELECT event_id, 'ask ' || (event_id % 97) AS request FROM events), a AS (SELECT *, CASE WHEN strpos('02468ace', right(sha256(request), 1)) > 0 THEN 'yes' ELSE 'no' END AS reply FROM r)
     SELECT reply, count(*) AS n, count(*) FILTER (WHERE (event_id % 97) % 4 = 0) AS from_cache, count(DISTINCT request) FILTER (WHERE (event_id % 97) % 4 <> 0) AS asked FROM a GROUP BY reply""")

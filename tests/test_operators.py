@@ -534,3 +534,29 @@ def test_windows_in_whole_numbers(spark):
     r = spark.createDataFrame([([-5.0, 0.0, 0.5, 1.0, 9.0],)], "v array<double>").select(arrays.window_bytes(F.col("v"), 0.0, 1.0, True).alias("a"), arrays.window_bytes(F.col("v"), 0.0, 1.0, False).alias("b"), arrays.three_windows(F.col("v"), [(0.0, 1.0), (-5.0, 5.0), (0.0, 9.0)]).alias("c")).first()
     assert r.a == [0, 0, 128, 255, 255] and r.b == [0, 0, 127, 255, 255]
     assert [tuple(x) for x in r.c][0] == (0, 0, 0) and [tuple(x) for x in r.c][4] == (255, 255, 255) and [tuple(x) for x in r.c][1] == (0, 128, 0)
+
+
+@pytest.mark.parametrize("width", [None, 1, 3600, 10**9])
+def test_events_of_many_anchors(spark, width):
+    """No pair outside an anchor's bins, and every pair within its interval once."""
+    rng = random.Random(11)
+    at = lambda: f"2024-03-{rng.randint(1, 9):02d} {rng.randint(0, 23):02d}:{rng.randint(0, 59):02d}:{rng.randint(0, 59):02d}"
+    anchors = [(i, rng.choice(["p", "p", "p", "q", None]), *sorted((at(), at()))) for i in range(60)] + [(60, "p", None, at()), (61, "p", "2024-03-05 00:00:00", "2024-03-04 00:00:00")]
+    events = [(1000 + i, rng.choice(["p", "p", "q", None]), at() if i % 20 else None, i) for i in range(150)] + [(2000, "p", anchors[0][2], 0), (2001, "p", anchors[1][3], 0)]
+    a = spark.createDataFrame(anchors, "i int, k string, a string, b string").select("i", "k", *[F.col(c).cast("timestamp_ntz").alias(c) for c in "ab"])
+    e = spark.createDataFrame(events, "e int, k string, t string, i int").select("e", "k", F.col("t").cast("timestamp_ntz").alias("t"), "i")
+    met = joins.in_intervals(a, e, ["k"], F.col("a"), F.col("b"), F.col("t"), width)
+    assert met.columns == ["i", "k", "a", "b", "e", "t"]
+    got = sorted((r.i, r.e) for r in met.collect())
+    assert got == sorted((i, x) for i, k, lo, hi in anchors for x, p, t, _ in events if k and k == p and t and lo and lo <= t <= hi)
+
+
+def test_input_checks_by_hand(spark):
+    rows = [("a", True, "Age: 61, Sex: unknown", True, True, False, False, False, 0), ("a", True, "Age: unknown, Sex: male", True, True, True, True, True, 0), ("a", False, None, None, None, None, None, None, 2), ("no_notes", True, "", True, True, None, False, None, 0)]
+    df = spark.createDataFrame(rows, "arm string, h boolean, s string, rec boolean, win boolean, late boolean, gone boolean, cut boolean, after int")
+    got = {r.arm: r for r in contracts.record_qa(df, "arm", "h", "s", "rec", "win", "late", "gone", "cut", "after", ["no_notes"]).collect()}
+    assert tuple(got["a"])[1:] == (3, 2, 1, 1, 2, 2, 1, 1, 1, 2, 2) and tuple(got["no_notes"])[1:] == (1, 1, 0, 0, 1, 1, 0, 0, 0, 0, 0)
+    rows = [("x", 30, 30, None, [5.0, 1.0], True, 10), ("x", 29, 30, "gone", None, False, None), ("x", 29, 30, None, [3.0], True, 0), ("x", 30, 30, None, [1.0, 1.5, 1.9], None, 4)]
+    df = spark.createDataFrame(rows, "arm string, n int, m int, err string, s array<double>, prior boolean, gap int")
+    (r,) = contracts.image_qa(df, "arm", "n", "m", "err", "s", "prior", "gap").collect()
+    assert tuple(r)[1:] == (4, 2, 1, 2, 2, 1, 1, 0.5, 5.0)

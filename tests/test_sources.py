@@ -1,14 +1,17 @@
 """Sources and sinks on temporary folders, and the streaming extension."""
 
+import io
 import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import EqualTo, In, LessThan
 
 from ledgerline.operators import blocks
 from ledgerline.sources import readers, sinks, volumes
+from ledgerline.sources.volume_source import SliceReader, volume_slices
 from ledgerline.streaming.windows import windowed_counts
 
 
@@ -149,3 +152,46 @@ def test_slides_become_tiles_that_the_manifest_lacks(spark, tmp_path):
 
     found = readers.volumes(spark, str(tmp_path), "*.pgm", cut, "slide string, x int, y int, tissue double").where("slide = 'b.pgm'").collect()
     assert {(r.x, r.y) for r in found} == {(0, 0), (16, 0), (0, 16), (16, 16)}
+
+
+class Counted(io.BytesIO):
+    """Counts what is read."""
+
+    def __init__(self, data):
+        super().__init__(data)
+        self.bytes = 0
+
+    def read(self, size=-1):
+        out = super().read(size)
+        self.bytes += len(out)
+        return out
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_only_the_slices_asked_for_are_read(packed):
+    rng = np.random.default_rng(4)
+    stored = rng.normal(size=(20, 30, 400)).astype(np.float32)
+    data = volumes.encode(stored, np.diag([1.0, 1.0, -1.0, 1.0]), packed=packed)
+    stream = Counted(data)
+    rows = list(volumes.slices(stream, "a__b.nii", lambda k, n: k in (3, 5, n - 390)))
+    assert [r["k"] for r in rows] == [3, 5, 10]
+    assert stream.bytes < (352 + 3 * 20 * 30 * 4 + 10 if not packed else len(data) / 5)  # decompression reads ahead
+    whole = {r["k"]: r["values"] for r in volumes.slices(data, "a__b.nii")}
+    assert all(whole[r["k"]] == r["values"] for r in rows) and len(whole) == 400
+
+
+def test_slices_as_a_data_source(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    for i, affine in enumerate((np.diag([1.0, 1.0, 1.0, 1.0]), np.diag([-1.0, 1.0, -2.0, 1.0]), np.array([[0, 0, 1, 0], [0, 1, 0, 0], [1, 0, 0, 0], [0, 0, 0, 1.0]]))):
+        for packed in (False, True):
+            (tmp_path / f"s{i}__{packed}.nii{'.gz' * packed}").write_bytes(volumes.encode(rng.normal(size=(4, 5, 6)), affine, packed=packed))
+    for parts in (1, 3):
+        df = volume_slices(spark, str(tmp_path), parts)
+        assert df.groupBy("study").count().orderBy("study").collect() == [("s0", 12), ("s1", 12), ("s2", 8)]
+        some = df.where("k IN (1, 2) AND study >= 's1' AND series = 'True' AND rows > 0")
+        want = [r for r in df.collect() if r.k in (1, 2) and r.study >= "s1" and r.series == "True"]
+        assert sorted(some.collect()) == sorted(want) and len(want) == 4
+    reader = SliceReader({"path": str(tmp_path)})
+    left = list(reader.pushFilters([EqualTo(("study",), "s1"), In(("k",), (0, 5)), LessThan(("rows",), 9)]))
+    assert [type(f) for f in left] == [LessThan] and sum(len(p.files) for p in reader.partitions()) == 2
+    assert [r[2] for p in reader.partitions() for r in reader.read(p)] == [0, 5, 0, 5]
