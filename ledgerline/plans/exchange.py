@@ -173,8 +173,8 @@ def q75_guarded_sinks(orders, events):
     spark = orders.sparkSession
     table, once, side, panel, outcome = (shared_dir(spark, x) for x in ("replace", "once", "sidecar", "panel", "outcome"))
     for odd in (1, 0):
-        sinks.replace_table(orders.where(F.col("o_orderkey") % 2 == odd).select("o_orderkey", "o_orderstatus"), table)
-    replaced = spark.read.parquet(table).groupBy(F.lit("replaced").alias("what"), F.col("o_orderstatus").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+        sinks.publish(orders.where(F.col("o_orderkey") % 2 == odd).select("o_orderkey", "o_orderstatus"), table)
+    replaced = sinks.published(spark, table).groupBy(F.lit("replaced").alias("what"), F.col("o_orderstatus").alias("part")).agg(F.count(F.lit(1)).alias("n"))
     sample = orders.select("o_orderkey")
     same = sinks.write_once(sample, once, "o_orderkey") == sinks.write_once(sample.orderBy(F.desc("o_orderkey")), once, "o_orderkey")
     info = sinks.with_sidecar(orders.select("o_orderkey", "o_custkey"), side, "o_custkey", {"orders": "x"})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,45 @@ def replace_table(df: DataFrame, path: str) -> None:
         fs.delete(old, True)
 
 
+def publish(df: DataFrame, path: str, hold: int = 86_400) -> str:
+    """Writes a new version of a table below path and points readers to it: a version is a folder of its own, and the file
+    `current`, which holds its name, is replaced in one rename. So a reader (published) finds the old version or the new one at
+    any moment, and a write that fails changes nothing. A version goes `hold` seconds after another took its place, so that
+    readers that have begun can end."""
+    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    root = path.rstrip("/")
+    df.write.parquet(f"{root}/{version}")
+    fs, draft = _fs(spark, f"{root}/{version}.current")
+    out = fs.create(draft, True)
+    try:
+        out.write(bytearray(version.encode()))
+    finally:
+        out.close()
+    jvm, target = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(f"{root}/current")
+    how = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(how, 1)
+    over[0] = how.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(draft).toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(draft), fs.makeQualified(target), over)
+    held = sorted((v for v in fs.listStatus(jvm.org.apache.hadoop.fs.Path(root)) if v.isDirectory()), key=lambda v: -v.getModificationTime())
+    for newer, old in zip(held, held[1:]):
+        if old.getPath().getName() != version and newer.getModificationTime() <= (time.time() - hold) * 1000:
+            fs.delete(old.getPath(), True)
+    return version
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The version of a table that is current when this is called."""
+    root = path.rstrip("/")
+    fs, at = _fs(spark, f"{root}/current")
+    source = fs.open(at)
+    try:
+        version = spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+    return spark.read.parquet(f"{root}/{version}")
+
+
 def write_once(df: DataFrame, path: str, key: str, force: bool = False) -> str:
     """A sample is not redrawn: an existing one must hold the same keys. Returns the hash of the key set."""
     own = case_set_hash(df, key)

@@ -195,3 +195,37 @@ def test_slices_as_a_data_source(spark, tmp_path):
     left = list(reader.pushFilters([EqualTo(("study",), "s1"), In(("k",), (0, 5)), LessThan(("rows",), 9)]))
     assert [type(f) for f in left] == [LessThan] and sum(len(p.files) for p in reader.partitions()) == 2
     assert [r[2] for p in reader.partitions() for r in reader.read(p)] == [0, 5, 0, 5]
+
+
+def test_readers_never_miss_a_published_table(spark, tmp_path):
+    import threading
+
+    path, stop, seen, errors = f"file://{tmp_path}/t", threading.Event(), set(), []
+    sinks.publish(spark.range(100).selectExpr("id", "0 AS version"), path)
+
+    def reader():
+        while not stop.is_set():
+            try:
+                row = sinks.published(spark, path).groupBy("version").count().collect()
+                assert len(row) == 1 and row[0]["count"] == 100
+                seen.add(row[0].version)
+            except Exception as e:  # noqa: BLE001
+                errors.append(e)
+                return
+
+    t = threading.Thread(target=reader)
+    t.start()
+    try:
+        for i in range(1, 9):
+            sinks.publish(spark.range(100).selectExpr("id", f"{i} AS version"), path)
+    finally:
+        stop.set()
+        t.join()
+    assert not errors and len(seen) > 1
+    assert sinks.published(spark, path).first().version == 8
+    assert len([f for f in (tmp_path / "t").iterdir() if f.is_dir()]) == 9
+    sinks.publish(spark.range(100), path, hold=-60)
+    assert len([f for f in (tmp_path / "t").iterdir() if f.is_dir()]) == 1
+    with pytest.raises(Exception):  # a write that fails leaves the table as it was
+        sinks.publish(spark.range(3).selectExpr("raise_error('no') AS x"), path)
+    assert sinks.published(spark, path).count() == 100
