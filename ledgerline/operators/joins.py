@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.arrays import cosine
 from ledgerline.functions.dates import shifted
 from ledgerline.operators.running import RANGE_ROWS, carried_last
+from ledgerline.storage import written
 
 
 def right_wins(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -68,20 +70,51 @@ def alike(df: DataFrame, vector: Column, master: DataFrame, column: str, above:
 
 
 def nearest(df: DataFrame, id_: str, vector: str, targets: DataFrame, name: str, target: str, block: int = 1000) -> DataFrame:
-    """df with `nearest` and `cos`: the target (name, vector) of highest cosine to each row's vector; ties go to the smaller
-    name. Targets are gathered in blocks of `block` rows. One block is broadcast; of more, each row meets one block at a
-    time, in a join on the block's number, and keeps the best."""
+    """df with `nearest` and `cos`: the target (name, vector) of highest cosine to each row's vector; ties (to 9 digits) go to
+    the smaller name. A row without a direction (null or zero) gets the smallest name and a null cosine.
+
+    Up to `block` targets are broadcast. Of more, see pivot_pairs: a row meets only the targets around those pivots that may
+    hold its nearest one, in pieces of `block` targets, and keeps the best."""
     count = targets.count()
-    blocks = max(1, -(-count // block))
-    numbered = targets.withColumn("__b", F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int"))
-    gathered = numbered.groupBy("__b").agg(F.collect_list(F.struct(F.col(name).alias("n"), F.col(target).alias("v"))).alias("__targets"))
     scored = F.transform("__targets", lambda z: F.struct(F.round(cosine(F.col(vector), z["v"]), 9).alias("cos"), (-z["n"]).alias("neg")))
-    if blocks == 1:
-        met = df.crossJoin(F.broadcast(gathered.drop("__b"))).withColumn("__best", F.array_max(scored))  # one row of at most `block` targets
+    if count <= block:
+        gathered = targets.agg(F.collect_list(F.struct(F.col(name).alias("n"), F.col(target).alias("v"))).alias("__targets"))
+        met = df.crossJoin(F.broadcast(gathered)).withColumn("__best", F.array_max(scored))  # one row of at most `block` targets
         return met.select(*df.columns, (-F.col("__best.neg")).cast(targets.schema[name].dataType).alias("nearest"), F.col("__best.cos").alias("cos"))
-    dealt = df.select(id_, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b"))
-    best = dealt.join(gathered, "__b").select(id_, F.array_max(scored).alias("__best")).groupBy(id_).agg(F.max("__best").alias("__best"))
-    return df.join(best, id_).select(*df.columns, (-F.col("__best.neg")).cast(targets.schema[name].dataType).alias("nearest"), F.col("__best.cos").alias("cos"))
+    dealt, gathered = pivot_pairs(df, id_, vector, targets, name, target, block)
+    best = dealt.join(gathered, ["__pivot", "__piece"]).select(id_, F.array_max(scored).alias("__best")).groupBy(id_).agg(F.max("__best").alias("__best"))
+    least = targets.agg(F.min(name).alias("__least"))
+    found = df.join(best, id_, "left").crossJoin(F.broadcast(least))  # one row
+    return found.select(*df.columns, F.coalesce((-F.col("__best.neg")).cast(targets.schema[name].dataType), "__least").alias("nearest"), F.col("__best.cos").alias("cos"))
+
+
+def pivot_pairs(df: DataFrame, id_: str, vector: str, targets: DataFrame, name: str, target: str, block: int = 1000, most: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """What rows have to meet to find their target of highest cosine: (id, vector, __pivot, __piece), and the targets
+    (__pivot, __piece, __targets) in pieces of about `block`.
+
+    Pivots are some of the targets (as many as the root of their number, `most` at most, in hash order), broadcast as one row.
+    Each target belongs to its nearest pivot, whose radius is the distance of its farthest one, between unit vectors. A row's
+    distance to a pivot less the radius bounds its distance to the pivot's targets from below (triangle inequality); the
+    nearest pivot, a target itself, bounds the least distance from above. So all pivots past that are skipped, exactly.
+    A pivot's targets are dealt to pieces by hash, so a crowded one is many rows."""
+    count = targets.count()
+    directed = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x) > 0
+    sound = targets.select(F.col(name).alias("n"), F.col(target).alias("v")).where(directed(F.col("v")))
+    few = sound.orderBy(F.xxhash64("n"), "n").limit(min(most, math.isqrt(count) + 1)).agg(F.collect_list("v").alias("__pivots"))  # `most` vectors
+    near = lambda v: F.transform("__pivots", lambda p: cosine(v, p))
+    apart = lambda c: F.sqrt(F.greatest(2 - 2 * c, F.lit(0.0)))
+    placed = sound.crossJoin(F.broadcast(few)).withColumn("c", near(F.col("v"))).select("n", "v", (F.array_position("c", F.array_max("c")) - 1).cast("int").alias("__pivot"), apart(F.array_max("c")).alias("d"))
+    placed = written(placed, "around-pivots")
+    sizes = placed.groupBy("__pivot").agg(F.max("d").alias("r"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__pieces"))
+    circles = sizes.agg(F.collect_list(F.struct("__pivot", "r", "__pieces")).alias("__circles"))  # `most` at most
+    pieces = placed.join(F.broadcast(sizes.drop("r")), "__pivot").withColumn("__piece", F.pmod(F.xxhash64("n"), F.col("__pieces")).cast("int"))
+    gathered = pieces.groupBy("__pivot", "__piece").agg(F.collect_list(F.struct("n", "v")).alias("__targets"))
+    asked = df.where(directed(F.col(vector))).select(id_, vector).crossJoin(F.broadcast(few)).crossJoin(F.broadcast(circles)).withColumn("c", near(F.col(vector))).withColumn("top", F.array_max("c"))
+    # Room for rounding: distances are right to about 1e-8, cosines are compared to 9 digits.
+    closest = lambda z: F.greatest(apart(F.get("c", z["__pivot"])) - z["r"] - 1e-7, F.lit(0.0))
+    reached = F.filter("__circles", lambda z: 1 - closest(z) * closest(z) / 2 >= F.col("top") - 4e-9)
+    dealt = asked.select(id_, vector, F.inline(reached)).select(id_, vector, "__pivot", F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1)).alias("__piece"))
+    return dealt, gathered
 
 
 def seconds_of(time: Column) -> Column:

@@ -497,6 +497,24 @@ def test_nearest_targets_over_blocks(spark):
         assert got == {i: int(k) for i, k in enumerate(cos.argmax(1))}
 
 
+def test_pivots_skip_targets_and_lose_none(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 8)) * 3
+    y = np.concatenate([centres[rng.integers(0, 20, 800)] + 0.1 * rng.normal(size=(800, 8)), np.zeros((2, 8))])
+    y[50:60] = y[40]  # equal targets: the smaller name
+    x = np.concatenate([centres[rng.integers(0, 20, 150)] + 0.2 * rng.normal(size=(150, 8)), y[40:42], np.zeros((1, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "i long, v array<double>").repartition(3)
+    targets = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "n int, w array<double>")
+    with np.errstate(invalid="ignore"):
+        cos = np.round((x @ y.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)[None], 9)
+    got = {r.i: (r.nearest, r.cos) for r in joins.nearest(df, "i", "v", targets, "n", "w", 30).collect()}
+    assert len(got) == 154 and got[152] == (0, None) == got[999]
+    assert all(got[i][0] == int(np.nanargmax(cos[i])) for i in range(152))
+    dealt, gathered = joins.pivot_pairs(df, "i", "v", targets, "n", "w", 30)
+    met = dealt.join(gathered, ["__pivot", "__piece"]).agg(F.sum(F.size("__targets"))).first()[0]
+    assert met < 152 * 800 / 4  # of 121,600 pairs
+
+
 def test_truncation_candidates_and_headers(spark):
     column = lambda c, **v: spark.createDataFrame([tuple(v.values())], ", ".join(f"{k} string" for k in v)).select(c.alias("x")).first().x
     four, five = "a\nb\nc\nd", "a\nb\nc\nd\ne"
