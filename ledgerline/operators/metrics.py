@@ -133,19 +133,28 @@ def calibration_slope(df: DataFrame, label: str, p: str, keys: Sequence[str], ep
     per = written(per, "calibration")
     zero = F.when((F.min("x") < F.max("x")) & (F.sum("y") > 0) & (F.sum("y") < F.sum("n")), F.lit(0.0))
     whole = per.groupBy(*keys).agg(F.sum("n").cast("bigint").alias("total"), zero.alias("a"), zero.alias("b"), F.lit(1.0).alias("moved"))
-    beta = whole
-    for _ in range(rounds):
-        now = per.join(beta.select(*keys, "a", "b"), list(keys)) if keys else per.crossJoin(F.broadcast(beta.select("a", "b")))  # one row
+    moving, settled, steps = whole, [], []
+    for i in range(rounds):
+        now = per.join(moving.select(*keys, "a", "b"), list(keys)) if keys else per.crossJoin(F.broadcast(moving.select("a", "b")))  # one row
         m = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))
         w, g, x = F.col("n") * m * (1 - m), F.col("y") - F.col("n") * m, F.col("x")
         sums = now.groupBy(*keys, "a", "b").agg(F.sum(w).alias("s0"), F.sum(w * x).alias("s1"), F.sum(w * x * x).alias("s2"), F.sum(g).alias("g0"), F.sum(g * x).alias("g1"))
         det = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
         sound = (det > 1e-12) & (F.abs("b") <= 1e6)
         da, db = (F.col("s2") * F.col("g0") - F.col("s1") * F.col("g1")) / det, (F.col("s0") * F.col("g1") - F.col("s1") * F.col("g0")) / det
-        beta = sums.select(*keys, F.when(sound, F.col("a") + da).alias("a"), F.when(sound, F.col("b") + db).alias("b"), F.when(sound, F.greatest(F.abs(da), F.abs(db))).alias("moved"))
-    slope = F.when(F.col("moved") < 1e-8, F.col("b")).alias("slope")
-    last = beta.select(*keys, slope)
-    return whole.select(*keys, "total").join(last, list(keys)).select(*keys, "slope", F.col("total").alias("n")) if keys else whole.select("total").crossJoin(last).select("slope", F.col("total").alias("n"))
+        moving = sums.select(*keys, F.when(sound, F.col("a") + da).alias("a"), F.when(sound, F.col("b") + db).alias("b"), F.when(sound, F.greatest(F.abs(da), F.abs(db))).alias("moved"))
+        if i % 4 == 3 or i == rounds - 1:  # every few rounds the keys that have settled leave, and with the last one it ends
+            step = written(moving, "calibration-step")
+            settled.append(step.where("moved < 1e-8").select(*keys, F.col("b").alias("slope")))
+            moving = step.where("moved >= 1e-8")
+            if moving.isEmpty():
+                break
+    last = settled[0]
+    for more in settled[1:]:
+        last = last.unionByName(more)
+    if keys:
+        return whole.select(*keys, "total").join(last, list(keys), "left").select(*keys, "slope", F.col("total").alias("n"))
+    return whole.select("total").crossJoin(F.broadcast(last.agg(F.max("slope").alias("slope")))).select("slope", F.col("total").alias("n"))  # one row
 
 
 def majority(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:

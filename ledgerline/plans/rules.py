@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType, StringType, StructType
@@ -197,12 +198,15 @@ def q92_yes_no(conversations):
 
 @query("events", sql="""
     WITH p AS (SELECT user_id, list(abs(round(value, 3)) ORDER BY event_id) AS v, list(event_id ORDER BY event_id) AS i FROM (SELECT * FROM events WHERE value IS NOT NULL) GROUP BY user_id)
-    SELECT user_id, list_transform(range(1, len(v) + 1), lambda k: list_min(v[1:k])) AS repaired, true AS increasing FROM p""")
+    SELECT user_id, list_transform(range(1, len(v) + 1), lambda k: list_min(v[1:k])) AS repaired, coalesce(list_bool_and(list_transform(range(2, len(v) + 1), lambda k: v[k - 1] < v[k])), true) AS increasing FROM (SELECT * FROM p UNION ALL SELECT -user_id - 1, list_sort(list_distinct(v)), i FROM p)""")
 def q94_monotone(events):
-    """Running minimum of a curve, and whether its points strictly increase."""
-    rows = events.where("value IS NOT NULL").select("user_id", "event_id", F.abs(F.round("value", 3)).alias("v"))
+    """Running minimum of a curve, and whether its values strictly increase in the order of its points: of each user's
+    values as they came, and of the distinct ones in order."""
+    came = events.where("value IS NOT NULL").select("user_id", "event_id", F.abs(F.round("value", 3)).alias("v"))
+    sorted_ = came.groupBy((-F.col("user_id") - 1).alias("user_id"), "v").agg(F.min("event_id").alias("x")).select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("v")).cast("bigint").alias("event_id"), "v")
+    rows = came.unionByName(sorted_)
     curve = rows.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "v"))), lambda z: z["v"]).alias("c"))
-    up = survival.is_monotone(rows.withColumn("pos", F.col("event_id")), ["user_id"], "event_id")
+    up = survival.is_monotone(rows.withColumn("pos", F.col("event_id")), ["user_id"], "v")
     return curve.select("user_id", survival.monotone(F.col("c")).alias("repaired")).join(up, "user_id")
 
 
@@ -415,6 +419,30 @@ def q127_image_qa(embeddings):
     return contracts.image_qa(rows, "arm", "images", "expected", "error", "s", "prior", "gap", 0.3)
 
 
+@query("lineitem", sql="""
+    WITH r AS (SELECT l_returnflag, l_linestatus = 'O' AS side, l_extendedprice AS v FROM lineitem),
+    p AS (SELECT l_returnflag, v, count(*) FILTER (WHERE side) AS x, count(*) FILTER (WHERE NOT side) AS y FROM r GROUP BY ALL),
+    c AS (SELECT l_returnflag, sum(x) OVER w / nullif(sum(x) OVER (PARTITION BY l_returnflag), 0) AS fx, sum(y) OVER w / nullif(sum(y) OVER (PARTITION BY l_returnflag), 0) AS fy FROM p WINDOW w AS (PARTITION BY l_returnflag ORDER BY v))
+    SELECT l_returnflag, round(max(abs(fx - fy)), 9) AS ks FROM c GROUP BY l_returnflag""")
+def q129_ks_distance(lineitem):
+    """Largest gap between the price distributions of two line states, per return flag."""
+    rows = lineitem.withColumn("side", F.col("l_linestatus") == "O")
+    return metrics.ks_distance(rows, "l_extendedprice", "side", ["l_returnflag"]).select("l_returnflag", F.round("ks", 9).alias("ks"))
+
+
+@query("events", sql="""
+    WITH l AS (SELECT user_id, ts::DATE AS d, '[' || strftime(ts, '%Y-%m-%d %H:%M') || '] ' || event_type AS line, ts, event_id FROM events),
+    o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back, dense_rank() OVER (PARTITION BY user_id ORDER BY d DESC) AS day, sum(len(line) + 1) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS used, sum(len(line) + 1) OVER (PARTITION BY user_id) AS whole FROM l),
+    k AS (SELECT user_id, any_value(whole) - 1 <= 400 AS fits, string_agg(line, chr(10) ORDER BY ts, event_id) AS whole, string_agg(line, chr(10) ORDER BY ts, event_id) FILTER (WHERE used <= 400 - 53 - 1) AS newest, string_agg(line, chr(10) ORDER BY ts, event_id) FILTER (WHERE day <= 3) AS days FROM o GROUP BY user_id)
+    SELECT user_id, sha256(CASE WHEN fits THEN whole ELSE '[earlier records omitted to fit; the newest are kept]' || chr(10) || newest END) AS latest, sha256(days) AS days FROM k""")
+def q130_newest_lines(events):
+    """Every user's timeline cut to its newest lines within a budget, and to its last three dates."""
+    line = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("] "), F.col("event_type"))
+    t = timeline.ordered_text(events, ["user_id"], [F.col("ts"), F.col("event_id")], line, "t")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return t.select("user_id", sha(text.keep_latest(F.col("t"), 400)).alias("latest"), sha(text.last_k_dates(F.col("t"), 3)).alias("days"))
+
+
 @query("events", sql="""
     WITH r AS (SELECT event_id, 'ask ' || (event_id % 97) AS request FROM events), a AS (SELECT *, CASE WHEN strpos('02468ace', right(sha256(request), 1)) > 0 THEN 'yes' ELSE 'no' END AS reply FROM r)
     SELECT reply, count(*) AS n, count(*) FILTER (WHERE (event_id % 97) % 4 = 0) AS from_cache, count(DISTINCT request) FILTER (WHERE (event_id % 97) % 4 <> 0) AS asked FROM a GROUP BY reply""")
