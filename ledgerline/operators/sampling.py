@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.hashing import keyed_sha
+from ledgerline.storage import shared_dir, written
 
 
 def first_by_hash(df: DataFrame, prefix: str, key: str, k: int) -> DataFrame:
@@ -37,45 +38,40 @@ def minimum_positives(df: DataFrame, key: str, tasks: Sequence[str], least: int,
     return flagged.orderBy(F.coalesce("must", F.lit(0)).desc(), "h", key).limit(n).drop("h", "must")
 
 
-def greedy_cover(df: DataFrame, key: str, columns: Sequence[str], each: int, k: int, prefix: str) -> list:
-    """Keys so that every (column, value) is carried `each` times, rarest first, then filled to k.
-
-    Sequential by nature. Per (column, value) only its first candidates in hash order are looked at: at most
-    each + (chosen so far) of them can be needed, so k rows a cell reach the driver, whatever the input."""
-    long = df.withColumn("h", keyed_sha(prefix, key)).select(key, "h", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))).where("value IS NOT NULL")
-    counts = {(r.column, r.value): r.n for r in long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).collect()}
-    w = Window.partitionBy("column", "value").orderBy("h", key)
-    heads = long.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r").orderBy("h", key).collect()
-    by_cell: dict = {}
-    for r in heads:
-        by_cell.setdefault((r.column, r.value), []).append(r[key])
-    cells_of: dict = {}
-    for cell, ids in by_cell.items():
-        for i in ids:
-            cells_of.setdefault(i, set()).add(cell)
-    chosen: list = []
-    have = dict.fromkeys(counts, 0)
-    for cell in sorted(counts, key=lambda c: (counts[c], c)):
-        for i in by_cell[cell]:
-            if have[cell] >= each or len(chosen) >= k:
-                break
-            if i not in chosen:
-                chosen.append(i)
-                for c in cells_of[i]:
-                    have[c] += 1
-    for r in heads:
-        if len(chosen) >= k:
-            break
-        if r[key] not in chosen:
-            chosen.append(r[key])
-    return chosen
+def greedy_cover(df: DataFrame, key: str, columns: Sequence[str], each: int, k: int, prefix: str) -> DataFrame:
+    """(key): k rows so that every (column, value) is carried `each` times, rarest first, then filled up. df has one row a key.
+
+    A round a (column, value): how often the rows chosen so far carry it, and the others, is one row of counts; what it still
+    needs is a bounded top-k in hash order of the rows that carry it and are not chosen, added to the table of the chosen.
+    Rows stay in Spark: the driver sees the values (label columns have few) and a row a round."""
+    spark = df.sparkSession
+    labels = [F.col(c).cast("string").alias(c) for c in columns]
+    ranked = written(df.select(F.col(key), keyed_sha(prefix, key).alias("h"), *labels).where(F.coalesce(*map(F.col, columns)).isNotNull()), "cover")
+    cells = ranked.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])).alias("cell")).where("cell.value IS NOT NULL")
+    order = sorted((r.n, r.cell.column, r.cell.value) for r in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a value
+    path, chosen = shared_dir(spark, "cover-chosen"), None
+
+    def add(pool: DataFrame, n: int) -> None:
+        nonlocal chosen
+        rest = pool if chosen is None else pool.join(chosen.select(key), key, "left_anti")
+        rest.orderBy("h", key).limit(n).select(*ranked.columns).write.mode("append").parquet(path)
+        chosen = spark.read.schema(ranked.schema).parquet(path)
+
+    counts = [F.count_if(F.col(c) == value) for _, c, value in order]
+    have = [0] * (len(order) + 1)
+    for i, (_, column, value) in enumerate(order):
+        if (need := min(each - have[i + 1], k - have[0])) > 0:
+            add(ranked.where(F.col(column) == value), need)
+            have = list(chosen.agg(F.count(F.lit(1)), *counts).first())
+    if have[0] < k:
+        add(ranked, k - have[0])
+    return chosen.select(key)
 
 
 def enriched_pool(df: DataFrame, person: str, scan: str, columns: Sequence[str], target: int, n: int, prefix: str) -> DataFrame:
     """One scan per person (first by hash), then scarcest (question, class) first up to target, then filled to n."""
     one = df.withColumn("h", keyed_sha(prefix, person, scan)).groupBy(person).agg(*[F.min_by(c, "h").alias(c) for c in [scan, *columns]])
-    ids = greedy_cover(one, scan, columns, target, n, prefix)
-    return one.where(F.col(scan).isin(ids))
+    return one.join(greedy_cover(one, scan, columns, target, n, prefix), scan, "left_semi")
 
 
 def tile_sample(tiles, row_key: str, n: int, prefix: str):

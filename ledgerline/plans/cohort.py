@@ -237,8 +237,8 @@ def _cover_sql(table: str, key: str, columns: tuple[str, ...], cells: int, each:
 @query("labels", sql=_cover_sql("labels", "doc_id", ("quality", "toxic"), 4, 5, 30, "cover"))
 def q30_greedy_cover(labels):
     """Every answer of both tasks carried five times, rarest first, then filled to 30."""
-    ids = sampling.greedy_cover(labels.distinct(), "doc_id", ["quality", "toxic"], 5, 30, "cover")
-    return labels.where(F.col("doc_id").isin(ids)).distinct()
+    chosen = sampling.greedy_cover(labels.distinct(), "doc_id", ["quality", "toxic"], 5, 30, "cover")
+    return labels.join(chosen, "doc_id", "left_semi").distinct()
 
 
 @query("orders", sql="""

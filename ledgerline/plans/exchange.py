@@ -11,7 +11,7 @@ from ledgerline.functions.dates import parse_time
 from ledgerline.operators import blocks, filters, joins, timeline
 from ledgerline.plans.register import query
 from ledgerline.shipping import ship
-from ledgerline.sources import readers, sinks, volumes
+from ledgerline.sources import readers, sinks, slides, volumes
 from ledgerline.sources.volume_source import volume_slices
 from ledgerline.storage import shared_dir
 
@@ -233,6 +233,33 @@ def q124_lazy_slices(embeddings):
     return read.select("study", "k", "n", "values")
 
 
+@query("supplier", sql="""
+    SELECT 's' || s_suppkey || '.tif' AS slide, 16 * i AS x, 16 * j AS y, 1.0::DOUBLE AS tissue FROM supplier, range(4) a(i), range(4) b(j) WHERE i <= s_nationkey % 3 AND i + j > 0 AND s_suppkey % 4 > 0""")
+def q131_slide_pyramids(supplier):
+    """Slides that the manifest does not list yet, as tiled pyramids of two levels; their tiles that hold tissue and are not
+    flat, told by the small level and read one by one."""
+    spark, folder = supplier.sparkSession, shared_dir(supplier.sparkSession, "pyramids")
+    ship(spark)
+
+    def drawn(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            bodies = []
+            for wide in batch.column(1).to_pylist():
+                image = np.full((64, 64), 240, np.uint8)
+                image[:, : 16 * (wide + 1)] = np.where(np.add.outer(np.arange(64), np.arange(16 * (wide + 1))) % 2, 60, 30)
+                image[:16, :16] = 45  # flat
+                bodies.append(slides.encode([image, image[::4, ::4]], 16, deflated=wide == 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], ["slide", "body"])
+
+    rows = supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".tif")).alias("slide"), (F.col("s_nationkey") % 3).alias("wide"), "s_suppkey")
+    todo = blocks.untiled(rows, rows.where("s_suppkey % 4 = 0").select("slide"), "slide").select("slide", "wide")
+    sinks.write_files(todo.mapInArrow(drawn, "slide string, body binary"), folder, "slide", "body")
+    return slides.slide_tiles(spark, folder, least_variance=1).select("slide", "x", "y", "tissue")
+
+
 @query("events", "customer", sql="""
     SELECT 'date' AS what, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' UNION ALL SELECT 'shared', count(*) FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' INTERSECT SELECT DISTINCT user_id FROM events WHERE event_type = 'signup')
     UNION ALL SELECT 'cells', count(DISTINCT c_mktsegment) * (SELECT count(DISTINCT event_type) FROM events) FROM customer""")

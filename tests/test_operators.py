@@ -437,8 +437,10 @@ def test_samples_are_nested_and_order_free(spark):
     small = {r.id for r in sampling.per_class(rows, "label", "id", 5, "s").collect()}
     large = {r.id for r in sampling.per_class(rows.repartition(9), "label", "id", 20, "s").collect()}
     assert len(small) == 15 and small < large and len(large) == 60
-    cover = sampling.greedy_cover(rows.withColumn("rare", F.when(F.col("id") < 4, "yes").otherwise("no")), "id", ["label", "rare"], 3, 12, "c")
-    assert len(cover) == 12 and sum(i < 4 for i in cover) >= 3
+    marked = rows.withColumn("rare", F.when(F.col("id") < 4, "yes").otherwise("no"))
+    cover = [r.id for r in sampling.greedy_cover(marked, "id", ["label", "rare"], 3, 12, "c").collect()]
+    assert len(cover) == len(set(cover)) == 12 and sum(i < 4 for i in cover) >= 3
+    assert sampling.greedy_cover(marked.limit(0), "id", ["label", "rare"], 3, 12, "c").count() == 0 and sampling.greedy_cover(marked, "id", ["rare"], 3, 10**6, "c").count() == rows.count()
     pool = sampling.enriched_pool(rows.withColumn("person", F.floor(F.col("id") / 2)), "person", "id", ["label"], 2, 10, "p")
     assert pool.count() == 10 and pool.select("person").distinct().count() == 10
     tiles = spark.createDataFrame([(1, ["a", "b", "c", "d"]), (2, ["a"])], "k int, t array<string>").select(sampling.tile_sample("t", "k", 2, "z").alias("s")).collect()

@@ -2,6 +2,7 @@
 
 import io
 import json
+import struct
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import EqualTo, In, LessThan
 
 from ledgerline.operators import blocks
-from ledgerline.sources import readers, sinks, volumes
+from ledgerline.sources import readers, sinks, slides, volumes
 from ledgerline.sources.volume_source import SliceReader, volume_slices
 from ledgerline.streaming.windows import windowed_counts
 
@@ -229,3 +230,42 @@ def test_readers_never_miss_a_published_table(spark, tmp_path):
     with pytest.raises(Exception):  # a write that fails leaves the table as it was
         sinks.publish(spark.range(3).selectExpr("raise_error('no') AS x"), path)
     assert sinks.published(spark, path).count() == 100
+
+
+@pytest.mark.parametrize("deflated", [False, True])
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_tiles_of_a_pyramid_come_back(deflated, order):
+    rng = np.random.default_rng(3)
+    grey = rng.integers(0, 256, (70, 100), dtype=np.uint8)
+    slide = slides.Slide(slides.encode([grey, grey[::2, ::2]], 32, deflated, order))
+    assert [(v.width, v.height) for v in slide.levels] == [(100, 70), (50, 35)]
+    assert np.array_equal(slide.image(0), grey) and np.array_equal(slide.image(1), grey[::2, ::2])
+    rgb = np.repeat(grey[..., None], 3, axis=2)
+    assert np.array_equal(slides.Slide(slides.encode([rgb], 64, deflated, order)).image(0), grey)
+    for broken in (b"", b"II*\0", b"x" * 64, slides.encode([grey], 32)[:200]):
+        with pytest.raises((ValueError, struct.error)):
+            slides.Slide(broken)
+
+
+def test_tiles_that_hold_tissue(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    full = np.full((256, 320), 240, np.uint8)
+    full[64:192, 64:256] = rng.integers(20, 120, (128, 192))  # tissue
+    full[128:192, 192:256] = 60  # tissue, but flat
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.tif").write_bytes(slides.encode([full, full[::4, ::4]], 64))
+    opened = Counted((tmp_path / "a.tif").read_bytes())
+    kept = [(x, y) for x, y, *_ in slides.tissue_tiles(slides.Slide(opened), least_variance=10)]
+    assert kept == [(64, 64), (128, 64), (192, 64), (64, 128), (128, 128)]
+    assert opened.bytes < full.size / 2  # six tiles of twenty, and the small level
+    inside = lambda border: [(x, y) for x, y, *_ in slides.tissue_tiles(slides.Slide((tmp_path / "a.tif").read_bytes()), border=border)]
+    assert inside(96) == [*kept, (192, 128)] and inside(97) == []
+    for parts in (1, 3):
+        df = slides.slide_tiles(spark, str(tmp_path), least_variance=10, parts=parts)
+        assert sorted((r.slide, r.x, r.y) for r in df.collect()) == [(f"{n}.tif", x, y) for n in "ab" for x, y in sorted(kept)]
+        (r,) = df.where("slide = 'b.tif' AND x = 64 AND y = 128").collect()
+        assert bytes(r.grey) == full[128:192, 64:128].tobytes() and r.tissue == 1.0
+    done = df.select("slide").distinct().where("slide = 'a.tif'")
+    assert {r.slide for r in blocks.untiled(df, done, "slide").collect()} == {"b.tif"}
+    small = slides.slide_tiles(spark, str(tmp_path), level=1, least_tissue=0).select("x", "y", "scale").collect()
+    assert {(r.x, r.y, r.scale) for r in small} == {(0, 0, 4.0)}
