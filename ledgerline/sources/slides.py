@@ -9,6 +9,7 @@ larger level whose area there is bright, or whose centre lies near the border, i
 from __future__ import annotations
 
 import io
+import json
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
@@ -16,7 +17,7 @@ from typing import BinaryIO, NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ledgerline.operators.blocks import otsu
 from ledgerline.shipping import ship
@@ -161,21 +162,14 @@ def tissue_tiles(slide: Slide, level: int = 0, least_tissue: float = 0.5, border
 
 
 class TileReader(DataSourceReader):
-    """Options: path, level (0), least_tissue (0.5), border (0), least_variance (0), parts (1): tasks a slide. Conditions that
-    name a slide or a level are taken: other slides are not opened."""
+    """Options: path, level (0), least_tissue (0.5), border (0), least_variance (0), parts (1): tasks a slide, slides
+    (a list of names in JSON; others are not opened)."""
 
     def __init__(self, options: dict):
         number = lambda name, usual: float(options.get(name, usual))
         self.path, self.parts, self.level = options["path"], int(options.get("parts", 1)), int(options.get("level", 0))
         self.limits = {"least_tissue": number("least_tissue", 0.5), "border": int(number("border", 0)), "least_variance": number("least_variance", 0)}
-        self.only: set[str] | None = None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("slide",):
-                self.only = {f.value} & (self.only or {f.value})
-            else:
-                yield f
+        self.only = json.loads(options["slides"]) if "slides" in options else None
 
     def partitions(self) -> Sequence[InputPartition]:
         store, path = _store(self.path)
@@ -203,8 +197,7 @@ class SlideTiles(DataSource):
 
 
 def slide_tiles(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """Registers the source and reads the tiles of all slides below the folder."""
+    """Registers the source and reads the tiles of the slides below the folder; options as of TileReader."""
     ship(spark)
     spark.dataSource.register(SlideTiles)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("slide_tiles").options(**options).load(folder)

@@ -1,28 +1,24 @@
 """Slices of volume files as a data source: spark.read.format("volume_slices").load(folder).
 
 A partition is some files, or, with the option `parts`, every parts-th slice of them, so that large files are read by
-several tasks. Conditions on study, series and k that compare with constants are taken by the source: a file whose name
-does not fit is not opened, and of the others only the headers and the slices asked for are read (volumes.Volume). Options:
-path, parts (1), files (files of a partition, 16). Files are reached through pyarrow, by path or URI.
+several tasks. What is asked for are options, as lists in JSON: `k` (slices) and `studies`; a file of another study is not
+opened, and of the others only the headers and these slices are read (volumes.Volume). They are options and not conditions
+that Spark hands down, because two scans of one frame with different conditions share what is handed down. Others: parts
+(1), files (files of a partition, 16). Files are reached through pyarrow, by path or URI.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import json
+from collections.abc import Iterator, Sequence
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ledgerline.shipping import ship
 from ledgerline.sources.volumes import SCHEMA, slices
 
-TESTS = {
-    EqualTo: lambda value, x: x == value, In: lambda value, x: x in value, GreaterThan: lambda value, x: x > value,
-    GreaterThanOrEqual: lambda value, x: x >= value, LessThan: lambda value, x: x < value, LessThanOrEqual: lambda value, x: x <= value,
-}
-
-
 def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
@@ -37,34 +33,23 @@ class SliceReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.parts, self.each = int(options.get("parts", 1)), int(options.get("files", 16))
-        self.conditions: list[tuple[str, type, object]] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            if type(f) in TESTS and len(f.attribute) == 1 and f.attribute[0] in ("study", "series", "k"):
-                self.conditions.append((f.attribute[0], type(f), f.value))
-            else:
-                yield f
-
-    def fits(self, column: str, value: object) -> bool:
-        return all(TESTS[kind](limit, value) for c, kind, limit in self.conditions if c == column)
+        self.slices, self.studies = (json.loads(options[name]) if name in options else None for name in ("k", "studies"))
 
     def partitions(self) -> Sequence[InputPartition]:
         store, path = _store(self.path)
         found = sorted(f.path for f in store.get_file_info(fs.FileSelector(path, recursive=True)) if f.is_file and f.path.endswith((".nii", ".nii.gz")))
-        named = [f for f in found if self.fits("study", self.names(f)[0]) and self.fits("series", self.names(f)[1])]
+        named = [f for f in found if self.studies is None or self.study(f) in self.studies]
         return [Share(named[i : i + self.each], part) for i in range(0, len(named), self.each) for part in range(self.parts)]
 
     @staticmethod
-    def names(file: str) -> tuple[str, str]:
-        study, _, series = file.rpartition("/")[2].removesuffix(".gz").removesuffix(".nii").partition("__")
-        return study, series
+    def study(file: str) -> str:
+        return file.rpartition("/")[2].removesuffix(".gz").removesuffix(".nii").partition("__")[0]
 
     def read(self, partition: Share) -> Iterator[tuple]:
         store, _ = _store(self.path)
         for file in partition.files:
             with store.open_input_file(file) as stream:
-                for row in slices(stream, file.rpartition("/")[2], lambda k, n: k % self.parts == partition.value and self.fits("k", k)):
+                for row in slices(stream, file.rpartition("/")[2], lambda k, n: k % self.parts == partition.value and (self.slices is None or k in self.slices)):
                     yield tuple(row.values())
 
 
@@ -80,9 +65,9 @@ class VolumeSlices(DataSource):
         return SliceReader(self.options)
 
 
-def volume_slices(spark: SparkSession, folder: str, parts: int = 1) -> DataFrame:
-    """Registers the source, lets Spark hand it conditions, and reads the folder."""
+def volume_slices(spark: SparkSession, folder: str, k: Sequence[int] | None = None, studies: Sequence[str] | None = None, parts: int = 1) -> DataFrame:
+    """Registers the source and reads the folder: the slices k of the studies, or all."""
     ship(spark)
     spark.dataSource.register(VolumeSlices)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("volume_slices").option("parts", parts).load(folder)
+    asked = {name: json.dumps(list(value)) for name, value in (("k", k), ("studies", studies)) if value is not None}
+    return spark.read.format("volume_slices").options(parts=parts, **asked).load(folder)

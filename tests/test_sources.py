@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import EqualTo, In, LessThan
 
 from ledgerline.operators import blocks
 from ledgerline.sources import readers, sinks, slides, volumes
@@ -187,51 +186,18 @@ def test_slices_as_a_data_source(spark, tmp_path):
         for packed in (False, True):
             (tmp_path / f"s{i}__{packed}.nii{'.gz' * packed}").write_bytes(volumes.encode(rng.normal(size=(4, 5, 6)), affine, packed=packed))
     for parts in (1, 3):
-        df = volume_slices(spark, str(tmp_path), parts)
+        df = volume_slices(spark, str(tmp_path), parts=parts)
         assert df.groupBy("study").count().orderBy("study").collect() == [("s0", 12), ("s1", 12), ("s2", 8)]
-        some = df.where("k IN (1, 2) AND study >= 's1' AND series = 'True' AND rows > 0")
-        want = [r for r in df.collect() if r.k in (1, 2) and r.study >= "s1" and r.series == "True"]
-        assert sorted(some.collect()) == sorted(want) and len(want) == 4
-    reader = SliceReader({"path": str(tmp_path)})
-    left = list(reader.pushFilters([EqualTo(("study",), "s1"), In(("k",), (0, 5)), LessThan(("rows",), 9)]))
-    assert [type(f) for f in left] == [LessThan] and sum(len(p.files) for p in reader.partitions()) == 2
+        some = volume_slices(spark, str(tmp_path), [1, 2], ["s1", "s2"], parts)
+        want = [r for r in df.collect() if r.k in (1, 2) and r.study >= "s1"]
+        assert sorted(some.collect()) == sorted(want) and len(want) == 8
+    one, two = (volume_slices(spark, str(tmp_path), [k]) for k in (1, 2))  # two scans of one folder in one plan
+    assert one.join(two, "study").count() == 12 and one.join(two, ["study", "k"]).count() == 0
+    reader = SliceReader({"path": str(tmp_path), "k": "[0, 5]", "studies": '["s1"]'})
+    assert sum(len(p.files) for p in reader.partitions()) == 2
     assert [r[2] for p in reader.partitions() for r in reader.read(p)] == [0, 5, 0, 5]
 
 
-def test_readers_never_miss_a_published_table(spark, tmp_path):
-    import threading
-
-    path, stop, seen, errors = f"file://{tmp_path}/t", threading.Event(), set(), []
-    sinks.publish(spark.range(100).selectExpr("id", "0 AS version"), path)
-
-    def reader():
-        while not stop.is_set():
-            try:
-                row = sinks.published(spark, path).groupBy("version").count().collect()
-                assert len(row) == 1 and row[0]["count"] == 100
-                seen.add(row[0].version)
-            except Exception as e:  # noqa: BLE001
-                errors.append(e)
-                return
-
-    t = threading.Thread(target=reader)
-    t.start()
-    try:
-        for i in range(1, 9):
-            sinks.publish(spark.range(100).selectExpr("id", f"{i} AS version"), path)
-    finally:
-        stop.set()
-        t.join()
-    assert not errors and len(seen) > 1
-    assert sinks.published(spark, path).first().version == 8
-    assert len([f for f in (tmp_path / "t").iterdir() if f.is_dir()]) == 9
-    sinks.publish(spark.range(100), path, hold=-60)
-    assert len([f for f in (tmp_path / "t").iterdir() if f.is_dir()]) == 1
-    with pytest.raises(Exception):  # a write that fails leaves the table as it was
-        sinks.publish(spark.range(3).selectExpr("raise_error('no') AS x"), path)
-    assert sinks.published(spark, path).count() == 100
-
-
 @pytest.mark.parametrize("deflated", [False, True])
 @pytest.mark.parametrize("order", ["<", ">"])
 def test_tiles_of_a_pyramid_come_back(deflated, order):
@@ -263,7 +229,7 @@ def test_tiles_that_hold_tissue(spark, tmp_path):
     for parts in (1, 3):
         df = slides.slide_tiles(spark, str(tmp_path), least_variance=10, parts=parts)
         assert sorted((r.slide, r.x, r.y) for r in df.collect()) == [(f"{n}.tif", x, y) for n in "ab" for x, y in sorted(kept)]
-        (r,) = df.where("slide = 'b.tif' AND x = 64 AND y = 128").collect()
+        (r,) = slides.slide_tiles(spark, str(tmp_path), slides='["b.tif"]').where("x = 64 AND y = 128").collect()
         assert bytes(r.grey) == full[128:192, 64:128].tobytes() and r.tissue == 1.0
     done = df.select("slide").distinct().where("slide = 'a.tif'")
     assert {r.slide for r in blocks.untiled(df, done, "slide").collect()} == {"b.tif"}
