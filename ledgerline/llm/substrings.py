@@ -41,7 +41,7 @@ from ledgerline.llm.words import single_spaced, words_of
 
 WINDOW = 20
 GRAM = 6
-HOT = 5_000
+HOT = 20_000
 LONGEST = 256
 BLOCK_BYTES = 2 << 20
 HELD_BYTES = 6 << 20
