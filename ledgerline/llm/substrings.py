@@ -44,7 +44,7 @@ GRAM = 6
 HOT = 20_000
 LONGEST = 256
 BLOCK_BYTES = 2 << 20
-HELD_BYTES = 6 << 20
+HELD_BYTES = 16 << 20
 PLACES = 22  # bits of a place within a stretch of words
 LEAST_ID = -(1 << 63)
 
