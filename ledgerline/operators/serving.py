@@ -81,10 +81,11 @@ def ask_with_cache(df: DataFrame, request: str, model: Model, cache: DataFrame,
 
 
 def within_cap(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cost: Column, cap: float) -> DataFrame:
-    """Requests that a spend cap lets through per key: what came before, counted at the mean cost where unknown, stays below the cap."""
+    """Requests that a spend cap lets through per key: what came before, counted at the mean cost where unknown, stays below
+    the cap. It is rounded to nine places first, so that a spend that meets the cap is not let through by what adding lost."""
     mean = F.avg(cost).over(Window.partitionBy(*keys))
     before = F.sum(F.coalesce(cost, mean, F.lit(0.0))).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("allowed", F.coalesce(before, F.lit(0.0)) < cap)
+    return df.withColumn("allowed", F.round(F.coalesce(before, F.lit(0.0)), 9) < cap)
 
 
 def answered(df: DataFrame, answer: str, error: str) -> DataFrame:

@@ -57,6 +57,13 @@ def test_waves_and_caps(spark):
     assert {(r.case_id, r.ord): r.allowed for r in capped.collect()} == {("c1", 0): True, ("c1", 1): True, ("c1", 2): False, ("c1", 3): False, ("c2", 0): True}
 
 
+def test_a_spend_that_meets_the_cap_is_over_it(spark):
+    df = spark.createDataFrame([("c", i, 0.1) for i in range(10)] + [("d", i, None if i else 0.1) for i in range(10)], "case_id string, ord int, cost double")
+    # Eight times 0.1, added one by one, is 0.7999999999999999.
+    capped = serving.within_cap(df, ["case_id"], [F.col("ord")], F.col("cost"), 0.8)
+    assert {(r.case_id, r.n) for r in capped.groupBy("case_id").agg(F.count_if("allowed").alias("n")).collect()} == {("c", 8), ("d", 8)}
+
+
 def test_blocks_are_assembled_in_order_and_fail_closed(spark):
     df = spark.createDataFrame([(1, "notes", [f"s{i}" for i in range(9)], ["t1", "t2", "t3"])], "id long, note string, slices array<string>, tiles array<string>")
     spec = [{"id": "EHR", "modality": "ehr", "column": "note"}, {"id": "CT", "modality": "ct", "column": "slices", "select": "evenly_spaced_k", "k": 3}, {"id": "WSI", "modality": "pathology", "column": "tiles", "row_key": "id", "n": 2}]
