@@ -13,7 +13,7 @@ from ledgerline.plans.register import query
 from ledgerline.shipping import ship
 from ledgerline.sources import readers, sinks, slides, volumes
 from ledgerline.sources.volume_source import volume_slices
-from ledgerline.storage import shared_dir
+from ledgerline.storage import shared_dir, spread
 
 big = lambda c: F.col(c).cast("bigint") if isinstance(c, str) else c.cast("bigint")
 
@@ -256,7 +256,7 @@ def q131_slide_pyramids(supplier):
 
     rows = supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".tif")).alias("slide"), (F.col("s_nationkey") % 3).alias("wide"), "s_suppkey")
     todo = blocks.untiled(rows, rows.where("s_suppkey % 4 = 0").select("slide"), "slide").select("slide", "wide")
-    sinks.write_files(todo.mapInArrow(drawn, "slide string, body binary"), folder, "slide", "body")
+    sinks.write_files(spread(todo).mapInArrow(drawn, "slide string, body binary"), folder, "slide", "body")
     return slides.slide_tiles(spark, folder, least_variance=1).select("slide", "x", "y", "tissue")
 
 

@@ -44,6 +44,12 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The rows dealt evenly to a fixed number of tasks (the session's shuffle partitions), for work that is large beside
+    the rows: small tables otherwise lie in one partition."""
+    return df.repartition(tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Is there a file or folder of that name?"""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

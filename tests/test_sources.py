@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ledgerline.operators import blocks
 from ledgerline.sources import readers, sinks, slides, volumes
-from ledgerline.sources.volume_source import SliceReader, volume_slices
+from ledgerline.sources.volume_source import TASKS, SliceReader, volume_slices
 from ledgerline.streaming.windows import windowed_counts
 
 
@@ -235,3 +235,19 @@ def test_tiles_that_hold_tissue(spark, tmp_path):
     assert {r.slide for r in blocks.untiled(df, done, "slide").collect()} == {"b.tif"}
     small = slides.slide_tiles(spark, str(tmp_path), level=1, least_tissue=0).select("x", "y", "scale").collect()
     assert {(r.x, r.y, r.scale) for r in small} == {(0, 0, 4.0)}
+
+
+def test_small_files_share_tasks_and_large_ones_are_split(tmp_path):
+    body = volumes.encode(np.arange(24, dtype=np.float32).reshape(2, 2, 6), np.diag([1.0, 1.0, 1.0, 1.0]), packed=False)
+    image = np.full((32, 32), 240, np.uint8)
+    image[:16] = np.arange(32) * 2
+    for i in range(3 * TASKS):
+        (tmp_path / f"s{i}__1.nii").write_bytes(body)
+        (tmp_path / f"s{i}.tif").write_bytes(slides.encode([image, image[::4, ::4]], 16))
+    for make, rows in ((SliceReader, 6), (slides.TileReader, 2)):
+        for options, tasks in (({}, TASKS), ({"parts": "2"}, TASKS), ({"parts": "2", "split_bytes": "0"}, 6 * TASKS)):
+            reader = make({"path": str(tmp_path), **options})
+            found = reader.partitions()
+            assert len(found) == tasks
+            read = [r[:1] + r[2:4] for p in found for r in reader.read(p)]
+            assert len(read) == len(set(read)) == rows * 3 * TASKS
