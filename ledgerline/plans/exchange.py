@@ -228,7 +228,7 @@ def q124_lazy_slices(embeddings):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], ["name", "body"])
 
     named = embeddings.where("vec_id >= 100").select(F.concat(F.lit("s"), F.col("vec_id").cast("string"), F.lit("__1.nii")).alias("name"), "embedding")
-    sinks.write_files(named.mapInArrow(written_as, "name string, body binary"), folder, "name", "body")
+    sinks.write_files(spread(named).mapInArrow(written_as, "name string, body binary"), folder, "name", "body")
     read = volume_slices(spark, folder, [0, 3, 9], parts=2).where(F.col("study") > "s2")
     return read.select("study", "k", "n", "values")
 
