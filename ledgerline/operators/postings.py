@@ -1,7 +1,7 @@
 """A posting index: terms to documents in blocks, built once and appended, and top-k searches that skip blocks.
 
-A folder holds two tables in batches: `documents` (part, key, dl, words), and `postings`, dealt to files by term and sorted
-by it, so that a search for a term reads the row groups that may hold it. A posting block has the documents of one (term,
+A folder holds two tables in batches: `documents` (part, key, dl, words), and `postings`, dealt to files by term and shard and sorted
+by term, so that a search for a term reads the row groups that may hold it. A posting block has the documents of one (term,
 part) whose frequencies, and whose lengths, lie within a factor of two, dealt by key where they are many; beside them
 stand how many they are and the least and largest frequency and length. A score grows with the frequency and falls
 with the length, so these figures bound it from both sides without the documents being read.
@@ -20,12 +20,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.operators.retrieval import B, K1, frequent_new_terms, tokens
+from ledgerline.shipping import ship
 from ledgerline.storage import exists, shared_dir, written
 
 #: Documents of a part that share one block at most, on average.
 BLOCK_DOCS = 50_000
+#: Words of a shuffle partition when postings are made, on average, so that a task sorts them within its memory.
+TASK_WORDS = 4_000_000
 BLOCK = ("batch", "term", "part", "tf_class", "dl_class", "shard")
 #: What rounding may take from a bound.
 SLACK = 1e-9
@@ -35,6 +39,34 @@ def impact(tf: Column, dl: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """(part, key, dl, term, tf) of documents (part, key, dl, words), counted where they lie: a document is one row, so nothing
+    is shuffled. Rows that share part, key and dl are put together first."""
+    ship(docs.sparkSession)
+    again = docs.groupBy("part", "key", "dl").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(c).alias(f"__{c}") for c in ("part", "key", "dl")])
+    if not again.isEmpty():
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ("part", "key", "dl")]
+        joined = docs.join(again, same, "left_semi").groupBy("part", "key", "dl").agg(F.flatten(F.collect_list("words")).alias("words"))
+        docs = docs.join(again, same, "left_anti").select("part", "key", "dl", "words").unionByName(joined)
+    schema = T.StructType([*(docs.schema[c] for c in ("part", "key", "dl")), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            words = batch.column(3)
+            flat = words.flatten().dictionary_encode()
+            if not len(flat):
+                continue
+            row = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+            met, tf = np.unique(row * len(flat.dictionary) + flat.indices.to_numpy(), return_counts=True)
+            at, term = np.divmod(met, len(flat.dictionary))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(at)) for i in range(3)), flat.dictionary.take(pa.array(term)), pa.array(tf, pa.int64())], ["part", "key", "dl", "term", "tf"])
+
+    return docs.select("part", "key", "dl", "words").mapInArrow(run, schema)
+
+
 class PostingIndex:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
@@ -62,13 +94,15 @@ class PostingIndex:
             rows = rows.join(self.documents().select("part", "key"), ["part", "key"], "left_anti")
         rows.write.parquet(f"{self.path}/documents/batch={batch}")
         own = self.spark.read.parquet(f"{self.path}/documents/batch={batch}")
-        shards = -(-max(1, own.count()) // block_docs)
-        met = own.where("key IS NOT NULL").select("part", "key", "dl", F.explode("words").alias("term")).groupBy("term", "part", "key", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        size = own.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
+        shards, tasks = -(-max(1, size.docs) // block_docs), max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-size.words // TASK_WORDS))
+        met = counted(own.where("key IS NOT NULL")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
         doubling = lambda c: F.floor(F.log2(F.col(c))).cast("int")
-        blocks = met.groupBy("term", "part", doubling("tf").alias("tf_class"), doubling("dl").alias("dl_class"), F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")).agg(
+        # One shuffle: what is dealt by term and shard is grouped where it comes to lie.
+        blocks = met.repartition(tasks, "term", "shard").groupBy("term", "part", doubling("tf").alias("tf_class"), doubling("dl").alias("dl_class"), "shard").agg(
             F.count(F.lit(1)).alias("n"), F.min("tf").alias("min_tf"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.max("dl").alias("max_dl"), F.collect_list(F.struct("key", "dl", "tf")).alias("posts")
         )
-        blocks.repartition("term").sortWithinPartitions("term", "part").write.parquet(f"{self.path}/postings/batch={batch}")
+        blocks.sortWithinPartitions("term", "part").write.parquet(f"{self.path}/postings/batch={batch}")
         self.spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").json(f"{self.path}/done")
 
     def bounds(self, terms: Sequence[str] | DataFrame, k: int, each: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import retrieval
-from ledgerline.operators.postings import PostingIndex
+from ledgerline.operators.postings import PostingIndex, counted
 
 
 def corpus(spark, n, seed, first=0):
@@ -82,3 +82,12 @@ def test_scores_by_hand(spark):
     assert math.isclose(hits["p", 1], math.log(1 + 2.5 / 1.5) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 3 / (8 / 3))))
     got = {(r.part, r.key): r.iteration for r in index.iterative_search(["alpha"], 3, 5, 1).collect()}
     assert got["p", 1] == 0 and got["p", 2] == 1
+
+
+def test_words_are_counted_where_they_lie(spark):
+    docs = spark.createDataFrame([(None, 1, 3, ["a", "b", "a"]), (None, 1, 3, ["a", "c", "c"]), ("p", 1, 3, ["a", "b", "c"]), ("p", 2, 0, []), ("p", 3, 2, ["é", "é"])], "part string, key long, dl long, words array<string>")
+    got = sorted((r.part or "", r.key, r.dl, r.term, r.tf) for r in counted(docs).collect())
+    want = docs.select("part", "key", "dl", F.explode("words").alias("term")).groupBy("part", "key", "dl", "term").count().collect()
+    assert got == sorted((r.part or "", r.key, r.dl, r.term, r["count"]) for r in want) and ("", 1, 3, "a", 3) in got
+    plan = counted(docs.where("part = 'p'"))._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
