@@ -30,6 +30,8 @@ from ledgerline.storage import exists, shared_dir, written
 BLOCK_DOCS = 50_000
 #: Words of a shuffle partition when postings are made, on average, so that a task sorts them within its memory.
 TASK_WORDS = 4_000_000
+#: Terms of a table of terms that are listed as a filter on the postings; of more, all blocks are met by the join.
+LISTED_TERMS = 1000
 BLOCK = ("batch", "term", "part", "tf_class", "dl_class", "shard")
 #: What rounding may take from a bound.
 SLACK = 1e-9
@@ -136,8 +138,13 @@ class PostingIndex:
         such a document is not among the k best with it, nor without."""
         kept = self.bounds(terms, k, each).where("kept").select(*BLOCK, "idf", "mean")
         posts = self.postings()
-        if not isinstance(terms, DataFrame):
-            posts = posts.where(F.col("term").isin(list(terms)))
+        listed = terms
+        if isinstance(terms, DataFrame):
+            # Written, so that Spark knows how few blocks these are before it deals all postings to meet them.
+            kept = written(kept, "kept-blocks")
+            listed = [r.term for r in kept.select("term").distinct().limit(LISTED_TERMS + 1).collect()]
+        if len(listed) <= LISTED_TERMS or listed is terms:
+            posts = posts.where(F.col("term").isin(list(listed)))
         read = posts.select(*BLOCK, "posts").join(kept, list(BLOCK)).select("part", "term", "idf", "mean", F.inline("posts"))
         return read.select("part", "key", "term", (F.col("idf") * impact(F.col("tf"), F.col("dl"), F.col("mean"))).alias("score"))
 

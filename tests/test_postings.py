@@ -91,3 +91,10 @@ def test_words_are_counted_where_they_lie(spark):
     assert got == sorted((r.part or "", r.key, r.dl, r.term, r["count"]) for r in want) and ("", 1, 3, "a", 3) in got
     plan = counted(docs.where("part = 'p'"))._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "Exchange" not in plan
+
+
+def test_a_table_of_terms_reads_their_postings_only(spark, both):
+    _, index = both
+    terms = spark.createDataFrame([(p, ["w1", "w7"]) for p in "ab"], "part string, terms array<string>")
+    plan = index.scored(terms, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "In(term, [w1,w7])" in plan.replace("[w7,w1]", "[w1,w7]")
