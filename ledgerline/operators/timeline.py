@@ -14,8 +14,13 @@ from ledgerline.operators.running import RANGE_ROWS, carried_last
 
 def ordered_text(df: DataFrame, keys: Sequence[str], order: Sequence[Column], line: Column, name: str, separator: str = "\n") -> DataFrame:
     """Lines of each group in order, as one text; null lines are left out."""
-    rows = F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("line")))))
-    return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r["line"]), separator).alias(name))
+    return df.groupBy(*keys).agg(lines_in_order(order, line, separator).alias(name))
+
+
+def lines_in_order(order: Sequence[Column], line: Column, separator: str = "\n") -> Column:
+    """The aggregate of ordered_text, to stand beside others. Nulls of the order come first."""
+    rows = F.sort_array(F.collect_list(F.when(line.isNotNull(), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("line")))))
+    return F.array_join(F.transform(rows, lambda r: r["line"]), separator)
 
 
 def newest_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], line: str, most: int) -> DataFrame:

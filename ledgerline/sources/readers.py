@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.operators.running import RANGE_ROWS, carried_last
+from ledgerline.shipping import ship
 
 
 def task_rows(spark: SparkSession, table: str, task: str) -> DataFrame:
@@ -70,15 +72,79 @@ def answers_document(spark: SparkSession, path: str, answer: T.StructType) -> Da
     return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("answers").alias("id", "a")).select("id", "a.*")
 
 
-ENTRY = "array<struct<_timestamp: string, event: array<struct<_code: string, _name: string, _unit: string, _type: string, _VALUE: string>>>>"
+XML_EVENT = "file string, encounter long, person string, timestamp string, i int, j int, code string, description string, unit string, text_value string"
+#: Events of a batch, and bytes of a file that are parsed at a time.
+XML_ROWS, XML_BYTES = 8192, 1 << 18
+
+
+def xml_rows(stream, rows_each: int = XML_ROWS) -> Iterator[list[tuple]]:
+    """Batches of (encounter, person, timestamp, i, j, code, name, unit, text) of a file, parsed as it is read: what is held
+    is a batch, however many entries an encounter has. i numbers an encounter's entries, j an entry's events."""
+    from xml.parsers import expat
+
+    rows: list[tuple] = []
+    path, texts = [], []
+    encounter, person, time, i, j, event = -1, None, None, -1, -1, {}
+
+    def opened(tag, attributes):
+        nonlocal encounter, person, time, i, j, event
+        path.append(tag)
+        if tag == "encounter":
+            encounter, person, i = encounter + 1, attributes.get("person"), -1
+        elif path[-2:] == ["encounter", "entry"]:
+            time, i, j = attributes.get("timestamp"), i + 1, -1
+        elif path[-3:] == ["encounter", "entry", "event"]:
+            j, event = j + 1, attributes
+            texts.clear()
+
+    def closed(tag):
+        if path[-3:] == ["encounter", "entry", "event"]:
+            rows.append((encounter, person, time, i, j, event.get("code"), event.get("name"), event.get("unit"), "".join(texts).strip() or None))
+        path.pop()
+
+    def told(text):
+        if path[-1] == "event":
+            texts.append(text)
+
+    head = stream.read(XML_BYTES)
+    declared = re.match(rb"\s*<\?xml[^>]*?\?>", head.removeprefix(b"\xef\xbb\xbf"))
+    encoding = declared and re.search(rb"encoding\s*=\s*[\"']([^\"']+)", declared[0])
+    parser = expat.ParserCreate(encoding[1].decode() if encoding else "utf-8")
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = opened, closed, told
+    parser.Parse(b"<files>")  # a file may hold several encounters without a root of their own
+    data = head.removeprefix(b"\xef\xbb\xbf")[declared.end() if declared else 0 :]
+    while data:
+        parser.Parse(data)
+        if len(rows) >= rows_each:
+            yield rows[:]
+            rows.clear()
+        data = stream.read(XML_BYTES)
+    parser.Parse(b"</files>", True)
+    yield rows
 
 
 def xml_events(spark: SparkSession, path: str) -> DataFrame:
-    """encounter > entry(timestamp) > event, one row an event, numbered in document order."""
-    schema = T.StructType([T.StructField("_person", T.StringType()), T.StructField("entry", T._parse_datatype_string(ENTRY))])
-    enc = spark.read.format("xml").option("rowTag", "encounter").schema(schema).load(path)
-    rows = enc.withColumn("doc", file_place()).select("doc", "_person", F.posexplode("entry").alias("i", "e")).select("doc", "_person", "i", "e", F.posexplode("e.event").alias("j", "v"))
-    return rows.select(F.col("_person").alias("person"), F.try_to_timestamp("e._timestamp").cast("timestamp_ntz").alias("time"), F.col("v._code").alias("code"), F.col("v._name").alias("description"), F.col("v._VALUE").alias("text_value"), F.col("v._unit").alias("unit"), F.struct("doc", "i", "j").alias("doc_ord"))
+    """encounter > entry(timestamp) > event, one row an event, numbered in document order; a file is one task's, which
+    parses it as it reads. A file that is not well-formed is an error."""
+    ship(spark)
+    names = [part.split()[0] for part in XML_EVENT.split(", ")]
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4]
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(re.sub("^(file):/+", r"\1:///", file))
+                with store.open_input_stream(at) as stream:
+                    for rows in xml_rows(stream):
+                        columns = list(zip(*rows)) or [()] * (len(names) - 1)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip([[file] * len(rows), *columns], kinds)], names)
+
+    rows = spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, XML_EVENT)
+    doc = F.struct("file", F.lit(0).cast("bigint").alias("block"), F.col("encounter").alias("row")).alias("doc")
+    return rows.select("person", F.try_to_timestamp("timestamp").cast("timestamp_ntz").alias("time"), "code", "description", "text_value", "unit", F.struct(doc, "i", "j").alias("doc_ord"))
 
 
 def events_of_xml(xml: Column) -> Column:

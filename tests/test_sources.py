@@ -251,3 +251,16 @@ def test_small_files_share_tasks_and_large_ones_are_split(tmp_path):
             assert len(found) == tasks
             read = [r[:1] + r[2:4] for p in found for r in reader.read(p)]
             assert len(read) == len(set(read)) == rows * 3 * TASKS
+
+
+def test_xml_is_parsed_as_it_is_read(spark, tmp_path):
+    one = '<encounter person="p1"><entry timestamp="2024-01-02 03:04"><event code="A" name="x" unit="u"> é &amp; 1 </event><event code="B"/></entry><entry timestamp="no time"><event code="C">2</event></entry></encounter>'
+    (tmp_path / "a.xml").write_text(f'<?xml version="1.0" encoding="UTF-8"?>\n<all>{one}<encounter person="p2"><entry/></encounter></all>')
+    (tmp_path / "b.xml").write_text(one + one.replace("p1", "p3"))
+    got = sorted((r.doc_ord.doc.file[-5:], r.doc_ord.doc.row, r.doc_ord.i, r.doc_ord.j, r.person, r.time and r.time.minute, r.code, r.description, r.text_value, r.unit) for r in readers.xml_events(spark, str(tmp_path)).collect())
+    want = [(0, 0, 4, "A", "x", "é & 1", "u"), (0, 1, 4, "B", None, None, None), (1, 0, None, "C", None, "2", None)]
+    assert got == [(f, e, i, j, p, *rest) for f, e, p in (("a.xml", 0, "p1"), ("b.xml", 0, "p1"), ("b.xml", 1, "p3")) for i, j, *rest in want]
+    # What is held does not grow with the entries of an encounter.
+    long = io.BytesIO(b"<encounter>" + b'<entry timestamp="t"><event code="A">1</event></entry>' * 50_000 + b"</encounter>")
+    sizes = [len(rows) for rows in readers.xml_rows(long)]
+    assert sum(sizes) == 50_000 and max(sizes) < 20_000
