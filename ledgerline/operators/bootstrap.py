@@ -38,16 +38,24 @@ def cluster_hash(cluster: Column, salt: str = "boot") -> Column:
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    low = np.uint64(0xFFFFFFFF)
+    """32-bit numbers, which wrap."""
+    x = x.astype(np.uint32)
+    t = np.empty_like(x)
     for _ in range(2):
-        x = (x ^ (x >> np.uint64(16))) * np.uint64(MIX) & low
-    return x ^ (x >> np.uint64(16))
+        x ^= np.right_shift(x, 16, out=t)
+        x *= np.uint32(MIX)
+    x ^= np.right_shift(x, 16, out=t)
+    return x
 
 
 def weights(clusters: np.ndarray, replicates: np.ndarray) -> np.ndarray:
     """How often each cluster (a hash) is drawn in each replicate: clusters x replicates."""
     rep = _mixed((replicates.astype(np.uint64) + np.uint64(1)) * np.uint64(SPREAD) & np.uint64(0xFFFFFFFF))
-    return np.searchsorted(np.array(DRAWN, np.uint64), _mixed(clusters.astype(np.uint64)[:, None] ^ rep[None]), "right")
+    u = _mixed(clusters.astype(np.uint32)[:, None] ^ rep[None])
+    out = np.zeros(u.shape, np.uint8)
+    for d in DRAWN:
+        out += u >= np.uint32(d)
+    return out
 
 
 def weights_sql(clusters: str, key: str, replicates: int, salt: str = "boot") -> str:
@@ -96,13 +104,14 @@ def summed_weights(per: DataFrame, keys: Sequence[str], values: Sequence[str], r
                 names = [(*names[k // len(listed)], listed[k % len(listed)]) for k in kinds_met.tolist()]
             order = np.argsort(code, kind="stable")
             first = np.searchsorted(code[order], np.arange(len(names)))
+            own = x[order]
             place = np.array([number.setdefault(k, len(number)) for k in names])
             if len(number) > len(total):
                 total = np.concatenate([total, np.zeros((len(number) - len(total), replicates, len(values)))])
             for a in range(0, replicates, BLOCK):
                 w = weights(h[order], np.arange(a, min(a + BLOCK, replicates))).astype(np.float64)
-                for j in range(len(values)):
-                    total[place, a : a + w.shape[1], j] += np.add.reduceat(w * x[order, j : j + 1], first, axis=0)
+                for i, (b, e) in enumerate(zip(first, [*first[1:], len(order)])):
+                    total[place[i], a : a + w.shape[1]] += w[b:e].T @ own[b:e]
             if total.nbytes > HELD_BYTES:
                 yield from rows()
                 number, total = {}, np.zeros((0, replicates, len(values)))

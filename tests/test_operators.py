@@ -580,3 +580,18 @@ def test_input_checks_by_hand(spark):
     df = spark.createDataFrame(rows, "arm string, n int, m int, err string, s array<double>, prior boolean, gap int")
     (r,) = contracts.image_qa(df, "arm", "n", "m", "err", "s", "prior", "gap").collect()
     assert tuple(r)[1:] == (4, 2, 1, 2, 2, 1, 1, 0.5, 5.0)
+
+
+def test_weights_are_bytes_counted_by_thresholds():
+    hashes, rep = np.random.default_rng(2).integers(0, 1 << 32, 5000, dtype=np.uint64), np.arange(40)
+    w = bootstrap.weights(hashes, rep)
+    assert w.dtype == np.uint8  # eight bytes a weight before
+
+    def mixed(x):
+        for _ in range(2):
+            x = (x ^ x >> 16) * bootstrap.MIX & 0xFFFFFFFF
+        return x ^ x >> 16
+
+    for i, r in ((0, 0), (17, 3), (4999, 39)):
+        u = mixed(int(hashes[i]) ^ mixed((r + 1) * bootstrap.SPREAD & 0xFFFFFFFF))
+        assert w[i, r] == sum(u >= d for d in bootstrap.DRAWN)
